@@ -1,0 +1,23 @@
+"""Small results that later steps look up, with their size checked first."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+SMALL_ROWS = 20_000
+
+
+def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Compute ``df`` once and return it as a table whose size Spark knows.
+
+    At most ``max_rows + 1`` rows are fetched. If that is all of them the result is a literal table,
+    which Spark broadcasts by its own size threshold. A larger result stays distributed: it comes
+    back persisted and unhinted, and joins with it shuffle.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = held.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return held
+    held.unpersist()
+    return df.sparkSession.createDataFrame(rows, df.schema)
