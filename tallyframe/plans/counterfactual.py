@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions import flag, in_set, not_in_set, ratio, strict_sum
+from tallyframe.functions import flag, in_set, ratio, strict_sum
 from tallyframe.functions.bins import cut
 from tallyframe.functions.nulls import mean_numerator
 from tallyframe.operators.joins import keyed_join
@@ -170,14 +170,15 @@ def unit_scalars(units: DataFrame, state: int) -> DataFrame:
 
 
 def decompose(people: DataFrame, stats: DataFrame, years: Sequence[int], baseline_year: int, state: int,
-              min_age: int, max_age: int, vacancy_rate: float) -> tuple[DataFrame, DataFrame]:
+              min_age: int, max_age: int, vacancy_rate: float,
+              model: LogitSpec = FULL) -> tuple[DataFrame, DataFrame]:
     """Summary row per analysis year and the table by age behind it, for all ``years`` together."""
     wanted = sorted({*years, baseline_year})
     rows = stage(model_rows(people, state, wanted, 15, max_age))
     medians = baseline_burden(rows, baseline_year, min_age, max_age)
-    coefs = fit_models(rows, min_age, max_age, years, (FULL,))
-    sums = counterfactual_sums(rows, coefs, medians, years, min_age, max_age, (FULL,))
-    modelled = sums.withColumn("NEWHH", F.col(f"heads_{FULL.name}"))
+    coefs = fit_models(rows, min_age, max_age, years, (model,))
+    sums = counterfactual_sums(rows, coefs, medians, years, min_age, max_age, (model,))
+    modelled = sums.withColumn("NEWHH", F.col(f"heads_{model.name}"))
     by_age = target_households(actual_and_young(rows, years, min_age, max_age), modelled)
     summary = decomposition_summary(by_age, stats, baseline_year, vacancy_rate)
     table = by_age.select(F.lit(baseline_year).alias("baseline_year"), F.col("YEAR").alias("analysis_year"),
@@ -193,7 +194,8 @@ def long_summary(summary: DataFrame) -> DataFrame:
 
 
 def fixed_ratio_scenarios(rows: DataFrame, coefs: DataFrame, years: Sequence[int],
-                          ratios: Sequence[float], min_age: int, max_age: int) -> DataFrame:
+                          ratios: Sequence[float], min_age: int, max_age: int,
+                          model: LogitSpec = FULL) -> DataFrame:
     """``YEAR, ratio, missing_hh`` if every person spent the given share of income on housing.
 
     All scenarios are sums over the same rows, so the rows are read once however many there are.
@@ -202,7 +204,7 @@ def fixed_ratio_scenarios(rows: DataFrame, coefs: DataFrame, years: Sequence[int
     current = rows.filter(F.col("YEAR").isin(*years) & _ages(min_age, max_age))
     joined = keyed_join(current, coefs, CELL)
     sums = joined.groupBy(*CELL).agg(*[
-        strict_sum(w * predicted(FULL, {COST: F.log(F.lit(float(r)))})).alias(f"r{i}")
+        strict_sum(w * predicted(model, {COST: F.log(F.lit(float(r)))})).alias(f"r{i}")
         for i, r in enumerate(ratios)])
     actual = actual_and_young(rows, years, min_age, max_age).select(*CELL, "HH")
     by_age = keyed_join(actual, sums, CELL, "right")
@@ -212,8 +214,3 @@ def fixed_ratio_scenarios(rows: DataFrame, coefs: DataFrame, years: Sequence[int
     return swept.groupBy("YEAR", F.col("s.ratio").alias("ratio")).agg(
         strict_sum(F.col("s.NEWHH") - F.col("HH")).alias("missing_hh"))
 
-
-__all__ = ["MODELS", "FULL", "baseline_burden", "burden_shares", "counterfactual_input",
-           "counterfactual_rates", "counterfactual_sums", "decompose", "decomposition_summary",
-           "fit_models", "fixed_ratio_scenarios", "long_summary", "model_rows", "not_in_set",
-           "target_households", "unit_scalars"]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyframe.functions import flag, if_else, ratio, strict_sum
+from tallyframe.functions import flag, if_else, ratio, strict_sum, sum0
 from tallyframe.functions.nulls import mean_numerator
 from tallyframe.operators.design import survey_mean
 from tallyframe.operators.reshape import wider
@@ -84,9 +84,9 @@ def small_area_cells(people: DataFrame, state: int, baseline_year: int, min_age:
 
 
 def positive_missing(cell_table: DataFrame, by: Sequence[str] = ("YEAR",)) -> DataFrame:
-    """Sum of the positive missing households."""
-    return cell_table.filter(F.col("MISSINGHH") > 0).groupBy(*by).agg(
-        strict_sum(F.col("MISSINGHH")).alias("MISSINGHH"))
+    """Sum of the positive missing households; zero where none is positive."""
+    missing = F.col("MISSINGHH")
+    return cell_table.groupBy(*by).agg(sum0(F.when(missing > 0, missing)).alias("MISSINGHH"))
 
 
 def relabelled_baseline(people: DataFrame, baseline_year: int, label_year: int) -> DataFrame:

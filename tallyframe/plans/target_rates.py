@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyframe.functions import age_breaks, cut, cut_id, flag, if_else, in_set, ratio, strict_mean
+from tallyframe.functions import age_breaks, cut, cut_id, if_else, in_set, ratio, strict_mean
 from tallyframe.operators.design import survey_counts
 from tallyframe.operators.reshape import relocate, union_fill
 from tallyframe.operators.totals import append_totals
@@ -63,5 +63,3 @@ def total_rate_with_average(table: DataFrame, first: int, last: int) -> DataFram
         F.explode(F.sequence(F.lit(first), F.lit(last))).alias("YEAR"), F.lit("avg").alias("age_bin"), "hr")
     return union_fill(series, mean)
 
-
-__all__ = ["banded_persons", "flag", "headship_targets", "person_counts", "total_rate_with_average"]

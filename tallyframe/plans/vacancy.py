@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyframe.functions import in_set, not_in_set, ratio, strict_mean
+from tallyframe.functions import in_set, not_in_set, ratio
 from tallyframe.operators.design import SurveyDesign, survey_count
 from tallyframe.operators.totals import append_totals
 from tallyframe.plans import codes as C
@@ -81,6 +81,3 @@ def shortfall_of_year(table: DataFrame, year: int) -> DataFrame:
     """One year's rows with the tenure in title case."""
     return table.filter(F.col("YEAR") == year).drop("YEAR").withColumn("tenure", F.initcap("tenure"))
 
-
-__all__ = ["market_units", "recode", "shortfall_of_year", "strict_mean", "strict_mean_over",
-           "tenure_counts", "tenure_of_occupied", "tenure_of_vacant", "vacancy_shortfall"]

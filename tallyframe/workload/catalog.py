@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyframe.workload import relational, shortage, survey  # noqa: F401 - importing registers
+from tallyframe.workload import models, relational, shortage, survey  # noqa: F401 - importing registers
 from tallyframe.workload.registry import ORACLES, QUERIES
 
 
