@@ -13,8 +13,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyframe.functions.nulls import ratio, sum0
-from tallyframe.operators.reshape import across, matching
+from tallyframe.functions.nulls import ratio
+from tallyframe.operators.reshape import matching
 
 _DOMAIN = "__domain"
 
@@ -54,18 +54,31 @@ class SurveyDesign:
 
     def collapse(self, *by: str) -> SurveyDesign:
         """The design summed to ``by``: one row per group instead of one per record."""
-        return replace(self, df=self.df.groupBy(*by).agg(*across(self.weights, sum0)))
+        return replace(self, df=summed(self.df, by, self.weights))
 
-    def standard_error(self, estimate: Column, replicate_estimates: Sequence[Column]) -> Column:
-        est = estimate.cast("double")
-        reps = F.array(*[r.cast("double") for r in replicate_estimates])
-        squares = F.aggregate(reps, F.lit(0.0), lambda acc, r: acc + (r - est) * (r - est))
-        return F.sqrt(F.lit(self.scale) * squares)
+    def error_text(self, estimates: str) -> str:
+        """SQL of the standard error, from an array of the estimate followed by its replicates."""
+        return (f"sqrt({self.scale!r}D * aggregate(slice({estimates}, 2, {len(self.replicates)}), 0D, "
+                f"(acc, r) -> acc + (r - {estimates}[0]) * (r - {estimates}[0])))")
 
     def folded(self, df: DataFrame, keep: Sequence[str], name: str) -> DataFrame:
         """``keep`` columns, the estimate and its standard error from summed weight columns."""
-        se = self.standard_error(F.col(self.weight), [F.col(r) for r in self.replicates])
-        return df.select(*keep, F.col(self.weight).alias(name), se.alias(f"{name}_se"))
+        packed = df.selectExpr(*_quoted(keep), f"`{self.weight}` as `{name}`",
+                               f"{_array(self.weights)} as __est")
+        return packed.selectExpr(*_quoted(keep), f"`{name}`", f"{self.error_text('__est')} as `{name}_se`")
+
+
+def _quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
+def _array(names: Sequence[str]) -> str:
+    return "array(" + ", ".join(f"double(`{n}`)" for n in names) + ")"
+
+
+def summed(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Sums of many columns under their own names; 0 where a group has no present value."""
+    return df.groupBy(*by).sum(*columns).toDF(*by, *columns).fillna(0, list(columns))
 
 
 def survey_count(design: SurveyDesign, by: Sequence[str], name: str = "n") -> DataFrame:
@@ -88,8 +101,7 @@ def survey_counts(design: SurveyDesign, by: Sequence[str], domains: dict[str, Co
     member = F.filter(
         F.array(*[F.when(F.col(f), F.lit(n)) for f, n in zip(flags, domains)]),
         lambda x: x.isNotNull())
-    long = (cube.df.withColumn(_DOMAIN, F.explode(member))
-            .groupBy(*by, _DOMAIN).agg(*across(design.weights, sum0)))
+    long = summed(cube.df.withColumn(_DOMAIN, F.explode(member)), [*by, _DOMAIN], design.weights)
     if se:
         long = design.folded(long, [*by, _DOMAIN], "est")
     else:
@@ -110,12 +122,10 @@ def survey_mean(design: SurveyDesign, by: Sequence[str], value: str, name: str |
     if isinstance(design.df.schema[value].dataType, T.BooleanType):
         # Two rows per group carry all a proportion needs, so the wide second step runs on few rows.
         present = present.collapse(*by, value)
-    y = F.col(value).cast("double")
-    sums = [s for i, w in enumerate(design.weights)
-            for s in (sum0(y * F.col(w)).alias(f"__t{i}"), sum0(F.col(w)).alias(f"__w{i}"))]
-    wide = present.df.groupBy(*by).agg(*sums)
-    means = [ratio(F.col(f"__t{i}"), F.col(f"__w{i}")) for i in range(len(design.weights))]
-    return (wide.select(*by, *[m.alias(f"__m{i}") for i, m in enumerate(means)])
-            .select(*by, F.col("__m0").alias(name),
-                    design.standard_error(F.col("__m0"), [F.col(f"__m{i}") for i in range(1, len(means))])
-                    .alias(f"{name}_se")))
+    sums, weights = [f"__t{i}" for i in range(len(design.weights))], design.weights
+    products = present.df.selectExpr(*_quoted(by), *_quoted(weights), *[
+        f"double(`{value}`) * `{w}` as {t}" for w, t in zip(weights, sums)])
+    totals = summed(products, by, [*sums, *weights])
+    means = totals.select(*by, F.zip_with(F.expr(_array(sums)), F.expr(_array(weights)), ratio).alias("__est"))
+    return means.selectExpr(*_quoted(by), f"__est[0] as `{name}`",
+                            f"{design.error_text('__est')} as `{name}_se`")

@@ -12,12 +12,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.operators.joins import keyed_join
+from tallyframe.operators.small import local_table
 
 MAX_GROUPS = 20_000
 
@@ -58,21 +61,35 @@ def predicted(spec: LogitSpec, replaced: dict[str, Column] | None = None) -> Col
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
 
 
-def _step_sums(spec: LogitSpec, y: Column, w: Column, coefs: Sequence[Column]) -> list[Column]:
-    """Row count, log-likelihood, gradient and Hessian of one model as grouped sums.
+def _with_fit(df: DataFrame, specs: Sequence[LogitSpec], y: Column, w: Column, started: bool) -> DataFrame:
+    """Per model the residual and curvature weights and the log-likelihood term of every row.
 
-    A row with a missing covariate has a missing linear predictor and so drops out of every sum.
+    They are columns of their own, so that each sum below is one product and the exponential is taken
+    once per row and model. A row with a missing covariate gets missing ones and drops out of every sum.
     """
+    eta, p, rest = {}, {}, {}
+    for s in specs:
+        coefs = [F.col(s.coef(j)) if started else F.lit(0.0) for j in range(s.size)]
+        eta[f"{s.name}__eta"] = _linear(coefs, s.design())
+        e = F.col(f"{s.name}__eta")
+        p[f"{s.name}__p"] = F.lit(1.0) / (F.lit(1.0) + F.exp(-e))
+        soft = F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))
+        rest[f"{s.name}__l"] = w * (y * e - soft)
+        fit = F.col(f"{s.name}__p")
+        rest[f"{s.name}__r"] = w * (y - fit)
+        rest[f"{s.name}__c"] = w * fit * (F.lit(1.0) - fit)
+    return df.withColumns(eta).withColumns(p).withColumns(rest)
+
+
+def _step_sums(spec: LogitSpec) -> list[Column]:
+    """Row count, log-likelihood, gradient and Hessian of one model as grouped sums."""
     xs = spec.design()
-    eta = _linear(coefs, xs)
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-    soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-    out = [F.count(eta * y * w).alias(f"{spec.name}__n"),
-           F.sum(w * (y * eta - soft)).alias(f"{spec.name}__ll")]
+    resid, curve = F.col(f"{spec.name}__r"), F.col(f"{spec.name}__c")
+    out = [F.count(resid).alias(f"{spec.name}__n"), F.sum(f"{spec.name}__l").alias(f"{spec.name}__ll")]
     for j in range(spec.size):
-        out.append(F.sum(w * (y - p) * xs[j]).alias(f"{spec.name}__g{j}"))
+        out.append(F.sum(resid * xs[j]).alias(f"{spec.name}__g{j}"))
         for k in range(j + 1):
-            out.append(F.sum(w * p * (F.lit(1.0) - p) * xs[j] * xs[k]).alias(f"{spec.name}__h{j}_{k}"))
+            out.append(F.sum(curve * xs[j] * xs[k]).alias(f"{spec.name}__h{j}_{k}"))
     return out
 
 
@@ -87,7 +104,7 @@ def _solve(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
 
 
 def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
-                 specs: Sequence[LogitSpec], tol: float = 1e-11, max_iter: int = 40) -> DataFrame:
+                 specs: Sequence[LogitSpec], tol: float = 1e-8, max_iter: int = 30) -> DataFrame:
     """Coefficients per ``by`` group, one column per model and term, as a small table.
 
     ``df`` is read once per Newton step (about ten), so stage it first. Groups are combinations of bins
@@ -105,12 +122,9 @@ def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
 
     for _ in range(max_iter):
         rows_in = data if coef_table is None else keyed_join(data, coef_table, by, "inner")
-        sums = []
-        for s in open_specs:
-            coefs = ([F.lit(0.0)] * s.size if coef_table is None
-                     else [F.col(s.coef(j)) for j in range(s.size)])
-            sums += _step_sums(s, y, w, coefs)
-        rows = rows_in.groupBy(*by).agg(*sums).limit(MAX_GROUPS + 1).collect()
+        fitted_rows = _with_fit(rows_in, open_specs, y, w, coef_table is not None)
+        sums = [c for s in open_specs for c in _step_sums(s)]
+        rows = fitted_rows.groupBy(*by).agg(*sums).limit(MAX_GROUPS + 1).collect()
         if len(rows) > MAX_GROUPS:
             raise ValueError(f"more than {MAX_GROUPS} groups; fit coarser groups")
         if not state:
@@ -131,9 +145,7 @@ def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
                 if ll < st["ll"] - 1e-9 * (abs(ll) + 0.1):
                     st["b"] = (st["b"] + st["kept"]) / 2
                     continue
-                if abs(ll - st["ll"]) <= tol * (abs(ll) + 0.1):
-                    st["done"] = True
-                    continue
+                st["done"] = abs(ll - st["ll"]) <= tol * (abs(ll) + 0.1)
                 st.update(ll=ll, kept=st["b"])
                 h = np.zeros((s.size, s.size))
                 for j in range(s.size):
@@ -143,6 +155,7 @@ def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
                 hs.append(h)
                 gs.append([r[f"{s.name}__g{j}"] for j in range(s.size)])
             if fitted:
+                # the step is also taken where the likelihood has settled: its sums are at hand
                 for st, step in zip(fitted, _solve(np.array(hs), np.array(gs, dtype=float))):
                     st["b"] = st["kept"] + step
             if not all(g[s.name]["done"] for g in state.values()):
@@ -155,15 +168,11 @@ def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
 
 
 def _coef_table(spark, key_fields, by, state, specs) -> DataFrame:
-    schema = T.StructType([*key_fields, *[T.StructField(s.coef(j), T.DoubleType())
-                                          for s in specs for j in range(s.size)]])
-    rows = []
-    for key, models in state.items():
-        row = list(key)
-        for s in specs:
-            row += [None if np.isnan(b) else float(b) for b in models[s.name]["b"]]
-        rows.append(tuple(row))
-    return spark.createDataFrame(rows, schema)
+    keys = {k: [key[i] for key in state] for i, k in enumerate(by)}
+    coefs = {s.coef(j): [None if np.isnan(m[s.name]["b"][j]) else float(m[s.name]["b"][j])
+                         for m in state.values()] for s in specs for j in range(s.size)}
+    schema = T.StructType([*key_fields, *[T.StructField(c, T.DoubleType()) for c in coefs]])
+    return local_table(spark, pa.table({**keys, **coefs}, schema=to_arrow_schema(schema)), schema)
 
 
 def fit_formula(df: DataFrame, formula: str, weight: str, max_iter: int = 25) -> PipelineModel:

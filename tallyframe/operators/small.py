@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SMALL_ROWS = 20_000
 
@@ -11,13 +13,18 @@ SMALL_ROWS = 20_000
 def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Compute ``df`` once and return it as a table whose size Spark knows.
 
-    At most ``max_rows + 1`` rows are fetched. If that is all of them the result is a literal table,
-    which Spark broadcasts by its own size threshold. A larger result stays distributed: it comes
-    back persisted and unhinted, and joins with it shuffle.
+    At most ``max_rows + 1`` rows are fetched. If that is all of them the result is a local table, which
+    Spark broadcasts by its own size threshold. A larger result stays distributed: it comes back
+    persisted and unhinted, and joins with it shuffle.
     """
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = held.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = held.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return held
     held.unpersist()
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return local_table(df.sparkSession, rows, df.schema)
+
+
+def local_table(spark: SparkSession, rows: pa.Table, schema: StructType) -> DataFrame:
+    """A table held in the plan, with its size known to the optimizer."""
+    return spark.createDataFrame(rows, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ def local_session(app: str = "tallyframe", cpus: str | int | None = None,
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # wide aggregations compile to methods the JVM would only interpret beyond this size
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -29,22 +32,32 @@ def local_session(app: str = "tallyframe", cpus: str | int | None = None,
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores if it has fewer splits than cores.
+
+    A small file of one row group is one task otherwise. Large inputs have many splits and are left as
+    they are, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Hold ``df`` for several passes over it.
 
-    With a checkpoint folder named by the cluster (``spark.checkpoint.dir``) the rows go to that
-    shared folder, so a lost executor costs a re-read and not a recomputation. A local session
-    without the setting gets a folder of its own. Otherwise the rows are persisted with their
-    lineage, which recomputes whatever a lost executor held.
+    With a shared folder named by the cluster (``spark.checkpoint.dir``) the rows are written there as
+    Parquet and read back: lineage ends, a lost executor costs a re-read and not a recomputation, and
+    every pass reads only the columns it uses. A local session without the setting gets a folder of its
+    own. On a cluster that names none, the rows are persisted with their lineage, which recomputes
+    whatever a lost executor held.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and sc.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tallyframe-checkpoint-")
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="tallyframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if folder is not None:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyframe.session import spread
+
 REPLICATES = 80
 BASE_YEAR, PRICE_YEAR, STATE = 1995, 1999, 8
 MIN_AGE, MAX_AGE, VACANCY_RATE = 18, 45, 0.05
@@ -67,7 +69,7 @@ def _cols(cols: dict[str, str]) -> list[str]:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def households(spark: SparkSession, sf_dir: str) -> DataFrame:
