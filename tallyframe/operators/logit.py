@@ -19,6 +19,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tallyframe.operators.design import summed
 from tallyframe.operators.joins import keyed_join
 from tallyframe.operators.small import local_table
 
@@ -39,16 +40,6 @@ class LogitSpec:
     def coef(self, j: int) -> str:
         return f"{self.name}__b{j}"
 
-    def design(self) -> list[Column]:
-        return [F.lit(1.0), *[F.col(t).cast("double") for t in self.terms]]
-
-
-def _linear(coefs: Sequence[Column], xs: Sequence[Column]) -> Column:
-    eta = coefs[0] * xs[0]
-    for b, x in zip(coefs[1:], xs[1:]):
-        eta = eta + b * x
-    return eta
-
 
 def predicted(spec: LogitSpec, replaced: dict[str, Column] | None = None) -> Column:
     """Fitted probability from joined coefficient columns; missing if a covariate is missing.
@@ -56,41 +47,43 @@ def predicted(spec: LogitSpec, replaced: dict[str, Column] | None = None) -> Col
     ``replaced`` swaps covariates for other expressions, which is how a counterfactual is predicted
     without copying the rows.
     """
-    xs = [F.lit(1.0)] + [(replaced or {}).get(t, F.col(t)).cast("double") for t in spec.terms]
-    eta = _linear([F.col(spec.coef(j)) for j in range(spec.size)], xs)
+    eta = F.col(spec.coef(0))
+    for j, term in enumerate(spec.terms, start=1):
+        eta = eta + F.col(spec.coef(j)) * (replaced or {}).get(term, F.col(term)).cast("double")
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
 
 
-def _with_fit(df: DataFrame, specs: Sequence[LogitSpec], y: Column, w: Column, started: bool) -> DataFrame:
-    """Per model the residual and curvature weights and the log-likelihood term of every row.
+def _step_sums(df: DataFrame, by: Sequence[str], specs: Sequence[LogitSpec], outcome: str, weight: str,
+               started: bool) -> DataFrame:
+    """Per group and model: row count, log-likelihood, gradient and Hessian, as plain sums.
 
-    They are columns of their own, so that each sum below is one product and the exponential is taken
-    once per row and model. A row with a missing covariate gets missing ones and drops out of every sum.
+    Linear predictor, probability, residual and curvature weight are columns of their own, so the
+    exponential is taken once per row and model and every summand is one short product. A row with a
+    missing covariate has a missing predictor and drops out of every sum of its model. The expressions
+    are SQL text because there are about a hundred of them in every step.
     """
-    eta, p, rest = {}, {}, {}
+    keys = [f"`{k}`" for k in by]
+    terms = list(dict.fromkeys(t for s in specs for t in s.terms))
+    xs = [f"double(`{t}`) as `{t}`" for t in terms]
+    passed = [*keys, "__y", "__w", *[f"`{t}`" for t in terms]]
+    eta, prob, weights, summands = [], [], [], []
     for s in specs:
-        coefs = [F.col(s.coef(j)) if started else F.lit(0.0) for j in range(s.size)]
-        eta[f"{s.name}__eta"] = _linear(coefs, s.design())
-        e = F.col(f"{s.name}__eta")
-        p[f"{s.name}__p"] = F.lit(1.0) / (F.lit(1.0) + F.exp(-e))
-        soft = F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))
-        rest[f"{s.name}__l"] = w * (y * e - soft)
-        fit = F.col(f"{s.name}__p")
-        rest[f"{s.name}__r"] = w * (y - fit)
-        rest[f"{s.name}__c"] = w * fit * (F.lit(1.0) - fit)
-    return df.withColumns(eta).withColumns(p).withColumns(rest)
-
-
-def _step_sums(spec: LogitSpec) -> list[Column]:
-    """Row count, log-likelihood, gradient and Hessian of one model as grouped sums."""
-    xs = spec.design()
-    resid, curve = F.col(f"{spec.name}__r"), F.col(f"{spec.name}__c")
-    out = [F.count(resid).alias(f"{spec.name}__n"), F.sum(f"{spec.name}__l").alias(f"{spec.name}__ll")]
-    for j in range(spec.size):
-        out.append(F.sum(resid * xs[j]).alias(f"{spec.name}__g{j}"))
-        for k in range(j + 1):
-            out.append(F.sum(curve * xs[j] * xs[k]).alias(f"{spec.name}__h{j}_{k}"))
-    return out
+        coefs = [f"`{s.coef(j)}`" if started else "0D" for j in range(s.size)]
+        eta.append(" + ".join([coefs[0], *[f"{c} * double(`{t}`)" for c, t in zip(coefs[1:], s.terms)]])
+                   + f" as {s.name}__eta")
+        e, p = f"{s.name}__eta", f"{s.name}__p"
+        prob.append(f"1D / (1D + exp(-{e})) as {p}")
+        weights += [f"if({e} is null, 0, 1) as {s.name}__n",
+                    f"__w * (__y * {e} - greatest({e}, 0D) - log1p(exp(-abs({e})))) as {s.name}__ll",
+                    f"__w * (__y - {p}) as {s.name}__r", f"__w * {p} * (1D - {p}) as {s.name}__c"]
+        summands += [f"{s.name}__n", f"{s.name}__ll"]
+        cols = ["1D", *[f"`{t}`" for t in s.terms]]
+        for j, xj in enumerate(cols):
+            summands.append(f"{s.name}__r * {xj} as {s.name}__g{j}")
+            summands += [f"{s.name}__c * {xj} * {xk} as {s.name}__h{j}_{k}" for k, xk in enumerate(cols[:j + 1])]
+    rows = df.selectExpr(*keys, f"double(`{outcome}`) as __y", f"double(`{weight}`) as __w", *xs, *eta)
+    rows = rows.selectExpr("*", *prob).selectExpr(*passed, *weights).selectExpr(*keys, *summands)
+    return summed(rows, by, [c for c in rows.columns if c not in by])
 
 
 def _solve(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
@@ -112,9 +105,8 @@ def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
     A model whose likelihood does not settle within ``max_iter`` steps is an error too.
     """
     spark = df.sparkSession
-    y, w = F.col(outcome).cast("double"), F.col(weight).cast("double")
     used = list(dict.fromkeys(t for s in specs for t in s.terms))
-    data = df.select(*by, outcome, weight, *used)
+    data = df.select(*by, outcome, weight, *used).filter(F.col(outcome).isNotNull() & F.col(weight).isNotNull())
     key_fields = [data.schema[k] for k in by]
     state: dict[tuple, dict[str, dict]] = {}
     open_specs = list(specs)
@@ -122,9 +114,8 @@ def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
 
     for _ in range(max_iter):
         rows_in = data if coef_table is None else keyed_join(data, coef_table, by, "inner")
-        fitted_rows = _with_fit(rows_in, open_specs, y, w, coef_table is not None)
-        sums = [c for s in open_specs for c in _step_sums(s)]
-        rows = fitted_rows.groupBy(*by).agg(*sums).limit(MAX_GROUPS + 1).collect()
+        sums = _step_sums(rows_in, by, open_specs, outcome, weight, coef_table is not None)
+        rows = sums.limit(MAX_GROUPS + 1).collect()
         if len(rows) > MAX_GROUPS:
             raise ValueError(f"more than {MAX_GROUPS} groups; fit coarser groups")
         if not state:

@@ -9,6 +9,7 @@ from tallyframe.operators import (
     across, append_totals, survey_count, survey_counts, survey_mean, weighted_median,
 )
 from tallyframe.plans import codes, headship, housing
+from tallyframe.session import stage
 from tallyframe.workload import prepared, views
 from tallyframe.workload.registry import query
 from tallyframe.workload.sqltext import DEFL, PEOPLE, UNITS, se, strict
@@ -100,8 +101,9 @@ def _median_sql(source: str, by: str, x: str, w: str) -> str:
 @query("A8_weighted_median", "YEAR:int AGEGROUP:str median:d6", "hh pp lab cpi",
        f"with {UNITS}, {DEFL}, {PEOPLE}\n" + _median_sql("people", "YEAR, AGEGROUP", "HCOSTRATIO", "PERWT").strip())
 def _(spark, sf_dir):
-    return weighted_median(prepared.analysis_people(spark, sf_dir), ["YEAR", "AGEGROUP"], "HCOSTRATIO",
-                           "PERWT", "median")
+    by = ["YEAR", "AGEGROUP"]
+    rows = stage(prepared.analysis_people(spark, sf_dir).select(*by, "HCOSTRATIO", "PERWT"))
+    return weighted_median(rows, by, "HCOSTRATIO", "PERWT", "median")
 
 
 @query("A8_weighted_median_of_codes", "MET2013:int median:d6", "hh",

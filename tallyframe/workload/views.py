@@ -5,6 +5,8 @@ Households come from orders and persons from line items; missing values are put
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.session import spread
@@ -68,6 +70,7 @@ def _cols(cols: dict[str, str]) -> list[str]:
     return [f"{e} as {n}" for n, e in cols.items()]
 
 
+@lru_cache(maxsize=64)
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
