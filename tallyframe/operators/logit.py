@@ -8,6 +8,7 @@ fits any other formula with Spark ML.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -166,26 +167,32 @@ def _coef_table(spark, key_fields, by, state, specs) -> DataFrame:
     return local_table(spark, pa.table({**keys, **coefs}, schema=to_arrow_schema(schema)), schema)
 
 
+def _columns_of(df: DataFrame, formula_side: str) -> list[str]:
+    words = re.findall(r"\w+", formula_side)
+    return [c for c in df.columns if c in words]
+
+
 def fit_formula(df: DataFrame, formula: str, weight: str, max_iter: int = 25) -> PipelineModel:
-    """Weighted binomial model of an R-style formula over rows complete in its columns."""
-    formula_stage = RFormula(formula=formula, handleInvalid="skip",
-                             stringIndexerOrderType="alphabetDesc")
+    """Weighted binomial model of an R-style formula over the rows complete in its columns."""
+    complete = _numeric_flags(df).dropna(subset=[*_columns_of(df, formula), weight])
+    formula_stage = RFormula(formula=formula, stringIndexerOrderType="alphabetDesc")
     glm = GeneralizedLinearRegression(family="binomial", link="logit", weightCol=weight,
                                       maxIter=max_iter, tol=1e-8)
-    model = Pipeline(stages=[formula_stage, glm]).fit(_numeric_flags(df))
+    model = Pipeline(stages=[formula_stage, glm]).fit(complete)
     if model.stages[-1].summary.numIterations >= max_iter:
         raise RuntimeError(f"no convergence in {max_iter} steps: {formula}")
     return model
 
 
-def predict_formula(model: PipelineModel, df: DataFrame, needs: Sequence[str], out: str) -> DataFrame:
-    """Add the fitted probability; rows that lack a needed column get a missing one."""
+def predict_formula(model: PipelineModel, df: DataFrame, formula: str, out: str) -> DataFrame:
+    """Add the fitted probability; rows that lack a covariate get a missing one."""
     complete = F.lit(True)
-    for c in needs:
+    for c in _columns_of(df, formula.split("~")[1]):
         complete = complete & F.col(c).isNotNull()
-    told = model.transform(_numeric_flags(df.filter(complete))).withColumnRenamed("prediction", out)
-    told = told.select(*df.columns, out)
-    return told.unionByName(_numeric_flags(df.filter(~complete)).withColumn(out, F.lit(None).cast("double")))
+    numeric = _numeric_flags(df)
+    told = model.transform(numeric.filter(complete)).withColumnRenamed("prediction", out)
+    return told.select(*df.columns, out).unionByName(
+        numeric.filter(~complete).withColumn(out, F.lit(None).cast("double")))
 
 
 def _numeric_flags(df: DataFrame) -> DataFrame:

@@ -111,7 +111,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Response-scale predictions of a formula fitted by Spark ML."""
     data = formula_rows(spark, sf_dir)
-    told = predict_formula(fit_formula(data, "HEADSHIP ~ AGEGROUP", "PERWT"), data, ["AGEGROUP"], "NEWHR")
+    formula = "HEADSHIP ~ AGEGROUP"
+    told = predict_formula(fit_formula(data, formula, "PERWT"), data, formula, "NEWHR")
     return told.groupBy("AGEGROUP").agg(fn.weighted_mean(F.col("NEWHR"), F.col("PERWT")).alias("rate"))
 
 
