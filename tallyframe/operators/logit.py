@@ -88,22 +88,26 @@ def _step_sums(df: DataFrame, by: Sequence[str], specs: Sequence[LogitSpec], out
 
 
 def _solve(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-    """Newton step per group; a covariate that is constant or collinear in a group gets the shortest."""
+    """Newton step per group. Directions the group says nothing about (constant or collinear covariates,
+    rates already at 0 or 1) get no step."""
     out = np.zeros_like(gradient)
     for i in range(len(gradient)):
-        scale = np.sqrt(np.maximum(np.diagonal(hessian[i]), 1e-300))
+        diagonal = np.diagonal(hessian[i])
+        scale = np.sqrt(np.maximum(diagonal, max(1e-12 * diagonal.max(), 1e-200)))
         scaled = hessian[i] / np.outer(scale, scale)
         out[i] = np.linalg.lstsq(scaled, gradient[i] / scale, rcond=1e-11)[0] / scale
     return out
 
 
 def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
-                 specs: Sequence[LogitSpec], tol: float = 1e-8, max_iter: int = 30) -> DataFrame:
+                 specs: Sequence[LogitSpec], tol: float = 1e-8, max_iter: int = 50) -> DataFrame:
     """Coefficients per ``by`` group, one column per model and term, as a small table.
 
     ``df`` is read once per Newton step (about ten), so stage it first. Groups are combinations of bins
     and years: each step fetches one row of sums per group, and more than ``MAX_GROUPS`` is an error.
-    A model whose likelihood does not settle within ``max_iter`` steps is an error too.
+    A group has settled when a step changes its log-likelihood by less than ``tol`` of the initial one, or
+    when its outcomes are separated and the rates have come next to 0 and 1. A model that does not settle
+    within ``max_iter`` steps is an error too.
     """
     spark = df.sparkSession
     used = list(dict.fromkeys(t for s in specs for t in s.terms))
@@ -134,10 +138,11 @@ def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
                     st.update(b=np.full(s.size, np.nan), done=True)
                     continue
                 ll = r[f"{s.name}__ll"]
-                if ll < st["ll"] - 1e-9 * (abs(ll) + 0.1):
+                start = st.setdefault("start", abs(ll))
+                if ll < st["ll"] - 1e-9 * start:
                     st["b"] = (st["b"] + st["kept"]) / 2
                     continue
-                st["done"] = abs(ll - st["ll"]) <= tol * (abs(ll) + 0.1)
+                st["done"] = abs(ll - st["ll"]) <= tol * start or ll >= -1e-6 * start
                 st.update(ll=ll, kept=st["b"])
                 h = np.zeros((s.size, s.size))
                 for j in range(s.size):

@@ -17,11 +17,9 @@ def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     Spark broadcasts by its own size threshold. A larger result stays distributed: it comes back
     persisted and unhinted, and joins with it shuffle.
     """
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = held.limit(max_rows + 1).toArrow()
+    rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return held
-    held.unpersist()
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     return local_table(df.sparkSession, rows, df.schema)
 
 

@@ -52,10 +52,11 @@ def stage(df: DataFrame) -> DataFrame:
     whatever a lost executor held.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tallyframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None and sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
+        folder = sc.getCheckpointDir()
     if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"

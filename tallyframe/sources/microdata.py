@@ -63,6 +63,19 @@ def land(df: DataFrame, path: str, by: str = "YEAR") -> None:
     df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def land_bucketed(df: DataFrame, table: str, path: str, buckets: int,
+                  keys: Sequence[str] = ("YEAR", "SERIAL", "SAMPLE")) -> None:
+    """Write a catalog table bucketed by household, so that households and persons landed with the same
+    ``buckets`` join without moving their replicate weights.
+
+    Needs ``spark.sql.requireAllClusterKeysForCoPartition=false`` when joining, as the join also compares
+    the nullable key. A household is a handful of rows, so buckets come out even; data whose keys are
+    not like that belongs in :func:`land`, where the join shuffles and skewed partitions are split.
+    """
+    (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(table))
+
+
 def landed_or(spark: SparkSession, path: str, build: Callable[[], DataFrame], by: str = "YEAR") -> DataFrame:
     """The landed copy if there is one; else ``build`` it, land it and read it back."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
