@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions import flag, in_set, ratio, strict_sum
+from tallyframe.functions import flag, in_set, ratio, strict_sum, weighted_mean
 from tallyframe.functions.bins import cut
 from tallyframe.functions.nulls import mean_numerator
 from tallyframe.operators.joins import keyed_join
@@ -114,6 +114,13 @@ def counterfactual_rates(sums: DataFrame, models: Sequence[LogitSpec] = MODELS)
                                 for m in models])
 
 
+def observed_rates(rows: DataFrame, years: Sequence[int], min_age: int = 15) -> DataFrame:
+    """Observed headship rate by age group, one column per year."""
+    seen = rows.filter(F.col("YEAR").isin(*years) & (F.col("AGE") >= min_age))
+    rates = seen.groupBy(*CELL).agg(weighted_mean(F.col("HEADSHIP"), F.col("PERWT")).alias("rate"))
+    return wider(rates, ["AGEGROUP"], "YEAR", years, "rate")
+
+
 def actual_and_young(rows: DataFrame, years: Sequence[int], min_age: int, max_age: int) -> DataFrame:
     """Actual heads from age 15, and the constant-rate households of those under ``min_age``."""
     seen = rows.filter(F.col("YEAR").isin(*years) & (F.col("PERWT") != 0) & _ages(15, max_age))

@@ -42,23 +42,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Hold ``df`` for several passes over it.
+def scratch_path(spark: SparkSession, name: str) -> str | None:
+    """A fresh path in the shared folder the cluster names, or none if it names none.
 
-    With a shared folder named by the cluster (``spark.checkpoint.dir``) the rows are written there as
-    Parquet and read back: lineage ends, a lost executor costs a re-read and not a recomputation, and
-    every pass reads only the columns it uses. A local session without the setting gets a folder of its
-    own. On a cluster that names none, the rows are persisted with their lineage, which recomputes
-    whatever a lost executor held.
+    The folder is ``spark.checkpoint.dir``, else the session's checkpoint folder. A local session without
+    either gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None and sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
         folder = sc.getCheckpointDir()
-    if folder is None:
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}" if folder else None
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Hold ``df`` for several passes over it.
+
+    With a shared folder the rows are written there as Parquet and read back: lineage ends, a lost
+    executor costs a re-read and not a recomputation, and every pass reads only the columns it uses. On
+    a cluster that names no folder the rows are persisted with their lineage, which recomputes whatever a
+    lost executor held.
+    """
+    path = scratch_path(df.sparkSession, "staged")
+    if path is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

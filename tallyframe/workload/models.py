@@ -8,7 +8,6 @@ from tallyframe import functions as fn
 from tallyframe.operators import fit_formula, keyed_join, longer
 from tallyframe.operators.logit import predict_formula
 from tallyframe.plans import counterfactual as cf
-from tallyframe.plans import headship
 from tallyframe.session import stage
 from tallyframe.workload import prepared
 from tallyframe.workload.registry import query
@@ -122,27 +121,34 @@ cfrows as (select r.YEAR, r.AGEGROUP, r.PERWT, r.AGE, 1/(1+exp(-(a+b*ln(med.HCOS
   where r.AGE>=20 and r.AGE<=199)"""
 
 
-def _rates(spark, sf_dir, years, models):
-    staged = rows(spark, sf_dir)
+def _rates(staged, years, models):
     medians = cf.baseline_burden(staged, BASE_YEAR, *AGES)
     coefs = cf.fit_models(staged, *AGES, years, models)
     return cf.counterfactual_rates(cf.counterfactual_sums(staged, coefs, medians, years, *AGES, models), models)
 
 
+@query("D8_observed_rates_by_year", "AGEGROUP:str 1995:d6 1999:d6", _USES,
+       f"""with {_ROWS}\nselect AGEGROUP, """ + ", ".join(
+           f'cast(sum(case when YEAR={y} then HEADSHIP*PERWT end) as double)/sum(case when YEAR={y} then PERWT end) '
+           f'as "{y}"' for y in (BASE_YEAR, NOW)) + " from rows where AGE>=15 and YEAR in (1995, 1999) group by 1")
+def _(spark, sf_dir):
+    data = cf.model_rows(prepared.analysis_people(spark, sf_dir), STATE)
+    return cf.observed_rates(data, (BASE_YEAR, NOW))
+
+
 @query("D25_counterfactual_rates", "AGEGROUP:str age:d4 base:d4 family:d4 income_education:d4 full:d4 1995:d6 1999:d6",
        _USES)
 def _(spark, sf_dir):
     """Counterfactual headship by model beside the observed rates."""
-    observed = headship.headship_table(prepared.members(spark, sf_dir), STATE, (BASE_YEAR, NOW)).filter(
-        F.col("TYPE") == "HEADSHIP").drop("TYPE")
-    return keyed_join(_rates(spark, sf_dir, (NOW,), cf.MODELS), observed, ["AGEGROUP"])
+    staged = rows(spark, sf_dir)
+    return keyed_join(_rates(staged, (NOW,), cf.MODELS), cf.observed_rates(staged, (BASE_YEAR, NOW)), ["AGEGROUP"])
 
 
 @query("D25_counterfactual_rates_base_model", "YEAR:int AGEGROUP:str base:d5", _USES,
        f"""with {_ROWS},\n{_MEDIANS},\n{_CF_BASE}
        \nselect YEAR, AGEGROUP, sum(NEWHR*PERWT)/sum(PERWT) as base from cfrows group by 1,2""")
 def _(spark, sf_dir):
-    return _rates(spark, sf_dir, YEARS, (BASE,))
+    return _rates(rows(spark, sf_dir), YEARS, (BASE,))
 
 
 _BY_AGE = f"""young as (select YEAR, AGEGROUP, sum(PERWT*0.04e0) as NEWHH from rows

@@ -10,7 +10,10 @@ from tallyframe.operators import (
     wider, with_missing_years,
 )
 from tallyframe.plans import housing, people, prices, projections, vacancy
-from tallyframe.sources import Field, parse_records, split_records, value_labels
+from tallyframe.session import scratch_path
+from tallyframe.sources import (
+    Field, landed_or, parse_records, read_csv, read_dictionary, split_records, value_labels, write_csv,
+)
 from tallyframe.workload import views
 from tallyframe.workload.registry import query
 from tallyframe.workload.sqltext import AGEGROUP, DEFL, UNITS
@@ -77,6 +80,49 @@ def _(spark, sf_dir):
     return keyed_join(labels, n, ["val"], nullable=()).fillna(0, ["units"])
 
 
+@query("S3_dictionary_from_codebook", "var_name:str var_label:str start:int width:int labels:int", "dict",
+       """select var_name, concat('Label of ', var_name) as var_label, 10 as start, 3 as width,
+       count(*) as labels from dict group by 1""")
+def _(spark, sf_dir):
+    """An XML codebook written from the label tables and read back."""
+    path = scratch_path(spark, "codebook")
+    views.dictionary(spark, sf_dir).select(
+        F.col("var_name").alias("_name"), F.concat(F.lit("Label of "), "var_name").alias("labl"),
+        F.struct(F.lit(10).alias("_StartPos"), F.lit(12).alias("_EndPos"), F.lit(3).alias("_width")).alias("location"),
+        F.transform("val_labels", lambda v: F.struct(v["val"].alias("catValu"), v["lbl"].alias("labl"))).alias("catgry")
+    ).write.format("xml").option("rowTag", "var").option("rootTag", "dataDscr").save(path)
+    return read_dictionary(spark, path).withColumn("labels", F.size("val_labels"))
+
+
+_MONEY = "YEAR:int SERIAL:bigint VACDUR:int HHINCOME:int price:d2 day:date"
+
+
+@query("S5_K1_csv_written_and_read", _MONEY, "hh cpi",
+       """select hh.YEAR, SERIAL, VACDUR, HHINCOME, cast(RENTGRS as double)/4 as price,
+       cast(concat(cast(hh.YEAR as varchar), '-06-15') as date) as day from hh""")
+def _(spark, sf_dir):
+    """Delimited files with a header and ``NA`` for missing, written and read back with inferred types."""
+    path = scratch_path(spark, "csv")
+    hh = views.households(spark, sf_dir)
+    write_csv(hh.select("YEAR", "SERIAL", "VACDUR", "HHINCOME", (F.col("RENTGRS").cast("double") / 4).alias("price"),
+                        F.make_date("YEAR", F.lit(6), F.lit(15)).alias("day")), path)
+    return read_csv(spark, path)
+
+
+@query("S8_landed_copy_by_year", "YEAR:int n:bigint income:bigint", "hh",
+       "select YEAR, count(*) as n, sum(HHINCOME) as income from hh where YEAR>=1997 group by 1")
+def _(spark, sf_dir):
+    """Records landed by year on first use and read from the landed copy, other years skipped."""
+    path = scratch_path(spark, "landed")
+
+    def build():
+        return views.households(spark, sf_dir).select("YEAR", "SERIAL", "HHINCOME")
+
+    landed_or(spark, path, build)
+    landed = landed_or(spark, path, build)
+    return landed.filter("YEAR >= 1997").groupBy("YEAR").agg(F.count("*").alias("n"), F.sum("HHINCOME").alias("income"))
+
+
 @query("S6_table_scan_pushed", "area_code:int year:int age_group_id:int age_group:str hh:bigint", "ph",
        """select area_code, year, age_group_id, age_group_description as age_group, total_households as hh
        from ph where area_code=0 and household_type_id=0""")

@@ -66,6 +66,15 @@ def test_missing_safe_join_is_still_a_hash_or_merge_join(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_state_rows_reuse_the_area_rows(spark):
+    def scans(name):
+        df = catalog.queries()[name](spark, SF_DIR)
+        df.collect()
+        return plan(df).split("== Initial Plan ==")[0].count("Scan parquet")
+
+    assert scans("D12_all_totals_recomputed") == scans("D10_metro_totals")
+
+
 @pytest.mark.parametrize("name", ["D10_metro_totals", "D12_all_totals_recomputed", "D14_long_run_vacancy_shortfall",
                                   "D16_sweep_of_end_years", "D17_total_rate_and_average",
                                   "D19_survey_against_projection", "D20_housing_type_shares",
