@@ -30,12 +30,16 @@ def floor_at_one(c: Column) -> Column:
     return if_else(c < 1, F.lit(1), c)
 
 
-def strict_sum(c: Column) -> Column:
+def strict_sum(c: Column, where: Column | None = None) -> Column:
     """Sum that is missing as soon as one input is missing; zero on no rows.
 
-    Strict sums of strict sums equal the strict sum of the rows, so it may be taken in steps.
+    With ``where`` only the rows in which it holds count. Strict sums of strict sums equal the strict sum
+    of the rows, so it may be taken in steps.
     """
-    return F.when(F.count(c) == F.count(F.lit(1)), F.coalesce(F.sum(c), F.lit(0)))
+    rows = F.lit(1)
+    if where is not None:
+        c, rows = F.when(where, c), F.when(where, rows)
+    return F.when(F.count(c) == F.count(rows), F.coalesce(F.sum(c), F.lit(0)))
 
 
 def sum0(c: Column) -> Column:

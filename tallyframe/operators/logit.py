@@ -18,7 +18,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.operators.design import summed
 from tallyframe.operators.joins import keyed_join
@@ -165,11 +164,12 @@ def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
 
 
 def _coef_table(spark, key_fields, by, state, specs) -> DataFrame:
-    keys = {k: [key[i] for key in state] for i, k in enumerate(by)}
-    coefs = {s.coef(j): [None if np.isnan(m[s.name]["b"][j]) else float(m[s.name]["b"][j])
-                         for m in state.values()] for s in specs for j in range(s.size)}
+    keys = {k: pa.array([key[i] for key in state]) for i, k in enumerate(by)}
+    coefs = {s.coef(j): pa.array([None if np.isnan(m[s.name]["b"][j]) else float(m[s.name]["b"][j])
+                                  for m in state.values()], pa.float64())
+             for s in specs for j in range(s.size)}
     schema = T.StructType([*key_fields, *[T.StructField(c, T.DoubleType()) for c in coefs]])
-    return local_table(spark, pa.table({**keys, **coefs}, schema=to_arrow_schema(schema)), schema)
+    return local_table(spark, pa.table({**keys, **coefs}), schema)
 
 
 def _columns_of(df: DataFrame, formula_side: str) -> list[str]:

@@ -17,7 +17,8 @@ from tallyframe.functions.nulls import mean_numerator
 from tallyframe.operators.joins import keyed_join
 from tallyframe.operators.logit import LogitSpec, fit_logit_by, predicted
 from tallyframe.operators.median import weighted_median
-from tallyframe.operators.reshape import longer, union_fill, wider
+from tallyframe.operators.reshape import longer, wider
+from tallyframe.operators.small import pin_small
 from tallyframe.operators.totals import group_share
 from tallyframe.plans import codes as C
 from tallyframe.plans.housing import underproduction
@@ -73,15 +74,15 @@ def _ages(min_age: int, max_age: int) -> Column:
 
 
 def baseline_burden(rows: DataFrame, baseline_year: int, min_age: int, max_age: int) -> DataFrame:
-    """``AGEGROUP, HCOSTRATIO``: weighted median cost ratio of the baseline year."""
+    """``AGEGROUP, HCOSTRATIO``: weighted median cost ratio of the baseline year, as a small table."""
     base = rows.filter(_ages(min_age, max_age) & (F.col("PERWT") != 0) & (F.col("YEAR") == baseline_year))
-    return weighted_median(base, ["AGEGROUP"], "HCOSTRATIO", "PERWT")
+    return pin_small(weighted_median(base, ["AGEGROUP"], "HCOSTRATIO", "PERWT"))
 
 
 def counterfactual_input(rows: DataFrame, medians: DataFrame, years: Sequence[int]) -> DataFrame:
     """Rows of the analysis years with the cost ratio replaced by their age group's ``medians``.
 
-    ``medians`` has one row per age group.
+    ``medians`` has one row per age group and is small, so the rows stay where they are.
     """
     current = rows.filter(F.col("YEAR").isin(*years)).drop("HCOSTRATIO", COST)
     return keyed_join(current, medians, ["AGEGROUP"])
@@ -121,26 +122,29 @@ def observed_rates(rows: DataFrame, years: Sequence[int], min_age: int = 15) ->
     return wider(rates, ["AGEGROUP"], "YEAR", years, "rate")
 
 
-def actual_and_young(rows: DataFrame, years: Sequence[int], min_age: int, max_age: int) -> DataFrame:
-    """Actual heads from age 15, and the constant-rate households of those under ``min_age``."""
-    seen = rows.filter(F.col("YEAR").isin(*years) & (F.col("PERWT") != 0) & _ages(15, max_age))
-    young = F.col("AGE") < min_age
-    return seen.groupBy(*CELL).agg(
-        strict_sum(F.col("PERWT") * F.col("HEADSHIP")).alias("HH"),
-        F.when(F.count(F.when(young, F.lit(1))) > 0,
-               strict_sum(F.when(young, F.col("PERWT") * F.lit(C.YOUNG_HEADSHIP)).otherwise(F.lit(0.0))))
-        .alias("NEWHH"))
+def target_households(rows: DataFrame, coefs: DataFrame, medians: DataFrame, years: Sequence[int],
+                      min_age: int, max_age: int, model: LogitSpec = FULL) -> DataFrame:
+    """``YEAR, AGEGROUP, HH, NEWHH, MISSINGHH``: actual heads from age 15 against the wanted households.
 
-
-def target_households(actual: DataFrame, modelled: DataFrame) -> DataFrame:
-    """``YEAR, AGEGROUP, HH, NEWHH, MISSINGHH``: actual heads against constant-rate and modelled ones.
-
-    An age group cut by the lower model age has a row for each of its two targets.
+    Those are modelled ones from ``min_age`` on and a constant rate below it. An age group cut by
+    ``min_age`` has a row for each of its two targets. All sums come from one pass over the rows.
     """
-    young = actual.filter(F.col("NEWHH").isNotNull()).select(*CELL, "NEWHH")
-    targets = union_fill(young, modelled.select(*CELL, "NEWHH"))
-    return keyed_join(actual.drop("NEWHH"), targets, CELL).withColumn(
-        "MISSINGHH", F.col("NEWHH") - F.col("HH"))
+    joined = keyed_join(counterfactual_input(rows.filter(_ages(15, max_age)), medians, years), coefs, CELL)
+    w, counted = F.col("PERWT"), F.col("PERWT") != 0
+    young, grown = counted & (F.col("AGE") < min_age), F.col("AGE") >= min_age
+    sums = joined.groupBy(*CELL).agg(
+        F.count(F.when(counted, 1)).alias("n"), F.count(F.when(young, 1)).alias("n_young"),
+        F.count(F.when(grown, 1)).alias("n_grown"),
+        strict_sum(w * F.col("HEADSHIP"), counted).alias("HH"),
+        strict_sum(w * F.lit(C.YOUNG_HEADSHIP), young).alias("by_rate"),
+        strict_sum(w * predicted(model, {COST: F.log("HCOSTRATIO")}), grown).alias("by_model"))
+    targets = F.filter(
+        F.array(F.struct(F.col("n_young").alias("n"), F.col("by_rate").cast("double").alias("NEWHH")),
+                F.struct(F.col("n_grown").alias("n"), F.col("by_model").cast("double").alias("NEWHH"))),
+        lambda t: t["n"] > 0)
+    return (sums.filter(F.col("n") > 0).select(*CELL, "HH", F.explode_outer(targets).alias("t"))
+            .select(*CELL, "HH", F.col("t.NEWHH").alias("NEWHH"))
+            .withColumn("MISSINGHH", F.col("NEWHH") - F.col("HH")))
 
 
 def decomposition_summary(by_age: DataFrame, stats: DataFrame, baseline_year: int,
@@ -184,9 +188,7 @@ def decompose(people: DataFrame, stats: DataFrame, years: Sequence[int], baselin
     rows = stage(model_rows(people, state, wanted, 15, max_age))
     medians = baseline_burden(rows, baseline_year, min_age, max_age)
     coefs = fit_models(rows, min_age, max_age, years, (model,))
-    sums = counterfactual_sums(rows, coefs, medians, years, min_age, max_age, (model,))
-    modelled = sums.withColumn("NEWHH", F.col(f"heads_{model.name}"))
-    by_age = target_households(actual_and_young(rows, years, min_age, max_age), modelled)
+    by_age = target_households(rows, coefs, medians, years, min_age, max_age, model)
     summary = decomposition_summary(by_age, stats, baseline_year, vacancy_rate)
     table = by_age.select(F.lit(baseline_year).alias("baseline_year"), F.col("YEAR").alias("analysis_year"),
                           "AGEGROUP", "HH", "NEWHH", "MISSINGHH")
@@ -207,17 +209,17 @@ def fixed_ratio_scenarios(rows: DataFrame, coefs: DataFrame, years: Sequence[int
 
     All scenarios are sums over the same rows, so the rows are read once however many there are.
     """
-    w = F.col("PERWT")
-    current = rows.filter(F.col("YEAR").isin(*years) & _ages(min_age, max_age))
+    w, counted, grown = F.col("PERWT"), F.col("PERWT") != 0, F.col("AGE") >= min_age
+    current = rows.filter(F.col("YEAR").isin(*years) & _ages(15, max_age))
     joined = keyed_join(current, coefs, CELL)
-    sums = joined.groupBy(*CELL).agg(*[
-        strict_sum(w * predicted(model, {COST: F.log(F.lit(float(r)))})).alias(f"r{i}")
-        for i, r in enumerate(ratios)])
-    actual = actual_and_young(rows, years, min_age, max_age).select(*CELL, "HH")
-    by_age = keyed_join(actual, sums, CELL, "right")
-    swept = by_age.withColumn("s", F.explode(F.array(*[
-        F.struct(F.lit(float(r)).alias("ratio"), F.col(f"r{i}").alias("NEWHH"))
+    sums = joined.groupBy(*CELL).agg(
+        F.count(F.when(counted, 1)).alias("n"), F.count(F.when(grown, 1)).alias("n_grown"),
+        strict_sum(w * F.col("HEADSHIP"), counted).alias("HH"), *[
+            strict_sum(w * predicted(model, {COST: F.log(F.lit(float(r)))}), grown).alias(f"r{i}")
+            for i, r in enumerate(ratios)])
+    actual = F.when(F.col("n") > 0, F.col("HH"))
+    swept = sums.filter(F.col("n_grown") > 0).withColumn("s", F.explode(F.array(*[
+        F.struct(F.lit(float(r)).alias("ratio"), (F.col(f"r{i}") - actual).alias("missing_hh"))
         for i, r in enumerate(ratios)])))
     return swept.groupBy("YEAR", F.col("s.ratio").alias("ratio")).agg(
-        strict_sum(F.col("s.NEWHH") - F.col("HH")).alias("missing_hh"))
-
+        strict_sum(F.col("s.missing_hh")).alias("missing_hh"))

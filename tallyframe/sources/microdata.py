@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -78,8 +79,10 @@ def land_bucketed(df: DataFrame, table: str, path: str, buckets: int,
 
 def landed_or(spark: SparkSession, path: str, build: Callable[[], DataFrame], by: str = "YEAR") -> DataFrame:
     """The landed copy if there is one; else ``build`` it, land it and read it back."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if not there:
-        land(build(), path, by)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    land(build(), path, by)
     return spark.read.parquet(path)

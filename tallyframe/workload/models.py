@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import functions as fn
 from tallyframe.operators import fit_formula, keyed_join, longer
-from tallyframe.operators.logit import predict_formula
+from tallyframe.operators.logit import predict_formula, predicted
 from tallyframe.plans import counterfactual as cf
 from tallyframe.session import stage
 from tallyframe.workload import prepared
@@ -97,6 +97,19 @@ def _(spark, sf_dir):
     return coefs.withColumnsRenamed({BASE.coef(0): "intercept", BASE.coef(1): "slope"})
 
 
+@query("M3_score_of_the_full_model", "YEAR:int AGEGROUP:str term:str score:d1", _USES,
+       f"""with {_ROWS}\nselect YEAR, AGEGROUP, term, 0.0e0 as score from fitrows,
+       (select unnest(['intercept', {", ".join(f"'{t}'" for t in cf.FULL.terms)}]) as term) group by 1,2,3""")
+def _(spark, sf_dir):
+    """At the optimum the weighted residuals are orthogonal to every covariate, in every group."""
+    staged = rows(spark, sf_dir).filter(F.col("AGE").between(*AGES) & (F.col("PERWT") != 0))
+    joined = keyed_join(staged, cf.fit_models(staged, *AGES, models=(cf.FULL,)), cf.CELL)
+    resid = F.col("PERWT") * (F.col("HEADSHIP") - predicted(cf.FULL))
+    scores = joined.groupBy(*cf.CELL).agg(F.sum(resid).alias("intercept"), *[
+        F.sum(resid * F.col(t)).alias(t) for t in cf.FULL.terms])
+    return longer(scores, list(cf.CELL), ["intercept", *cf.FULL.terms], "term", "score")
+
+
 @query("D24_five_models", "YEAR:int AGEGROUP:str term:str value:d4", _USES)
 def _(spark, sf_dir):
     """Coefficients of all five models for every year and age group."""

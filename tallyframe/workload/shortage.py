@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe import functions as fn
-from tallyframe.operators import keyed_join
+from tallyframe.operators import keyed_join, pin_small
 from tallyframe.plans import counterfactual, headship, housing, people, prices, projections, target_rates, vacancy
 from tallyframe.plans.labels import label_table
 from tallyframe.sources import value_labels
@@ -119,7 +119,8 @@ def _(spark, sf_dir):
         F.col("STATEFIP") == STATE)
     rates = here.filter(F.col("YEAR") == BASE_YEAR).groupBy(*headship.METRO_CELL).agg(
         fn.weighted_mean(fn.flag(F.col("HEADSHIP")), F.col("PERWT")).alias("NEWHR"))
-    return keyed_join(rates, here, headship.METRO_CELL, "right")
+    # one row per area, age group and target-age flag: looked up, so the persons are not shuffled by them
+    return keyed_join(pin_small(rates), here, headship.METRO_CELL, "right")
 
 
 _D9B = f"""base as (select AGEGROUP, cast(sum({_HEAD}*PERWT) as double)/sum(PERWT) as NEWHR from people
