@@ -65,11 +65,3 @@ def cut_id(c: Column, breaks: Sequence[float], right: bool = True,
            include_lowest: bool = False) -> Column:
     """Interval number from 1; the ordinal of :func:`cut`."""
     return _chain(c, breaks, list(range(1, len(breaks))), right, include_lowest)
-
-
-def label_of(bin_id: Column, labels: Sequence[str]) -> Column:
-    """Label of a bin ordinal, for use after grouping on the ordinal."""
-    col = F.when(bin_id == 1, F.lit(labels[0]))
-    for i, name in enumerate(labels[1:], start=2):
-        col = col.when(bin_id == i, F.lit(name))
-    return col

@@ -1,9 +1,7 @@
-"""The microdata coding these analyses rely on, and their default parameters."""
+"""The microdata coding these analyses rely on."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 # Record keys.
 HOUSEHOLD_KEY = ("YEAR", "SERIAL", "CBSERIAL", "SAMPLE")
 # CBSERIAL is absent from the earlier samples, where missing has to match missing.
@@ -51,15 +49,3 @@ YOUNG_HEADSHIP = 0.04
 PROJECTION_BANDS = (18, 24, 44, 64, float("inf"))
 BURDEN_BREAKS = (0, 0.35, 0.60, float("inf"))
 BURDEN_LABELS = ("0-35%", "35-60%", ">60%")
-
-
-@dataclass(frozen=True)
-class Target:
-    """Parameters of a shortfall estimate."""
-
-    state: int = 8
-    baseline_year: int = 2000
-    price_year: int = 2023
-    min_age: int = 18
-    max_age: int = 45
-    vacancy_rate: float = 0.05

@@ -99,14 +99,13 @@ def fit_models(rows: DataFrame, min_age: int, max_age: int, years: Sequence[int]
 
 def counterfactual_sums(rows: DataFrame, coefs: DataFrame, medians: DataFrame, years: Sequence[int],
                         min_age: int, max_age: int, models: Sequence[LogitSpec]) -> DataFrame:
-    """Per year and age group: weight, and per model the expected heads at the baseline cost ratio."""
+    """Per year and age group: weight, and per model the weighted rates at the baseline cost ratio."""
     cf = counterfactual_input(rows.filter(_ages(min_age, max_age)), medians, years)
     joined = keyed_join(cf, coefs, CELL)
     w = F.col("PERWT")
     at_base = {COST: F.log("HCOSTRATIO")}
-    sums = [strict_sum(w * predicted(m, at_base)).alias(f"heads_{m.name}") for m in models]
     means = [strict_sum(mean_numerator(predicted(m, at_base), w)).alias(f"mean_{m.name}") for m in models]
-    return joined.groupBy(*CELL).agg(strict_sum(w).alias("people"), *sums, *means)
+    return joined.groupBy(*CELL).agg(strict_sum(w).alias("people"), *means)
 
 
 def counterfactual_rates(sums: DataFrame, models: Sequence[LogitSpec] = MODELS) -> DataFrame:

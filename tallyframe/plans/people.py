@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions import age_breaks, cut, cut_id, floor_at_one, if_else, in_set
-from tallyframe.functions.bins import cut_labels
 from tallyframe.operators.joins import keyed_join
 from tallyframe.plans import codes as C
 
 AGE_BREAKS = age_breaks(65)
-AGE_LABELS = cut_labels(AGE_BREAKS, right=False, include_lowest=True)
 
 
 def age_group(age: Column, breaks=AGE_BREAKS) -> Column:
