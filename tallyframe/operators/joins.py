@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,16 +17,15 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     ``nullable`` names the keys that may be missing (all of them by default); those match missing to
     missing. Keys known to be present compare by plain equality, which keeps bucketing usable.
     """
+    if not on:
+        raise ValueError("no key to join on")
     nullable = on if nullable is None else nullable
     clash = (set(left.columns) & set(right.columns)) - set(on)
     if clash:
         raise ValueError(f"columns on both sides that are not keys: {sorted(clash)}")
     r = right.withColumnsRenamed({k: _R + k for k in on})
-    cond = F.lit(True)
-    for i, k in enumerate(on):
-        a, b = F.col(k), F.col(_R + k)
-        term = a.eqNullSafe(b) if k in nullable else a == b
-        cond = term if i == 0 else cond & term
+    terms = [F.col(k).eqNullSafe(F.col(_R + k)) if k in nullable else F.col(k) == F.col(_R + k) for k in on]
+    cond = reduce(lambda a, b: a & b, terms)
     joined = left.join(r, cond, how)
     if how in ("left", "inner"):
         key = {k: F.col(k) for k in on}
@@ -39,10 +39,7 @@ def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on every column the two tables share."""
-    on = [c for c in left.columns if c in right.columns]
-    if not on:
-        raise ValueError("the tables share no column")
-    return keyed_join(left, right, on, how)
+    return keyed_join(left, right, [c for c in left.columns if c in right.columns], how)
 
 
 def full_join(left: DataFrame, right: DataFrame, on: Sequence[str],

@@ -28,6 +28,9 @@ def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str,
     a group of the input. ``df`` is read ``narrowing + 2`` times; stage it if it is costly.
     """
     out = out or value
+    if not by:
+        whole = weighted_median(df.withColumn("__all", F.lit(1)), ["__all"], value, weight, out, narrowing)
+        return whole.drop("__all")
     rows = df.select(*by, F.col(value).cast("double").alias("__x"), F.col(weight).alias("__w")).filter(
         F.col("__x").isNotNull() & ~F.isnan("__x") & F.col("__w").isNotNull())
     # lo/hi: values still in question; below: weight under lo; total: weight of the group.
