@@ -86,3 +86,14 @@ def landed_or(spark: SparkSession, path: str, build: Callable[[], DataFrame], by
             raise
     land(build(), path, by)
     return spark.read.parquet(path)
+
+
+def land_extract(spark: SparkSession, data: str, layout: Sequence[Field], folder: str) -> tuple[DataFrame, DataFrame]:
+    """Household and person tables of a hierarchical extract, landed under ``folder`` on first use.
+
+    Uncompressed text is split over tasks; a gzip file is one task, so unpack large ones first.
+    """
+    def table(at: int) -> Callable[[], DataFrame]:
+        return lambda: read_hierarchical(spark, data, layout)[at]
+
+    return landed_or(spark, f"{folder}/household", table(0)), landed_or(spark, f"{folder}/person", table(1))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyframe import functions as fn
 from tallyframe.operators import keyed_join, pin_small
-from tallyframe.plans import counterfactual, headship, housing, people, prices, projections, target_rates, vacancy
+from tallyframe.plans import (
+    counterfactual, headship, housing, people, prices, projections, shortfall, target_rates, vacancy,
+)
 from tallyframe.plans.labels import label_table
 from tallyframe.sources import value_labels
 from tallyframe.workload import prepared, views
@@ -184,15 +186,15 @@ _TOTAL_COLS = ("YEAR:int msa:str HH:bigint NEWHH:d4 MISSINGHH:d4 housing_units_s
                "vacancy_rate:d6 necessary_units:d4 available_units:bigint underproduction:d4")
 
 
-def metro(spark, sf_dir):
-    """Shortfall by year and area, from microdata to totals."""
-    counts = housing.unit_counts(prepared.units(spark, sf_dir), views.area_labels(spark, sf_dir), STATE, se=False)
-    return housing.metro_totals(cells(spark, sf_dir), counts, VACANCY_RATE)
+def tables(spark, sf_dir):
+    """Households, persons and area labels."""
+    return views.households(spark, sf_dir), views.persons(spark, sf_dir), views.area_labels(spark, sf_dir)
 
 
 @query("D10_metro_totals", _TOTAL_COLS, "hh pp lab cpi", f"with {_PREP}, {_CELLS}, {_METRO}\nselect * from metro")
 def _(spark, sf_dir):
-    return metro(spark, sf_dir)
+    """Shortfall by year and area, from records to totals."""
+    return shortfall.area_shortfall(*tables(spark, sf_dir), STATE, BASE_YEAR, MIN_AGE, MAX_AGE, VACANCY_RATE)
 
 
 _SKIP = ("HH NEWHH MISSINGHH housing_units_seasonal housing_units_uninhabitable housing_units_vacant "
@@ -203,7 +205,7 @@ _SKIP = ("HH NEWHH MISSINGHH housing_units_seasonal housing_units_uninhabitable
        f"""with {_PREP}, {_CELLS}, {_METRO}\nselect * from metro union all select YEAR, 'Statewide', """
        + ", ".join(f"coalesce(sum({c}),0)" for c in _SKIP) + " from metro group by 1")
 def _(spark, sf_dir):
-    return housing.all_totals(metro(spark, sf_dir), mode="reference")
+    return shortfall.shortfall_report(*tables(spark, sf_dir), STATE, BASE_YEAR, mode="reference")
 
 
 @query("D12_all_totals_recomputed", _TOTAL_COLS, "hh pp lab cpi",
@@ -215,7 +217,7 @@ def _(spark, sf_dir):
          n-s-coalesce(u,0), (HH+MISSINGHH)/0.95e0-(n-s-coalesce(u,0)) from st0)
        \nselect * from metro union all select * from st""")
 def _(spark, sf_dir):
-    return housing.all_totals(metro(spark, sf_dir))
+    return shortfall.shortfall_report(*tables(spark, sf_dir), STATE, BASE_YEAR)
 
 
 @query("A14_regrouped_in_steps", "YEAR:int HH:bigint MISSINGHH:d4", "hh pp lab cpi",

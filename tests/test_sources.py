@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.sources import (
-    dictionary_layout, land, landed_or, literal_table, read_csv, read_dictionary, read_hierarchical,
+    dictionary_layout, land, land_extract, landed_or, literal_table, read_csv, read_dictionary, read_hierarchical,
     read_rectangular, read_table, value_labels, write_csv,
 )
 from tests.conftest import rows
@@ -69,6 +69,15 @@ def test_landed_copy_is_used_when_there(spark, extract, tmp_path):
     assert rows(landed_or(spark, path, build).select("SERIAL", "YEAR")) == first and built == [1]
 
 
+def test_extract_is_landed_whole(spark, extract, tmp_path):
+    layout = dictionary_layout(read_dictionary(spark, extract[0]))
+    folder = str(tmp_path / "extract")
+    for _ in range(2):
+        h, p = land_extract(spark, extract[1], layout, folder)
+        assert rows(h.select("YEAR", "SERIAL", "HHWT")) == [(2000, 1, 12.5), (2001, 2, 3.0), (2001, 3, 4.75)]
+        assert rows(p.select("SERIAL", "AGE")) == [(1, 7), (1, 34), (3, None)]
+
+
 def test_landed_years_are_pruned(spark, tmp_path):
     path = str(tmp_path / "t")
     land(spark.range(100).select((F.col("id") % 4 + 2000).cast("int").alias("YEAR"), "id"), path)
