@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own switch: shuffle files of a finished SQL execution are removed at its end.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Staged folders that still exist, with the session that can delete them.
+_staged: dict[str, SparkSession] = {}
+
 
 def local_session(app: str = "tallyframe", cpus: str | int | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
@@ -32,40 +38,71 @@ def local_session(app: str = "tallyframe", cpus: str | int | None = None,
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan over all cores if it has fewer splits than cores.
-
-    A small file of one row group is one task otherwise. Large inputs have many splits and are left as
-    they are, so nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read: ``spark.checkpoint.dir``, else the session's checkpoint folder,
+    else a folder in the warehouse, which Spark shares by its own definition. Never a temporary folder of one
+    machine; without any of them it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{warehouse.rstrip('/')}/_staged"
+    return folder.rstrip("/")
 
-def scratch_path(spark: SparkSession, name: str) -> str | None:
-    """A fresh path in the shared folder the cluster names, or none if it names none.
 
-    The folder is ``spark.checkpoint.dir``, else the session's checkpoint folder. A local session without
-    either gets a folder of its own.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None and sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
-        folder = sc.getCheckpointDir()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}" if folder else None
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; ``release_staged`` deletes whatever is written there."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_release_all)
+    _staged[path] = spark
+    return path
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Hold ``df`` for several passes over it.
 
-    With a shared folder the rows are written there as Parquet and read back: lineage ends, a lost
-    executor costs a re-read and not a recomputation, and every pass reads only the columns it uses. On
-    a cluster that names no folder the rows are persisted with their lineage, which recomputes whatever a
-    lost executor held.
+    The rows are written to the shared folder as Parquet and read back: lineage ends, a lost executor costs a
+    re-read and not a recomputation, and every pass reads only the columns it uses. Shuffle files of the
+    write are removed when it has ended. The folder stays until ``release_staged``, the end of a
+    ``staging`` block or the end of the program.
     """
-    path = scratch_path(df.sparkSession, "staged")
-    if path is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "staged")
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(df: DataFrame | None = None, keep: frozenset[str] = frozenset()) -> None:
+    """Delete staged folders: those ``df`` reads directly, or all but ``keep``."""
+    if df is not None:
+        mine = [p for p in _staged if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles())]
+    else:
+        mine = [p for p in _staged if p not in keep]
+    for path in mine:
+        spark = _staged.pop(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Delete at its end whatever was staged inside the block. Results are to be written or fetched in it."""
+    before = frozenset(_staged)
+    try:
+        yield
+    finally:
+        release_staged(keep=before)
+
+
+def _release_all() -> None:
+    try:
+        release_staged()
+    except Exception:  # the session may have ended before the program does
+        _staged.clear()
