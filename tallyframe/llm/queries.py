@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import decontaminate, line_quality, source_mix
+from tallyframe.llm import boosted_trees, decontaminate, line_quality, secret_scan, source_mix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,9 @@ def query(name: str, *tables: str, sql: str | None = None):
     return register
 
 
+query("op1_secret_scans", "documents", sql=secret_scan.REPORT_SQL)(secret_scan.report)
 query("op4_quality_rules", "documents")(line_quality.report)
 query("op5_source_mix", "documents", sql=source_mix.TAKEN_SQL)(source_mix.taken)
 query("op8_benchmark_decontamination", "documents", "benchmark", sql=decontaminate.REPORT_SQL)(decontaminate.report)
+query("op9_toxicity", "documents", "labels")(toxicity.toxicity_scores)
+query("op10_quality_classifier", "documents", "labels")(boosted_trees.quality_scores)
