@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import boosted_trees, decontaminate, line_quality, personal_data, secret_scan, source_mix, toxicity
+from tallyframe.llm import boosted_trees, class_bigrams, decontaminate, line_quality, personal_data, secret_scan, source_mix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,7 @@ def query(name: str, *tables: str, sql: str | None = None):
 query("op1_secret_scans", "documents", sql=secret_scan.REPORT_SQL)(secret_scan.report)
 query("op4_quality_rules", "documents")(line_quality.report)
 query("op5_source_mix", "documents", sql=source_mix.TAKEN_SQL)(source_mix.taken)
+query("op6_lm_scoring", "documents")(class_bigrams.scores)
 query("op7_personal_data", "documents")(personal_data.report)
 query("op8_benchmark_decontamination", "documents", "benchmark", sql=decontaminate.REPORT_SQL)(decontaminate.report)
 query("op9_toxicity", "documents", "labels")(toxicity.toxicity_scores)
