@@ -1,13 +1,13 @@
 """Toxic language: a learned lexicon, matched with misspellings, weighed by context.
 
-1. The lexicon is learned from labelled documents (a bounded sample): words that occur almost only in toxic ones,
-   and stems, which are word beginnings shared by several such words.
+1. The lexicon is learned from labelled documents (a bounded sample): words that are far likelier in toxic ones,
+   and stems, which are word beginnings shared by several such words, each weighed by its log-odds.
 2. All terms form a trie. Intersected with Levenshtein automata (one edit for words of five letters or more,
    none for shorter words and stems) it becomes one deterministic automaton, whose table all words of a batch
    walk together, a letter per step; words that can no longer match drop out after a few steps.
 3. A match in quotation marks, or near a word of speech or report, counts as quoted; near a word of address it
-   counts as directed. Counts by kind are the inputs of a logistic model fitted on the same sample, with a prior
-   that takes a misspelled term for a weaker sign than a spelled-out one.
+   counts as directed. Sums of weights by kind are the inputs of a logistic model fitted on the same sample, with
+   a prior that takes a misspelled term for a weaker sign than a spelled-out one.
 
 Letters outside ASCII are compared by the first byte of their encoding, so accents do not tell words apart.
 Labels, language, source and id never enter a score. Missing and empty texts have no match and get the score of
@@ -29,10 +29,10 @@ from tallyframe.llm.text_arrays import FOLD, LETTER_OR_DIGIT, Texts, Words, mix,
 from tallyframe.session import stage
 
 REMAINDER, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: A term occurs in so many toxic documents at least, and this share of its labelled documents is toxic.
-LEAST, PURITY = 8, 0.9
-#: Lengths of stems, and how many different pure words a stem must begin.
-STEMS, STEM_WORDS = (4, 5, 6), 5
+#: A term occurs in so many toxic documents at least, and is so many times likelier in them.
+LEAST, ODDS = 8, 10.0
+#: Lengths of stems, and how many different words in toxic documents a stem must begin.
+STEMS, STEM_WORDS = range(4, 9), 5
 FUZZY_FROM = 5
 
 #: Words near a match that speak of speech, and words that address somebody.
@@ -50,15 +50,17 @@ class Automaton:
     classes: np.ndarray
     table: np.ndarray
     accepts: np.ndarray
+    weight: np.ndarray
     start: int
 
     def match(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For every word: 2 if it is a term, 1 if it is a misspelled one, else 0."""
-        out = np.zeros(len(start), dtype=np.int8)
+        """For every word the state it ends in: ``accepts`` tells whether that is a term (2), a misspelled one
+        (1) or nothing (0), and ``weight`` which weight the term has."""
+        out = np.zeros(len(start), dtype=np.int32)
         alive, state, at = np.arange(len(start)), np.full(len(start), self.start, np.int32), start.copy()
         while len(alive):
             done = at >= end[alive]
-            out[alive[done]] = self.accepts[state[done]]
+            out[alive[done]] = state[done]
             alive, state, at = alive[~done], state[~done], at[~done]
             state = self.table[state, self.classes[data[at]]]
             keep = state > 0
@@ -70,25 +72,26 @@ def _lead_bytes(term: str) -> bytes:
     return bytes(b for b in term.encode() if b & 0xC0 != 0x80)
 
 
-def automaton(words: list[str], stems: list[str], fuzzy_from: int = FUZZY_FROM) -> Automaton:
-    """One deterministic automaton of all terms. Class 0 is any byte of no term, class 1 a continuation byte,
+def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int = FUZZY_FROM) -> Automaton:
+    """One deterministic automaton of all terms with their weights. Class 0 is any byte of no term, class 1 a continuation byte,
     which changes nothing."""
     children: list[dict[int, int]] = [{}, {}]  # node 0: terms with edits, node 1: terms without
     final: dict[int, str] = {}
+    worth: dict[int, float] = {}
 
-    def add(term: str, root: int, kind: str) -> None:
+    def add(term: str, root: int, kind: str, weight: float) -> None:
         node = root
         for b in _lead_bytes(term):
             if b not in children[node]:
                 children[node][b] = len(children)
                 children.append({})
             node = children[node][b]
-        final[node] = kind
+        final[node], worth[node] = kind, max(weight, worth.get(node, 0.0))
 
-    for w in words:
-        add(w, 0 if len(_lead_bytes(w)) >= fuzzy_from else 1, "word")
-    for s in stems:
-        add(s, 1, "stem")
+    for w, weight in words.items():
+        add(w, 0 if len(_lead_bytes(w)) >= fuzzy_from else 1, "word", weight)
+    for s, weight in stems.items():
+        add(s, 1, "stem", weight)
     letters = sorted({b for c in children for b in c})
     classes = np.zeros(256, dtype=np.int32)
     classes[0x80:0xC0] = 1
@@ -131,13 +134,13 @@ def automaton(words: list[str], stems: list[str], fuzzy_from: int = FUZZY_FROM)
                 order.append(after)
             row.append(number[after])
         table.append(row)
-    accepts = np.zeros(len(number), dtype=np.int8)
-    untouched = {n for n in range(len(children)) if n in final}
+    accepts, weights = np.zeros(len(number), dtype=np.int8), np.zeros(len(number), dtype=np.float32)
     no_edits = _below(children, 1)
     for states, i in number.items():
-        for node, left in states & {(n, e) for n in untouched for e in (0, 1)} if states else ():
-            accepts[i] = max(accepts[i], EXACT if left == 1 or node in no_edits else FUZZY)
-    return Automaton(classes, np.array(table, dtype=np.int32), accepts, 1)
+        ends = [(EXACT if left or node in no_edits else FUZZY, worth[node]) for node, left in states if node in final]
+        if ends:
+            accepts[i], weights[i] = max(ends)
+    return Automaton(classes, np.array(table, dtype=np.int32), accepts, weights, 1)
 
 
 def _below(children: list[dict[int, int]], root: int) -> set[int]:
@@ -154,34 +157,33 @@ def _plain(text) -> F.Column:
     return F.translate(text, "“”„«»‘’", '"""""\'\'')
 
 
-def lexicon(docs: DataFrame, sample: DataFrame, least: int = LEAST, purity: float = PURITY) -> tuple[list[str], list[str]]:
-    """Words and stems that mark toxic documents. ``sample`` is bounded, and so are its texts' words."""
+def lexicon(docs: DataFrame, sample: DataFrame, least: int = LEAST, odds: float = ODDS) -> tuple[dict, dict]:
+    """Words and stems that mark toxic documents, with their log-odds. ``sample`` is bounded, and so are its
+    texts' words."""
     found = F.array_distinct(F.regexp_extract_all(fold(_plain(F.col("text"))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     texts = docs.join(F.broadcast(sample), docs["doc_id"] == sample["labelled_id"]).select("label", F.explode(found).alias("word"))
-    counts = texts.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).filter(F.col("toxic") > 0)
-    size = sample.agg(F.sum("label"), F.count("*")).first()
-    usual = (size[0] or 0) / max(size[1], 1)
-    counts = stage(counts.filter(F.col("toxic") > 2 * usual * F.col("n")))
-    pure = (F.col("toxic") >= F.col("n") * purity) & (F.col("toxic") >= least)
-    words = [r["word"] for r in counts.filter(pure).collect()]
-    # a stem needs several words that are themselves almost only in toxic documents
-    begin = [F.substring("word", 1, k) for k in STEMS]
-    stem_rows = texts.filter(F.length("word") >= min(STEMS)).select(
-        "label", "word", F.explode(F.array_distinct(F.array(*begin))).alias("stem"))
-    stems = stem_rows.groupBy("stem", "word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).groupBy("stem").agg(
-        F.sum("toxic").alias("toxic"), F.sum("n").alias("n"),
-        F.sum((F.col("toxic") > 0).cast("int")).alias("words"), F.max("toxic").alias("most")).filter(
-        pure & (F.col("words") >= STEM_WORDS) & (F.col("most") < 0.5 * F.col("toxic")))
-    chosen: list[str] = []
-    for s in sorted((r["stem"] for r in stems.collect()), key=lambda s: (len(s), s)):
-        if not any(s.startswith(c) for c in chosen):
-            chosen.append(s)
-    return sorted(w for w in words if not any(w.startswith(c) for c in chosen)), sorted(chosen)
+    toxic, size = sample.agg(F.sum("label"), F.count("*")).first()
+    toxic = toxic or 0
+    clean = size - toxic
+    words = stage(texts.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")))
+    likelier = F.log((F.col("toxic") + 0.5) / (toxic + 1.0) / ((F.col("n") - F.col("toxic") + 0.5) / (clean + 1.0)))
+    marks = (F.col("toxic") >= least) & (F.col("weight") >= float(np.log(odds)))
+    begin = F.explode(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEMS]))
+    stems = words.select("toxic", "n", begin.alias("stem")).filter("stem is not null").groupBy("stem").agg(
+        F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("words"),
+        F.max("toxic").alias("most")).withColumn("weight", likelier).filter(
+        marks & (F.col("words") >= STEM_WORDS) & (F.col("most") < 0.5 * F.col("toxic")))
+    chosen: dict[str, float] = {}
+    for r in sorted(stems.collect(), key=lambda r: (-r["weight"] * np.sqrt(r["toxic"]), r["stem"])):
+        if not any(r["stem"].startswith(c) or c.startswith(r["stem"]) for c in chosen):
+            chosen[r["stem"]] = r["weight"]
+    whole = words.withColumn("weight", likelier).filter(marks).orderBy("word").collect()
+    return {r["word"]: r["weight"] for r in whole if not any(r["word"].startswith(c) for c in chosen)}, chosen
 
 
 #: Signs per document, and what the prior takes their weights to be.
-SIGNS = ("exact", "misspelled", "quoted", "directed", "density")
-PRIOR = np.array([-3.0, 2.0, 1.5, -0.5, 0.5, 0.0])
+SIGNS = ("exact", "strongest", "misspelled", "quoted", "directed", "density")
+PRIOR = np.array([-3.0, 0.3, 0.7, 0.5, -0.1, 0.2, 0.0])
 
 
 def _hashes(terms: tuple[str, ...]) -> np.ndarray:
@@ -192,18 +194,20 @@ def _hashes(terms: tuple[str, ...]) -> np.ndarray:
 def signs(texts: Texts, terms: Automaton) -> np.ndarray:
     words = words_of(texts, LETTER_OR_DIGIT)
     data = FOLD[texts.data]
-    kind = terms.match(data, words.start, words.end)
-    hit = np.flatnonzero(kind)
+    state = terms.match(data, words.start, words.end)
+    hit = np.flatnonzero(terms.accepts[state])
+    kind, weight = terms.accepts[state[hit]], terms.weight[state[hit]]
     quoted = _in_quotes(texts, words, hit) | _near(words, hit, _hashes(REPORTING))
     directed = _near(words, hit, _hashes(ADDRESS)) & ~quoted
-    doc = words.doc[hit]
-    n = len(texts)
-    count = lambda mask: np.bincount(doc[mask], minlength=n)[:n]
-    open_hits = ~quoted
-    exact, misspelled = count(open_hits & (kind[hit] == EXACT)), count(open_hits & (kind[hit] == FUZZY))
+    doc, n = words.doc[hit], len(texts)
+    total = lambda mask: np.bincount(doc[mask], weight[mask], n)[:n]
+    exact, misspelled = total(~quoted & (kind == EXACT)), total(~quoted & (kind == FUZZY))
+    strongest = np.zeros(n)
+    np.maximum.at(strongest, doc[~quoted & (kind == EXACT)], weight[~quoted & (kind == EXACT)])
     return np.column_stack([
-        np.minimum(exact, 3), np.minimum(misspelled, 3), np.minimum(count(quoted), 3), np.minimum(count(directed), 3),
-        np.minimum(100 * (exact + misspelled) / np.maximum(np.diff(words.bounds), 1), 10)]).astype(np.float32)
+        np.minimum(exact, 15), strongest, np.minimum(misspelled, 10), np.minimum(total(quoted), 10),
+        np.minimum(total(directed), 10),
+        np.minimum(20 * (exact + misspelled) / np.maximum(np.diff(words.bounds), 1), 10)]).astype(np.float32)
 
 
 def _in_quotes(texts: Texts, words: Words, hit: np.ndarray) -> np.ndarray:
