@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import boosted_trees, class_bigrams, decontaminate, jaccard_join, line_quality, personal_data, secret_scan, source_mix, toxicity
+from tallyframe.llm import boosted_trees, class_bigrams, decontaminate, jaccard_join, line_quality, personal_data, secret_scan, source_mix, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,7 @@ def query(name: str, *tables: str, sql: str | None = None):
 
 query("op1_secret_scans", "documents", sql=secret_scan.REPORT_SQL)(secret_scan.report)
 query("op2_ngram_jaccard_join", "documents")(jaccard_join.linked)
+query("op3_suffix_array_dedup", "documents")(substring_dedup.report)
 query("op4_quality_rules", "documents")(line_quality.report)
 query("op5_source_mix", "documents", sql=source_mix.TAKEN_SQL)(source_mix.taken)
 query("op6_lm_scoring", "documents")(class_bigrams.scores)
