@@ -13,8 +13,8 @@ The benchmark is taken in blocks of bounded words, so what every task holds is b
 blocks mean more passes over the documents, never a larger broadcast. Documents are never shuffled: each scan
 returns counts for its rows, and only if there are several blocks are those put together per row.
 
-Missing or empty texts have no words and no hits; an item without words has no window; repeated items with the
-same id count once; repeated documents get a row each; an empty benchmark leaves every document clean.
+Missing or empty texts have no words and no hits; an item without words has no window, and one without id has the
+empty id; repeated items with the same id count once; repeated documents get a row each; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def _rarity(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[str]]]:
     """Items of the benchmark in blocks of about ``block_words`` words."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(
+        F.col("text").isNotNull()).distinct()
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
     n = -(-int(words) // block_words)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
@@ -238,8 +239,8 @@ def report(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window occurs."""
-    hit = contamination(docs, benchmark).filter(F.size("items") > 0).select(F.col("row_key").alias("hit_key")).distinct()
-    return docs.join(hit, row_key() == F.col("hit_key"), "left_anti")
+    hit = contamination(docs, benchmark).filter(F.size("items") > 0).select(F.col("row_key").alias("__hit_key")).distinct()
+    return docs.join(hit, row_key() == F.col("__hit_key"), "left_anti")
 
 
 REPORT_SQL = r"""

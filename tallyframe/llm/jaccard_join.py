@@ -381,5 +381,5 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOC
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component; of rows that repeat such an id, all."""
-    stay = linked(docs, width, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("stays")), "left_semi")
+    stay = linked(docs, width, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("__stays")), "left_semi")

@@ -105,13 +105,13 @@ def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: Ledger | No
 def findings_by_path(versions: DataFrame, findings: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every version with its blob's findings of the given rule versions, ordered by start, then rule.
 
-    ``spans`` is an array of ``start, place, kind, end``, where ``place`` is the rule's place in ``rules``.
+    Columns of ``versions`` called blob or spans are replaced. ``spans`` is an array of ``start, place, kind, end``, where ``place`` is the rule's place in ``rules``.
     """
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.id), F.lit(i))])
     listed = findings.withColumn("place", place[F.concat_ws("@", "rule", F.col("version").cast("string"))]).filter(
         F.col("place").isNotNull()).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(
             F.col("start"), F.col("place"), F.col("rule").alias("kind"), F.col("end")))).alias("spans"))
-    paths = versions.select(*[c for c in versions.columns if c != "text"], blob().alias("blob"))
+    paths = versions.select(*[c for c in versions.columns if c not in ("text", "blob", "spans")], blob().alias("blob"))
     return paths.join(listed, "blob", "left").withColumn("spans", F.coalesce(
         "spans", F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")))
 
@@ -127,8 +127,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def documents_without_secrets(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no rule finds anything."""
-    hit = scan(docs.select("doc_id", "text")).findings.select(F.col("blob").alias("hit_blob")).distinct()
-    return docs.join(hit, blob() == F.col("hit_blob"), "left_anti")
+    hit = scan(docs.select("doc_id", "text")).findings.select(F.col("blob").alias("__hit_blob")).distinct()
+    return docs.join(hit, blob() == F.col("__hit_blob"), "left_anti")
 
 
 REPORT_SQL = r"""

@@ -67,16 +67,20 @@ def repetitions(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` as often as taken, numbered by ``copy``."""
+    """The mixed corpus: rows of ``docs`` as often as taken, numbered by ``copy`` (``_copy`` if there is such a
+    column already, and so on)."""
+    number = "copy"
+    while number in docs.columns:
+        number = f"_{number}"
     rates = repetitions(docs, weights, share, most).select(
-        F.col("source").alias("of_source"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
+        F.col("source").alias("__source"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"),
     ).distinct()
-    extra = (hash_share(F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long")
-    copies = (F.floor("rate") + extra).cast("int")
-    return docs.join(rates, docs["source"].eqNullSafe(rates["of_source"])).withColumn(
-        "copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(
-            F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns], "copy")
+    extra = (hash_share(F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")
+    copies = (F.floor("__rate") + extra).cast("int")
+    return docs.join(rates, docs["source"].eqNullSafe(rates["__source"])).withColumn(
+        number, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(
+            F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns], number)
 
 
 def taken(docs: DataFrame) -> DataFrame:
