@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -21,9 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.operators.design import summed
 from tallyframe.operators.joins import keyed_join
-from tallyframe.operators.small import local_table
+from tallyframe.session import release_staged, stage
 
-MAX_GROUPS = 20_000
+#: What becomes of a group's model: at its optimum; outcomes separated, rates next to 0 and 1; no complete row;
+#: still moving after the last step, which quasi-separated outcomes are the usual reason for.
+SETTLED, SEPARATED, EMPTY, UNSETTLED = "settled", "separated", "empty", "unsettled"
+_OPEN = "open"
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,10 @@ class LogitSpec:
     def coef(self, j: int) -> str:
         return f"{self.name}__b{j}"
 
+    @property
+    def status(self) -> str:
+        return f"{self.name}__status"
+
 
 def predicted(spec: LogitSpec, replaced: dict[str, Column] | None = None) -> Column:
     """Fitted probability from joined coefficient columns; missing if a covariate is missing.
@@ -87,89 +93,122 @@ def _step_sums(df: DataFrame, by: Sequence[str], specs: Sequence[LogitSpec], out
 
 
 def _solve(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-    """Newton step per group. Directions the group says nothing about (constant or collinear covariates,
-    rates already at 0 or 1) get no step."""
-    out = np.zeros_like(gradient)
-    for i in range(len(gradient)):
-        diagonal = np.diagonal(hessian[i])
-        scale = np.sqrt(np.maximum(diagonal, max(1e-12 * diagonal.max(), 1e-200)))
-        scaled = hessian[i] / np.outer(scale, scale)
-        out[i] = np.linalg.lstsq(scaled, gradient[i] / scale, rcond=1e-11)[0] / scale
+    """Newton steps of many groups at once, by elimination in the order of the terms. A term that the ones before
+    it explain (constant or collinear covariates) gets no step, as if it were not in the model."""
+    h, g, size = hessian.copy(), gradient.copy(), gradient.shape[1]
+    used = np.zeros(gradient.shape, dtype=bool)
+    for k in range(size):
+        pivot = h[:, k, k]
+        used[:, k] = pivot > 1e-9 * np.maximum(hessian[:, k, k], 1e-300)
+        share = np.where(used[:, k], 1 / np.where(used[:, k], pivot, 1), 0.0)
+        for i in range(k + 1, size):
+            factor = h[:, i, k] * share
+            h[:, i, :] -= factor[:, None] * h[:, k, :]
+            g[:, i] -= factor * g[:, k]
+    out = np.zeros_like(g)
+    for k in reversed(range(size)):
+        rest = g[:, k] - (h[:, k, k + 1:] * out[:, k + 1:]).sum(axis=1)
+        out[:, k] = np.where(used[:, k], rest / np.where(used[:, k], h[:, k, k], 1), 0.0)
     return out
 
 
+def _kept(spec: LogitSpec, j: int) -> str:
+    return f"{spec.name}__k{j}"
+
+
+def _advance(specs: Sequence[LogitSpec], tol: float, last: bool):
+    """One Newton step for every open group and model of a batch of state rows with their new sums."""
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf.copy()
+            for s in specs:
+                points, kept = [s.coef(j) for j in range(s.size)], [_kept(s, j) for j in range(s.size)]
+                is_open = (pdf[s.status] == _OPEN).to_numpy()
+                rows, ll = pdf[f"{s.name}__n"].to_numpy(), pdf[f"{s.name}__ll"].to_numpy(dtype=float)
+                at, best = pdf[points].to_numpy(dtype=float), pdf[kept].to_numpy(dtype=float)
+                first = np.isnan(pdf[f"{s.name}__start"].to_numpy(dtype=float))
+                start = np.where(first, np.abs(ll), pdf[f"{s.name}__start"].to_numpy(dtype=float))
+                status = pdf[s.status].to_numpy(dtype=object).copy()
+                before = np.where(first, -np.inf, pdf[f"{s.name}__best"].to_numpy(dtype=float))
+                empty = is_open & ~(rows > 0)
+                worse = is_open & ~empty & (ll < before - 1e-9 * start)
+                good = is_open & ~empty & ~worse
+                h, g = np.zeros((len(pdf), s.size, s.size)), np.zeros((len(pdf), s.size))
+                for j in range(s.size):
+                    g[:, j] = pdf[f"{s.name}__g{j}"]
+                    for k in range(j + 1):
+                        h[:, j, k] = h[:, k, j] = pdf[f"{s.name}__h{j}_{k}"]
+                step = _solve(np.where(good[:, None, None], h, np.eye(s.size)), np.where(good[:, None], g, 0.0))
+                status[empty] = EMPTY
+                status[good & (ll >= -1e-6 * start)] = SEPARATED
+                status[good & ((step * g).sum(axis=1) <= tol * start) & (status == _OPEN)] = SETTLED
+                if last:
+                    status[status == _OPEN] = UNSETTLED
+                best = np.where(good[:, None], at, best)  # missing where nothing was evaluated
+                moves = np.where(worse[:, None], (at + best) / 2, best + step)
+                moves[status != _OPEN] = np.nan
+                out[points], out[kept] = moves, best
+                out[f"{s.name}__start"] = start
+                out[f"{s.name}__best"] = np.where(good, ll, np.where(np.isinf(before), np.nan, before))
+                out[s.status] = status
+            yield out
+
+    return run
+
+
 def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
-                 specs: Sequence[LogitSpec], tol: float = 1e-8, max_iter: int = 50) -> DataFrame:
-    """Coefficients per ``by`` group, one column per model and term, as a small table.
-
-    ``df`` is read once per Newton step (about ten), so stage it first. Groups are combinations of bins
-    and years: each step fetches one row of sums per group, and more than ``MAX_GROUPS`` is an error.
-    A group has settled when a step changes its log-likelihood by less than ``tol`` of the initial one, or
-    when its outcomes are separated and the rates have come next to 0 and 1. A model that does not settle
-    within ``max_iter`` steps is an error too.
+                 specs: Sequence[LogitSpec], tol: float = 1e-19, max_iter: int = 16) -> DataFrame:
+    """Coefficients per ``by`` group, one column per model and term, and each model's status.
+
+    Every Newton step is one grouped sum, which serves all models of all groups that are still open, and one
+    solution per group on the executors; the state is a table, and the driver only learns how many groups and rows
+    are open. Once these are half of the rows or less, only they are staged and read from then on. Coefficients
+    are those at which the last sums were taken: a group has settled when the step from there would gain less
+    than ``tol`` of the initial log-likelihood. Stage ``df`` if it is costly; it is read until the first halving.
     """
-    spark = df.sparkSession
     used = list(dict.fromkeys(t for s in specs for t in s.terms))
     data = df.select(*by, outcome, weight, *used).filter(F.col(outcome).isNotNull() & F.col(weight).isNotNull())
-    key_fields = [data.schema[k] for k in by]
-    state: dict[tuple, dict[str, dict]] = {}
-    open_specs = list(specs)
-    coef_table: DataFrame | None = None
-
-    for _ in range(max_iter):
-        rows_in = data if coef_table is None else keyed_join(data, coef_table, by, "inner")
-        sums = _step_sums(rows_in, by, open_specs, outcome, weight, coef_table is not None)
-        rows = sums.limit(MAX_GROUPS + 1).collect()
-        if len(rows) > MAX_GROUPS:
-            raise ValueError(f"more than {MAX_GROUPS} groups; fit coarser groups")
-        if not state:
-            state = {tuple(r[k] for k in by): {
-                s.name: {"b": np.zeros(s.size), "kept": np.zeros(s.size), "ll": -np.inf, "done": False}
-                for s in specs} for r in rows}
-        still = []
-        for s in open_specs:
-            fitted, hs, gs = [], [], []
-            for r in rows:
-                st = state[tuple(r[k] for k in by)][s.name]
-                if st["done"]:
-                    continue
-                if r[f"{s.name}__n"] == 0:
-                    st.update(b=np.full(s.size, np.nan), done=True)
-                    continue
-                ll = r[f"{s.name}__ll"]
-                start = st.setdefault("start", abs(ll))
-                if ll < st["ll"] - 1e-9 * start:
-                    st["b"] = (st["b"] + st["kept"]) / 2
-                    continue
-                st["done"] = abs(ll - st["ll"]) <= tol * start or ll >= -1e-6 * start
-                st.update(ll=ll, kept=st["b"])
-                h = np.zeros((s.size, s.size))
-                for j in range(s.size):
-                    for k in range(j + 1):
-                        h[j, k] = h[k, j] = r[f"{s.name}__h{j}_{k}"]
-                fitted.append(st)
-                hs.append(h)
-                gs.append([r[f"{s.name}__g{j}"] for j in range(s.size)])
-            if fitted:
-                # the step is also taken where the likelihood has settled: its sums are at hand
-                for st, step in zip(fitted, _solve(np.array(hs), np.array(gs, dtype=float))):
-                    st["b"] = st["kept"] + step
-            if not all(g[s.name]["done"] for g in state.values()):
-                still.append(s)
-        open_specs = still
-        coef_table = _coef_table(spark, key_fields, by, state, specs)
-        if not open_specs:
-            return coef_table
-    raise RuntimeError(f"no convergence in {max_iter} steps: {[s.name for s in open_specs]}")
-
-
-def _coef_table(spark, key_fields, by, state, specs) -> DataFrame:
-    keys = {k: pa.array([key[i] for key in state]) for i, k in enumerate(by)}
-    coefs = {s.coef(j): pa.array([None if np.isnan(m[s.name]["b"][j]) else float(m[s.name]["b"][j])
-                                  for m in state.values()], pa.float64())
-             for s in specs for j in range(s.size)}
-    schema = T.StructType([*key_fields, *[T.StructField(c, T.DoubleType()) for c in coefs]])
-    return local_table(spark, pa.table({**keys, **coefs}), schema)
+    blank = [F.lit(0.0).alias(s.coef(j)) for s in specs for j in range(s.size)]
+    blank += [F.lit(float("nan")).alias(_kept(s, j)) for s in specs for j in range(s.size)]
+    for s in specs:
+        blank += [F.lit(float("nan")).alias(f"{s.name}__{c}") for c in ("start", "best")] + [F.lit(_OPEN).alias(s.status)]
+    state, staged, total = None, None, 0
+    for i in range(max_iter):
+        if state is None:
+            sums = _step_sums(data, by, specs, outcome, weight, False)
+            counted = data.groupBy(*by).agg(F.count("*").alias("__rows"))
+            merged = keyed_join(counted, sums, by, "inner").select("*", *blank)
+        else:
+            is_open = F.lit(False)
+            for s in specs:
+                is_open = is_open | (F.col(s.status) == _OPEN)
+            points = [s.coef(j) for s in specs for j in range(s.size)]
+            open_groups = state.filter(is_open).select(*by, *points)
+            n, rows = state.filter(is_open).agg(F.count("*"), F.sum("__rows")).first()
+            if not n:
+                break
+            total = total or state.agg(F.sum("__rows")).first()[0]
+            if rows * 2 <= total:
+                # closed groups are not read again
+                rest = stage(keyed_join(data, open_groups.select(*by), by, "inner"))
+                if staged is not None:
+                    release_staged(staged)
+                data, staged, total = rest, rest, rows
+            sums = _step_sums(keyed_join(data, open_groups, by, "inner"), by, specs, outcome, weight, True)
+            names = [c for c in sums.columns if c not in by]
+            merged = keyed_join(state, sums, by, "left").fillna(0, names)
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in merged.schema])
+        advanced = merged.mapInPandas(_advance(specs, tol, i == max_iter - 1), schema).drop(*[
+            c for c in sums.columns if c not in by])
+        newer = stage(advanced)
+        if state is not None:
+            release_staged(state)
+        state = newer
+    if staged is not None:
+        release_staged(staged)
+    coefs = [F.when(~F.isnan(_kept(s, j)), F.col(_kept(s, j))).alias(s.coef(j)) for s in specs for j in range(s.size)]
+    return state.select(*by, *coefs, *[s.status for s in specs])
 
 
 def _columns_of(df: DataFrame, formula_side: str) -> list[str]:

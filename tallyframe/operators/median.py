@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.operators.joins import keyed_join
-from tallyframe.operators.small import pin_small
+from tallyframe.session import release_staged, stage
 
-BUCKETS = 2048
+#: Slices of a group's range in one narrowing step, and rows of a group that the last step may sort.
+BUCKETS, LEFT = 2048, 50_000
 
 
 def _scaled(x: Column) -> Column:
@@ -18,47 +19,53 @@ def _scaled(x: Column) -> Column:
 
 
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str,
-                    out: str | None = None, narrowing: int = 2) -> DataFrame:
+                    out: str | None = None, left: int = LEFT) -> DataFrame:
     """Per group, the mean of the first value whose cumulative weight reaches one half of the total
     and the first whose cumulative weight exceeds it. Missing values are left out.
 
     Each narrowing step sums the weights of the values still in question into ``BUCKETS`` slices per
     group and keeps the slices in which the cumulative weight crosses one half. These steps move only
-    sums, never rows. The final step sorts the distinct values left in the kept slices, so no task holds
-    a group of the input. ``df`` is read ``narrowing + 2`` times; stage it if it is costly.
+    sums, never rows, and go on until no group has more than ``left`` rows in question or none gets narrower
+    (ties). The final step sorts the distinct values left in the kept slices, so no task holds a group of the
+    input. The bounds of all groups are a staged table. ``df`` is read once per step; stage it if it is costly.
     """
     out = out or value
     if not by:
-        whole = weighted_median(df.withColumn("__all", F.lit(1)), ["__all"], value, weight, out, narrowing)
+        whole = weighted_median(df.withColumn("__all", F.lit(1)), ["__all"], value, weight, out, left)
         return whole.drop("__all")
     rows = df.select(*by, F.col(value).cast("double").alias("__x"), F.col(weight).alias("__w")).filter(
         F.col("__x").isNotNull() & ~F.isnan("__x") & F.col("__w").isNotNull())
     # lo/hi: values still in question; below: weight under lo; total: weight of the group.
-    bounds = pin_small(rows.groupBy(*by).agg(
-        F.min("__x").alias("__lo"), F.max("__x").alias("__hi"),
-        F.sum("__w").alias("__total")).withColumn("__below", F.col("__total") - F.col("__total")))
+    bounds = stage(rows.groupBy(*by).agg(
+        F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__w").alias("__total"),
+        F.count("*").alias("__n")).withColumn("__below", F.col("__total") - F.col("__total")))
 
     def in_question() -> DataFrame:
         return keyed_join(rows, bounds, by, "inner").filter(
             (F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi")))
 
     running = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(narrowing):
+    while not bounds.filter((F.col("__n") > left) & (F.col("__lo") < F.col("__hi"))).isEmpty():
         lo, hi = _scaled(F.col("__lo")), _scaled(F.col("__hi"))
         part = F.try_divide(_scaled(F.col("__x")) - lo, hi - lo) * BUCKETS
         bucket = F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(part, F.lit(0.0)))))
         slices = (in_question().withColumn("__slice", bucket)
                   .groupBy(*by, "__slice", "__total", "__below")
-                  .agg(F.sum("__w").alias("__sw"), F.min("__x").alias("__sl"), F.max("__x").alias("__sh")))
+                  .agg(F.sum("__w").alias("__sw"), F.count("*").alias("__sn"), F.min("__x").alias("__sl"), F.max("__x").alias("__sh")))
         cum = F.col("__below") + F.sum("__sw").over(running)
         crossed = (slices.withColumn("__cum", cum)
                    .withColumn("__before", F.col("__cum") - F.col("__sw"))
                    # the slices that hold either of the two sought values
                    .filter((F.col("__cum") * 2 >= F.col("__total"))
                            & (F.col("__before") * 2 <= F.col("__total"))))
-        bounds = pin_small(crossed.groupBy(*by, "__total").agg(
-            F.min("__sl").alias("__lo"), F.max("__sh").alias("__hi"), F.min("__before").alias("__below"))
-            .select(*by, "__lo", "__hi", "__total", "__below"))
+        narrower = stage(crossed.groupBy(*by, "__total").agg(
+            F.min("__sl").alias("__lo"), F.max("__sh").alias("__hi"), F.min("__before").alias("__below"),
+            F.sum("__sn").alias("__n")).select(*by, "__lo", "__hi", "__total", "__n", "__below"))
+        stuck = narrower.agg(F.sum("__n")).first()[0] == bounds.agg(F.sum("__n")).first()[0]
+        release_staged(bounds)
+        bounds = narrower
+        if stuck:
+            break
     distinct = in_question().groupBy(*by, "__x", "__total", "__below").agg(F.sum("__w").alias("__w"))
     steps = Window.partitionBy(*by).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     cum = (F.col("__below") + F.sum("__w").over(steps)) * 2

@@ -18,7 +18,6 @@ from tallyframe.operators.joins import keyed_join
 from tallyframe.operators.logit import LogitSpec, fit_logit_by, predicted
 from tallyframe.operators.median import weighted_median
 from tallyframe.operators.reshape import longer, wider
-from tallyframe.operators.small import pin_small
 from tallyframe.operators.totals import group_share
 from tallyframe.plans import codes as C
 from tallyframe.plans.housing import underproduction
@@ -74,9 +73,9 @@ def _ages(min_age: int, max_age: int) -> Column:
 
 
 def baseline_burden(rows: DataFrame, baseline_year: int, min_age: int, max_age: int) -> DataFrame:
-    """``AGEGROUP, HCOSTRATIO``: weighted median cost ratio of the baseline year, as a small table."""
+    """``AGEGROUP, HCOSTRATIO``: weighted median cost ratio of the baseline year, one row per age group."""
     base = rows.filter(_ages(min_age, max_age) & (F.col("PERWT") != 0) & (F.col("YEAR") == baseline_year))
-    return pin_small(weighted_median(base, ["AGEGROUP"], "HCOSTRATIO", "PERWT"))
+    return weighted_median(base, ["AGEGROUP"], "HCOSTRATIO", "PERWT")
 
 
 def counterfactual_input(rows: DataFrame, medians: DataFrame, years: Sequence[int]) -> DataFrame:

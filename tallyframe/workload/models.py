@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe import functions as fn
-from tallyframe.operators import fit_formula, keyed_join, longer
+from tallyframe.operators import LogitSpec, fit_formula, keyed_join, longer
 from tallyframe.operators.logit import predict_formula, predicted
 from tallyframe.plans import counterfactual as cf
 from tallyframe.session import stage
@@ -48,9 +48,56 @@ def _newton(steps: int = 9) -> str:
     return ",\n".join(out)
 
 
-def rows(spark, sf_dir):
-    """Staged model rows of all years."""
-    return stage(cf.model_rows(prepared.analysis_people(spark, sf_dir), STATE))
+def newton(model: LogitSpec, steps: int = 15) -> str:
+    """Newton steps of any model per year and age group, as a recursive table ``coef_<model>`` with coefficients
+    ``b0 …`` and whether the last step still moved. Every step sums gradient (g) and curvature (h), and solves by
+    elimination written out; a term whose pivot vanishes (o is the pivot before) gets no step."""
+    size, name = len(model.terms) + 1, model.name
+    x = ["1.0e0", *[f"x{j}" for j in range(1, size)]]
+    listed = ", ".join(f"b{j}" for j in range(size))
+    sums = [f"sum(r*{x[j]}) as g{j}" for j in range(size)]
+    sums += [f"sum(c*{x[j]}*{x[k]}) as h{j}_{k}" for j in range(size) for k in range(j, size)]
+    sums += [f"sum(c*{x[j]}*{x[j]}) as o{j}" for j in range(size)]
+    eta = " + ".join(f"b{j}*{x[j]}" for j in range(size))
+    body = f"""select i, YEAR, AGEGROUP, {listed}, {", ".join(sums)} from (
+      select *, w*(y-p) as r, w*p*(1-p) as c from (select d.*, n.i, {listed}, 1/(1+exp(-({eta}))) as p
+      from d_{name} d join n_{name} n on d.YEAR=n.YEAR and d.AGEGROUP=n.AGEGROUP where n.i<{steps})) group by all"""
+    for k in range(size):
+        body = f"select *, case when h{k}_{k}>1e-9*greatest(o{k}, 1e-300) then 1/h{k}_{k} else 0e0 end as v{k} from ({body})"
+        changed = [f"g{j}-h{k}_{j}*v{k}*g{k} as g{j}" for j in range(k + 1, size)]
+        changed += [f"h{j}_{m}-h{k}_{j}*v{k}*h{k}_{m} as h{j}_{m}" for j in range(k + 1, size) for m in range(j, size)]
+        if changed:
+            body = f"select * replace ({', '.join(changed)}) from ({body})"
+    for k in reversed(range(size)):
+        rest = "".join(f"-h{k}_{m}*s{m}" for m in range(k + 1, size))
+        body = f"select *, (g{k}{rest})*v{k} as s{k} from ({body})"
+    complete = " and ".join(["true", *[f"{t} is not null" for t in model.terms]])
+    terms = "".join(f", cast({t} as double) as x{j}" for j, t in enumerate(model.terms, 1))
+    moved = " + ".join(f"abs(s{j})" for j in range(size))
+    return f"""d_{name} as materialized (select YEAR, AGEGROUP, PERWT as w, HEADSHIP as y{terms} from fitrows
+      where HEADSHIP is not null and {complete}),
+    n_{name} as (select 0 as i, YEAR, AGEGROUP, {", ".join(f"0e0 as b{j}" for j in range(size))}, 0e0 as moved
+      from (select distinct YEAR, AGEGROUP from d_{name}) union all
+      select i+1, YEAR, AGEGROUP, {", ".join(f"b{j}+s{j}" for j in range(size))}, {moved} from ({body})),
+    coef_{name} as materialized (select * from n_{name} where i={steps})"""
+
+
+def _rate(model: LogitSpec, cost: str) -> str:
+    """Fitted probability with the cost term replaced."""
+    terms = [cost if t == cf.COST else f"r.{t}" for t in model.terms]
+    return f"1/(1+exp(-({' + '.join(['b0', *[f'b{j}*{t}' for j, t in enumerate(terms, 1)]])})))"
+
+
+def _cfrows(model: LogitSpec) -> str:
+    """Rows of the model ages with the counterfactual rate of a model."""
+    return f"""cfrows as (select r.YEAR, r.AGEGROUP, r.PERWT, r.AGE, {_rate(model, "ln(med.HCOSTRATIO)")} as NEWHR
+  from rows r left join med on r.AGEGROUP=med.AGEGROUP left join coef_{model.name} c on r.YEAR=c.YEAR
+  and r.AGEGROUP=c.AGEGROUP where r.AGE>=20 and r.AGE<=199)"""
+
+
+def rows(spark, sf_dir, years=None):
+    """Staged model rows of the years."""
+    return stage(cf.model_rows(prepared.analysis_people(spark, sf_dir), STATE, years))
 
 
 def formula_rows(spark, sf_dir):
@@ -68,7 +115,7 @@ def _(spark, sf_dir):
 
 @query("D23_baseline_cost_burden", "AGEGROUP:str HCOSTRATIO:d6", _USES, f"with {_ROWS},\n{_MEDIANS}\nselect * from med")
 def _(spark, sf_dir):
-    return cf.baseline_burden(rows(spark, sf_dir), BASE_YEAR, *AGES)
+    return cf.baseline_burden(rows(spark, sf_dir, (BASE_YEAR,)), BASE_YEAR, *AGES)
 
 
 @query("J10_counterfactual_replacement", "YEAR:int AGE:int AGEGROUP:str PERWT:int HCOSTRATIO:d6", _USES,
@@ -77,7 +124,7 @@ def _(spark, sf_dir):
        where r.YEAR=1999 and AGE>=20 and AGE<=199""")
 def _(spark, sf_dir):
     """Current rows with the cost ratio replaced by the baseline year's median of their age group."""
-    current = rows(spark, sf_dir).filter(F.col("AGE").between(*AGES))
+    current = rows(spark, sf_dir, (BASE_YEAR, NOW)).filter(F.col("AGE").between(*AGES))
     return cf.counterfactual_input(current, cf.baseline_burden(current, BASE_YEAR, *AGES), (NOW,))
 
 
@@ -110,11 +157,20 @@ def _(spark, sf_dir):
     return longer(scores, list(cf.CELL), ["intercept", *cf.FULL.terms], "term", "score")
 
 
-@query("D24_five_models", "YEAR:int AGEGROUP:str term:str value:d4", _USES)
+def _long_sql(model: LogitSpec) -> str:
+    return " union all ".join(f"select YEAR, AGEGROUP, '{model.coef(j)}' as term, case when moved<1e-6 then b{j} end as value "
+                              f"from coef_{model.name}" for j in range(model.size))
+
+
+@query("D24_five_models", "YEAR:int AGEGROUP:str term:str value:d4", _USES,
+       f"with recursive {_ROWS},\n{', '.join(newton(m) for m in cf.MODELS)}\nselect * from (\n"
+       + " union all ".join(_long_sql(m) for m in cf.MODELS) + ")")
 def _(spark, sf_dir):
-    """Coefficients of all five models for every year and age group."""
+    """Coefficients of all five models for every year and age group; missing where outcomes are separated."""
     coefs = cf.fit_models(rows(spark, sf_dir), *AGES)
-    return longer(coefs, list(cf.CELL), [c for c in coefs.columns if c not in cf.CELL], "term", "value")
+    settled = coefs.select(*cf.CELL, *[F.when(F.col(m.status) == "settled", F.col(m.coef(j))).alias(m.coef(j))
+                                       for m in cf.MODELS for j in range(m.size)])
+    return longer(settled, list(cf.CELL), [c for c in settled.columns if c not in cf.CELL], "term", "value")
 
 
 @query("M4_age_formula_predictions", "AGEGROUP:str rate:d4", _USES,
@@ -149,11 +205,20 @@ def _(spark, sf_dir):
     return cf.observed_rates(data, (BASE_YEAR, NOW))
 
 
+_ALL_RATES = ",\n".join(f"""cf_{m.name} as (with {_cfrows(m)} select AGEGROUP, sum(NEWHR*PERWT)/sum(PERWT) as {m.name}
+  from cfrows where YEAR=1999 group by 1)""" for m in cf.MODELS)
+_OBSERVED = "observed as (select AGEGROUP, " + ", ".join(
+    f'cast(sum(case when YEAR={y} then HEADSHIP*PERWT end) as double)/sum(case when YEAR={y} then PERWT end) as "{y}"'
+    for y in (BASE_YEAR, NOW)) + " from rows where AGE>=15 and YEAR in (1995, 1999) group by 1)"
+
+
 @query("D25_counterfactual_rates", "AGEGROUP:str age:d4 base:d4 family:d4 income_education:d4 full:d4 1995:d6 1999:d6",
-       _USES)
+       _USES, f"with recursive {_ROWS},\n{_MEDIANS},\n{', '.join(newton(m) for m in cf.MODELS)},\n{_ALL_RATES},\n{_OBSERVED}"
+       f"""\nselect * from cf_age {" ".join(f"left join cf_{m.name} using (AGEGROUP)" for m in cf.MODELS[1:])}
+       left join observed using (AGEGROUP)""")
 def _(spark, sf_dir):
     """Counterfactual headship by model beside the observed rates."""
-    staged = rows(spark, sf_dir)
+    staged = rows(spark, sf_dir, (BASE_YEAR, NOW))
     return keyed_join(_rates(staged, (NOW,), cf.MODELS), cf.observed_rates(staged, (BASE_YEAR, NOW)), ["AGEGROUP"])
 
 
@@ -181,7 +246,12 @@ def _decompose(spark, sf_dir, years, model):
 _BY_AGE_COLS = "baseline_year:int analysis_year:int AGEGROUP:str HH:bigint NEWHH:d{0} MISSINGHH:d{0}"
 
 
-@query("D26_target_households_by_age", _BY_AGE_COLS.format(1), _USES)
+_FULL = f"{newton(cf.FULL)},\n{_cfrows(cf.FULL)}"
+
+
+@query("D26_target_households_by_age", _BY_AGE_COLS.format(1), _USES,
+       f"""with recursive {_ROWS},\n{_MEDIANS},\n{_FULL},\n{_BY_AGE}
+       \nselect 1995 as baseline_year, YEAR as analysis_year, AGEGROUP, HH, NEWHH, MISSINGHH from byage where YEAR=1999""")
 def _(spark, sf_dir):
     return _decompose(spark, sf_dir, (NOW,), cf.FULL)[1]
 
@@ -210,7 +280,9 @@ _VARIABLES = ("target_hh current_hh missing_hh households vacancy_rate housing_u
               "uninhabitable_housing underproduction").split()
 
 
-@query("D27_decomposition_of_one_year", _SUMMARY_COLS.format(1), _USES)
+@query("D27_decomposition_of_one_year", _SUMMARY_COLS.format(1), _USES,
+       f"""with recursive {_ROWS},\n{_MEDIANS},\n{_FULL},\n{_BY_AGE},\n{_SUMMARY}
+       \nselect * from summary where analysis_year=1999""")
 def _(spark, sf_dir):
     return _decompose(spark, sf_dir, (NOW,), cf.FULL)[0]
 
@@ -222,26 +294,37 @@ def _(spark, sf_dir):
     return _decompose(spark, sf_dir, (NOW,), BASE)[0]
 
 
-@query("D28_decomposition_of_all_years", "baseline_year:int analysis_year:int variable:str value:d1", _USES)
+_LONG_SUMMARY = " union all ".join(f"select baseline_year, analysis_year, '{v}' as variable, cast({v} as double) as value "
+                                   "from summary" for v in _VARIABLES)
+
+
+@query("D28_decomposition_of_all_years", "baseline_year:int analysis_year:int variable:str value:d1", _USES,
+       f"with recursive {_ROWS},\n{_MEDIANS},\n{_FULL},\n{_BY_AGE},\n{_SUMMARY}\nselect * from ({_LONG_SUMMARY})")
 def _(spark, sf_dir):
     return cf.long_summary(_decompose(spark, sf_dir, YEARS, cf.FULL)[0])
 
 
 @query("D28_decomposition_of_all_years_base_model", "baseline_year:int analysis_year:int variable:str value:d3", _USES,
-       f"""with {_ROWS},\n{_MEDIANS},\n{_CF_BASE},\n{_BY_AGE},\n{_SUMMARY}\nselect * from ("""
-       + " union all ".join(f"select baseline_year, analysis_year, '{v}' as variable, cast({v} as double) as value "
-                            "from summary" for v in _VARIABLES) + ")")
+       f"""with {_ROWS},\n{_MEDIANS},\n{_CF_BASE},\n{_BY_AGE},\n{_SUMMARY}\nselect * from ({_LONG_SUMMARY})""")
 def _(spark, sf_dir):
     return cf.long_summary(_decompose(spark, sf_dir, YEARS, BASE)[0])
 
 
 def _scenarios(spark, sf_dir, model):
-    staged = rows(spark, sf_dir)
+    staged = rows(spark, sf_dir, (NOW,))
     coefs = cf.fit_models(staged, *AGES, (NOW,), (model,))
     return cf.fixed_ratio_scenarios(staged, coefs, (NOW,), (1.0, 0.1), *AGES, model)
 
 
-@query("D29_fixed_ratio_scenarios", "YEAR:int ratio:d2 missing_hh:d1", _USES)
+@query("D29_fixed_ratio_scenarios", "YEAR:int ratio:d2 missing_hh:d1", _USES,
+       f"""with recursive {_ROWS},\n{newton(cf.FULL)},
+       s as (select 1.0e0 as ratio union all select 0.1e0),
+       t as (select r.YEAR, r.AGEGROUP, ratio, sum(PERWT*{_rate(cf.FULL, "ln(ratio)")}) as NEWHH
+         from (select * from rows where YEAR=1999 and AGE>=20 and AGE<=199) r, s, coef_full c
+         where r.YEAR=c.YEAR and r.AGEGROUP=c.AGEGROUP group by 1,2,3),
+       actual as (select YEAR, AGEGROUP, sum(PERWT*HEADSHIP) as HH from rows where PERWT<>0 and AGE>=15 group by 1,2)
+       \nselect t.YEAR, ratio, sum(NEWHH-HH) as missing_hh from t join actual a on t.YEAR=a.YEAR
+       and t.AGEGROUP=a.AGEGROUP group by 1,2""")
 def _(spark, sf_dir):
     return _scenarios(spark, sf_dir, cf.FULL)
 

@@ -51,12 +51,13 @@ def query(name: str, cols: str, uses: str = "", sql: str | None = None):
         if sql is not None:
             ctes = [f"{v} as ({SQL[v]})" for v in uses.split()]
             body = sql.strip()
+            recursive = "recursive " if body.startswith("with recursive ") else ""
             if body.startswith("with "):
                 # further views end where the line with the final select starts
-                more, final = body[5:].rsplit("\nselect", 1)
+                more, final = body[5 + len(recursive):].rsplit("\nselect", 1)
                 ctes.append(more.strip())
                 body = "select" + final
-            head = f"with {', '.join(ctes)} " if ctes else ""
+            head = f"with {recursive}{', '.join(ctes)} " if ctes else ""
             chosen = ", ".join(_duck_column(*c) for c in spec)
             ORACLES[name] = f"{head}select {chosen} from ({body}) as result"
         return run

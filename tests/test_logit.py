@@ -92,6 +92,45 @@ def test_group_without_a_complete_row_has_no_coefficients(spark):
     assert got["a"][SPEC.coef(0)] is None and got["b"][SPEC.coef(0)] is not None
 
 
-def test_no_convergence_is_an_error(df):
-    with pytest.raises(RuntimeError):
-        fit_logit_by(df, ["g"], "y", "w", [SPEC], max_iter=2)
+def test_statuses(spark, df):
+    told = fit_logit_by(df, ["g"], "y", "w", [SPEC], max_iter=2).collect()
+    assert {r[SPEC.status] for r in told} == {"unsettled"}
+    data = [("sep", int(i >= 10), float(i >= 10), 1, 1) for i in range(20)] + [("none", 1, None, 1, 1)]
+    data += [("mixed", i % 2, float(i % 3), i % 2, 1 + i % 5) for i in range(40)] + [("fine", int(i % 7 < 3), float(i % 5), i % 2, 1) for i in range(70)]
+    t = spark.createDataFrame(data, "g string, y int, x double, z int, w int")
+    got = {r.g: r[SPEC.status] for r in fit_logit_by(t, ["g"], "y", "w", [SPEC]).collect()}
+    assert got["none"] == "empty" and got["fine"] == "settled" and got["sep"] == got["mixed"] == "separated"
+
+
+def test_coefficients_of_separated_groups_are_those_evaluated(spark):
+    """One more step would add about one to the slope; the same fit with a step less would differ."""
+    t = spark.createDataFrame([("sep", int(i >= 10), float(i >= 10), 1, 1) for i in range(20)], "g string, y int, x double, z int, w int")
+    r = fit_logit_by(t, ["g"], "y", "w", [SPEC]).first()
+    eta = [r[SPEC.coef(0)] + r[SPEC.coef(1)] * x for x in (0.0, 1.0)]
+    left = 10 * math.log1p(math.exp(eta[0])) + 10 * math.log1p(math.exp(-eta[1]))
+    # the first evaluated point whose likelihood is next to one
+    assert 1e-7 * 20 * math.log(2) < left <= 1e-6 * 20 * math.log(2)
+
+
+def test_closed_groups_are_not_read_again(spark, monkeypatch):
+    from tallyframe.operators import logit as module
+
+    staged, real = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda d: staged.append(real(d)) or staged[-1])
+    kept = []
+    monkeypatch.setattr(module, "release_staged", lambda d: kept.append(d))
+    data = [("easy", i % 2, 0.0, 0, 1) for i in range(300)]  # settles at once
+    data += [("hard", int(i % 5 == 0), float(i % 11), i % 2, 1 + i % 9) for i in range(100)]
+    t = spark.createDataFrame(data, "g string, y int, x double, z int, w int")
+    fit_logit_by(t, ["g"], "y", "w", [SPEC]).collect()
+    rows = [d for d in staged if "y" in d.columns]
+    assert len(rows) == 1 and {r.g for r in rows[0].select("g").distinct().collect()} == {"hard"}
+
+
+def test_many_groups(spark):
+    t = spark.range(200_000).selectExpr("id % 50000 as g", "int(id / 50000) as k").selectExpr(
+        "g", "int(k < 1 + g % 3) as y", "1 + g % 2 as w", "double(0) as x", "0 as z")
+    got = fit_logit_by(t, ["g"], "y", "w", [BARE]).withColumn(
+        "off", F.abs(1 / (1 + F.exp(-F.col(BARE.coef(0)))) - (1 + F.col("g") % 3) / 4))
+    r = got.agg(F.count("*").alias("n"), F.max("off").alias("off")).first()
+    assert r.n == 50_000 and r.off < 1e-9
