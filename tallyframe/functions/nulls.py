@@ -52,6 +52,11 @@ def strict_mean(c: Column) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
 
 
+def known(c: Column) -> Column:
+    """A number, or missing if it is NaN: the result of 0/0 is a missing value in comparisons and sums."""
+    return F.when(~F.isnan(c), c)
+
+
 def ratio(num: Column, den: Column) -> Column:
     """Floating-point division: x/0 is an infinity, 0/0 is NaN, missing stays missing."""
     num, den = num.cast("double"), den.cast("double")

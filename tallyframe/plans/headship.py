@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions import flag, if_else, ratio, strict_sum, sum0
-from tallyframe.functions.nulls import mean_numerator
+from tallyframe.functions.nulls import known, mean_numerator
 from tallyframe.operators.design import survey_mean
 from tallyframe.operators.reshape import wider
 from tallyframe.plans.housing import attach_area, person_design
@@ -43,7 +43,7 @@ def missing_households(cell_table: DataFrame, rate_keys: Sequence[str], baseline
     """``NEWHR, NEWHH_, HH, NEWHH, MISSINGHH`` per cell against the baseline-year rate of ``rate_keys``.
 
     The rate is a window aggregate over the cells, in which missing keys form a group like any other.
-    Without ``clamp`` the expected households are the target. With it they are the target only where it
+    A baseline of zero weight has no rate. Without ``clamp`` the expected households are the target. With it they are the target only where it
     holds and they exceed the actual ones, else the actual ones are.
     """
     group = Window.partitionBy(*rate_keys)
@@ -53,7 +53,7 @@ def missing_households(cell_table: DataFrame, rate_keys: Sequence[str], baseline
         whole = F.count(F.when(base, F.col(c))).over(group) == F.count(F.when(base, F.lit(1))).over(group)
         return F.when(whole, F.sum(F.when(base, F.col(c))).over(group))
 
-    rated = cell_table.withColumn("NEWHR", ratio(base_sum("heads"), base_sum("people")))
+    rated = cell_table.withColumn("NEWHR", known(ratio(base_sum("heads"), base_sum("people"))))
     expected = rated.withColumn("NEWHH_", F.col("NEWHR") * F.col("people"))
     target = F.col("NEWHH_") if clamp is None else if_else(
         clamp & (F.col("NEWHH_") > F.col("HH")), F.col("NEWHH_"), F.col("HH").cast("double"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions import (
     flag, if_else, in_set, not_in_set, percent_text, ratio, strict_sum,
 )
+from tallyframe.functions.nulls import known
 from tallyframe.operators.design import SurveyDesign, survey_counts
 from tallyframe.operators.joins import keyed_join
 from tallyframe.operators.totals import group_share
@@ -96,12 +97,14 @@ def state_totals(metro: DataFrame, label: str = "Statewide", vacancy_rate: float
                  mode: str = "recompute") -> DataFrame:
     """One row per year over all areas.
 
-    ``reference`` sums every column and skips missing values, as the published totals do: the vacancy
+    ``reference`` sums every column and skips missing values (NaN among them), as the published totals do: the vacancy
     rate there is a sum of rates, and years without a baseline show 0. ``recompute`` sums the counts
     (missing stays missing) and derives the rates and shortfall again from the sums.
     """
     if mode == "reference":
-        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in metro.columns if c not in ("YEAR", "msa")]
+        floating = {f.name for f in metro.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+        sums = [F.coalesce(F.sum(known(F.col(c)) if c in floating else F.col(c)), F.lit(0)).alias(c)
+                for c in metro.columns if c not in ("YEAR", "msa")]
         total = metro.groupBy("YEAR").agg(*sums)
     elif mode == "recompute":
         strict = ("HH", "NEWHH", "MISSINGHH")

@@ -25,10 +25,11 @@ def projected_population(table: DataFrame) -> DataFrame:
     adults = table.select(F.col("countyfips").alias("area_code"), "year", "age", "totalpopulation").filter(
         (F.col("area_code") == 0) & (F.col("age") >= 18))
     band = cut_id(F.col("age"), C.PROJECTION_BANDS, include_lowest=True)
-    # every person counts in their band and in the all-ages row
-    both = adults.withColumn("age_group_id", F.explode(F.array(band, F.lit(ALL_AGES))))
-    return both.groupBy("area_code", "year", "age_group_id").agg(
+    bands = adults.groupBy("area_code", "year", band.alias("age_group_id")).agg(
         strict_sum(F.col("totalpopulation")).alias("pop"))
+    # the few sums by band count in the all-ages row too
+    both = bands.withColumn("age_group_id", F.explode(F.array("age_group_id", F.lit(ALL_AGES))))
+    return both.groupBy("area_code", "year", "age_group_id").agg(strict_sum(F.col("pop")).alias("pop"))
 
 
 def projected_headship(households: DataFrame, population: DataFrame) -> DataFrame:

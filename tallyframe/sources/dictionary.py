@@ -13,21 +13,34 @@ _VAR = """_name string, _dcml string, _rectype string, _intrvl string, labl stri
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """One row per variable of an XML codebook: name, label, position, types, nested ``val_labels``."""
+    """One row per variable of an XML codebook: name, label, position, types, nested ``val_labels``.
+
+    A label has its code as written, and as a number (``val``) where it is one.
+    """
     raw = spark.read.format("xml").option("rowTag", "var").schema(_VAR).load(path)
     labels = F.transform("catgry", lambda c: F.struct(
-        c["catValu"].cast("int").alias("val"), c["labl"].alias("lbl")))
+        c["catValu"].try_cast("int").alias("val"), c["labl"].alias("lbl"), F.trim(c["catValu"]).alias("code")))
     return raw.select(
         F.col("_name").alias("var_name"), F.trim("labl").alias("var_label"),
         F.col("location._StartPos").alias("start"), F.col("location._width").alias("width"),
         F.coalesce(F.col("_dcml").cast("int"), F.lit(0)).alias("decimals"),
         F.col("_rectype").alias("rectypes"), F.col("varFormat._type").alias("format"),
-        F.coalesce(labels, F.array().cast("array<struct<val:int,lbl:string>>")).alias("val_labels"))
+        F.coalesce(labels, F.array().cast("array<struct<val:int,lbl:string,code:string>>")).alias("val_labels"))
 
 
 def value_labels(dictionary: DataFrame, variable: str) -> DataFrame:
-    """``val, lbl`` of one variable."""
-    return dictionary.filter(F.col("var_name") == variable).select(F.inline("val_labels"))
+    """``val, lbl`` of one variable with numeric codes."""
+    return _labels(dictionary, variable, "val").filter(F.col("val").isNotNull())
+
+
+def text_labels(dictionary: DataFrame, variable: str) -> DataFrame:
+    """``code, lbl`` of one variable, codes as written."""
+    return _labels(dictionary, variable, "code")
+
+
+def _labels(dictionary: DataFrame, variable: str, key: str) -> DataFrame:
+    nested = F.transform("val_labels", lambda v: F.struct(v[key].alias(key), v["lbl"].alias("lbl")))
+    return dictionary.filter(F.col("var_name") == variable).select(F.inline(nested))
 
 
 def dictionary_layout(dictionary: DataFrame) -> list[Field]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -20,14 +19,18 @@ class Field:
     rectypes: tuple[str, ...] = ()
     text: bool = False
 
+    def raw(self, line: Column) -> Column:
+        text = F.trim(F.substring(line, self.start, self.width))
+        return F.when(text != "", text)
+
     def column(self, line: Column) -> Column:
-        raw = F.trim(F.substring(line, self.start, self.width))
-        present = F.when(raw != "", raw)
+        """The typed value; blank, or no number where one is due, is missing (see :func:`malformed_fields`)."""
+        present = self.raw(line)
         if self.text:
             return present.alias(self.name)
         if self.decimals:
-            return (present.cast("long") / F.lit(10.0 ** self.decimals)).alias(self.name)
-        return present.cast("long" if self.width > 9 else "int").alias(self.name)
+            return (present.try_cast("long") / F.lit(10.0 ** self.decimals)).alias(self.name)
+        return present.try_cast("long" if self.width > 9 else "int").alias(self.name)
 
 
 def parse_records(lines: DataFrame, layout: Sequence[Field], line: str = "value") -> DataFrame:
@@ -35,6 +38,15 @@ def parse_records(lines: DataFrame, layout: Sequence[Field], line: str = "value"
     return lines.select(*[f.column(F.col(line)) for f in layout])
 
 
+def malformed_fields(lines: DataFrame, layout: Sequence[Field], line: str = "value") -> DataFrame:
+    """``field, n``: how many records hold something else than a number in a numeric field. Of a hierarchical
+    extract pass the lines of one record type with its fields."""
+    numeric = [f for f in layout if not f.text]
+    bad = [F.count(F.when(f.raw(F.col(line)).isNotNull() & f.column(F.col(line)).isNull(), 1)).alias(f.name) for f in numeric]
+    counted = lines.agg(*bad)
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("field"), F.col(f.name).alias("n")) for f in numeric])))
+
+
 def split_records(lines: DataFrame, layout: Sequence[Field], line: str = "value",
                   marker: str = "RECTYPE", kinds: tuple[str, str] = ("H", "P")) -> tuple[DataFrame, DataFrame]:
     """Household and person tables from interleaved records told apart by ``marker``."""
@@ -57,11 +69,12 @@ def read_rectangular(spark: SparkSession, path: str, layout: Sequence[Field]) ->
     return parse_records(spark.read.text(path), layout)
 
 
-def land(df: DataFrame, path: str, by: str = "YEAR") -> None:
-    """Write Parquet in one folder per year, so that year filters skip files and later reads only touch
+def land(df: DataFrame, path: str, by: str | Sequence[str] = "YEAR") -> None:
+    """Write Parquet in one folder per year (or more columns), so that year filters skip files and later reads only touch
     the columns asked for. Rebalancing brings a year's rows together into files of even size and splits
     a year that holds most of the rows over many tasks."""
-    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+    by = [by] if isinstance(by, str) else list(by)
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def land_bucketed(df: DataFrame, table: str, path: str, buckets: int,
@@ -77,23 +90,38 @@ def land_bucketed(df: DataFrame, table: str, path: str, buckets: int,
      .option("path", path).saveAsTable(table))
 
 
-def landed_or(spark: SparkSession, path: str, build: Callable[[], DataFrame], by: str = "YEAR") -> DataFrame:
-    """The landed copy if there is one; else ``build`` it, land it and read it back."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    land(build(), path, by)
+def landed_or(spark: SparkSession, path: str, build: Callable[[], DataFrame],
+              by: str | Sequence[str] = "YEAR") -> DataFrame:
+    """The landed copy if a whole one is there, which the marker of a finished write tells; else ``build`` it, land
+    it and read it back. What an interrupted landing has left is written over."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        land(build(), path, by)
     return spark.read.parquet(path)
 
 
 def land_extract(spark: SparkSession, data: str, layout: Sequence[Field], folder: str) -> tuple[DataFrame, DataFrame]:
     """Household and person tables of a hierarchical extract, landed under ``folder`` on first use.
 
-    Uncompressed text is split over tasks; a gzip file is one task, so unpack large ones first.
+    The text is parsed once, into one landing by record type and year in which a record leaves the other types'
+    fields empty; each table is read back from its part. Uncompressed text is split over tasks; a gzip file is
+    one task, so unpack large ones first.
     """
-    def table(at: int) -> Callable[[], DataFrame]:
-        return lambda: read_hierarchical(spark, data, layout)[at]
+    marker, kinds = "RECTYPE", ("H", "P")
+    tag = next(f for f in layout if f.name == marker)
 
-    return landed_or(spark, f"{folder}/household", table(0)), landed_or(spark, f"{folder}/person", table(1))
+    def build() -> DataFrame:
+        lines = spark.read.text(data)
+        kind = F.substring("value", tag.start, tag.width)
+        wide: dict[str, Column] = {}
+        for f in layout:
+            if f.name != marker:
+                here = f.column(F.col("value"))
+                own = F.when(kind.isin(*f.rectypes), here) if f.rectypes else here
+                wide[f.name] = F.coalesce(wide[f.name], own) if f.name in wide else own
+        return lines.filter(kind.isin(*kinds)).select(kind.alias(marker), *[c.alias(n) for n, c in wide.items()])
+
+    whole = landed_or(spark, f"{folder}/records", build, (marker, "YEAR"))
+    tables = [whole.filter(F.col(marker) == k).select(*dict.fromkeys(
+        f.name for f in layout if not f.rectypes or k in f.rectypes)) for k in kinds]
+    return tables[0], tables[1]

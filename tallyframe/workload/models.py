@@ -184,6 +184,20 @@ def _(spark, sf_dir):
     return told.groupBy("AGEGROUP").agg(fn.weighted_mean(F.col("NEWHR"), F.col("PERWT")).alias("rate"))
 
 
+@query("M4_formula_with_interactions", "AGEGROUP:str MARRIED:int rows:bigint told:bigint rate:d4", _USES,
+       f"""with {_ROWS}\nselect AGEGROUP, MARRIED, count(*) as rows, count(MARRIED) as told,
+       case when MARRIED is not null then cast(sum(HEADSHIP*PERWT) as double)/sum(PERWT) end as rate from fitrows
+       where YEAR=1999 group by 1,2""")
+def _(spark, sf_dir):
+    """A formula with an interaction reproduces the weighted mean of every combination; rows that lack a covariate
+    get no rate."""
+    data = formula_rows(spark, sf_dir)
+    formula = "HEADSHIP ~ AGEGROUP * MARRIED"
+    told = predict_formula(fit_formula(data, formula, "PERWT"), data, formula, "NEWHR")
+    return told.groupBy("AGEGROUP", "MARRIED").agg(F.count("*").alias("rows"), F.count("NEWHR").alias("told"), F.when(
+        F.col("MARRIED").isNotNull(), fn.weighted_mean(F.col("NEWHR"), F.col("PERWT"))).alias("rate"))
+
+
 _CF_BASE = f"""{_newton()},
 cfrows as (select r.YEAR, r.AGEGROUP, r.PERWT, r.AGE, 1/(1+exp(-(a+b*ln(med.HCOSTRATIO)))) as NEWHR
   from rows r left join med on r.AGEGROUP=med.AGEGROUP left join coef on r.YEAR=coef.YEAR and r.AGEGROUP=coef.AGEGROUP

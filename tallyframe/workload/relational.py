@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe import functions as fn
@@ -9,10 +11,11 @@ from tallyframe.operators import (
     across, full_join, group_share, keyed_join, longer, matching, natural_join, relocate, union_fill,
     wider, with_missing_years,
 )
-from tallyframe.plans import housing, people, prices, projections, vacancy
-from tallyframe.session import scratch_path
+from tallyframe.plans import codes, housing, people, prices, projections, vacancy
+from tallyframe.session import scratch_path, stage
 from tallyframe.sources import (
-    Field, landed_or, parse_records, read_csv, read_dictionary, split_records, value_labels, write_csv,
+    Field, landed_or, malformed_fields, read_csv, read_dictionary, read_hierarchical, read_rectangular, read_table,
+    text_labels, value_labels, write_csv,
 )
 from tallyframe.workload import views
 from tallyframe.workload.registry import query
@@ -52,10 +55,11 @@ _RECTYPE = Field("RECTYPE", 1, 1, text=True)
        sum(INCTOT) as income from hh left join pp on hh.SERIAL=pp.SERIAL and hh.YEAR=pp.YEAR
        group by 1,2,3,4,5""")
 def _(spark, sf_dir):
-    """Fixed-width household and person records in one stream, split by record type and parsed."""
-    stream = _lines(views.households(spark, sf_dir), "H", _H_LAYOUT).union(
-        _lines(views.persons(spark, sf_dir), "P", _P_LAYOUT))
-    h, p = split_records(stream, [_RECTYPE, *_fields(_H_LAYOUT, "H"), *_fields(_P_LAYOUT, "P")])
+    """Text files of household and person records in one stream, split by record type and parsed."""
+    path = scratch_path(spark, "hierarchical")
+    _lines(views.households(spark, sf_dir), "H", _H_LAYOUT).union(
+        _lines(views.persons(spark, sf_dir), "P", _P_LAYOUT)).write.text(path)
+    h, p = read_hierarchical(spark, path, [_RECTYPE, *_fields(_H_LAYOUT, "H"), *_fields(_P_LAYOUT, "P")])
     per = p.groupBy("YEAR", "SERIAL").agg(F.count("*").alias("members"), F.sum("AGE").alias("ages"),
                                           F.sum("INCTOT").alias("income"))
     return keyed_join(h, per, ["YEAR", "SERIAL"], nullable=()).withColumn(
@@ -65,8 +69,22 @@ def _(spark, sf_dir):
 @query("S2_rectangular_records", "YEAR:int SERIAL:bigint PERNUM:int AGE:int INCTOT:bigint", "pp",
        "select YEAR, SERIAL, PERNUM, AGE, INCTOT from pp")
 def _(spark, sf_dir):
-    lines = _lines(views.persons(spark, sf_dir), "P", _P_LAYOUT)
-    return parse_records(lines, _fields(_P_LAYOUT, "P"))
+    path = scratch_path(spark, "rectangular")
+    _lines(views.persons(spark, sf_dir), "P", _P_LAYOUT).write.text(path)
+    return read_rectangular(spark, path, _fields(_P_LAYOUT, "P"))
+
+
+@query("S2_malformed_fields", "field:str n:bigint", "pp",
+       """select 'AGE' as field, count(*) as n from pp where AGE=33 union all
+       select 'INCTOT', count(*) from pp where INCTOT=9999999""")
+def _(spark, sf_dir):
+    """Fields that are not numbers are missing and counted."""
+    path = scratch_path(spark, "malformed")
+    spoiled = views.persons(spark, sf_dir).withColumns({
+        "AGE": F.when(F.col("AGE") == 33, "3x").otherwise(F.col("AGE").cast("string")),
+        "INCTOT": F.when(F.col("INCTOT") == 9999999, "99 99").otherwise(F.col("INCTOT").cast("string"))})
+    _lines(spoiled, "P", _P_LAYOUT).write.text(path)
+    return malformed_fields(spark.read.text(path), _fields(_P_LAYOUT, "P")).filter("n > 0")
 
 
 @query("S4_value_labels", "val:int lbl:str units:bigint", "hh dict",
@@ -94,6 +112,18 @@ def _(spark, sf_dir):
     return read_dictionary(spark, path).withColumn("labels", F.size("val_labels"))
 
 
+@query("S3_text_categories", "code:str lbl:str", "",
+       "select n_name as code, concat('Label of ', n_name) as lbl from nation")
+def _(spark, sf_dir):
+    """A codebook whose categories are text keeps their codes as text."""
+    path = scratch_path(spark, "codebook")
+    category = F.struct(F.col("n_name").alias("catValu"), F.concat(F.lit("Label of "), "n_name").alias("labl"))
+    spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy(F.lit("NATION").alias("_name")).agg(
+        F.collect_list(category).alias("catgry")).write.format("xml").option("rowTag", "var").option(
+        "rootTag", "dataDscr").save(path)
+    return text_labels(read_dictionary(spark, path), "NATION")
+
+
 _MONEY = "YEAR:int SERIAL:bigint VACDUR:int HHINCOME:int price:d2 day:date"
 
 
@@ -127,7 +157,11 @@ def _(spark, sf_dir):
        """select area_code, year, age_group_id, age_group_description as age_group, total_households as hh
        from ph where area_code=0 and household_type_id=0""")
 def _(spark, sf_dir):
-    return projections.projected_households(views.projection_households(spark, sf_dir))
+    """A table written to files, registered, and read with its filters and columns pushed to the scan."""
+    path, name = scratch_path(spark, "projection"), f"projection_{uuid.uuid4().hex}"
+    views.projection_households(spark, sf_dir).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView(name)
+    return projections.projected_households(read_table(spark, name))
 
 
 @query("S7_literal_year_table", "YEAR:int n:bigint", "hh",
@@ -165,13 +199,14 @@ def _(spark, sf_dir):
 _KEPT = "YEAR SERIAL CBSERIAL SAMPLE STATEFIP MET2013 PUMA GQ VACANCY VACDUR KITCHEN PLUMBING OWNERSHP"
 
 
-@query("P3_drop_columns", "YEAR:int SERIAL:bigint kept:int", "hh",
-       f"select YEAR, SERIAL, {len(_KEPT.split())} as kept from hh")
+@query("P3_drop_columns", "YEAR:int SERIAL:bigint kept:str", "hh",
+       f"""select YEAR, SERIAL, concat_ws('|', {", ".join(f"coalesce(cast({c} as varchar), '-')" for c in _KEPT.split())}) as kept
+       from hh""")
 def _(spark, sf_dir):
-    """Dropping by name and by pattern leaves the expected number of columns."""
+    """Dropping by name and by pattern: the values of all columns that are left, in their order."""
     hh = views.households(spark, sf_dir)
     left = hh.drop("OWNCOST", "RENTGRS", "HHINCOME", *matching(hh, "^(HHWT|REPWT[0-9]+)$"))
-    return left.withColumn("kept", F.lit(len(left.columns)))
+    return left.withColumn("kept", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in left.columns]))
 
 
 @query("P4_rename", "MET2013:int msa:str", "lab", "select val as MET2013, lbl as msa from lab")
@@ -179,14 +214,15 @@ def _(spark, sf_dir):
     return views.area_labels(spark, sf_dir).withColumnsRenamed({"val": "MET2013", "lbl": "msa"})
 
 
-@query("P5_relocate", "YEAR:int MET2013:int msa:str position:int", "hh lab",
-       """select YEAR, MET2013, lbl as msa, 7 as position from hh left join lab
-       on MET2013 is not distinct from val""")
+@query("P5_relocate", "SERIAL:bigint row:str", "hh lab",
+       """select SERIAL, concat_ws('|', STATEFIP, coalesce(cast(MET2013 as varchar), '-'), coalesce(lbl, '-'), PUMA) as row
+       from hh left join lab on MET2013 is not distinct from val""")
 def _(spark, sf_dir):
-    """The area name moved behind its code; its position is reported (from 1)."""
+    """The area name moved behind its code: the values of the fifth to the eighth column in their order."""
     moved = relocate(housing.attach_area(views.households(spark, sf_dir), views.area_labels(spark, sf_dir)),
                      "msa", after="MET2013")
-    return moved.withColumn("position", F.lit(moved.columns.index("msa") + 1))
+    return moved.select("SERIAL", F.concat_ws("|", *[
+        F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in moved.columns[4:8]]).alias("row"))
 
 
 @query("P6_select_by_pattern", "YEAR:int replicates:int r1:bigint r80:bigint", "hh",
@@ -333,14 +369,16 @@ def _(spark, sf_dir):
        left join c on a.YEAR=c.YEAR and a.msa is not distinct from c.msa""")
 def _(spark, sf_dir):
     """Aggregates joined one after another on their common columns, missing area matching missing."""
-    u = units(spark, sf_dir)
+    kinds = ("SEASONAL", "UNINHABITABLE")
+    # the units are read once; the joined tables are parts of their few sums
+    sums = stage(units(spark, sf_dir).groupBy("YEAR", "msa", *kinds).agg(F.sum("HHWT").alias("w")))
 
     def total(rows, name):
-        return rows.groupBy("YEAR", "msa").agg(F.sum("HHWT").alias(name))
+        return rows.groupBy("YEAR", "msa").agg(F.sum("w").alias(name))
 
-    out = total(u, "a")
-    for name, cond in (("b", "SEASONAL"), ("c", "UNINHABITABLE")):
-        out = natural_join(out, total(u.filter(cond), name))
+    out = total(sums, "a")
+    for name, cond in zip("bc", kinds):
+        out = natural_join(out, total(sums.filter(cond), name))
     return out
 
 
@@ -471,11 +509,28 @@ def _(spark, sf_dir):
 
 # --- sort, union, reshape --------------------------------------------------------------------------
 
-@query("O1_sort_missing_last", "YEAR:int msa:str n:bigint", "hh lab",
-       f"with {UNITS}\nselect YEAR, msa, count(*) as n from units group by 1,2 order by 1,2 nulls last")
+@query("O1_sort_missing_last", "place:int YEAR:int msa:str n:bigint", "hh lab",
+       f"""with {UNITS}
+       \nselect row_number() over (order by YEAR, msa nulls last) as place, YEAR, msa, n
+       from (select YEAR, msa, count(*) as n from units group by 1,2)""")
+def _(spark, sf_dir):
+    """Sorted rows written as delimited files: their order in the files is the place compared."""
+    path = scratch_path(spark, "sorted")
+    n = units(spark, sf_dir).groupBy("YEAR", "msa").agg(F.count("*").alias("n"))
+    write_csv(n.orderBy(F.asc_nulls_last("YEAR"), F.asc_nulls_last("msa")), path)
+    lines = read_csv(spark, path, "YEAR int, msa string, n long").withColumn("file", F.input_file_name()).withColumn(
+        "line", F.monotonically_increasing_id())
+    return lines.withColumn("place", F.row_number().over(Window.orderBy("file", "line")))
+
+
+@query("K2_staged_result_used_twice", "YEAR:int units:bigint share:d9", "hh",
+       """with t as (select YEAR, sum(HHWT) as units from hh group by 1)
+       \nselect YEAR, units, cast(units as double)/(select sum(units) from t) as share from t""")
 def _(spark, sf_dir):
-    return units(spark, sf_dir).groupBy("YEAR", "msa").agg(F.count("*").alias("n")).orderBy(
-        F.asc_nulls_last("YEAR"), F.asc_nulls_last("msa"))
+    """A staged table read twice: the yearly sums, and their total joined back."""
+    t = stage(views.households(spark, sf_dir).groupBy("YEAR").agg(F.sum("HHWT").alias("units")))
+    whole = t.agg(F.sum("units").alias("all_units")).withColumn("one", F.lit(1))
+    return t.withColumn("one", F.lit(1)).join(whole, "one").withColumn("share", fn.ratio(F.col("units"), F.col("all_units")))
 
 
 @query("U1_union_by_name", "YEAR:int GQ:int VACANCY:int n:bigint", "hh",
@@ -558,7 +613,7 @@ def _(spark, sf_dir):
        when AGE<=64 then 3 else 4 end as age_group_id from pp""")
 def _(spark, sf_dir):
     return views.persons(spark, sf_dir).withColumn(
-        "age_group_id", fn.cut_id(F.col("AGE"), (18, 24, 44, 64, float("inf")), include_lowest=True))
+        "age_group_id", fn.cut_id(F.col("AGE"), codes.PROJECTION_BANDS, include_lowest=True))
 
 
 @query("X4_labelled_bins", "SERIAL:bigint burden:str", "hh",
@@ -567,7 +622,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     ratio = F.col("RENTGRS").cast("double") / 2000
     return views.households(spark, sf_dir).withColumn(
-        "burden", fn.cut(ratio, (0, 0.35, 0.60, float("inf")), labels=("0-35%", "35-60%", ">60%")))
+        "burden", fn.cut(ratio, codes.BURDEN_BREAKS, labels=codes.BURDEN_LABELS))
 
 
 @query("X5_choice_with_missing_condition", "SERIAL:bigint spell:str", "hh",
@@ -612,6 +667,17 @@ def _(spark, sf_dir):
     return group_share(t, "n").withColumn("share", fn.percent_text(F.col("share")))
 
 
+@query("X10_percent_text_of_ties", "SERIAL:bigint share:str", "hh",
+       """select SERIAL, printf('%.2f%%', x) as share from (select SERIAL, case SERIAL%5 when 0 then 0.125e0 when 1 then 1.005e0
+       when 2 then 2.675e0 when 3 then -HHINCOME/8.0e0 else HHWT/1000.0e0 end as x from hh)""")
+def _(spark, sf_dir):
+    """Ties, and numbers that only look like ties."""
+    k = F.col("SERIAL") % 5
+    x = (F.when(k == 0, 0.125).when(k == 1, 1.005).when(k == 2, 2.675).when(k == 3, -F.col("HHINCOME") / 8.0)
+         .otherwise(F.col("HHWT") / 1000.0))
+    return views.households(spark, sf_dir).withColumn("share", fn.percent_text(x))
+
+
 @query("X11_title_case", "r_name:str title:str", "",
        "select r_name, concat(upper(substr(r_name,1,1)), lower(substr(r_name,2))) as title from region "
        "where strpos(r_name,' ')=0 union all select r_name, 'Middle East' from region where strpos(r_name,' ')>0")

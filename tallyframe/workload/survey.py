@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tallyframe import functions as fn
 from tallyframe.operators import (
-    across, append_totals, survey_count, survey_counts, survey_mean, weighted_median,
+    SurveyDesign, across, append_totals, keyed_join, survey_count, survey_counts, survey_mean, weighted_median,
 )
 from tallyframe.plans import codes, headship, housing
 from tallyframe.session import stage
@@ -30,7 +32,10 @@ def _(spark, sf_dir):
 @query("A2_survey_count_se", "YEAR:int msa:str n:bigint n_se:d6", "hh lab",
        f"with {UNITS}\nselect YEAR, msa, sum(HHWT) as n, {se(HW, HR)} as n_se from units group by 1,2")
 def _(spark, sf_dir):
-    return survey_count(housing.household_design(prepared.named_units(spark, sf_dir)), ["YEAR", "msa"])
+    """Summed by area code first; names meet the few sums."""
+    design = housing.household_design(prepared.units(spark, sf_dir)).collapse("YEAR", "MET2013")
+    named = replace(design, df=housing.attach_area(design.df, views.area_labels(spark, sf_dir)))
+    return survey_count(named, ["YEAR", "msa"])
 
 
 def _mean_se(y: str, w: str, reps: list[str]) -> str:
@@ -58,6 +63,15 @@ def _(spark, sf_dir):
     return survey_mean(housing.person_design(views.persons(spark, sf_dir)), ["YEAR"], "NCHILD")
 
 
+@query("M2_weights_only_design", "YEAR:int n:bigint replicate_n:bigint", "hh",
+       "select YEAR, sum(HHWT) as n, sum(HHWT) as replicate_n from hh group by 1")
+def _(spark, sf_dir):
+    """The weights alone give the same estimate as the design with replicates."""
+    hh = views.households(spark, sf_dir)
+    alone = survey_count(SurveyDesign(hh, "HHWT", (), 0.0), ["YEAR"]).select("YEAR", "n")
+    return keyed_join(alone, survey_count(housing.household_design(hh), ["YEAR"], "replicate_n"), ["YEAR"])
+
+
 @query("A4_weighted_mean", "YEAR:int AGE:d6", "pp",
        "select YEAR, cast(sum(AGE*PERWT) as double)/sum(PERWT) as AGE from pp group by 1")
 def _(spark, sf_dir):

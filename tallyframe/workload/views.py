@@ -20,7 +20,7 @@ _HOUSEHOLD = {
     "CBSERIAL": "o_orderkey*10",
     "SAMPLE": "cast(year(o_orderdate)*100+1 as int)",
     "STATEFIP": "case when o_custkey%10=0 then 4 else 8 end",
-    "MET2013": "case when year(o_orderdate) in (1996,1997) then null else cast(c_nationkey%7 as int) end",
+    "MET2013": "case when year(o_orderdate) in (1996,1997) then null else cast(c_nationkey as int) end",
     "PUMA": "cast(o_custkey%5 as int)",
     "GQ": "cast(o_orderkey%6 as int)",
     "VACANCY": "cast(floor(o_orderkey/6)%8 as int)",
@@ -88,13 +88,13 @@ def cpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def area_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "nation").filter("n_nationkey<7").selectExpr(
+    return _read(spark, sf_dir, "nation").selectExpr(
         "n_nationkey as val", "n_name as lbl")
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested labels per variable, as read from a codebook."""
-    flat = _read(spark, sf_dir, "nation").filter("n_nationkey<7").selectExpr(
+    flat = _read(spark, sf_dir, "nation").selectExpr(
         "'MET2013' as var_name", "n_nationkey as val", "n_name as lbl").unionByName(
         _read(spark, sf_dir, "region").selectExpr(
             "'REGION' as var_name", "r_regionkey as val", "r_name as lbl"))
@@ -126,9 +126,9 @@ SQL = {
     "hh": f"select {_select(_HOUSEHOLD)} from orders join customer on o_custkey=c_custkey",
     "pp": f"select {_select(_PERSON)} from lineitem join orders on l_orderkey=o_orderkey",
     "cpi": f"select distinct {_select(_CPI)} from orders",
-    "lab": "select n_nationkey as val, n_name as lbl from nation where n_nationkey<7",
-    "dict": "select 'MET2013' as var_name, n_nationkey as val, n_name as lbl from nation where "
-            "n_nationkey<7 union all select 'REGION', r_regionkey, r_name from region",
+    "lab": "select n_nationkey as val, n_name as lbl from nation",
+    "dict": "select 'MET2013' as var_name, n_nationkey as val, n_name as lbl from nation "
+            "union all select 'REGION', r_regionkey, r_name from region",
     "ph": "select cast(floor(c_custkey/40)%2 as int) as area_code, cast(1998+c_custkey%8 as int) as year, "
           "cast(c_custkey%5 as int) as age_group_id, cast(floor(c_custkey/80)%2 as int) as household_type_id, "
           "concat('group ', cast(c_custkey%5 as varchar)) as age_group_description, "

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import LogitSpec
-from tallyframe.operators import logit as logit_module
 from tallyframe.plans import counterfactual as cf
 from tests.conftest import rows
 
@@ -90,10 +89,3 @@ def test_unit_scalars(spark):
         "YEAR int, STATEFIP int, VACANCY int, HHWT int, SEASONAL boolean, UNINHABITABLE boolean")
     r = cf.unit_scalars(units, 8).collect()[0]
     assert (r.HOUSEHOLDS, r.HU, r.SEASONAL, r.UNINHABITABLE) == (5, 14, 2, 0)
-
-
-def test_too_many_groups_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(logit_module, "MAX_GROUPS", 2)
-    t = spark.range(9).selectExpr("id as g", "1 as y", "1 as w")
-    with pytest.raises(ValueError):
-        logit_module.fit_logit_by(t, ["g"], "y", "w", [LogitSpec("m")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import keyed_join, survey_counts
 from tallyframe.plans import headship, housing, people
-from tallyframe.session import stage
+from tallyframe.session import release_staged, shared_folder, stage, staging
 from tallyframe.sources import land_bucketed
 from tallyframe.workload import catalog, views
 
@@ -66,13 +66,39 @@ def test_missing_safe_join_is_still_a_hash_or_merge_join(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-def test_state_rows_reuse_the_area_rows(spark):
-    def scans(name):
-        df = catalog.queries()[name](spark, SF_DIR)
-        df.collect()
-        return plan(df).split("== Initial Plan ==")[0].count("Scan parquet")
+def test_state_rows_come_from_the_area_rows(spark):
+    text = plan(catalog.queries()["D12_all_totals_recomputed"](spark, SF_DIR))
+    files = re.findall(r"FileScan parquet[^\n]*", text)
+    assert len(files) == 2 and all("/staged-" in f for f in files)
 
-    assert scans("D12_all_totals_recomputed") == scans("D10_metro_totals")
+
+def test_report_is_sorted(spark):
+    found = [(r.msa == "Statewide", r.YEAR, r.msa is None, r.msa or "")
+             for r in catalog.queries()["D12_all_totals_recomputed"](spark, SF_DIR).collect()]
+    assert found == sorted(found) and found[-1][0]
+
+
+def test_names_meet_sums_only(spark):
+    """The label join stands above the first aggregation, so records with 81 weights are not shuffled for it."""
+    text = plan(catalog.queries()["A2_survey_count_se"](spark, SF_DIR)).split("\n")
+    last_join = max(i for i, line in enumerate(text) if "Join" in line and "MET2013" in line)
+    assert any("HashAggregate" in line for line in text[last_join:])
+
+
+def test_bands_are_summed_before_the_all_ages_row(spark):
+    text = plan(catalog.queries()["D18_projected_headship"](spark, SF_DIR))
+    generate = text.index("Generate explode")
+    assert "sum(totalpopulation" in text[generate:]
+
+
+def test_filters_of_a_table_read_are_pushed(spark):
+    text = plan(catalog.queries()["S6_table_scan_pushed"](spark, SF_DIR))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(area_code,0\)[^\]]*EqualTo\(household_type_id,0\)", text)
+
+
+@pytest.mark.parametrize("name", ["D10_metro_totals", "A2_survey_count_se", "D19_survey_against_projection", "J6_chained_natural_joins"])
+def test_no_round_robin_exchange(spark, name):
+    assert "RoundRobin" not in plan(catalog.queries()[name](spark, SF_DIR))
 
 
 @pytest.mark.parametrize("name", ["D10_metro_totals", "D12_all_totals_recomputed", "D14_long_run_vacancy_shortfall",
@@ -106,10 +132,37 @@ def test_bucketed_tables_join_without_a_shuffle(spark, landed, tmp_path):
         spark.sql("drop table if exists b_persons")
 
 
-def test_staged_tables_go_to_the_named_folder(spark):
+def folders(spark):
+    where = shared_folder(spark).removeprefix("file:")
+    return set(os.listdir(where)) if os.path.isdir(where) else set()
+
+
+def test_staged_tables_go_to_the_shared_folder(spark):
+    before = folders(spark)
     staged = stage(spark.range(10).withColumn("v", F.col("id") * 2))
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    assert f"{named}/staged-" in plan(staged) and staged.count() == 10
+    assert f"{shared_folder(spark)}/staged-" in plan(staged) and staged.count() == 10
+    assert len(folders(spark) - before) == 1
+    release_staged(staged)
+    assert folders(spark) == before
+
+
+@pytest.mark.parametrize("name", ["A8_weighted_median", "D27_decomposition_of_one_year_base_model", "S8_landed_copy_by_year"])
+def test_nothing_staged_is_left_behind(spark, name):
+    before = folders(spark)
+    with staging():
+        assert catalog.queries()[name](spark, SF_DIR).collect()
+        assert folders(spark) - before
+    assert folders(spark) == before
+
+
+def test_no_shared_folder_is_an_error(spark, monkeypatch):
+    class Nothing:
+        conf = {}
+        sparkContext = type("C", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    Nothing.conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+    with pytest.raises(ValueError):
+        shared_folder(Nothing)
 
 
 def test_cells_equal_the_sum_over_persons(spark, landed):

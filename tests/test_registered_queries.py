@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from tallyframe.workload import catalog
 from tallyframe.workload.check import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -12,8 +13,9 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 MODEL_SF_DIR = os.environ.get("TEST_MODEL_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not (os.path.isdir(SF_DIR) and os.path.isdir(MODEL_SF_DIR)),
                                 reason="test tables not present")
-# those without SQL run the same code as their base-model twins, with more covariates
-CHECKED = sorted(n for n in contract.queries() if n in contract.oracle_sql())
+#: Fits of many parameters, with the SQL steps of which the smallest tables' few rows per group do not settle.
+MODELS = tuple(n for n in catalog.queries() if n.endswith("_model") or n.split("_")[0] in ("D24", "D25", "D26", "D27", "D28", "D29"))
+CHECKED = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +25,8 @@ def duck():
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query(spark, duck, name):
-    sf_dir = MODEL_SF_DIR if name.endswith("_model") else SF_DIR
-    ok, note = compare(spark, duck[sf_dir], sf_dir, contract.queries()[name], contract.oracle_sql().get(name))
+    sf_dir = MODEL_SF_DIR if name in MODELS else SF_DIR
+    ok, note = compare(spark, duck[sf_dir], sf_dir, catalog.queries()[name], catalog.oracle_sql()[name])
     assert ok, note
 
 

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.sources import (
-    dictionary_layout, land, land_extract, landed_or, literal_table, read_csv, read_dictionary, read_hierarchical,
-    read_rectangular, read_table, value_labels, write_csv,
+    dictionary_layout, land, land_extract, landed_or, literal_table, malformed_fields, read_csv, read_dictionary,
+    read_hierarchical, read_rectangular, read_table, text_labels, value_labels, write_csv,
 )
 from tests.conftest import rows
 
@@ -69,6 +69,37 @@ def test_landed_copy_is_used_when_there(spark, extract, tmp_path):
     assert rows(landed_or(spark, path, build).select("SERIAL", "YEAR")) == first and built == [1]
 
 
+def test_interrupted_landing_is_written_again(spark, extract, tmp_path):
+    layout = dictionary_layout(read_dictionary(spark, extract[0]))
+    path = tmp_path / "half"
+    land(read_hierarchical(spark, extract[1], layout)[0].limit(1), str(path))
+    (path / "_SUCCESS").unlink()
+    assert landed_or(spark, str(path), lambda: read_hierarchical(spark, extract[1], layout)[0]).count() == 3
+
+
+def test_odd_fields_and_categories(spark, tmp_path):
+    book = CODEBOOK.replace("<catValu>0</catValu>", "<catValu>1A</catValu>")
+    (tmp_path / "book.xml").write_text(book)
+    (tmp_path / "data.dat").write_text("\n".join([*RECORDS, "P2001000000000x 1x", "P20010000000004 9x"]) + "\n")
+    d = read_dictionary(spark, str(tmp_path / "book.xml"))
+    assert rows(value_labels(d, "GQ")) == [(1, "Household")]
+    assert rows(text_labels(d, "GQ")) == [("1", "Household"), ("1A", "Vacant")]
+    layout = dictionary_layout(d)
+    persons = read_hierarchical(spark, str(tmp_path / "data.dat"), layout)[1]
+    assert rows(persons.filter("YEAR = 2001").select("SERIAL", "AGE")) == [(3, None), (4, None), (None, None)]
+    lines = spark.read.text(str(tmp_path / "data.dat")).filter("value like 'P%'")
+    own = [f for f in layout if not f.rectypes or "P" in f.rectypes]
+    assert {r.field: r.n for r in malformed_fields(lines, own).collect()} == {"YEAR": 0, "SERIAL": 1, "AGE": 2}
+
+
+def test_extract_is_parsed_once(spark, extract, tmp_path):
+    layout = dictionary_layout(read_dictionary(spark, extract[0]))
+    h, p = land_extract(spark, extract[1], layout, str(tmp_path / "once"))
+    assert h.columns == ["RECTYPE", "YEAR", "SERIAL", "GQ", "HHWT"] and p.columns == ["RECTYPE", "YEAR", "SERIAL", "AGE"]
+    plan = p.filter("YEAR = 2001")._jdf.queryExecution().executedPlan().toString()
+    assert "RECTYPE" in plan.split("PartitionFilters: ")[1].split("]")[0] and "text" not in plan
+
+
 def test_extract_is_landed_whole(spark, extract, tmp_path):
     layout = dictionary_layout(read_dictionary(spark, extract[0]))
     folder = str(tmp_path / "extract")
