@@ -27,7 +27,7 @@ def transform(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndar
         c[:n - k] = text[k:]
         c[left < k] = 0
         key = key << np.uint64(9) | c
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = _ranks(key[order], order)
     known = _PACK
     while known < depth:
@@ -35,14 +35,16 @@ def transform(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndar
         after[:n - known] = rank[known:] + 1
         after[left < known] = 0
         both = rank * (n + 1) + after
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         rank = _ranks(both[order], order)
         known *= 2
-    before = text[order - 1]
-    before[np.isin(order, starts, assume_unique=True)] = 0
-    first = np.empty(n, dtype=np.int64)
-    first[np.argsort(before, kind="stable")] = np.arange(n)
-    return order, before, first
+    before = np.empty_like(text)
+    before[1:] = text[:-1]
+    before[starts] = 0
+    before = before[order]
+    first = np.empty(n, dtype=np.int32)
+    first[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
+    return order.astype(np.int32), before, first
 
 
 def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -60,16 +62,16 @@ def repeated(strings: np.ndarray, starts: np.ndarray, depth: int, shard: int) ->
         end = max(at + 1, int(np.searchsorted(starts, starts[at] + shard)))
         low, high = starts[at], starts[end] if end < len(starts) else len(strings)
         order, before, first = transform(strings[low:high], starts[at:end] - low, depth)
-        suffixes.append(order + low)
+        suffixes.append(order + np.int32(low))
         befores.append(before)
-        firsts.append(first + low)
+        firsts.append(first + np.int32(low))
         at = end
     if not suffixes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     suffix, before, first = np.concatenate(suffixes), np.concatenate(befores), np.concatenate(firsts)
     if before.max(initial=0) < 256:
         before = before.astype(np.uint8)
-    rows, block = np.arange(len(suffix)), np.zeros(len(suffix), dtype=np.int64)
+    rows, block = np.arange(len(suffix), dtype=np.int32), np.zeros(len(suffix), dtype=np.int32)
     for _ in range(depth):
         c = before[rows]
         going = np.flatnonzero(c > 0)
@@ -79,7 +81,7 @@ def repeated(strings: np.ndarray, starts: np.ndarray, depth: int, shard: int) ->
             break
         new = np.ones(len(rows), dtype=bool)
         new[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new) - 1
+        block = np.cumsum(new, dtype=np.int32) - 1
         alone = new & np.append(new[1:], True)
         rows, block = rows[~alone], block[~alone]
-    return suffix[rows], block
+    return suffix[rows].astype(np.int64), block

@@ -2,7 +2,8 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id.
 
-1. Texts are written as runs (documents one after another), each a few megabytes.
+1. Copies of a text are put together: every one but that with the smallest id goes as a whole. Distinct texts, with
+   that id, are written as runs (one after another), each about a megabyte.
 2. Every window of ``LENGTH`` bytes names an anchor, the place of its smallest hash of 16 bytes; equal windows
    have equal anchors, and neighbouring windows mostly share one. Runs report their distinct anchors (six bytes
    each), and hear which of them other documents have too. Only there can windows repeat.
@@ -14,7 +15,7 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 
 An anchor in very many documents (``HOT``, counted over the corpus) sends its windows one by one under their own
 hash instead, so that differing windows of a frequent passage spread over all groups; equal windows are one per
-run in either case. No text is shuffled by content, and copies of a document are one stretch per run.
+run in either case.
 
 Missing texts are empty; texts below ``LENGTH`` lose nothing; a missing id counts as larger than any other, and
 rows with equal ids never remove each other's bytes; an empty table gives an empty result.
@@ -31,89 +32,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.merged_bwt import repeated
+from tallyframe.llm.tables import content_key
 from tallyframe.llm.text_arrays import Texts, chunks, mix, powers, sums_by
 from tallyframe.session import release_staged, stage
 
 LENGTH, GRAM = 50, 16
-RUN_BYTES, SHARD_BYTES, GROUP_BYTES, GROUP_ANCHORS = 4 << 20, 1 << 18, 6 << 20, 4_000_000
+RUN_BYTES, SHARD_BYTES, GROUP_BYTES, GROUP_ANCHORS = 1 << 20, 1 << 16, 4 << 20, 2_000_000
 #: Documents with an anchor beyond which its windows are spread.
 HOT = 10_000
 _NO_ID = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 48) - 1)
+#: Windows handled at a time, and bits for a place among them.
+_SLICE, _PLACE = 1 << 16, 17
+_MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SEED = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 def runs_of(docs: DataFrame) -> DataFrame:
-    """``run, doc_ids, sizes, text``: documents one after another."""
+    """``run, keys, doc_ids, sizes, text``: distinct texts one after another, with their smallest ids."""
+    texts = docs.select(content_key().alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
+                        F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, ids, sizes, texts = TaskContext.get().partitionId() << 32, 0, [], [], []
+        number, held, keys, ids, sizes, texts = TaskContext.get().partitionId() << 32, 0, [], [], [], []
 
         def run():
             return pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-                pa.array([b"".join(texts)], pa.binary())], names=["run", "doc_ids", "sizes", "text"])
+                pa.array([number], pa.int64()), pa.array([keys], pa.list_(pa.binary())), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([b"".join(texts)], pa.binary())], names=["run", "keys", "doc_ids", "sizes", "text"])
 
         for batch in batches:
             for t in chunks(batch.column("text")):
+                keys += batch.column("key").slice(t.first, len(t)).to_pylist()
                 ids += batch.column("doc_id").slice(t.first, len(t)).to_pylist()
                 sizes += np.diff(t.offsets).tolist()
                 texts.append(t.data.tobytes())
                 held += len(t.data)
                 if held >= RUN_BYTES:
                     yield run()
-                    number, held, ids, sizes, texts = number + 1, 0, [], [], []
+                    number, held, keys, ids, sizes, texts = number + 1, 0, [], [], [], []
         if ids:
             yield run()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        cut, "run long, doc_ids array<long>, sizes array<int>, text binary")
+    return texts.mapInArrow(cut, "run long, keys array<binary>, doc_ids array<long>, sizes array<int>, text binary")
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of windows that share an anchor: text, first and last window start, hash of the anchor."""
-    n, wide = len(data), LENGTH - GRAM + 1
-    none = np.zeros(0, np.int64)
-    if n < LENGTH:
-        return none, none, none, none.astype(np.uint64)
-    h, step = _SEED[data], 1
-    while step < GRAM:  # hashes of twice as many bytes each time
-        h = h[:-step] * powers(step + 1)[step] + h[step:]
+def _anchor_places(data: np.ndarray) -> np.ndarray:
+    """For every window of ``LENGTH`` bytes: the hash of its anchor (high bits) and the anchor's place (low
+    ``_PLACE`` bits), in one number, so that the smallest is the leftmost of the smallest hashes."""
+    x, step = data.astype(np.uint64), 1
+    while step < 8:  # eight bytes at every place
+        x = x[:-step] | (x[step:] << np.uint64(8 * step))
         step *= 2
-    h = mix(h)
-    best, step = np.arange(len(h)), 1
+    h = (x[:-8] ^ (x[8:] * _MIX_A)) * _MIX_B
+    h ^= h >> np.uint64(29)
+    h *= _MIX_A
+    h = (h >> np.uint64(_PLACE)) << np.uint64(_PLACE) | np.arange(len(h), dtype=np.uint64)
+    wide, step = LENGTH - GRAM + 1, 1
     while 2 * step <= wide:
-        a, b = best[:-step], best[step:]
-        best = np.where(h[a] <= h[b], a, b)
+        h = np.minimum(h[:-step], h[step:])
         step *= 2
-    a, b = best[:n - LENGTH + 1], best[wide - step:][:n - LENGTH + 1]
-    best = np.where(h[a] <= h[b], a, b)
-    start = np.arange(len(best))
-    doc = np.searchsorted(offsets, start, side="right") - 1
-    inside = np.flatnonzero(start + LENGTH <= offsets[doc + 1])
-    if not len(inside):
-        return none, none, none, none.astype(np.uint64)
-    best, doc = best[inside], doc[inside]
-    first = np.ones(len(inside), dtype=bool)
-    first[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(first)
-    return doc[at], inside[at], inside[np.append(at[1:], len(inside)) - 1], h[best[at]]
+    return np.minimum(h[:len(h) - (wide - step)], h[wide - step:]) if wide > step else h
 
 
-def _run_anchors(text: bytes, sizes: list[int]):
-    """Anchors of a whole run, a chunk at a time, with places counted in the run."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows that share an anchor: text, first and last window start, hash of the anchor."""
+    windows = max(len(data) - LENGTH + 1, 0)
+    best, where = np.empty(windows, dtype=np.uint64), np.empty(windows, dtype=np.int64)
+    for at in range(0, windows, _SLICE):
+        here = _anchor_places(data[at:at + _SLICE + LENGTH - 1])
+        best[at:at + len(here)] = here >> np.uint64(_PLACE)
+        where[at:at + len(here)] = (here & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + at
+    inside, first = np.ones(windows, dtype=bool), np.ones(windows, dtype=bool)
+    first[1:] = where[1:] != where[:-1]
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        inside[max(begin, end - LENGTH + 1):end] = False
+        first[begin:begin + 1] = True
+    kept = np.flatnonzero(inside)
+    at = np.flatnonzero(first[kept])
+    start = kept[at]
+    last = kept[np.append(at[1:], len(kept)) - 1] if len(at) else start
+    return np.searchsorted(offsets, start, side="right") - 1, start, last, mix(best[start])
+
+
+def _run_anchors(text, sizes: list[int]):
+    """Bytes of a run, where its documents begin, and their anchors."""
     offsets = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
     data = np.frombuffer(text, dtype=np.uint8)
-    parts, i = [], 0
-    while i < len(sizes):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), side="right")) - 1)
-        j = min(j, len(sizes))
-        doc, first, last, h = anchors(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        parts.append((doc + i, first + offsets[i], last + offsets[i], h))
-        i = j
-    if not parts:
-        return data, offsets, *anchors(data, offsets)
-    return data, offsets, *[np.concatenate(x) for x in zip(*parts)]
+    return data, offsets, *anchors(data, offsets)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch one by one, with the text as a view of the batch's memory."""
+    for i in range(len(batch)):
+        yield {c: batch.column(c)[i].as_buffer() if c == "text" else batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -142,8 +155,8 @@ def shared_anchors(runs: DataFrame, size: int) -> DataFrame:
 
     def report(batches):
         for b in batches:
-            for run, sizes, text in zip(*[b.column(c).to_pylist() for c in ("run", "sizes", "text")]):
-                _, _, doc, _, _, h = _run_anchors(text, sizes)
+            for i, (run, sizes) in enumerate(zip(*[b.column(c).to_pylist() for c in ("run", "sizes")])):
+                _, _, doc, _, _, h = _run_anchors(b.column("text")[i].as_buffer(), sizes)
                 if not len(h):
                     continue
                 order = np.lexsort((doc, h))
@@ -201,7 +214,7 @@ def stretches(runs: DataFrame, shared: DataFrame, bits: int, anchor_bits: int) -
 
     def one(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 yield from _cut_stretches(r, bits, anchor_bits)
 
     return rows.mapInArrow(one, _STRETCHES)
@@ -209,7 +222,7 @@ def stretches(runs: DataFrame, shared: DataFrame, bits: int, anchor_bits: int) -
 
 def _cut_stretches(r: dict, bits: int, anchor_bits: int) -> Iterator[pa.RecordBatch]:
     data, _, doc, first, last, h = _run_anchors(r["text"], r["sizes"])
-    ids = np.array([_NO_ID if i is None else i for i in r["doc_ids"]], dtype=np.int64)
+    ids = np.array(r["doc_ids"], dtype=np.int64)
     group, short = _group_of(h, anchor_bits), h >> np.uint64(max(0, 16 - anchor_bits)) & _LOW
     state = np.zeros(len(h), dtype=np.int8)
     for t in r["told"]:
@@ -346,43 +359,70 @@ def _with_ranges(docs: DataFrame) -> DataFrame:
     removed = stage(removed_windows(stretches(runs, shared, bits, _groups(size / 18, GROUP_ANCHORS))))
     release_staged(shared)
     of_run = removed.groupBy(F.col("run").alias("of_run")).agg(F.collect_list("ranges").alias("ranges"))
-    return runs.join(of_run, F.col("run") == F.col("of_run"), "left").select("doc_ids", "sizes", "text", "ranges")
+    return runs.join(of_run, F.col("run") == F.col("of_run"), "left").select("keys", "sizes", "text", "ranges", "doc_ids")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, removed`` of every row: what is left as bytes, and the removed runs as begin, end pairs."""
+def _results(docs: DataFrame, schema: str, one) -> DataFrame:
+    """Results of distinct texts by ``one`` (bytes, which of them go), for every row of ``docs``: ``first`` tells
+    whether the row has the smallest id of its text or is too short to lose anything, so the result is its own."""
 
-    def one(batches):
+    def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 data, offsets, goes = _removed(r)
-                texts, spans = [], []
-                for x, y in zip(offsets[:-1], offsets[1:]):
-                    texts.append(data[x:y][~goes[x:y]].tobytes())
-                    edge = np.diff(np.concatenate([[0], goes[x:y].astype(np.int8), [0]]))
-                    spans.append(np.flatnonzero(edge).tolist())
+                found = [one(data[x:y], goes[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(r["doc_ids"], pa.int64()), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.int32()))],
-                    names=["doc_id", "text", "removed"])
+                    pa.array(r["keys"], pa.binary()), pa.array(r["doc_ids"], pa.int64()),
+                    *[pa.array([f[k] for f in found], t) for k, t in enumerate(one.types)]],
+                    names=["key", "lowest", *one.names])
 
-    return _with_ranges(docs).mapInArrow(one, "doc_id long, text binary, removed array<int>")
+    results = _with_ranges(docs).mapInArrow(run, f"key binary, lowest long, {schema}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key().alias("of_key"),
+                       F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    own = (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("lowest")) | (F.col("bytes") < LENGTH)
+    return rows.join(results, F.col("of_key") == F.col("key")).withColumn("first", own)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    def count(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                data, offsets, goes = _removed(r)
-                n, gone, spans, digests = [], [], [], []
-                for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    here = goes[x:y]
-                    n.append(y - x)
-                    gone.append(int(here.sum()))
-                    spans.append(int((here[1:] & ~here[:-1]).sum() + here[:1].sum()))
-                    digests.append(hashlib.sha256(data[x:y][~here].tobytes()).hexdigest())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(r["doc_ids"], pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                    pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, removed`` of every row: what is left as bytes, and the removed runs as begin, end pairs."""
 
-    return _with_ranges(docs).mapInArrow(count, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def one(data: np.ndarray, goes: np.ndarray):
+        edge = np.diff(np.concatenate([[0], goes.astype(np.int8), [0]]))
+        return data[~goes].tobytes(), np.flatnonzero(edge).tolist()
+
+    one.names, one.types = ["text", "removed"], [pa.binary(), pa.list_(pa.int32())]
+    found = _results(docs, "text binary, removed array<int>", one)
+    return found.select("doc_id", F.when(F.col("first"), F.col("text")).otherwise(F.lit(b"")).alias("text"), F.when(
+        F.col("first"), F.col("removed")).otherwise(F.array(F.lit(0), "bytes")).alias("removed"))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    def one(data: np.ndarray, goes: np.ndarray):
+        return (len(data), int(goes.sum()), int((goes[1:] & ~goes[:-1]).sum() + goes[:1].sum()),
+                hashlib.sha256(data[~goes].tobytes()).hexdigest())
+
+    one.names, one.types = ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 3 + [pa.string()]
+    found = _results(docs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", one)
+    return found.select("doc_id", "n_bytes", *[
+        F.when(F.col("first"), F.col(c)).otherwise(other).alias(c) for c, other in (
+            ("n_removed", F.col("n_bytes")), ("n_spans", F.lit(1).cast("long")), ("kept_sha256", F.sha2(F.lit(""), 256)))])
+
+
+REPORT_SQL = """
+with rows as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as materialized (
+  select r, doc_id, i, substr(h, 2 * i - 1, 100) as s
+  from (select *, unnest(range(1, greatest(strlen(h) // 2 - 49, 0) + 1)) as i from rows)),
+lowest as (select s, min(doc_id) as least from windows group by s having count(*) > 1),
+gone as (select distinct r, k from (
+  select r, unnest(range(i, i + 50)) as k from windows join lowest using (s) where doc_id > least)),
+runs as (select r, count(*) as n, count(*) filter (where before is null or before < k - 1) as spans from (
+  select r, k, lag(k) over (partition by r order by k) as before from gone) group by r),
+kept as (
+  select r, string_agg(substr(h, 2 * k - 1, 2), '' order by k) as left_over from (
+    select r, h, unnest(range(1, strlen(h) // 2 + 1)) as k from rows where r in (select r from runs))
+  where (r, k) not in (select (r, k) from gone) group by r)
+select doc_id, (strlen(h) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(case when n is null then h else coalesce(left_over, '') end)) as kept_sha256
+from rows left join runs using (r) left join kept using (r)
+"""
