@@ -6,7 +6,9 @@ what the components need: no pair is verified that earlier links have already pu
 1. Equal sets are one node from the start, so copies never meet again.
 2. Which sets can link at all: a linked pair of known size differs in at most d shingles. The range of shingle
    hashes is cut into more than d segments, so some segment is equal in both sets, and its sum of hashes is a
-   signature they share. Sets of one size class and the next are given the same segments. Per run of documents
+   signature they share. Shingles of very many documents (boilerplate) say little, so segments are of the other
+   shingles, which differ no more; sets that consist of frequent ones are given segments of all their shingles
+   too. Sets of one size class and the next are given the same segments. Per run of documents
    and signature one entry travels, with local edges for the rest, so a signature of a third of all documents is
    as many entries as there are runs. Sets joined by shared signatures form a cluster; only these go on.
 3. Each cluster is a signature tree: sets in order of size, nodes with the OR of their token bitmaps and their
@@ -37,8 +39,9 @@ from tallyframe.session import release_staged, stage
 
 #: Sets in one tree, entries in one group of signatures, bytes of shingles in one task of small clusters.
 BLOCK, GROUP_ENTRIES, TASK_BYTES = 4096, 2_000_000, 32 << 20
-#: More segments than differences, so that a shared segment that is not empty exists in nearly all sets.
-SPARE = 2
+#: Share of the distinct sets (of a run, and half of it of all) that makes a shingle frequent; at most the mean
+#: size of a set times two over this share are. Which shingles count as frequent changes costs, never results.
+FREQUENT, RUN_SHINGLES = 0.002, 2_000_000
 _SIX = np.uint64((1 << 48) - 1)
 
 
@@ -85,37 +88,85 @@ class SizeClasses:
         """Segments of the pairs whose smaller set is of class k; none if such a pair could not differ."""
         self._grow(self.begin[min(k, len(self.begin) - 1)])
         differ = (self.begin[k + 1] - 1) * (100 - self.percent) // self.percent
-        return differ + 1 + SPARE if differ else 0
+        return differ + 1 + self.spare(k) if differ else 0
 
+    def spare(self, k: int) -> int:
+        """Segments more than a pair of class k needs. A linked pair shares one segment more than these, so some
+        shared segment is not empty wherever a set has no more empty segments than this."""
+        return 4 + (self.begin[k + 1] - 1) * (100 - self.percent) // self.percent // 8
 
-def signatures(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Signatures of one sorted set, for the pairs of its class and for those of the class below."""
+
+def _segments(h: np.ndarray, m: int, name: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and sizes of the segments of a sorted set."""
+    edge = (np.arange(1, m, dtype=np.float64) * (2.0 ** 64 / m)).astype(np.uint64)
+    bounds = np.concatenate([[0], np.searchsorted(h, edge), [len(h)]])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64)])
+    size = np.diff(bounds)
+    names = mix(np.arange(m, dtype=np.uint64) + np.uint64(name << 32))
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64) * np.uint64(7) + names), size
+
+
+def signatures(h: np.ndarray, rare: np.ndarray, classes: SizeClasses) -> np.ndarray:
+    """Signatures of one sorted set with the given rare shingles, for the pairs of its class and for those of the
+    class below. Of two linked sets one has few empty segments of rare shingles, and then shares one that is not
+    empty; or both have many, and then all their shingles are cut too, where empty segments count if there are
+    many of them as well."""
     k = classes.of(len(h))
     out = []
     for space in (k - 1, k):
         m = classes.segments(space) if space >= 0 else 0
         if not m:
             continue
-        edge = (np.arange(1, m, dtype=np.float64) * (2.0 ** 64 / m)).astype(np.uint64)
-        bounds = np.concatenate([[0], np.searchsorted(h, edge), [len(h)]])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64)])
-        size = np.diff(bounds)
-        name = mix(np.arange(m, dtype=np.uint64) + np.uint64(space << 32))
-        sig = mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64) * np.uint64(7) + name)
-        # an empty segment says something only where there are more of them than spare ones
-        out.append(sig if (size == 0).sum() > SPARE else sig[size > 0])
+        sig, size = _segments(rare, m, 2 * space)
+        out.append(sig[size > 0])
+        if (size == 0).sum() > classes.spare(space):
+            sig, size = _segments(h, m, 2 * space + 1)
+            out.append(sig if (size == 0).sum() > classes.spare(space) else sig[size > 0])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
-    def one(rows: pa.RecordBatch, texts: Texts) -> dict[str, pa.Array]:
-        h, bounds = shingle_sets(texts, width)
-        n = np.diff(bounds)
-        keys = set_keys(h, bounds).astype(np.int64)
-        return {"doc_id": rows.column("doc_id"), "n_shingles": pa.array(n, pa.int64()),
-                "key": pa.array(keys, pa.int64(), mask=n == 0)}
+    """``doc_id, n_shingles, key`` of every document, and rows with a ``shingle`` that is frequent in a run of
+    documents, in ``sets`` distinct sets of it; a last row of a run has only the number of all its sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, pa.int64())) for c in names], names=names)
+
+        def frequent(held: dict) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            often = n >= max(3, FREQUENT * len(held))
+            return rows(shingle=pa.array([*h[often].view(np.int64), None], pa.int64()),
+                        sets=pa.array([*n[often], len(held)], pa.int64()))
+
+        names = ["doc_id", "n_shingles", "key", "shingle", "sets"]
+        held, size = {}, 0
+        for batch in batches:
+            for texts in chunks(batch.column("text")):
+                h, bounds = shingle_sets(texts, width)
+                n, keys = np.diff(bounds), set_keys(h, bounds).astype(np.int64)
+                yield rows(doc_id=batch.column("doc_id").slice(texts.first, len(texts)), n_shingles=pa.array(n, pa.int64()),
+                           key=pa.array(keys, pa.int64(), mask=n == 0))
+                for d in np.flatnonzero(n):
+                    if keys[d] not in held:
+                        held[keys[d]] = h[bounds[d]:bounds[d + 1]]
+                        size += int(n[d])
+                if size >= RUN_SHINGLES:
+                    yield frequent(held)
+                    held, size = {}, 0
+        if held:
+            yield frequent(held)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, shingle long, sets long")
+
 
-    return map_texts(docs, "doc_id long, n_shingles long, key long", one)
+def _frequent(members: DataFrame) -> np.ndarray:
+    """Sorted hashes of frequent shingles: those that runs in which they are frequent count often enough."""
+    total = members.filter("sets is not null and shingle is null").agg(F.sum("sets")).first()[0] or 0
+    often = members.filter("shingle is not null").groupBy("shingle").agg(F.sum("sets").alias("sets")).filter(
+        F.col("sets") >= total * FREQUENT / 2).select("shingle").toArrow()
+    return np.sort(often.column("shingle").to_numpy().view(np.uint64))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -140,7 +191,7 @@ def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[first], key[first], edges
 
 
-def _shared_signatures(docs: DataFrame, width: int, percent: int, entries: int) -> DataFrame:
+def _shared_signatures(docs: DataFrame, width: int, percent: int, entries: int, frequent: np.ndarray) -> DataFrame:
     """Edges ``a, b`` (48-bit keys) between sets that share a signature: a star around the smallest."""
     bits = max(0, int(np.ceil(np.log2(max(entries / GROUP_ENTRIES, 1)))))
 
@@ -159,8 +210,11 @@ def _shared_signatures(docs: DataFrame, width: int, percent: int, entries: int)
             for texts in chunks(batch.column("text")):
                 h, bounds = shingle_sets(texts, width)
                 own = set_keys(h, bounds) & _SIX
+                place = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
+                rare = frequent[place] != h if len(frequent) else np.ones(len(h), dtype=bool)
                 for d in np.flatnonzero(np.diff(bounds)):
-                    s = signatures(h[bounds[d]:bounds[d + 1]], classes)
+                    one = h[bounds[d]:bounds[d + 1]]
+                    s = signatures(one, one[rare[bounds[d]:bounds[d + 1]]], classes)
                     sigs.append(s)
                     keys.append(np.full(len(s), own[d]))
                     held += len(s)
@@ -359,10 +413,11 @@ def _across_blocks(large: DataFrame, links: DataFrame, percent: int, block: int)
 def linked(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``, the smallest id that links reach."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = stage(_members(rows, width))
+    told = stage(_members(rows, width))
+    members = told.filter("sets is null").select("doc_id", "n_shingles", "key")
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
     entries = 2 * shingles * (100 - percent) // percent
-    edges = stage(_shared_signatures(rows, width, percent, entries))
+    edges = stage(_shared_signatures(rows, width, percent, entries, _frequent(told)))
     cluster = components(edges)
     one_each = members.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     # clusters are of shortened keys; sets whose keys are cut alike are in one cluster, which is harmless
@@ -383,3 +438,27 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     """The rows of ``docs`` with the smallest id of their component; of rows that repeat such an id, all."""
     stay = linked(docs, width, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
     return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("__stays")), "left_semi")
+
+
+LINKED_SQL = r"""
+with recursive rows as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+texts as (select min(doc_id) as d, w from rows where len(w) > 0 group by w),
+shingles as materialized (
+  select distinct d, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') || ' ' || least(len(w), 3) as g
+  from (select d, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from texts)),
+sizes as materialized (select d, count(*) as n from shingles group by d),
+common as (select a.d as a, b.d as b, count(*) as n_both from shingles a join shingles b on a.g = b.g and a.d < b.d group by 1, 2),
+links as materialized (
+  select a, b from common join sizes x on x.d = a join sizes y on y.d = b where 100 * n_both >= 90 * (x.n + y.n - n_both)),
+edges as materialized (select a, b from links union all select b, a from links),
+reached as (
+  select d as d, d as c from sizes
+  union
+  select e.b as d, reached.c from reached join edges e on e.a = reached.d and reached.c < e.b),
+lowest as (select d, min(c) as c from reached group by d)
+select rows.doc_id, coalesce(s.n, 0)::bigint as n_shingles, coalesce(l.c, rows.doc_id) as component_id
+from rows left join texts t on t.w = rows.w left join sizes s on s.d = t.d left join lowest l on l.d = t.d
+"""

@@ -29,8 +29,8 @@ def query(name: str, *tables: str, sql: str | None = None):
 
 
 query("op1_secret_scans", "documents", sql=secret_scan.REPORT_SQL)(secret_scan.report)
-query("op2_ngram_jaccard_join", "documents")(jaccard_join.linked)
-query("op3_suffix_array_dedup", "documents")(substring_dedup.report)
+query("op2_ngram_jaccard_join", "documents", sql=jaccard_join.LINKED_SQL)(jaccard_join.linked)
+query("op3_suffix_array_dedup", "documents", sql=substring_dedup.REPORT_SQL)(substring_dedup.report)
 query("op4_quality_rules", "documents")(line_quality.report)
 query("op5_source_mix", "documents", sql=source_mix.TAKEN_SQL)(source_mix.taken)
 query("op6_lm_scoring", "documents")(class_bigrams.scores)

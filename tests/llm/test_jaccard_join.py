@@ -84,7 +84,7 @@ def test_size_classes_hold_linked_sizes():
                 overlap = -(-percent * (a + b) // (100 + percent))
                 differ = a + b - 2 * overlap
                 if overlap <= a and differ > 0:
-                    assert classes.segments(classes.of(a)) > differ + jj.SPARE - 1
+                    assert classes.segments(classes.of(a)) > differ + classes.spare(classes.of(a))
 
 
 def test_bounds_keep_every_link():
