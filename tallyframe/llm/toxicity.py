@@ -4,10 +4,11 @@
    and stems, which are word beginnings shared by several such words, each weighed by its log-odds.
 2. All terms form a trie. Intersected with Levenshtein automata (one edit for words of five letters or more,
    none for shorter words and stems) it becomes one deterministic automaton, whose table all words of a batch
-   walk together, a letter per step; words that can no longer match drop out after a few steps.
+   walk together, a letter per step; words that can no longer match drop out after a few steps. A word that looks
+   like a misspelled term but is a word of clean documents is none.
 3. A match in quotation marks, or near a word of speech or report, counts as quoted; near a word of address it
-   counts as directed. Sums of weights by kind are the inputs of a logistic model fitted on the same sample, with
-   a prior that takes a misspelled term for a weaker sign than a spelled-out one.
+   counts as directed. Sums of weights by kind, in which a misspelled term counts ``MISSPELLED`` of its weight, are
+   the inputs of a logistic model fitted on the same sample.
 
 Letters outside ASCII are compared by the first byte of their encoding, so accents do not tell words apart.
 Labels, language, source and id never enter a score. Missing and empty texts have no match and get the score of
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.boosted_trees import MAX_ROWS, labelled_sample
 from tallyframe.llm.tables import doc_remainder, fold, map_texts
-from tallyframe.llm.text_arrays import FOLD, LETTER_OR_DIGIT, Texts, Words, mix, sums_by, words_of
+from tallyframe.llm.text_arrays import FOLD, LETTER_OR_DIGIT, Texts, Words, chunks, words_of
 from tallyframe.session import stage
 
 REMAINDER, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -33,10 +34,10 @@ REMAINDER, HELD_OUT, THRESHOLD = 3, 1, 0.7
 LEAST, ODDS = 8, 10.0
 #: Lengths of stems, and how many different words in toxic documents a stem must begin.
 STEMS, STEM_WORDS = range(4, 9), 5
-FUZZY_FROM = 5
+FUZZY_FROM, MISSPELLED = 5, 0.85
 
 #: Words near a match that speak of speech, and words that address somebody.
-REPORTING = ("said", "says", "quoted", "quote", "word", "term", "called", "wrote", "sagte", "zitat", "dijo", "cita", "dit")
+REPORTING = ("said", "says", "quoted", "quote", "word", "term", "called", "wrote", "sagte", "zitat", "dijo")
 ADDRESS = ("you", "your", "youre", "du", "dich", "ihr", "tu", "toi", "vous", "eres", "usted")
 NEAR = 3
 
@@ -157,9 +158,9 @@ def _plain(text) -> F.Column:
     return F.translate(text, "“”„«»‘’", '"""""\'\'')
 
 
-def lexicon(docs: DataFrame, sample: DataFrame, least: int = LEAST, odds: float = ODDS) -> tuple[dict, dict]:
-    """Words and stems that mark toxic documents, with their log-odds. ``sample`` is bounded, and so are its
-    texts' words."""
+def lexicon(docs: DataFrame, sample: DataFrame, least: int = LEAST, odds: float = ODDS) -> tuple[dict, dict, DataFrame]:
+    """Words and stems that mark toxic documents, with their log-odds, and the usual words of clean documents.
+    ``sample`` is bounded, and so are its texts' words."""
     found = F.array_distinct(F.regexp_extract_all(fold(_plain(F.col("text"))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     texts = docs.join(F.broadcast(sample), docs["doc_id"] == sample["labelled_id"]).select("label", F.explode(found).alias("word"))
     toxic, size = sample.agg(F.sum("label"), F.count("*")).first()
@@ -178,12 +179,27 @@ def lexicon(docs: DataFrame, sample: DataFrame, least: int = LEAST, odds: float
         if not any(r["stem"].startswith(c) or c.startswith(r["stem"]) for c in chosen):
             chosen[r["stem"]] = r["weight"]
     whole = words.withColumn("weight", likelier).filter(marks).orderBy("word").collect()
-    return {r["word"]: r["weight"] for r in whole if not any(r["word"].startswith(c) for c in chosen)}, chosen
+    usual = words.withColumn("weight", likelier).filter((F.col("n") > F.col("toxic")) & (F.col("weight") < float(np.log(odds))))
+    marked = {r["word"]: r["weight"] for r in whole if not any(r["word"].startswith(c) for c in chosen)}
+    return marked, chosen, usual.select("word")
+
+
+def lookalikes(usual: DataFrame, terms: Automaton) -> np.ndarray:
+    """Sorted hashes of usual words that the automaton takes for misspelled terms; few, as terms are few."""
+
+    def run(batches):
+        for b in batches:
+            for texts in chunks(b.column("word")):
+                words = words_of(texts, LETTER_OR_DIGIT)
+                yield pa.RecordBatch.from_arrays([pa.array(words.hash[terms.accepts[terms.match(
+                    FOLD[texts.data], words.start, words.end)] == FUZZY].view(np.int64))], names=["hash"])
+
+    return np.sort(usual.mapInArrow(run, "hash long").toArrow().column("hash").to_numpy().view(np.uint64))
 
 
 #: Signs per document, and what the prior takes their weights to be.
-SIGNS = ("exact", "strongest", "misspelled", "quoted", "directed", "density")
-PRIOR = np.array([-3.0, 0.3, 0.7, 0.5, -0.1, 0.2, 0.0])
+SIGNS = ("open", "strongest", "misspelled", "quoted", "directed", "density")
+PRIOR = np.array([-3.0, 0.3, 0.7, 0.0, -0.1, 0.2, 0.0])
 
 
 def _hashes(terms: tuple[str, ...]) -> np.ndarray:
@@ -191,23 +207,25 @@ def _hashes(terms: tuple[str, ...]) -> np.ndarray:
     return np.sort(words_of(Texts(data, np.array([0, len(data)]), 0), LETTER_OR_DIGIT).hash)
 
 
-def signs(texts: Texts, terms: Automaton) -> np.ndarray:
+def signs(texts: Texts, terms: Automaton, usual: np.ndarray) -> np.ndarray:
     words = words_of(texts, LETTER_OR_DIGIT)
     data = FOLD[texts.data]
     state = terms.match(data, words.start, words.end)
     hit = np.flatnonzero(terms.accepts[state])
-    kind, weight = terms.accepts[state[hit]], terms.weight[state[hit]]
+    hit = hit[(terms.accepts[state[hit]] == EXACT) | ~np.isin(words.hash[hit], usual)]
+    kind = terms.accepts[state[hit]]
+    weight = terms.weight[state[hit]] * np.where(kind == EXACT, 1.0, MISSPELLED)
     quoted = _in_quotes(texts, words, hit) | _near(words, hit, _hashes(REPORTING))
     directed = _near(words, hit, _hashes(ADDRESS)) & ~quoted
     doc, n = words.doc[hit], len(texts)
     total = lambda mask: np.bincount(doc[mask], weight[mask], n)[:n]
-    exact, misspelled = total(~quoted & (kind == EXACT)), total(~quoted & (kind == FUZZY))
+    open_hits, misspelled = total(~quoted), total(~quoted & (kind == FUZZY))
     strongest = np.zeros(n)
-    np.maximum.at(strongest, doc[~quoted & (kind == EXACT)], weight[~quoted & (kind == EXACT)])
+    np.maximum.at(strongest, doc[~quoted], weight[~quoted])
     return np.column_stack([
-        np.minimum(exact, 15), strongest, np.minimum(misspelled, 10), np.minimum(total(quoted), 10),
+        np.minimum(open_hits, 15), strongest, np.minimum(misspelled, 10), np.minimum(total(quoted), 10),
         np.minimum(total(directed), 10),
-        np.minimum(20 * (exact + misspelled) / np.maximum(np.diff(words.bounds), 1), 10)]).astype(np.float32)
+        np.minimum(20 * open_hits / np.maximum(np.diff(words.bounds), 1), 10)]).astype(np.float32)
 
 
 def _in_quotes(texts: Texts, words: Words, hit: np.ndarray) -> np.ndarray:
@@ -234,19 +252,28 @@ def _near(words: Words, hit: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_logit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights (intercept first) of a logistic model whose weights are drawn to ``prior``."""
-    w = prior.copy()
+def fit_logit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights (intercept first) of a logistic model whose weights are drawn to ``prior``. Newton steps are halved
+    until they gain, and the penalised likelihood has one maximum, also where classes are separated."""
     z = np.column_stack([np.ones(len(x)), x])
-    pull = np.full(len(w), strength)
+
+    def value(w: np.ndarray) -> float:
+        eta = z @ w
+        return float(y @ eta - np.logaddexp(0, eta).sum() - 0.5 * strength * ((w - prior) ** 2).sum())
+
+    w = prior.astype(np.float64).copy()
+    best = value(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (y - p) - pull * (w - prior)
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull)
-        move = np.linalg.solve(hessian, gradient)
-        w = w + np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        gradient = z.T @ (y - p) - strength * (w - prior)
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + strength * np.eye(len(w))
+        move, scale = np.linalg.solve(hessian, gradient), 1.0
+        while value(w + scale * move) < best and scale > 1e-8:
+            scale /= 2
+        gained = value(w + scale * move) - best
+        if gained <= 1e-9:
             break
+        w, best = w + scale * move, best + gained
     return w
 
 
@@ -255,10 +282,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most ``max_rows`` rows of two numbers: small enough to send to every executor
     sample = stage(labelled_sample(labels, "toxic", REMAINDER, HELD_OUT, max_rows))
-    terms = automaton(*lexicon(rows, sample))
+    marked, stems, clean = lexicon(rows, sample)
+    terms = automaton(marked, stems)
+    usual = lookalikes(clean, terms)
 
     def one(batch: pa.RecordBatch, texts: Texts) -> dict[str, pa.Array]:
-        x = signs(texts, terms)
+        x = signs(texts, terms, usual)
         return {"doc_id": batch.column("doc_id"), "x": pa.ListArray.from_arrays(
             pa.array(np.arange(len(x) + 1) * len(SIGNS), pa.int32()), pa.array(x.ravel(), pa.float32()))}
 

@@ -160,6 +160,19 @@ def test_toxicity(spark):
     assert found[5001].score < found[5002].score and found[5003].predicted == found[5004].predicted == 0
 
 
+@pytest.mark.parametrize("scale", [0.5, 3.0, 40.0])
+def test_logit_finds_the_maximum(scale):
+    """Also far from the prior, and where classes are separated."""
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(2000, len(tx.SIGNS)))) * scale * (rng.random((2000, 1)) < 0.2)
+    y = (x[:, 0] > 0.1 * scale).astype(float)
+    w = tx.fit_logit(x, y)
+    z = np.column_stack([np.ones(len(x)), x])
+    p = 1 / (1 + np.exp(-z @ w))
+    assert np.abs(z.T @ (y - p) - (w - tx.PRIOR)).max() < 1e-3
+    assert ((p > 0.5) == (y > 0)).mean() > 0.97
+
+
 def test_trees():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 5)).astype(np.float32)
