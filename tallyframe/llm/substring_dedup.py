@@ -4,7 +4,7 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 
 1. Copies of a text are put together: every one but that with the smallest id goes as a whole. Distinct texts, with
    that id, are written as runs (one after another), each about a megabyte.
-2. Every window of ``LENGTH`` bytes names an anchor, the place of its smallest hash of 16 bytes; equal windows
+2. Every window of ``LENGTH`` bytes names an anchor, the place of its smallest hash of 24 bytes; equal windows
    have equal anchors, and neighbouring windows mostly share one. Runs report their distinct anchors (six bytes
    each), and hear which of them other documents have too. Only there can windows repeat.
 3. For such anchors, the bytes that its windows cover are sent by anchor: equal stretches of a run once, with
@@ -36,15 +36,17 @@ from tallyframe.llm.tables import content_key
 from tallyframe.llm.text_arrays import Texts, chunks, mix, powers, sums_by
 from tallyframe.session import release_staged, stage
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 RUN_BYTES, SHARD_BYTES, GROUP_BYTES, GROUP_ANCHORS = 1 << 20, 1 << 16, 4 << 20, 2_000_000
 #: Documents with an anchor beyond which its windows are spread.
 HOT = 10_000
 _NO_ID = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 48) - 1)
+#: Windows that share an anchor, on average.
+_SPACING = (LENGTH - GRAM + 2) / 2
 #: Windows handled at a time, and bits for a place among them.
 _SLICE, _PLACE = 1 << 16, 17
-_MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_MIX_A, _MIX_B, _MIX_C = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9))
 _SEED = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -85,7 +87,7 @@ def _anchor_places(data: np.ndarray) -> np.ndarray:
     while step < 8:  # eight bytes at every place
         x = x[:-step] | (x[step:] << np.uint64(8 * step))
         step *= 2
-    h = (x[:-8] ^ (x[8:] * _MIX_A)) * _MIX_B
+    h = (x[:-16] ^ (x[8:-8] * _MIX_A)) * _MIX_B + x[16:] * _MIX_C
     h ^= h >> np.uint64(29)
     h *= _MIX_A
     h = (h >> np.uint64(_PLACE)) << np.uint64(_PLACE) | np.arange(len(h), dtype=np.uint64)
@@ -151,7 +153,7 @@ def _group_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 def shared_anchors(runs: DataFrame, size: int) -> DataFrame:
     """``run, shared, hot, n``: the anchors of a run that several documents have, as packed sorted hashes."""
-    bits = _groups(size / 18, GROUP_ANCHORS)
+    bits = _groups(size / _SPACING, GROUP_ANCHORS)
 
     def report(batches):
         for b in batches:
@@ -355,9 +357,12 @@ def _with_ranges(docs: DataFrame) -> DataFrame:
     size = runs.agg(F.sum(F.length("text"))).first()[0] or 0
     shared = stage(shared_anchors(runs, size))
     n = shared.agg(F.sum("n")).first()[0] or 0
-    bits = _groups(n * 70, GROUP_BYTES)
-    removed = stage(removed_windows(stretches(runs, shared, bits, _groups(size / 18, GROUP_ANCHORS))))
+    bits = _groups(n * (_SPACING + LENGTH), GROUP_BYTES)
+    # staged in between, so that the join's shuffle files are gone before stretches are shuffled
+    found = stage(stretches(runs, shared, bits, _groups(size / _SPACING, GROUP_ANCHORS)))
     release_staged(shared)
+    removed = stage(removed_windows(found))
+    release_staged(found)
     of_run = removed.groupBy(F.col("run").alias("of_run")).agg(F.collect_list("ranges").alias("ranges"))
     return runs.join(of_run, F.col("run") == F.col("of_run"), "left").select("keys", "sizes", "text", "ranges", "doc_ids")
 
