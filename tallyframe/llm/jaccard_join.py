@@ -429,7 +429,8 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOC
     labelled = members.join(of_key, members["key"] == of_key["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "key").alias("set"))
     labelled = stage(labelled)
-    lowest = labelled.filter("set is not null").groupBy(F.col("set").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    # staged, so that the join below has two plain sides and a set of very many documents can be split
+    lowest = stage(labelled.filter("set is not null").groupBy(F.col("set").alias("of")).agg(F.min("doc_id").alias("component_id")))
     return labelled.join(lowest, F.col("set") == F.col("of"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

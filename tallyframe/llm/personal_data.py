@@ -196,8 +196,9 @@ def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     place = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    spans = find(docs).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(
-        place[F.col("kind")].alias("place"), "start", "kind", "end", "base"))).alias("spans"))
+    # staged, so that the join below has two plain sides and a text of very many documents can be split
+    spans = stage(find(docs).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(
+        place[F.col("kind")].alias("place"), "start", "kind", "end", "base"))).alias("spans")))
     rows = docs.select("doc_id", text_key().alias("key")).join(spans, "key", "left").withColumn("spans", F.coalesce(
         "spans", F.array().cast("array<struct<place:int,start:bigint,kind:string,end:bigint,base:boolean>>")))
     base = F.filter("spans", lambda s: s["base"])

@@ -108,9 +108,10 @@ def findings_by_path(versions: DataFrame, findings: DataFrame, rules: Sequence[R
     Columns of ``versions`` called blob or spans are replaced. ``spans`` is an array of ``start, place, kind, end``, where ``place`` is the rule's place in ``rules``.
     """
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.id), F.lit(i))])
-    listed = findings.withColumn("place", place[F.concat_ws("@", "rule", F.col("version").cast("string"))]).filter(
+    # staged, so that the join below has two plain sides and a blob of very many versions can be split
+    listed = stage(findings.withColumn("place", place[F.concat_ws("@", "rule", F.col("version").cast("string"))]).filter(
         F.col("place").isNotNull()).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(
-            F.col("start"), F.col("place"), F.col("rule").alias("kind"), F.col("end")))).alias("spans"))
+            F.col("start"), F.col("place"), F.col("rule").alias("kind"), F.col("end")))).alias("spans")))
     paths = versions.select(*[c for c in versions.columns if c not in ("text", "blob", "spans")], blob().alias("blob"))
     return paths.join(listed, "blob", "left").withColumn("spans", F.coalesce(
         "spans", F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")))
