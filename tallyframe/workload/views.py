@@ -9,6 +9,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyframe.sources import land
+
 REPLICATES = 80
 BASE_YEAR, PRICE_YEAR, STATE = 1995, 1999, 8
 MIN_AGE, MAX_AGE, VACANCY_RATE = 18, 45, 0.05
@@ -73,12 +75,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Views that were landed as microdata files, by session and source folder.
+_landed: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def land_views(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write households and persons as yearly Parquet, as microdata lies in practice, and use them from now on."""
+    tables = {"household": households(spark, sf_dir), "person": persons(spark, sf_dir)}
+    for name, df in tables.items():
+        land(df, f"{folder}/{name}")
+    _landed[spark, sf_dir] = tuple(
+        spark.read.parquet(f"{folder}/{name}").select(*df.columns) for name, df in tables.items())
+
+
 def households(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if (spark, sf_dir) in _landed:
+        return _landed[spark, sf_dir][0]
     orders, customer = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).selectExpr(*_cols(_HOUSEHOLD))
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if (spark, sf_dir) in _landed:
+        return _landed[spark, sf_dir][1]
     lineitem, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
     return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).selectExpr(*_cols(_PERSON))
 

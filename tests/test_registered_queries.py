@@ -14,7 +14,7 @@ MODEL_SF_DIR = os.environ.get("TEST_MODEL_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not (os.path.isdir(SF_DIR) and os.path.isdir(MODEL_SF_DIR)),
                                 reason="test tables not present")
 #: Fits of many parameters, with the SQL steps of which the smallest tables' few rows per group do not settle.
-MODELS = tuple(n for n in catalog.queries() if n.endswith("_model") or n.split("_")[0] in ("D24", "D25", "D26", "D27", "D28", "D29"))
+MODELS = tuple(n for n in catalog.queries() if n.endswith("_model") or n.split("_")[0] in ("D24", "D25", "D26", "D27", "D28", "D29", "M4"))
 CHECKED = sorted(catalog.queries())
 
 
