@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.tables import doc_remainder
+from tallyframe.llm.tables import doc_remainder, rows_of
 from tallyframe.llm.text_arrays import chunks, sums_by, words_of
 from tallyframe.session import stage
 
@@ -38,7 +38,7 @@ REMAINDER = 10
 SMOOTH = 0.1
 MIN_SHARE, CLASSES, ROUNDS = 5e-4, 32, 8
 #: Tokens of a run, and distinct words (of all runs) that one group of hashes should hold.
-RUN_TOKENS, GROUP_WORDS = 2_000_000, 1_000_000
+RUN_TOKENS, GROUP_WORDS = 1_000_000, 1_000_000
 
 _RUNS = "run long, doc_ids array<long>, train array<boolean>, sizes array<int>, stream binary, vocabulary binary, counts binary, words long, trained long, ends long"
 
@@ -127,8 +127,8 @@ def _counted(runs: DataFrame, tokens: int, total_words: int, min_share: float) -
 
     def slices(batches):
         for batch in batches:
-            for run, vocabulary, counts in zip(*[batch.column(c).to_pylist() for c in ("run", "vocabulary", "counts")]):
-                v, c = _array(vocabulary, np.uint64), _array(counts, np.int64)
+            for r in rows_of(batch):
+                run, v, c = r["run"], _array(r["vocabulary"], np.uint64), _array(r["counts"], np.int64)
                 bounds = np.searchsorted(v >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(v)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(1 << bits), pa.int32()), pa.array([run] * (1 << bits), pa.int64()),
@@ -191,7 +191,7 @@ def _numbered(runs: DataFrame, answers: DataFrame, u: Unigrams) -> DataFrame:
 
     def one(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in rows_of(b):
                 counts = _array(b"".join(t["totals"] for t in r["totals"]), np.int64)
                 stream, sizes = _array(r["stream"], np.int32), np.array(r["sizes"], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -226,7 +226,7 @@ def bigram_counts(numbered: DataFrame, u: Unigrams) -> DataFrame:
 
     def one(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in rows_of(b):
                 sizes, train = np.array(r["sizes"], np.int64), np.array(r["train"], bool)
                 previous, current, _ = _pairs(_array(r["numbers"], np.uint16), sizes, u.end)
                 kept = np.repeat(train, sizes + 1)
@@ -312,7 +312,7 @@ def scores(docs: DataFrame, min_share: float = MIN_SHARE, classes: int = CLASSES
 
     def score(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in rows_of(b):
                 sizes = np.array(r["sizes"], np.int64)
                 previous, current, bounds = _pairs(_array(r["numbers"], np.uint16), sizes, u.end)
                 a, c = of[previous], of[current]

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.merged_bwt import repeated
-from tallyframe.llm.tables import content_key
+from tallyframe.llm.tables import content_key, rows_of
 from tallyframe.llm.text_arrays import Texts, chunks, mix, powers, sums_by
 from tallyframe.session import release_staged, stage
 
@@ -125,12 +125,6 @@ def _run_anchors(text, sizes: list[int]):
     return data, offsets, *anchors(data, offsets)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Rows of a batch one by one, with the text as a view of the batch's memory."""
-    for i in range(len(batch)):
-        yield {c: batch.column(c)[i].as_buffer() if c == "text" else batch.column(c)[i].as_py() for c in batch.schema.names}
-
-
 def _planes(values: np.ndarray) -> bytes:
     """48-bit values as planes of bytes, which compress where values are sorted."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
@@ -216,7 +210,7 @@ def stretches(runs: DataFrame, shared: DataFrame, bits: int, anchor_bits: int) -
 
     def one(batches):
         for b in batches:
-            for r in _rows(b):
+            for r in rows_of(b):
                 yield from _cut_stretches(r, bits, anchor_bits)
 
     return rows.mapInArrow(one, _STRETCHES)
@@ -373,7 +367,7 @@ def _results(docs: DataFrame, schema: str, one) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for r in _rows(b):
+            for r in rows_of(b):
                 data, offsets, goes = _removed(r)
                 found = [one(data[x:y], goes[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([
