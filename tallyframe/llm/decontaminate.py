@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.tables import map_texts
-from tallyframe.llm.text_arrays import LETTER_OR_DIGIT, Texts, Words, chunks, sums_by, words_of
+from tallyframe.llm.text_arrays import LETTER_OR_DIGIT, Texts, Words, chunks, words_of
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.merged_bwt import repeated
 from tallyframe.llm.tables import content_key, rows_of
-from tallyframe.llm.text_arrays import Texts, chunks, mix, powers, sums_by
+from tallyframe.llm.text_arrays import chunks, mix, powers, sums_by
 from tallyframe.session import release_staged, stage
 
 LENGTH, GRAM = 50, 24
