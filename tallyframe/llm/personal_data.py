@@ -28,6 +28,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.llm.native_spans import located, matches, spans_text
+from tallyframe.llm.tables import content_key
 from tallyframe.session import stage
 
 # The agreed patterns. Possessive quantifiers and the borders of a run find the same matches without
@@ -175,14 +176,10 @@ def classify(patterns: DataFrame, expected: Column) -> Column:
     return 1 / (1 + F.exp(-(F.lit(float(model.intercept)) + _total(terms))))
 
 
-def text_key() -> Column:
-    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-
-
 def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Spans of distinct texts: ``key, kind, start, end, base``; the agreed ones, and of the looser kinds those
     found likely. Matches of an agreed pattern that fail its check only serve as examples."""
-    texts = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(content_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     candidates = located(matches(texts, "key", {**BASE, **MORE}), "key")
     marked = candidates.withColumns({"base": agreed(F.col("kind"), F.col("match")), **votes(), **features()})
     marked = stage(marked.drop("match", "before", "after"))
@@ -199,7 +196,7 @@ def report(docs: DataFrame) -> DataFrame:
     # staged, so that the join below has two plain sides and a text of very many documents can be split
     spans = stage(find(docs).groupBy("key").agg(F.sort_array(F.collect_list(F.struct(
         place[F.col("kind")].alias("place"), "start", "kind", "end", "base"))).alias("spans")))
-    rows = docs.select("doc_id", text_key().alias("key")).join(spans, "key", "left").withColumn("spans", F.coalesce(
+    rows = docs.select("doc_id", content_key().alias("key")).join(spans, "key", "left").withColumn("spans", F.coalesce(
         "spans", F.array().cast("array<struct<place:int,start:bigint,kind:string,end:bigint,base:boolean>>")))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")

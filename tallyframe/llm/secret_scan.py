@@ -22,9 +22,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.native_spans import located, matches, spans_text
+from tallyframe.llm.tables import content_key
 from tallyframe.session import stage
 
 
@@ -68,14 +69,10 @@ class Ledger:
     findings: DataFrame
 
 
-def blob() -> Column:
-    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-
-
 def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: Ledger | None = None) -> Ledger:
     """Scan what the ledger has not seen; returns the ledger's new rows alone, staged."""
     every = F.array(*[F.lit(r.id) for r in rules])
-    blobs = versions.select(blob().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(
+    blobs = versions.select(content_key().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(
         F.first("text").alias("text"))
     if ledger is not None:
         seen = ledger.pairs.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", F.col("version").cast("string"))).alias("seen"))
@@ -94,7 +91,7 @@ def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: Ledger | No
     version = F.create_map(*[x for r in rule_of.values() for x in (F.lit(r.name), F.lit(r.version))])
     findings = stage(located(found, "blob").filter(passes).select(
         "blob", F.col("kind").alias("rule"), version[F.col("kind")].alias("version"), "start", "end"))
-    pairs = versions.select(blob().alias("blob")).distinct().select("blob", F.explode(every).alias("id"))
+    pairs = versions.select(content_key().alias("blob")).distinct().select("blob", F.explode(every).alias("id"))
     pairs = pairs.select("blob", F.split_part("id", F.lit("@"), F.lit(1)).alias("rule"),
                          F.split_part("id", F.lit("@"), F.lit(2)).cast("int").alias("version"))
     if ledger is not None:
@@ -112,7 +109,7 @@ def findings_by_path(versions: DataFrame, findings: DataFrame, rules: Sequence[R
     listed = stage(findings.withColumn("place", place[F.concat_ws("@", "rule", F.col("version").cast("string"))]).filter(
         F.col("place").isNotNull()).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(
             F.col("start"), F.col("place"), F.col("rule").alias("kind"), F.col("end")))).alias("spans")))
-    paths = versions.select(*[c for c in versions.columns if c not in ("text", "blob", "spans")], blob().alias("blob"))
+    paths = versions.select(*[c for c in versions.columns if c not in ("text", "blob", "spans")], content_key().alias("blob"))
     return paths.join(listed, "blob", "left").withColumn("spans", F.coalesce(
         "spans", F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")))
 
@@ -129,7 +126,7 @@ def report(docs: DataFrame) -> DataFrame:
 def documents_without_secrets(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no rule finds anything."""
     hit = scan(docs.select("doc_id", "text")).findings.select(F.col("blob").alias("__hit_blob")).distinct()
-    return docs.join(hit, blob() == F.col("__hit_blob"), "left_anti")
+    return docs.join(hit, content_key() == F.col("__hit_blob"), "left_anti")
 
 
 REPORT_SQL = r"""
