@@ -2,8 +2,8 @@
 
 1. The lexicon is learned from labelled documents (a bounded sample): words that are far likelier in toxic ones,
    and stems, which are word beginnings shared by several such words, each weighed by its log-odds.
-2. All terms form a trie. Intersected with Levenshtein automata (one edit for words of five letters or more,
-   none for shorter words and stems) it becomes one deterministic automaton, whose table all words of a batch
+2. All terms form a trie. Intersected with Levenshtein automata (one edit for words and stems of five letters or
+   more, none for shorter ones; a word that only lacks a stem's last letter is no form of it) it becomes one deterministic automaton, whose table all words of a batch
    walk together, a letter per step; words that can no longer match drop out after a few steps. A word that looks
    like a misspelled term but is a word of clean documents is none.
 3. A match in quotation marks, or near a word of speech or report, counts as quoted; near a word of address it
@@ -73,10 +73,11 @@ def _lead_bytes(term: str) -> bytes:
     return bytes(b for b in term.encode() if b & 0xC0 != 0x80)
 
 
-def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int = FUZZY_FROM) -> Automaton:
+def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int = FUZZY_FROM,
+              crowded: frozenset | set = frozenset()) -> Automaton:
     """One deterministic automaton of all terms with their weights. Class 0 is any byte of no term, class 1 a continuation byte,
     which changes nothing."""
-    children: list[dict[int, int]] = [{}, {}]  # node 0: terms with edits, node 1: terms without
+    children: list[dict[int, int]] = [{}, {}, {}]  # node 0: words with edits, node 1: terms without, node 2: stems with
     final: dict[int, str] = {}
     worth: dict[int, float] = {}
 
@@ -92,7 +93,7 @@ def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int
     for w, weight in words.items():
         add(w, 0 if len(_lead_bytes(w)) >= fuzzy_from else 1, "word", weight)
     for s, weight in stems.items():
-        add(s, 1, "stem", weight)
+        add(s, 2 if len(_lead_bytes(s)) >= fuzzy_from and s not in crowded else 1, "stem", weight)
     letters = sorted({b for c in children for b in c})
     classes = np.zeros(256, dtype=np.int32)
     classes[0x80:0xC0] = 1
@@ -103,9 +104,9 @@ def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int
         todo = list(states)
         while todo:
             node, left = todo.pop()
-            if left:  # a letter of the term is left out
+            if left:  # a letter of the term is left out, but not the last one of a stem
                 for child in children[node].values():
-                    if (child, left - 1) not in states:
+                    if (child, left - 1) not in states and final.get(child) != "stem":
                         states.add((child, left - 1))
                         todo.append((child, left - 1))
         # fewer edits left is no better where the same node is reached with more
@@ -123,7 +124,7 @@ def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int
                 out.update((child, left - 1) for child in children[node].values())  # another letter
         return closed(out)
 
-    first = closed({(0, 1), (1, 0)})
+    first = closed({(0, 1), (1, 0), (2, 1)})
     number = {frozenset(): 0, first: 1}
     table, order = [[0] * (len(letters) + 2)], [first]
     for states in order:
@@ -158,8 +159,8 @@ def _plain(text) -> F.Column:
     return F.translate(text, "“”„«»‘’", '"""""\'\'')
 
 
-def lexicon(docs: DataFrame, sample: DataFrame, least: int = LEAST, odds: float = ODDS) -> tuple[dict, dict, DataFrame]:
-    """Words and stems that mark toxic documents, with their log-odds, and the usual words of clean documents.
+def lexicon(docs: DataFrame, sample: DataFrame, least: int = LEAST, odds: float = ODDS) -> tuple[dict, dict, set, DataFrame]:
+    """Words and stems that mark toxic documents, with their log-odds, stems that get no edit, and the usual words of clean documents.
     ``sample`` is bounded, and so are its texts' words."""
     found = F.array_distinct(F.regexp_extract_all(fold(_plain(F.col("text"))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     texts = docs.join(F.broadcast(sample), docs["doc_id"] == sample["labelled_id"]).select("label", F.explode(found).alias("word"))
@@ -175,13 +176,29 @@ def lexicon(docs: DataFrame, sample: DataFrame, least: int = LEAST, odds: float
         F.max("toxic").alias("most")).withColumn("weight", likelier).filter(
         marks & (F.col("words") >= STEM_WORDS) & (F.col("most") < 0.5 * F.col("toxic")))
     chosen: dict[str, float] = {}
-    for r in sorted(stems.collect(), key=lambda r: (-r["weight"] * np.sqrt(r["toxic"]), r["stem"])):
+    found_stems = sorted(stems.collect(), key=lambda r: (-r["weight"] * np.sqrt(r["toxic"]), r["stem"]))
+    for r in found_stems:
         if not any(r["stem"].startswith(c) or c.startswith(r["stem"]) for c in chosen):
             chosen[r["stem"]] = r["weight"]
+    # a stem too short for an edit has the longest ones that it begins beside it, which are matched with one
+    short = tuple(c for c in chosen if len(c) < FUZZY_FROM)
+    longer = {r["stem"]: r["weight"] for r in found_stems if len(r["stem"]) >= FUZZY_FROM and r["stem"].startswith(short)}
+    chosen |= {c: w for c, w in longer.items() if not any(o != c and o.startswith(c) for o in longer)}
+    # the same rule as for words: where the words within one edit of a stem are usual as a whole, it gets none
+    near = [F.when(_begins_nearly(c), F.lit(c)) for c in chosen if len(c) >= FUZZY_FROM]
+    crowded = {r["stem"] for r in words.select("toxic", "n", F.explode(F.array(*near)).alias("stem")).filter(
+        "stem is not null").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).withColumn(
+        "weight", likelier).filter((F.col("n") > F.col("toxic")) & (F.col("weight") < float(np.log(odds)))).collect()} if near else set()
     whole = words.withColumn("weight", likelier).filter(marks).orderBy("word").collect()
     usual = words.withColumn("weight", likelier).filter((F.col("n") > F.col("toxic")) & (F.col("weight") < float(np.log(odds))))
-    marked = {r["word"]: r["weight"] for r in whole if not any(r["word"].startswith(c) for c in chosen)}
-    return marked, chosen, usual.select("word")
+    marked = {r["word"]: r["weight"] for r in whole}
+    return marked, chosen, crowded, usual.select("word")
+
+
+def _begins_nearly(stem: str) -> F.Column:
+    """Whether ``word`` begins with something one edit from the stem, but not with the stem."""
+    near = [F.levenshtein(F.substring("word", 1, k), F.lit(stem)) == 1 for k in range(len(stem) - 1, len(stem) + 2)]
+    return (near[0] | near[1] | near[2]) & (F.length("word") >= len(stem) - 1) & ~F.startswith(F.col("word"), F.lit(stem))
 
 
 def lookalikes(usual: DataFrame, terms: Automaton) -> np.ndarray:
@@ -282,8 +299,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most ``max_rows`` rows of two numbers: small enough to send to every executor
     sample = stage(labelled_sample(labels, "toxic", REMAINDER, HELD_OUT, max_rows))
-    marked, stems, clean = lexicon(rows, sample)
-    terms = automaton(marked, stems)
+    marked, stems, crowded, clean = lexicon(rows, sample)
+    terms = automaton(marked, stems, crowded=crowded)
     usual = lookalikes(clean, terms)
 
     def one(batch: pa.RecordBatch, texts: Texts) -> dict[str, pa.Array]:
