@@ -5,12 +5,12 @@
 2. All terms form a trie. Intersected with Levenshtein automata (one edit for words and stems of five letters or
    more, none for shorter ones; a word that only lacks a stem's last letter is no form of it) it becomes one deterministic automaton, whose table all words of a batch
    walk together, a letter per step; words that can no longer match drop out after a few steps. A word that looks
-   like a misspelled term but is a word of clean documents is none.
+   like a misspelled term, or begins with a stem, but is a word of clean documents is none.
 3. A match in quotation marks, or near a word of speech or report, counts as quoted; near a word of address it
    counts as directed. Sums of weights by kind, in which a misspelled term counts ``MISSPELLED`` of its weight, are
    the inputs of a logistic model fitted on the same sample.
 
-Letters outside ASCII are compared by the first byte of their encoding, so accents do not tell words apart.
+Letters are code points: every one of the lexicon is told apart, all others are one letter that no term has.
 Labels, language, source and id never enter a score. Missing and empty texts have no match and get the score of
 a text without matches; without labels there is no lexicon and every score is the prior's; repeated rows get
 equal scores; an empty table gives an empty result.
@@ -48,7 +48,7 @@ EXACT, FUZZY = 2, 1
 class Automaton:
     """``table[state, class]`` is the next state; state 0 accepts nothing any more."""
 
-    classes: np.ndarray
+    points: np.ndarray
     table: np.ndarray
     accepts: np.ndarray
     weight: np.ndarray
@@ -57,33 +57,47 @@ class Automaton:
     def match(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For every word the state it ends in: ``accepts`` tells whether that is a term (2), a misspelled one
         (1) or nothing (0), and ``weight`` which weight the term has."""
-        out = np.zeros(len(start), dtype=np.int32)
+        out, classes = np.zeros(len(start), dtype=np.int32), self._classes(data)
         alive, state, at = np.arange(len(start)), np.full(len(start), self.start, np.int32), start.copy()
         while len(alive):
             done = at >= end[alive]
             out[alive[done]] = state[done]
             alive, state, at = alive[~done], state[~done], at[~done]
-            state = self.table[state, self.classes[data[at]]]
+            state = self.table[state, classes[at]]
             keep = state > 0
             alive, state, at = alive[keep], state[keep], at[keep] + 1
         return out
 
-
-def _lead_bytes(term: str) -> bytes:
-    return bytes(b for b in term.encode() if b & 0xC0 != 0x80)
+    def _classes(self, data: np.ndarray) -> np.ndarray:
+        """Class of every byte: that of the code point that begins there, 1 for bytes that continue one."""
+        place = np.minimum(np.searchsorted(self.points, np.arange(128)), max(len(self.points) - 1, 0))
+        ascii = np.where(self.points[place] == np.arange(128), place + 2, 0) if len(self.points) else np.zeros(128, np.int64)
+        table = np.zeros(256, dtype=np.int32)
+        table[:128], table[0x80:0xC0] = ascii, 1
+        out = table[data]
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead) and len(self.points):
+            b = data[np.minimum(lead[:, None] + np.arange(4), len(data) - 1)].astype(np.int64)
+            tail = b[:, 1:] & 0x3F
+            point = np.where(b[:, 0] < 0xE0, (b[:, 0] & 0x1F) << 6 | tail[:, 0], np.where(
+                b[:, 0] < 0xF0, (b[:, 0] & 0x0F) << 12 | tail[:, 0] << 6 | tail[:, 1],
+                (b[:, 0] & 0x07) << 18 | tail[:, 0] << 12 | tail[:, 1] << 6 | tail[:, 2]))
+            place = np.minimum(np.searchsorted(self.points, point), len(self.points) - 1)
+            out[lead] = np.where(self.points[place] == point, place + 2, 0)
+        return out
 
 
 def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int = FUZZY_FROM,
               crowded: frozenset | set = frozenset()) -> Automaton:
-    """One deterministic automaton of all terms with their weights. Class 0 is any byte of no term, class 1 a continuation byte,
-    which changes nothing."""
+    """One deterministic automaton of all terms with their weights. Class 0 is any code point of no term, class 1 a continuation
+    byte, which changes nothing."""
     children: list[dict[int, int]] = [{}, {}, {}]  # node 0: words with edits, node 1: terms without, node 2: stems with
     final: dict[int, str] = {}
     worth: dict[int, float] = {}
 
     def add(term: str, root: int, kind: str, weight: float) -> None:
         node = root
-        for b in _lead_bytes(term):
+        for b in map(ord, term):
             if b not in children[node]:
                 children[node][b] = len(children)
                 children.append({})
@@ -91,14 +105,10 @@ def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int
         final[node], worth[node] = kind, max(weight, worth.get(node, 0.0))
 
     for w, weight in words.items():
-        add(w, 0 if len(_lead_bytes(w)) >= fuzzy_from else 1, "word", weight)
+        add(w, 0 if len(w) >= fuzzy_from else 1, "word", weight)
     for s, weight in stems.items():
-        add(s, 2 if len(_lead_bytes(s)) >= fuzzy_from and s not in crowded else 1, "stem", weight)
+        add(s, 2 if len(s) >= fuzzy_from and s not in crowded else 1, "stem", weight)
     letters = sorted({b for c in children for b in c})
-    classes = np.zeros(256, dtype=np.int32)
-    classes[0x80:0xC0] = 1
-    for i, b in enumerate(letters):
-        classes[b] = i + 2
 
     def closed(states: set[tuple[int, int]]) -> frozenset:
         todo = list(states)
@@ -142,7 +152,7 @@ def automaton(words: dict[str, float], stems: dict[str, float], fuzzy_from: int
         ends = [(EXACT if left or node in no_edits else FUZZY, worth[node]) for node, left in states if node in final]
         if ends:
             accepts[i], weights[i] = max(ends)
-    return Automaton(classes, np.array(table, dtype=np.int32), accepts, weights, 1)
+    return Automaton(np.array(letters, dtype=np.int64), np.array(table, dtype=np.int32), accepts, weights, 1)
 
 
 def _below(children: list[dict[int, int]], root: int) -> set[int]:
@@ -202,14 +212,14 @@ def _begins_nearly(stem: str) -> F.Column:
 
 
 def lookalikes(usual: DataFrame, terms: Automaton) -> np.ndarray:
-    """Sorted hashes of usual words that the automaton takes for misspelled terms; few, as terms are few."""
+    """Sorted hashes of usual words that the automaton takes for terms; few, as terms are few."""
 
     def run(batches):
         for b in batches:
             for texts in chunks(b.column("word")):
                 words = words_of(texts, LETTER_OR_DIGIT)
                 yield pa.RecordBatch.from_arrays([pa.array(words.hash[terms.accepts[terms.match(
-                    FOLD[texts.data], words.start, words.end)] == FUZZY].view(np.int64))], names=["hash"])
+                    FOLD[texts.data], words.start, words.end)] > 0].view(np.int64))], names=["hash"])
 
     return np.sort(usual.mapInArrow(run, "hash long").toArrow().column("hash").to_numpy().view(np.uint64))
 
@@ -229,7 +239,7 @@ def signs(texts: Texts, terms: Automaton, usual: np.ndarray) -> np.ndarray:
     data = FOLD[texts.data]
     state = terms.match(data, words.start, words.end)
     hit = np.flatnonzero(terms.accepts[state])
-    hit = hit[(terms.accepts[state[hit]] == EXACT) | ~np.isin(words.hash[hit], usual)]
+    hit = hit[~np.isin(words.hash[hit], usual)]
     kind = terms.accepts[state[hit]]
     weight = terms.weight[state[hit]] * np.where(kind == EXACT, 1.0, MISSPELLED)
     quoted = _in_quotes(texts, words, hit) | _near(words, hit, _hashes(REPORTING))

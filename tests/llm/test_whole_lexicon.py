@@ -35,3 +35,22 @@ def test_misspelled_member_of_a_family_counts(spark):
     found = {r.doc_id: r.score for r in tx.toxicity_scores(frame(spark, rows),
              spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert found[5000] > 0.5 > found[5001]
+
+
+def test_letters_outside_ascii_are_told_apart():
+    terms = tx.automaton({"дурак": 2.0, "混蛋": 2.0, "réeu": 1.0, "🙂🙃": 1.0}, {"ébèt": 1.0})
+    for word, want in (("дурак", 2), ("дурек", 1), ("книга", 0), ("столы", 0), ("混蛋", 2), ("混合", 0), ("réeu", 2), ("rèeu", 0),
+                       ("ébètes", 2), ("èbétes", 0), ("🙂🙃", 2), ("🙃🙂", 0)):
+        assert accepted(terms, word) == want, word
+    text = "混蛋 дурак x réeu"
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    words = tx.words_of(tx.Texts(data, np.array([0, len(data)]), 0), tx.LETTER_OR_DIGIT)
+    assert terms.accepts[terms.match(data, words.start, words.end)].tolist() == [2, 2, 0, 2]
+
+
+def test_usual_words_that_begin_with_a_stem_are_taken_back(spark):
+    terms = tx.automaton({}, {"zorg": 2.0})
+    usual = tx.lookalikes(spark.createDataFrame([("zorgfalt",), ("haus",)], "word string"), terms)
+    data = np.frombuffer(b"zorgfalt", dtype=np.uint8)
+    assert not tx.signs(tx.Texts(data, np.array([0, 8]), 0), terms, usual).any()
+    assert tx.signs(tx.Texts(data, np.array([0, 8]), 0), terms, usual[:0]).any()
