@@ -126,7 +126,7 @@ def signatures(h: np.ndarray, rare: np.ndarray, classes: SizeClasses) -> np.ndar
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, key`` of every document, and rows with a ``shingle`` that is frequent in a run of
+    """``doc_id, text_key, n_shingles, key`` of every document, and rows with a ``shingle`` that is frequent in a run of
     documents, in ``sets`` distinct sets of it; a last row of a run has only the number of all its sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +140,14 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
             return rows(shingle=pa.array([*h[often].view(np.int64), None], pa.int64()),
                         sets=pa.array([*n[often], len(held)], pa.int64()))
 
-        names = ["doc_id", "n_shingles", "key", "shingle", "sets"]
+        names = ["doc_id", "text_key", "n_shingles", "key", "shingle", "sets"]
         held, size = {}, 0
         for batch in batches:
             for texts in chunks(batch.column("text")):
                 h, bounds = shingle_sets(texts, width)
                 n, keys = np.diff(bounds), set_keys(h, bounds).astype(np.int64)
-                yield rows(doc_id=batch.column("doc_id").slice(texts.first, len(texts)), n_shingles=pa.array(n, pa.int64()),
+                own = batch.slice(texts.first, len(texts))
+                yield rows(doc_id=own.column("doc_id"), text_key=own.column("text_key"), n_shingles=pa.array(n, pa.int64()),
                            key=pa.array(keys, pa.int64(), mask=n == 0))
                 for d in np.flatnonzero(n):
                     if keys[d] not in held:
@@ -158,7 +159,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, shingle long, sets long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, key long, shingle long, sets long")
 
 
 def _frequent(members: DataFrame) -> np.ndarray:
@@ -353,12 +354,15 @@ def _traverse(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``cluster, key, shingles`` of the sets in ``wanted`` (cluster, key, doc_id: one document that has the set)."""
-    rows = docs.join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of")).select("cluster", "key", "text")
+    """``cluster, key, shingles`` of the sets in ``wanted`` (cluster, key, and id and text key of one document that has
+    the set; its id may be missing)."""
+    wanted = wanted.select("cluster", "key", F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"))
+    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_text"))).select(
+        "cluster", "key", "text")
 
     def one(batch: pa.RecordBatch, texts: Texts) -> dict[str, pa.Array]:
         h, bounds = shingle_sets(texts, width)
-        # an id may stand for several texts: only the wanted set counts
+        # only the wanted set counts, should two texts have one key
         right = set_keys(h, bounds).astype(np.int64) == batch.column("key").to_numpy()
         packed = [h[a:b].tobytes() if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], right)]
         return {"cluster": batch.column("cluster"), "key": batch.column("key"), "shingles": pa.array(packed, pa.binary())}
@@ -410,25 +414,36 @@ def _across_blocks(large: DataFrame, links: DataFrame, percent: int, block: int)
     return stage(_traverse(pairs.select("task", "tree", "side", "key", "shingles"), percent))
 
 
-def linked(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``, the smallest id that links reach."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _text_key():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, text_key, n_shingles, set``, equal for linked rows and missing without shingles."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("text_key"))
     told = stage(_members(rows, width))
-    members = told.filter("sets is null").select("doc_id", "n_shingles", "key")
+    members = told.filter("sets is null").select("doc_id", "text_key", "n_shingles", "key")
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
     entries = 2 * shingles * (100 - percent) // percent
     edges = stage(_shared_signatures(rows, width, percent, entries, _frequent(told)))
     cluster = components(edges)
-    one_each = members.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    # a document with an id if there is one; sets whose documents have none are fetched by their text alone
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    one_each = members.filter("key is not null").groupBy("key").agg(first).select("key", "first.doc_id", "first.text_key")
     # clusters are of shortened keys; sets whose keys are cut alike are in one cluster, which is harmless
     wanted = one_each.join(cluster, F.col("key").bitwiseAND(F.lit(int(_SIX))) == F.col("node")).select(
-        F.col("component").alias("cluster"), "key", "doc_id")
+        F.col("component").alias("cluster"), "key", "doc_id", "text_key")
     sets = stage(_sets_of(rows, wanted, width))
     of_key = components(_tree_links(sets, percent, block))
     release_staged(sets)
-    labelled = members.join(of_key, members["key"] == of_key["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "key").alias("set"))
-    labelled = stage(labelled)
+    return stage(members.join(of_key, members["key"] == of_key["node"], "left").select(
+        "doc_id", "text_key", "n_shingles", F.coalesce("component", "key").alias("set")))
+
+
+def linked(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id``, the smallest id that links reach (missing if none of
+    the linked rows has one)."""
+    labelled = _labelled(docs, width, percent, block)
     # staged, so that the join below has two plain sides and a set of very many documents can be split
     lowest = stage(labelled.filter("set is not null").groupBy(F.col("set").alias("of")).agg(F.min("doc_id").alias("component_id")))
     return labelled.join(lowest, F.col("set") == F.col("of"), "left").select(
