@@ -451,9 +451,17 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOC
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component; of rows that repeat such an id, all."""
-    stay = linked(docs, width, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("__stays")), "left_semi")
+    """One row of ``docs`` per component: of its smallest id (missing ids last) and, under that, text key; which of rows
+    with equal ids and texts is open. Rows without shingles link with nothing and all stay."""
+    labelled = _labelled(docs, width, percent, BLOCK)
+    texts = labelled.filter("set is not null").groupBy("set", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("first")
+    lone = labelled.filter("set is null").select("doc_id", "text_key").distinct().withColumn("n", F.lit(1).cast("long"))
+    stay = stage(texts.groupBy("set").agg(first).select("first.doc_id", "first.text_key", "first.n").unionByName(lone).select(
+        F.col("doc_id").alias("__stays"), F.col("text_key").alias("__text"), F.col("n").alias("__n")))
+    found = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("__stays")) & (_text_key() == F.col("__text")))
+    repeated = found.filter("__n > 1").dropDuplicates(["__stays", "__text"])
+    return found.filter("__n = 1").unionByName(repeated).drop("__stays", "__text", "__n")
 
 
 LINKED_SQL = r"""
