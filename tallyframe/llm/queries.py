@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import boosted_trees, class_bigrams, decontaminate, jaccard_join, line_quality, personal_data, secret_scan, source_mix, substring_dedup, toxicity
+from tallyframe.llm import (
+    boosted_trees, class_bigrams, decontaminate, jaccard_join, line_quality, periodic_runs, personal_data, secret_scan, source_mix,
+    substring_dedup, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +41,4 @@ query("op7_personal_data", "documents")(personal_data.report)
 query("op8_benchmark_decontamination", "documents", "benchmark", sql=decontaminate.REPORT_SQL)(decontaminate.report)
 query("op9_toxicity", "documents", "labels")(toxicity.toxicity_scores)
 query("op10_quality_classifier", "documents", "labels")(boosted_trees.quality_scores)
+query("op13_periodic_runs", "documents")(periodic_runs.report)
