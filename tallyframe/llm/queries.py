@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import (
     boosted_trees, class_bigrams, decontaminate, jaccard_join, line_quality, periodic_runs, personal_data, secret_scan, source_mix,
-    substring_dedup, toxicity, vector_codes,
+    substring_dedup, toxicity, url_aliases, vector_codes,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,5 +41,6 @@ query("op7_personal_data", "documents")(personal_data.report)
 query("op8_benchmark_decontamination", "documents", "benchmark", sql=decontaminate.REPORT_SQL)(decontaminate.report)
 query("op9_toxicity", "documents", "labels")(toxicity.toxicity_scores)
 query("op10_quality_classifier", "documents", "labels")(boosted_trees.quality_scores)
-query("op11_vector_codes", "embeddings")(vector_codes.report)
+query("op11_vector_codes", "embeddings", sql=vector_codes.REPORT_SQL)(vector_codes.report)
+query("op12_url_aliases", "pages", sql=url_aliases.REPORT_SQL)(url_aliases.report)
 query("op13_periodic_runs", "documents")(periodic_runs.report)

@@ -199,3 +199,44 @@ def report(vectors: DataFrame) -> DataFrame:
     sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
     return coded.join(sums, coded["label"].eqNullSafe(sums["of"]), "left").select(
         "vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def _report_sql(rounds: int = ROUNDS) -> str:
+    """The same in SQL, every part against every entry. Whole numbers are exact in double precision here."""
+    steps = ["""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS MATERIALIZED (SELECT coalesce(max(len(v)), 0) AS w FROM kept),
+places AS (SELECT p, w * p // 4 AS low, w * (p + 1) // 4 AS high FROM width, range(4) t(p)),
+parts AS MATERIALIZED (
+  SELECT rid, p, list_resize(v, w, 0)[low + 1:high] AS x FROM kept, width, places),
+seeds AS (SELECT vec_id, min(v) AS v FROM kept GROUP BY vec_id ORDER BY vec_id NULLS LAST LIMIT 256),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id NULLS LAST) - 1 AS e, list_resize(v, w, 0)[low + 1:high] AS c
+  FROM seeds, width, places)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT rid, p, any_value(x) AS x, min({{'d': coalesce(list_sum(list_transform(list_zip(x, c), lambda y: (y[1] - y[2]) * (y[1] - y[2]))), 0), 'e': e}}) AS best
+  FROM parts JOIN book{r} USING (p) GROUP BY rid, p)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} AS (
+  SELECT p, e, k, sum(y)::BIGINT AS s, count(*) AS n
+  FROM (SELECT p, best.e AS e, unnest(x) AS y, generate_subscripts(x, 1) AS k FROM near{r}) GROUP BY p, e, k),
+mean{r} AS (
+  SELECT p, e, list(((s - (((s % n) + n) % n)) // n)::DOUBLE ORDER BY k) AS c FROM sums{r} GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m USING (p, e))""")
+    return "WITH" + ",".join(steps) + f""",
+numbers AS (SELECT p, e, unnest(c)::BIGINT AS y, generate_subscripts(c, 1) AS k FROM book{rounds}),
+digest AS (SELECT sha256(coalesce(string_agg(y::VARCHAR, ',' ORDER BY p, e, k), '')) AS codebooks_sha256 FROM numbers),
+coded AS (
+  SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), digest"""
+
+
+REPORT_SQL = _report_sql()
