@@ -1,8 +1,8 @@
 """Weighted logistic models.
 
 A formula ``(a + b + …) * group`` gives every group its own intercept and slopes, so its likelihood
-splits by group. :func:`fit_logit_by` uses that: each Newton step is one grouped aggregation over the
-rows that serves every group (all years and age groups) and every model at once. :func:`fit_formula`
+splits by group. :func:`fit_logit_by` uses that: groups of bounded size take all their steps in one task, and for
+larger ones each Newton step is one grouped aggregation that serves every group and every model at once. :func:`fit_formula`
 fits any other formula with Spark ML.
 """
 
@@ -14,10 +14,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from tallyframe.operators.design import summed
 from tallyframe.operators.joins import keyed_join
@@ -27,6 +28,8 @@ from tallyframe.session import release_staged, stage
 #: still moving after the last step, which quasi-separated outcomes are the usual reason for.
 SETTLED, SEPARATED, EMPTY, UNSETTLED = "settled", "separated", "empty", "unsettled"
 _OPEN = "open"
+#: Rows of a group that one task solves whole, and about as many rows of smaller groups at a time.
+WHOLE = 100_000
 
 
 @dataclass(frozen=True)
@@ -60,8 +63,7 @@ def predicted(spec: LogitSpec, replaced: dict[str, Column] | None = None) -> Col
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
 
 
-def _step_sums(df: DataFrame, by: Sequence[str], specs: Sequence[LogitSpec], outcome: str, weight: str,
-               started: bool) -> DataFrame:
+def _step_sums(df: DataFrame, by: Sequence[str], specs: Sequence[LogitSpec], outcome: str, weight: str) -> DataFrame:
     """Per group and model: row count, log-likelihood, gradient and Hessian, as plain sums.
 
     Linear predictor, probability, residual and curvature weight are columns of their own, so the
@@ -75,7 +77,7 @@ def _step_sums(df: DataFrame, by: Sequence[str], specs: Sequence[LogitSpec], out
     passed = [*keys, "__y", "__w", *[f"`{t}`" for t in terms]]
     eta, prob, weights, summands = [], [], [], []
     for s in specs:
-        coefs = [f"`{s.coef(j)}`" if started else "0D" for j in range(s.size)]
+        coefs = [f"`{s.coef(j)}`" for j in range(s.size)]
         eta.append(" + ".join([coefs[0], *[f"{c} * double(`{t}`)" for c, t in zip(coefs[1:], s.terms)]])
                    + f" as {s.name}__eta")
         e, p = f"{s.name}__eta", f"{s.name}__p"
@@ -158,58 +160,168 @@ def _advance(specs: Sequence[LogitSpec], tol: float, last: bool):
     return run
 
 
+def _blank(specs: Sequence[LogitSpec]) -> dict[str, object]:
+    """The state of a group before its first step."""
+    out: dict[str, object] = {s.coef(j): 0.0 for s in specs for j in range(s.size)}
+    out |= {_kept(s, j): float("nan") for s in specs for j in range(s.size)}
+    for s in specs:
+        out |= {f"{s.name}__start": float("nan"), f"{s.name}__best": float("nan"), s.status: _OPEN}
+    return out
+
+
+def _is_open(specs: Sequence[LogitSpec]) -> Column:
+    some = F.lit(False)
+    for s in specs:
+        some = some | (F.col(s.status) == _OPEN)
+    return some
+
+
+def _fitted(specs: Sequence[LogitSpec]) -> list[Column]:
+    """Coefficients at which each group's last sums were taken, and the statuses."""
+    coefs = [F.when(~F.isnan(_kept(s, j)), F.col(_kept(s, j))).alias(s.coef(j)) for s in specs for j in range(s.size)]
+    return [*coefs, *[F.col(s.status) for s in specs]]
+
+
+def _block_sums(state: pd.DataFrame, spec: LogitSpec, starts: np.ndarray, group: np.ndarray, y: np.ndarray, w: np.ndarray,
+                x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The sums of :func:`_step_sums` over rows that lie group by group in memory."""
+    columns = [np.ones(len(y)), *[x[t] for t in spec.terms]]
+    eta = sum(state[spec.coef(j)].to_numpy(dtype=float)[group] * c for j, c in enumerate(columns))
+    there = ~np.isnan(eta)
+    columns, eta = [np.where(there, c, 0.0) for c in columns], np.where(there, eta, 0.0)
+    p = 1 / (1 + np.exp(-eta))
+    seen = np.where(there, w, 0.0)
+    left, curve = seen * (y - p), seen * p * (1 - p)
+    likely = seen * (y * eta - np.maximum(eta, 0) - np.log1p(np.exp(-np.abs(eta))))
+    out = {"n": np.add.reduceat(there.astype(np.int64), starts), "ll": np.add.reduceat(likely, starts)}
+    for j, xj in enumerate(columns):
+        out[f"g{j}"] = np.add.reduceat(left * xj, starts)
+        out |= {f"h{j}_{k}": np.add.reduceat(curve * xj * xk, starts) for k, xk in enumerate(columns[:j + 1])}
+    return {f"{spec.name}__{c}": v for c, v in out.items()}
+
+
+def _solve_block(pdf: pd.DataFrame, specs: Sequence[LogitSpec], tol: float, max_iter: int) -> pd.DataFrame:
+    """All Newton steps of the groups of ``pdf``, whose rows lie group by group."""
+    numbers = pdf["__group"].to_numpy()
+    y, w = pdf["__y"].to_numpy(dtype=float), pdf["__w"].to_numpy(dtype=float)
+    x = {t: pdf[t].to_numpy(dtype=float) for s in specs for t in s.terms}
+    starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+    state = pd.DataFrame({"__group": numbers[starts], **_blank(specs)})
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(numbers))))
+    for i in range(max_iter):
+        opened = np.zeros(len(state), dtype=bool)
+        for s in specs:
+            opened |= (state[s.status] == _OPEN).to_numpy()
+        if not opened.any():
+            break
+        rows = opened[group]
+        own, first = np.flatnonzero(opened), np.concatenate([[0], np.cumsum(np.bincount(group[rows], minlength=len(state))[opened])[:-1]])
+        now, place = state.iloc[own].reset_index(drop=True), np.cumsum(opened)[group[rows]] - 1
+        sums: dict[str, np.ndarray] = {}
+        for s in specs:
+            sums |= _block_sums(now, s, first, place, y[rows], w[rows], {t: v[rows] for t, v in x.items()})
+        moved = next(_advance(specs, tol, i == max_iter - 1)(iter([pd.concat([now, pd.DataFrame(sums)], axis=1)])))
+        for c in state.columns:
+            values = state[c].to_numpy(copy=True)
+            values[own] = moved[c].to_numpy()
+            state[c] = values
+    return state
+
+
+def _whole_groups(specs: Sequence[LogitSpec], tol: float, max_iter: int, block: int):
+    """Solves the groups of a task that is sorted by them, a block of whole groups at a time."""
+
+    def run(batches):
+        held, rows = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows < block:
+                continue
+            pdf = pd.concat(held, ignore_index=True)
+            # the last group may go on in the next batch
+            whole = int(np.searchsorted(pdf["__group"].to_numpy(), pdf["__group"].iloc[-1]))
+            if whole:
+                yield _solve_block(pdf.iloc[:whole], specs, tol, max_iter)
+            held, rows = [pdf.iloc[whole:]], len(pdf) - whole
+        if rows:
+            yield _solve_block(pd.concat(held, ignore_index=True), specs, tol, max_iter)
+
+    return run
+
+
+def _fit_whole(data: DataFrame, groups: DataFrame, by: Sequence[str], outcome: str, weight: str,
+               specs: Sequence[LogitSpec], tol: float, max_iter: int) -> DataFrame:
+    """Fits of groups that are solved in one task each; ``groups`` numbers them."""
+    terms = list(dict.fromkeys(t for s in specs for t in s.terms))
+    rows = keyed_join(data, groups.select(*by, "__group"), by, "inner").select(
+        "__group", F.col(outcome).cast("double").alias("__y"), F.col(weight).cast("double").alias("__w"),
+        *[F.col(t).cast("double").alias(t) for t in terms])
+    together = rows.repartition("__group").sortWithinPartitions("__group")
+    schema = ", ".join(["__group long", *[f"{c} {'string' if v == _OPEN else 'double'}" for c, v in _blank(specs).items()]])
+    solved = stage(together.mapInPandas(_whole_groups(specs, tol, max_iter, WHOLE), schema))
+    out = keyed_join(groups.select(*by, "__group"), solved, ["__group"], "inner").select(*by, *_fitted(specs))
+    return out
+
+
+def _fit_stepwise(data: DataFrame, groups: DataFrame, by: Sequence[str], outcome: str, weight: str,
+                  specs: Sequence[LogitSpec], tol: float, max_iter: int) -> DataFrame:
+    """Fits of groups of any size. A step is one job: sums of all rows of open groups, solved and written as the
+    next state; how many groups and rows stay open is observed on the way."""
+    state = groups.select(*by, "__rows", *[F.lit(v).alias(c) for c, v in _blank(specs).items()])
+    points = [s.coef(j) for s in specs for j in range(s.size)]
+    owned, rest, total = False, None, None
+    for i in range(max_iter):
+        sums = _step_sums(keyed_join(data, state.filter(_is_open(specs)).select(*by, *points), by, "inner"), by, specs, outcome, weight)
+        names = [c for c in sums.columns if c not in by]
+        merged = keyed_join(state, sums, by, "left").fillna(0, names)
+        progress = Observation()
+        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in merged.schema])
+        advanced = merged.mapInPandas(_advance(specs, tol, i == max_iter - 1), nullable).drop(*names).observe(
+            progress, F.count_if(_is_open(specs)).alias("open"), F.sum(F.when(_is_open(specs), F.col("__rows"))).alias("rows"),
+            F.sum("__rows").alias("all"))
+        newer = stage(advanced)
+        if owned:
+            release_staged(state)
+        state, owned = newer, True
+        left, rows = progress.get["open"], progress.get["rows"] or 0
+        total = total or progress.get["all"]
+        if not left:
+            break
+        if rows * 2 <= total and i < max_iter - 1:
+            # closed groups are not read again
+            kept = stage(keyed_join(data, state.filter(_is_open(specs)).select(*by), by, "inner"))
+            if rest is not None:
+                release_staged(rest)
+            data, rest, total = kept, kept, rows
+    if rest is not None:
+        release_staged(rest)
+    return state.select(*by, *_fitted(specs))
+
+
 def fit_logit_by(df: DataFrame, by: Sequence[str], outcome: str, weight: str,
-                 specs: Sequence[LogitSpec], tol: float = 1e-19, max_iter: int = 16) -> DataFrame:
+                 specs: Sequence[LogitSpec], tol: float = 1e-19, max_iter: int = 16, whole: int = WHOLE) -> DataFrame:
     """Coefficients per ``by`` group, one column per model and term, and each model's status.
 
-    Every Newton step is one grouped sum, which serves all models of all groups that are still open, and one
-    solution per group on the executors; the state is a table, and the driver only learns how many groups and rows
-    are open. Once these are half of the rows or less, only they are staged and read from then on. Coefficients
-    are those at which the last sums were taken: a group has settled when the step from there would gain less
-    than ``tol`` of the initial log-likelihood. Stage ``df`` if it is costly; it is read until the first halving.
+    Rows are counted per group first. Groups of at most ``whole`` rows are brought together, many in a task, and
+    take all their Newton steps there, in one job. Larger ones stay where they are: each step is one job, a grouped
+    sum that serves all their models, solved on the executors and written as the next state. The driver learns only
+    how many groups and rows are open; once these are half of the rows or less, only they are staged and read from
+    then on. Both ways take the same steps, so ``whole`` changes costs, not results. Coefficients are those at which the
+    last sums were taken: a group has settled when the step from there would gain less than ``tol`` of the initial
+    log-likelihood. Stage ``df`` if it is costly.
     """
     used = list(dict.fromkeys(t for s in specs for t in s.terms))
     data = df.select(*by, outcome, weight, *used).filter(F.col(outcome).isNotNull() & F.col(weight).isNotNull())
-    blank = [F.lit(0.0).alias(s.coef(j)) for s in specs for j in range(s.size)]
-    blank += [F.lit(float("nan")).alias(_kept(s, j)) for s in specs for j in range(s.size)]
-    for s in specs:
-        blank += [F.lit(float("nan")).alias(f"{s.name}__{c}") for c in ("start", "best")] + [F.lit(_OPEN).alias(s.status)]
-    state, staged, total = None, None, 0
-    for i in range(max_iter):
-        if state is None:
-            sums = _step_sums(data, by, specs, outcome, weight, False)
-            counted = data.groupBy(*by).agg(F.count("*").alias("__rows"))
-            merged = keyed_join(counted, sums, by, "inner").select("*", *blank)
-        else:
-            is_open = F.lit(False)
-            for s in specs:
-                is_open = is_open | (F.col(s.status) == _OPEN)
-            points = [s.coef(j) for s in specs for j in range(s.size)]
-            open_groups = state.filter(is_open).select(*by, *points)
-            n, rows = state.filter(is_open).agg(F.count("*"), F.sum("__rows")).first()
-            if not n:
-                break
-            total = total or state.agg(F.sum("__rows")).first()[0]
-            if rows * 2 <= total:
-                # closed groups are not read again
-                rest = stage(keyed_join(data, open_groups.select(*by), by, "inner"))
-                if staged is not None:
-                    release_staged(staged)
-                data, staged, total = rest, rest, rows
-            sums = _step_sums(keyed_join(data, open_groups, by, "inner"), by, specs, outcome, weight, True)
-            names = [c for c in sums.columns if c not in by]
-            merged = keyed_join(state, sums, by, "left").fillna(0, names)
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in merged.schema])
-        advanced = merged.mapInPandas(_advance(specs, tol, i == max_iter - 1), schema).drop(*[
-            c for c in sums.columns if c not in by])
-        newer = stage(advanced)
-        if state is not None:
-            release_staged(state)
-        state = newer
-    if staged is not None:
-        release_staged(staged)
-    coefs = [F.when(~F.isnan(_kept(s, j)), F.col(_kept(s, j))).alias(s.coef(j)) for s in specs for j in range(s.size)]
-    return state.select(*by, *coefs, *[s.status for s in specs])
+    sizes = Observation()
+    groups = stage(data.groupBy(*by).agg(F.count("*").alias("__rows")).withColumn("__group", F.monotonically_increasing_id()).observe(
+        sizes, F.count_if(F.col("__rows") <= whole).alias("whole"), F.count_if(F.col("__rows") > whole).alias("large")))
+    fits = []
+    if sizes.get["large"]:
+        fits.append(_fit_stepwise(data, groups.filter(F.col("__rows") > whole), by, outcome, weight, specs, tol, max_iter))
+    if sizes.get["whole"] or not fits:
+        fits.append(_fit_whole(data, groups.filter(F.col("__rows") <= whole), by, outcome, weight, specs, tol, max_iter))
+    return fits[0] if len(fits) == 1 else fits[0].unionByName(fits[1])
 
 
 def _columns_of(df: DataFrame, formula_side: str) -> list[str]:

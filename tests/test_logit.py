@@ -42,8 +42,9 @@ def newton(rows):
     return b
 
 
-def test_coefficients(df, data):
-    coefs = {r.g: r for r in fit_logit_by(df, ["g"], "y", "w", [SPEC, BARE]).collect()}
+@pytest.mark.parametrize("whole", [0, 300, 100_000])
+def test_coefficients(df, data, whole):
+    coefs = {r.g: r for r in fit_logit_by(df, ["g"], "y", "w", [SPEC, BARE], whole=whole).collect()}
     for g in "ab":
         mine = [r for r in data if r[0] == g]
         assert [coefs[g][SPEC.coef(j)] for j in range(3)] == pytest.approx(list(newton(mine)), abs=1e-9)
@@ -122,7 +123,7 @@ def test_closed_groups_are_not_read_again(spark, monkeypatch):
     data = [("easy", i % 2, 0.0, 0, 1) for i in range(300)]  # settles at once
     data += [("hard", int(i % 5 == 0), float(i % 11), i % 2, 1 + i % 9) for i in range(100)]
     t = spark.createDataFrame(data, "g string, y int, x double, z int, w int")
-    fit_logit_by(t, ["g"], "y", "w", [SPEC]).collect()
+    fit_logit_by(t, ["g"], "y", "w", [SPEC], whole=0).collect()
     rows = [d for d in staged if "y" in d.columns]
     assert len(rows) == 1 and {r.g for r in rows[0].select("g").distinct().collect()} == {"hard"}
 
@@ -134,3 +135,61 @@ def test_many_groups(spark):
         "off", F.abs(1 / (1 + F.exp(-F.col(BARE.coef(0)))) - (1 + F.col("g") % 3) / 4))
     r = got.agg(F.count("*").alias("n"), F.max("off").alias("off")).first()
     assert r.n == 50_000 and r.off < 1e-9
+
+
+def _odd_groups(spark):
+    data = [("sep", int(i >= 10), float(i >= 10), 1, 1) for i in range(20)] + [("none", 1, None, 1, 1)]
+    data += [("mixed", i % 2, float(i % 3), i % 2, 1 + i % 5) for i in range(40)]
+    data += [("fine", int(i % 7 < 3), float(i % 5) if i % 6 else None, i % 2, 1) for i in range(70)] + [(None, int(i % 3 == 0), i / 9, i % 2, 2) for i in range(90)]
+    data += [("const", int(i % 3 == 0), 2.0, 1, 1) for i in range(30)] + [("gone", None, 1.0, 1, 1), ("fine", 1, 1.0, 1, None)]
+    return spark.createDataFrame(data, "g string, y int, x double, z int, w int")
+
+
+@pytest.mark.parametrize("max_iter", [1, 3, 16])
+def test_whole_groups_and_steps_over_all_rows_agree(spark, max_iter):
+    t = _odd_groups(spark)
+    ways = [{r.g: r.asDict() for r in fit_logit_by(t, ["g"], "y", "w", [SPEC, BARE], max_iter=max_iter, whole=n).collect()} for n in (0, 50, 10_000)]
+    assert set(ways[0]) == set(ways[1]) == set(ways[2]) and "gone" not in ways[0]
+    for g, want in ways[0].items():
+        for other in ways[1:]:
+            for c, v in want.items():
+                assert other[g][c] == (pytest.approx(v, rel=1e-7, abs=1e-9) if isinstance(v, float) else v), (g, c)
+
+
+def test_blocks_hold_whole_groups(spark, monkeypatch):
+    from tallyframe.operators import logit as module
+
+    monkeypatch.setattr(module, "WHOLE", 7)  # rows of a block; a group may have more
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        t = spark.range(600).selectExpr("id % 40 as g", "int(id * 7 % 11 < 1 + id % 5) as y", "1 + id % 3 as w", "double(id % 13) as x", "id % 2 as z")
+        few = {r.g: r.asDict() for r in fit_logit_by(t, ["g"], "y", "w", [SPEC], whole=1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {r.g: r.asDict() for r in fit_logit_by(t, ["g"], "y", "w", [SPEC], whole=0).collect()}
+    assert len(few) == 40
+    for g, r in want.items():
+        assert few[g] == {c: pytest.approx(v, rel=1e-6, abs=1e-8) if isinstance(v, float) else v for c, v in r.items()}
+
+
+def test_a_step_is_one_write(spark, monkeypatch):
+    """Between the writes of the states the driver asks for nothing: progress is observed by the writes."""
+    from tallyframe.operators import logit as module
+
+    staged, real = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda d: staged.append(real(d)) or staged[-1])
+
+    def refuse(*_, **__):
+        raise AssertionError("an action besides the writes")
+
+    data = [("a", int(i % 5 == 0), float(i % 11), i % 2, 1 + i % 9) for i in range(200)]
+    t = spark.createDataFrame(data, "g string, y int, x double, z int, w int")
+    with monkeypatch.context() as m:
+        for action in ("collect", "first", "count", "isEmpty", "take", "toPandas", "toArrow", "head"):
+            m.setattr(type(t), action, refuse)
+        stepped = fit_logit_by(t, ["g"], "y", "w", [SPEC], max_iter=5, whole=0)
+        assert len(staged) <= 1 + 5
+        staged.clear()
+        whole = fit_logit_by(t, ["g"], "y", "w", [SPEC])
+        assert len(staged) == 2
+    assert stepped.count() == whole.count() == 1
