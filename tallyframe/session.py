@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
+import re
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own switch: shuffle files of a finished SQL execution are removed at its end.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Staged folders that still exist, with the session that can delete them.
-_staged: dict[str, SparkSession] = {}
+#: Staged folders that still exist: the session that can delete them, and once written a weak reference to what every
+#: plan that reads the folder has in common.
+_staged: dict[str, tuple[SparkSession, JavaObject | None]] = {}
+#: Sessions whose switch is on: writes under way, and its value before the first of them.
+_writing: dict[int, tuple[int, str]] = {}
+_lock = threading.Lock()
 
 
 def local_session(app: str = "tallyframe", cpus: str | int | None = None,
@@ -26,8 +34,6 @@ def local_session(app: str = "tallyframe", cpus: str | int | None = None,
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # wide aggregations compile to methods the JVM would only interpret beyond this size
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -39,56 +45,99 @@ def local_session(app: str = "tallyframe", cpus: str | int | None = None,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, else the session's checkpoint folder,
-    else a folder in the warehouse, which Spark shares by its own definition. Never a temporary folder of one
-    machine; without any of them it is an error."""
+    """The folder every executor can read: ``spark.checkpoint.dir``, else the session's checkpoint folder. A session
+    whose executors are all in the driver's process may go without and has a folder in its warehouse; for a cluster
+    that names none this is an error, never a folder of one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
-        if not warehouse:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"{warehouse.rstrip('/')}/_staged"
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; ``release_staged`` deletes whatever is written there."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(_release_all)
-    _staged[path] = spark
+    with _lock:
+        if not _staged:
+            atexit.register(_release_all)
+        _staged[path] = (spark, None)
     return path
 
 
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go when these have ended. The switch belongs to the session, so it stays on
+    until the last of several threads has left."""
+    with _lock:
+        under_way, before = _writing.get(id(spark), (0, spark.conf.get(_DROP_SHUFFLES, "false")))
+        _writing[id(spark)] = (under_way + 1, before)
+        spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            under_way, before = _writing.pop(id(spark))
+            if under_way > 1:
+                _writing[id(spark)] = (under_way - 1, before)
+            else:
+                spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Hold ``df`` for several passes over it.
 
     The rows are written to the shared folder as Parquet and read back: lineage ends, a lost executor costs a
     re-read and not a recomputation, and every pass reads only the columns it uses. Shuffle files of the
-    write are removed when it has ended. The folder stays until ``release_staged``, the end of a
-    ``staging`` block or the end of the program.
+    write are removed when it has ended. The folder belongs to the frames that read it, the returned one and all
+    derived from it: once none of them is left (and the JVM has noticed, which may take a while) the next ``stage``
+    or :func:`drop_unused` deletes it, as Spark's own cleaner does with shuffles and checkpoints. ``release_staged``,
+    the end of a ``staging`` block and the end of the program delete it at once.
     """
     spark = df.sparkSession
+    drop_unused()
     path = scratch_path(spark, "staged")
-    before = spark.conf.get(_DROP_SHUFFLES, "false")
-    spark.conf.set(_DROP_SHUFFLES, "true")
-    try:
+    with _dropping_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    # the file listing of the relation is shared by every plan that is built on it
+    files = held._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    with _lock:
+        if path in _staged:
+            _staged[path] = (spark, spark._jvm.java.lang.ref.WeakReference(files))
+    return held
+
+
+def drop_unused(collect: bool = False) -> int:
+    """Delete staged folders that no frame reads any more, and say how many remain. ``collect`` has Python and the JVM
+    look for unused objects first."""
+    if collect:
+        gc.collect()
+        for spark in {id(s): s for s, _ in _staged.values()}.values():
+            spark._jvm.System.gc()
+    with _lock:
+        unused = [path for path, (_, files) in _staged.items() if files is not None and files.get() is None]
+    _delete(unused)
+    return len(_staged)
 
 
 def release_staged(df: DataFrame | None = None, keep: frozenset[str] = frozenset()) -> None:
     """Delete staged folders: those ``df`` reads directly, or all but ``keep``."""
     if df is not None:
-        mine = [p for p in _staged if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles())]
+        files = df.inputFiles()
+        _delete([p for p in list(_staged) if any(p.rsplit("/", 1)[1] in f for f in files)])
     else:
-        mine = [p for p in _staged if p not in keep]
-    for path in mine:
-        spark = _staged.pop(path)
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete([p for p in list(_staged) if p not in keep])
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        with _lock:
+            spark, _ = _staged.pop(path, (None, None))
+        if spark is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager

@@ -1,10 +1,12 @@
 """Every registered query beside its SQL, on the smallest test tables."""
 
 import os
+import time
 
 import pytest
 
 import __spark_entry__ as contract
+from tallyframe.session import drop_unused
 from tallyframe.workload import catalog
 from tallyframe.workload.check import compare, connect
 
@@ -30,6 +32,15 @@ def test_query(spark, duck, name):
     assert ok, note
 
 
+def test_results_take_their_staged_folders_with_them():
+    """After all queries above: none of their results is left, so neither is anything they staged."""
+    for _ in range(20):
+        if not (left := drop_unused(collect=True)):
+            break
+        time.sleep(0.2)
+    assert left == 0
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
