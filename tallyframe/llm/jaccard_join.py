@@ -14,10 +14,13 @@ what the components need: no pair is verified that earlier links have already pu
 3. Each cluster is a signature tree: sets in order of size, nodes with the OR of their token bitmaps and their
    range of sizes. A dual traversal from the root pair drops node pairs whose largest possible overlap is too
    small for their sizes, and verifies what is left on the sets themselves.
-4. A large cluster is cut into blocks of ``BLOCK`` sets, a tree each; a few central sets of the cluster are put
-   into all its blocks and connect them. Sets that are then still outside the cluster's largest component are
-   traversed against all other blocks, a block pair at a time. So no task holds more than two blocks, sets within
-   the largest component are not paired again, and nothing is left out.
+4. Sets of a cluster of more than ``BLOCK`` sets or ``TASK_BYTES`` meet by posting: only sets that share a signature
+   are compared, however far the cluster reaches by way of others. First every posting's smallest set is verified
+   against the others; then, in postings whose sets are still of several components, the most typical sets; then
+   all pairs of different components that are left. The last two go by trees of bitmaps alone, whose survivors
+   are verified on the sets. A posting of more than ``BLOCK`` sets is cut into blocks, which the sets outside its
+   largest component meet one by one. No task holds more than two blocks or a batch of ``TASK_BYTES``, pairs of one
+   component are not verified, and nothing is left out.
 
 Missing texts, and texts without words, have an empty set and link with nothing; with fewer words than a shingle
 the whole sequence is the one shingle; repeated rows are equal sets and get a row each; an empty table gives an
@@ -199,11 +202,12 @@ def _shared_signatures(docs: DataFrame, width: int, percent: int, entries: int,
     def rows_of(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
         sig, key, edges = _stars(sig, key)
         cut = np.searchsorted(sig >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(sig)]
+        dealt = mix(edges[:, 0] + edges[:, 1] * np.uint64(3)) & np.uint64((1 << bits) - 1)
         yield pa.RecordBatch.from_arrays([
             pa.array(range(1 << bits), pa.int32()),
             pa.array([_packed(sig[a:b] & _SIX) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
             pa.array([_packed(key[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-            pa.array([edges.tobytes()] + [b""] * ((1 << bits) - 1), pa.binary())], names=["part", "sigs", "keys", "edges"])
+            pa.array([edges[dealt == part].tobytes() for part in range(1 << bits)], pa.binary())], names=["part", "sigs", "keys", "edges"])
 
     def entries_of(batches):
         classes, held, sigs, keys = SizeClasses(percent), 0, [], []
@@ -261,22 +265,18 @@ class Tree:
         return np.arange(node * self.FAN, min((node + 1) * self.FAN, len(self.levels[level - 1][0])))
 
 
-def _candidates(one: Tree, other: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _candidates(one: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Dual traversal: pairs of sets (places in the trees) that no bound rules out, with their largest overlap."""
-    same = one is other
-    top = max(len(one.levels), len(other.levels)) - 1
-    stack = [(top, 0, 0)]
+    stack = [(len(one.levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
-        a = one.children(level, i) if 0 < level < len(one.levels) else np.array([i])
-        b = other.children(level, j) if 0 < level < len(other.levels) else np.array([j])
+        a, b = (one.children(level, k) if level else np.array([k]) for k in (i, j))
         below = max(level - 1, 0)
-        la, lb = one.levels[min(below, len(one.levels) - 1)], other.levels[min(below, len(other.levels) - 1)]
+        la = lb = one.levels[below]
         x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-        if same:
-            x, y = x[x <= y], y[x <= y]
-            if below == 0:
-                x, y = x[x < y], y[x < y]
+        x, y = x[x <= y], y[x <= y]
+        if below == 0:
+            x, y = x[x < y], y[x < y]
         # sizes: the smaller of a pair has at least the limit's share of the larger
         fits = (la[2][x] * 100 >= lb[1][y] * percent) & (lb[2][y] * 100 >= la[1][x] * percent)
         x, y = x[fits], y[fits]
@@ -296,8 +296,9 @@ def _candidates(one: Tree, other: Tree, percent: int) -> Iterator[tuple[np.ndarr
             stack += [(below, int(u), int(v)) for u, v in zip(x, y)]
 
 
-def _links(one: Tree, other: Tree, percent: int, parent: dict, names: tuple[list, list]) -> list[tuple]:
-    """Verified links between names of different components; ``parent`` is a union-find forest."""
+def _links(one: Tree, percent: int, names: list) -> list[tuple]:
+    """Verified links between names of different components."""
+    parent: dict = {}
 
     def root(x):
         while parent.setdefault(x, x) != x:
@@ -308,12 +309,12 @@ def _links(one: Tree, other: Tree, percent: int, parent: dict, names: tuple[list
     links = []
 
     def join(a: int, b: int, overlap: int) -> None:
-        u, v = names[0][one.order[a]], names[1][other.order[b]]
-        if overlap * (100 + percent) >= percent * (len(one.sets[a]) + len(other.sets[b])) and root(u) != root(v):
+        u, v = names[one.order[a]], names[one.order[b]]
+        if overlap * (100 + percent) >= percent * (len(one.sets[a]) + len(one.sets[b])) and root(u) != root(v):
             parent[max(root(u), root(v))] = min(root(u), root(v))
             links.append((u, v))
 
-    if one is other and len(one.sets) > Tree.FAN:
+    if len(one.sets) > Tree.FAN:
         # the most typical sets against all others first: near copies of one text are joined at once
         bits = one.levels[0][0]
         often = np.unpackbits(bits.view(np.uint8), axis=1).mean(axis=0) > 0.5
@@ -325,29 +326,23 @@ def _links(one: Tree, other: Tree, percent: int, parent: dict, names: tuple[list
             for b, overlap in enumerate((hit[bounds[1:]] - hit[bounds[:-1]]).tolist()):
                 if b != hub:
                     join(int(hub), b, overlap)
-    for x, y, most in _candidates(one, other, percent):
+    for x, y, most in _candidates(one, percent):
         for k in np.argsort(-most, kind="stable").tolist():
             a, b = int(x[k]), int(y[k])
-            u, v = names[0][one.order[a]], names[1][other.order[b]]
+            u, v = names[one.order[a]], names[one.order[b]]
             if u != v and root(u) != root(v):
-                join(a, b, len(np.intersect1d(one.sets[a], other.sets[b], assume_unique=True)))
+                join(a, b, len(np.intersect1d(one.sets[a], one.sets[b], assume_unique=True)))
     return links
 
 
 def _traverse(sets: DataFrame, percent: int) -> DataFrame:
-    """Links within every ``(task, tree)`` of ``sets``; where rows have side 1, only between the sides."""
+    """Links within every ``(task, tree)`` of ``sets``."""
 
-    def run(key, table):
-        rows: dict[tuple, list] = {}
-        for tree, side, name, value in zip(*[table.column(c).to_pylist() for c in ("tree", "side", "key", "shingles")]):
-            rows.setdefault(tree, [[], []])[side].append((name, np.frombuffer(value, dtype=np.uint64)))
-        links = []
-        for left, right in rows.values():
-            one = Tree([s for _, s in left])
-            if right:
-                links += _links(one, Tree([s for _, s in right]), percent, {}, ([k for k, _ in left], [k for k, _ in right]))
-            elif len(left) > 1:
-                links += _links(one, one, percent, {}, ([k for k, _ in left],) * 2)
+    def run(table: pa.Table) -> pa.Table:
+        rows: dict[int, list] = {}
+        for tree, name, value in zip(*[table.column(c).to_pylist() for c in ("tree", "key", "shingles")]):
+            rows.setdefault(tree, []).append((name, np.frombuffer(value, dtype=np.uint64)))
+        links = [pair for own in rows.values() if len(own) > 1 for pair in _links(Tree([s for _, s in own]), percent, [k for k, _ in own])]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return sets.groupBy("task").applyInArrow(run, "a long, b long")
@@ -370,48 +365,260 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return map_texts(rows, "cluster long, key long, shingles binary", one).filter(F.col("shingles").isNotNull()).dropDuplicates(["key"])
 
 
-def _tree_links(sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _tree_links(sets: DataFrame, edges: DataFrame, frequent: np.ndarray, percent: int, block: int) -> DataFrame:
     """Links that connect the components of all clusters."""
-    clusters = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"),
-                                           F.min("key").alias("low"), F.max("key").alias("high"))
-    clusters = stage(clusters.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
-    small = clusters.filter("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    clusters = stage(sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes")))
+    is_small = (F.col("n") <= block) & (F.col("bytes") <= TASK_BYTES)
+    small = clusters.filter(is_small).agg(F.sum("bytes")).first()[0] or 0
     tasks = int(small // TASK_BYTES) + 1
-    of = clusters.select(F.col("cluster").alias("c"), "blocks", "low", "high")
+    of = clusters.select(F.col("cluster").alias("c"), is_small.alias("small"))
     rows = sets.join(of, sets["cluster"] == of["c"]).drop("c")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    # two sets of a large cluster are in all of its blocks, which so have something in common to link with
-    blocks = F.when((F.col("key") == F.col("low")) | (F.col("key") == F.col("high")),
-                    F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    placed = rows.withColumn("block", F.explode(blocks)).withColumn("side", F.lit(0)).withColumn(
-        "tree", F.xxhash64("cluster", "block")).withColumn(
-        "task", F.when(F.col("blocks") == 1, F.pmod("tree", F.lit(tasks))).otherwise(F.col("tree")))
-    links = stage(_traverse(placed.select("task", "tree", "side", "key", "shingles"), percent))
-    large = stage(rows.filter("blocks > 1").select("cluster", "key", "blocks", own.alias("block"), "shingles"))
+    whole = rows.filter("small").select(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"), F.col("cluster").alias("tree"), "key", "shingles")
+    links = stage(_traverse(whole, percent))
+    large = stage(rows.filter("not small").select("key", "shingles"))
+    release_staged(clusters)
     if large.isEmpty():
         return links
-    return links.union(_across_blocks(large, links, percent, block))
-
-
-def _across_blocks(large: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links of sets outside their cluster's largest component with the sets of all blocks."""
-    of = components(links).withColumnRenamed("node", "key")
-    known = large.select("cluster", "key").join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    sizes = known.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"))
-    rest = stage(known.join(sizes, "cluster").filter("component <> largest").select("key", "cluster"))
-    if rest.isEmpty():
-        return rest.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    rest = rest.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
-    others = rest.select("key", "part").join(large, "key").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    every = large.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
-        "side", F.lit(0))
-    columns = ["cluster", "block", "part", "side", "key", "shingles"]
-    pairs = every.select(*columns).unionByName(others.select(*columns)).withColumn(
-        "tree", F.xxhash64("cluster", "block", "part")).withColumn("task", F.col("tree"))
-    return stage(_traverse(pairs.select("task", "tree", "side", "key", "shingles"), percent))
+    return links.union(_posting_links(large, edges, frequent, percent, block))
+
+
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    """Bits of a set, four to eight per shingle."""
+    bits = 1 << max(9, int(len(h) * 4 - 1).bit_length())
+    place = np.zeros(bits, dtype=np.uint8)
+    place[((h >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(place, bitorder="little").view(np.uint64)
+
+
+def _folded(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one width: halves of wider ones are put on top of each other."""
+    least = min(len(b) for b in bitmaps)
+    return np.stack([np.bitwise_or.reduce(b.reshape(-1, least), axis=0) for b in bitmaps])
+
+
+def _sketches(large: DataFrame) -> DataFrame:
+    """``key, n, bits`` of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                own = batch.slice(i, 256)
+                sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in own.column("shingles")]
+                yield pa.RecordBatch.from_arrays([own.column("key"), pa.array([len(h) for h in sets], pa.int32()),
+                                                  pa.array([_bitmap(h).tobytes() for h in sets], pa.binary())], names=["key", "n", "bits"])
+
+    return large.mapInArrow(run, "key long, n int, bits binary")
+
+
+def _postings(large: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """``sig, key``: the signatures of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = SizeClasses(percent)
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                sigs, keys = [], []
+                for key, value in zip(batch.column("key").slice(i, 256).to_pylist(), batch.column("shingles").slice(i, 256)):
+                    h = np.frombuffer(value.as_buffer(), dtype=np.uint64)
+                    place = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
+                    own = signatures(h, h[frequent[place] != h] if len(frequent) else h, classes)
+                    sigs.append(np.unique(own))
+                    keys.append(np.full(len(sigs[-1]), key, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))],
+                                                 names=["sig", "key"])
+
+    return large.mapInArrow(run, "sig long, key long")
+
+
+def _verified(pairs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs`` (hub, key): a hub's set goes once to every batch of about ``TASK_BYTES`` of partners."""
+    partners = pairs.join(large.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("hub", "key", "shingles")
+    weight = partners.groupBy("hub").agg(F.sum(F.length("shingles")).alias("bytes"))
+    weight = stage(weight.select(F.col("hub").alias("h"), F.ceil(F.col("bytes") / (TASK_BYTES // 4)).cast("int").alias("batches"), "bytes"))
+    tasks = int((weight.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES) + 1
+    hubs = weight.join(large, F.col("h") == F.col("key")).select(
+        F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), F.lit(0).alias("side"), "key", "shingles")
+    members = partners.join(weight, F.col("hub") == F.col("h")).select(
+        "hub", F.pmod(F.xxhash64("key"), F.col("batches")).cast("int").alias("batch"), F.lit(1).alias("side"), "key", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows: dict[tuple, list] = {}
+        for i, (hub, batch, side, name) in enumerate(zip(*[table.column(c).to_pylist() for c in ("hub", "batch", "side", "key")])):
+            rows.setdefault((hub, batch), [None, []])[1 if side else 0] = i if not side else rows[hub, batch][1] + [i]
+        values, links = table.column("shingles"), []
+        for (hub, _), (at, others) in rows.items():
+            one = np.frombuffer(values[at].as_buffer(), dtype=np.uint64)
+            for i in others:
+                other = np.frombuffer(values[i].as_buffer(), dtype=np.uint64)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                if both * (100 + percent) >= percent * (len(one) + len(other)):
+                    links.append((hub, table.column("key")[i].as_py()))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    task = F.pmod(F.xxhash64("hub", "batch"), F.lit(tasks))
+    found = stage(hubs.unionByName(members).withColumn("task", task).groupBy("task").applyInArrow(run, "a long, b long"))
+    release_staged(weight)
+    return found
+
+
+def _open_postings(postings: DataFrame, component: DataFrame, block: int) -> DataFrame:
+    """``sig, key, component, n, low, high, largest, others`` of postings whose sets are of several components."""
+    known = postings.join(component.withColumnRenamed("node", "k"), F.col("key") == F.col("k"), "left").select(
+        "sig", "key", F.coalesce("component", "key").alias("component"))
+    parts = known.groupBy("sig", "component").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    several = parts.groupBy(F.col("sig").alias("s")).agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
+    several = stage(several.filter("parts > 1").drop("parts"))
+    return stage(known.join(several, F.col("sig") == F.col("s")).drop("s"))
+
+
+def _placed(members: DataFrame, every: bool, block: int) -> DataFrame:
+    """``tree, side, key, component``. A posting of up to ``block`` sets is one tree; a larger one is cut into blocks. To
+    find hubs, its first and last sets are in all blocks; to find every pair, the sets outside its largest component
+    meet each block, in parts of bounded size."""
+    some = members.filter(F.col("n") <= block).select(F.col("sig").alias("tree"), F.lit(0).alias("side"), "key", "component")
+    hot = members.filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    tree = F.xxhash64("sig", "block", "part")
+    if not every:
+        at = F.when((F.col("key") == F.col("low")) | (F.col("key") == F.col("high")), all_blocks).otherwise(F.array(own))
+        cut = hot.withColumn("block", F.explode(at)).withColumn("part", F.lit(0))
+        return some.unionByName(cut.select(tree.alias("tree"), F.lit(0).alias("side"), "key", "component"))
+    parts = F.greatest(F.ceil(F.col("others") / block).cast("int"), F.lit(1))
+    hot = hot.withColumn("parts", parts)
+    base = hot.withColumn("block", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = hot.filter("component <> largest").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int")).withColumn(
+        "block", F.explode(all_blocks))
+    return some.unionByName(base.select(tree.alias("tree"), F.lit(0).alias("side"), "key", "component")).unionByName(
+        rest.select(tree.alias("tree"), F.lit(1).alias("side"), "key", "component"))
+
+
+class Bounds:
+    """A signature tree of bitmaps alone; sets of one component are next to each other, so that an OR says something.
+    Leaf pairs that the bounds leave over are candidates; those within one component are passed over."""
+
+    FAN = 8
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray, component: np.ndarray):
+        self.order = np.lexsort((size, component))
+        bits, size, component = bits[self.order], size[self.order], component[self.order]
+        self.levels = [(bits, size, size, size - np.bitwise_count(bits).sum(axis=1), component, component)]
+        while len(self.levels[-1][0]) > 1:
+            bits, low, high, lost, first, last = self.levels[-1]
+            at = np.arange(0, len(bits), self.FAN)
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
+                                np.maximum.reduceat(lost, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
+
+
+def _bounded_pairs(one: Bounds, other: Bounds, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dual traversal, level by level: places (in the given order) of pairs of different components that can link."""
+    same, depth = one is other, max(len(one.levels), len(other.levels)) - 1
+    x = y = np.zeros(min(len(one.order), len(other.order), 1), dtype=np.int64)
+    for level in range(depth, -1, -1):
+        la, lb = one.levels[min(level, len(one.levels) - 1)], other.levels[min(level, len(other.levels) - 1)]
+        if level < depth:
+            x, y = _children(x, y, level, one, other)
+        if same:
+            keep = x < y if level == 0 else x <= y
+            x, y = x[keep], y[keep]
+        parts = []
+        # a bounded number of node pairs at a time
+        for i in range(0, len(x), 1 << 14):
+            u, v = x[i:i + (1 << 14)], y[i:i + (1 << 14)]
+            # one component on both sides
+            keep = ~((la[4][u] == la[5][u]) & (lb[4][v] == lb[5][v]) & (la[4][u] == lb[4][v]))
+            keep &= (la[2][u] * 100 >= lb[1][v] * percent) & (lb[2][v] * 100 >= la[1][u] * percent)
+            u, v = u[keep], v[keep]
+            p, q = la[0][u], lb[0][v]
+            if level == 0:
+                most = np.minimum(la[1][u] - np.bitwise_count(p & ~q).sum(axis=1), lb[1][v] - np.bitwise_count(q & ~p).sum(axis=1))
+            else:
+                most = np.bitwise_count(p & q).sum(axis=1) + np.minimum(la[3][u], lb[3][v])
+            keep = most.astype(np.int64) * (100 + percent) >= (la[1][u] + lb[1][v]) * percent
+            parts.append((u[keep], v[keep]))
+        x, y = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in (0, 1))
+    return one.order[x], other.order[y]
+
+
+def _children(x: np.ndarray, y: np.ndarray, level: int, one: Bounds, other: Bounds) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the children, on this level, of pairs of nodes on the level above."""
+    for tree, first in ((one, True), (other, False)):
+        if level + 1 < len(tree.levels):
+            mine = x if first else y
+            width = np.minimum((mine + 1) * Bounds.FAN, len(tree.levels[level][0])) - mine * Bounds.FAN
+            child = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(mine * Bounds.FAN, width)
+            x, y = (child, np.repeat(y, width)) if first else (np.repeat(x, width), child)
+    return x, y
+
+
+def _hub_pairs(bits: np.ndarray, size: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The three most typical sets of a posting with the sets of other components that the bounds allow."""
+    often = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")
+    common = often.mean(axis=0) > 0.5
+    typical = 2 * often[:, common].sum(axis=1, dtype=np.int64) - size
+    x, y = [], []
+    for hub in np.argsort(-typical, kind="stable")[:3]:
+        most = np.minimum(size[hub] - np.bitwise_count(bits[hub] & ~bits).sum(axis=1), size - np.bitwise_count(bits & ~bits[hub]).sum(axis=1))
+        fits = np.flatnonzero((most.astype(np.int64) * (100 + percent) >= (size[hub] + size) * percent) & (component != component[hub]))
+        x.append(np.full(len(fits), hub))
+        y.append(fits)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _candidate_pairs(placed: DataFrame, sketches: DataFrame, every: bool, percent: int) -> DataFrame:
+    """Distinct ``hub, key`` of pairs in the trees of ``placed`` that bitmaps leave over."""
+    rows = placed.join(sketches.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
+    tasks = int((rows.agg(F.sum(F.length("bits") + 64)).first()[0] or 0) // TASK_BYTES) + 1
+
+    def run(table: pa.Table) -> pa.Table:
+        tree = table.column("tree").to_numpy()
+        order = np.argsort(tree, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], tree[order][1:] != tree[order][:-1], [True]]))
+        side, key, component, size = (table.column(c).to_numpy() for c in ("side", "key", "component", "n"))
+        bits = table.column("bits").combine_chunks()
+        a, b = [], []
+        for i, j in zip(edges[:-1], edges[1:]):
+            mine = order[i:j]
+            maps = _folded([np.frombuffer(bits[int(r)].as_buffer(), dtype=np.uint64) for r in mine])
+            n, of, which = size[mine].astype(np.int64), component[mine], side[mine]
+            if every and which.any():
+                left, right = np.flatnonzero(which == 0), np.flatnonzero(which)
+                x, y = _bounded_pairs(Bounds(maps[left], n[left], of[left]), Bounds(maps[right], n[right], of[right]), percent)
+                x, y = left[x], right[y]
+            elif every:
+                whole = Bounds(maps, n, of)
+                x, y = _bounded_pairs(whole, whole, percent)
+            else:
+                x, y = _hub_pairs(maps, n, of, percent)
+            a.append(key[mine][x])
+            b.append(key[mine][y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        # the hub is the first where hubs were chosen, and the larger key otherwise, one way for each pair
+        if every:
+            a, b = np.maximum(a, b), np.minimum(a, b)
+        pairs = np.unique(np.column_stack([a, b]), axis=0)
+        return pa.table({"hub": pa.array(pairs[:, 0], pa.int64()), "key": pa.array(pairs[:, 1], pa.int64())})
+
+    task = F.pmod(F.xxhash64("tree", F.lit(2)), F.lit(tasks))
+    return stage(rows.withColumn("task", task).groupBy("task").applyInArrow(run, "hub long, key long").distinct())
+
+
+def _posting_links(large: DataFrame, edges: DataFrame, frequent: np.ndarray, percent: int, block: int) -> DataFrame:
+    """Links that connect the components of large clusters, whose sets meet by posting: those that share a signature."""
+    short = large.select("key", F.col("key").bitwiseAND(F.lit(int(_SIX))).alias("short"))
+    one, other = short.select(F.col("key").alias("hub"), F.col("short").alias("a")), short.select("key", F.col("short").alias("b"))
+    stars = stage(edges.join(one, "a").join(other, "b").filter("hub <> key").select("hub", "key").distinct())
+    links = _verified(stars, large, percent)
+    postings, sketches = stage(_postings(large, frequent, percent)), stage(_sketches(large))
+    for every in (False, True):
+        of = components(links)
+        members = _open_postings(postings, of, block)
+        pairs = _candidate_pairs(_placed(members, every, block), sketches, every, percent)
+        links = links.union(_verified(pairs, large, percent))
+        release_staged(members)
+    return links
 
 
 def _text_key():
@@ -425,7 +632,8 @@ def _labelled(docs: DataFrame, width: int, percent: int, block: int) -> DataFram
     members = told.filter("sets is null").select("doc_id", "text_key", "n_shingles", "key")
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
     entries = 2 * shingles * (100 - percent) // percent
-    edges = stage(_shared_signatures(rows, width, percent, entries, _frequent(told)))
+    often = _frequent(told)
+    edges = stage(_shared_signatures(rows, width, percent, entries, often))
     cluster = components(edges)
     # a document with an id if there is one; sets whose documents have none are fetched by their text alone
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
@@ -434,7 +642,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, block: int) -> DataFram
     wanted = one_each.join(cluster, F.col("key").bitwiseAND(F.lit(int(_SIX))) == F.col("node")).select(
         F.col("component").alias("cluster"), "key", "doc_id", "text_key")
     sets = stage(_sets_of(rows, wanted, width))
-    of_key = components(_tree_links(sets, percent, block))
+    of_key = components(_tree_links(sets, edges, often, percent, block))
     release_staged(sets)
     return stage(members.join(of_key, members["key"] == of_key["node"], "left").select(
         "doc_id", "text_key", "n_shingles", F.coalesce("component", "key").alias("set")))

@@ -103,3 +103,100 @@ def test_bounds_keep_every_link():
             if 100 * n >= 90 * (len(s) + len(t) - n):
                 assert (a, b) in passed
     assert len(passed) < 90 * 89 / 2
+
+
+def phrases(n, pool, seed=3):
+    """Texts of eight phrases each from a pool: many share a phrase, next to none link."""
+    rng = random.Random(seed)
+    names = [prose(7000 + i, 15, 4000) for i in range(pool)]
+    return [(i, " ".join(rng.choice(names) for _ in range(8)), "en", "a", 1) for i in range(n)]
+
+
+def _counted(spark, monkeypatch, rows, block):
+    """Verified pairs, and copies of bitmaps and of sets that trees and verifications take."""
+    seen = {"pairs": 0, "bitmaps": 0}
+    verified, candidates = jj._verified, jj._candidate_pairs
+    monkeypatch.setattr(jj, "_verified", lambda pairs, *a: seen.update(pairs=seen["pairs"] + pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(jj, "_candidate_pairs", lambda placed, *a: seen.update(bitmaps=seen["bitmaps"] + placed.count()) or candidates(placed, *a))
+    found = {r.doc_id: r.component_id for r in jj.linked(frame(spark, rows), 5, 80, block).collect()}
+    return seen, found
+
+
+def test_shared_phrases_cost_in_proportion(spark, monkeypatch):
+    """Twice the texts from twice the phrases: one cluster of most of them, and the work about doubles."""
+    few, _ = _counted(spark, monkeypatch, phrases(1500, 500), 64)
+    monkeypatch.undo()
+    rows = phrases(3000, 1000)
+    many, found = _counted(spark, monkeypatch, rows + family(1, 120, 30, (1, 2, 3), 10_000), 64)
+    assert few["pairs"] > 0
+    for what in few:
+        assert many[what] < 3 * few[what] + 2000, (few, many)
+    # a set is verified against few others, and its bitmap is copied a few times, far below one copy per block
+    assert many["pairs"] < 8 * len(rows) and many["bitmaps"] < 16 * len(rows)
+    want = brute(rows + family(1, 120, 30, (1, 2, 3), 10_000), 5, 80)
+    assert found == {i: c for i, (_, c) in want.items()}
+
+
+def test_large_clusters_of_near_copies(spark):
+    """Copies of one text that link with it but hardly with each other, and a chain, cut into blocks of a few sets."""
+    rng, base = random.Random(8), prose(1, 200, 2000).split()
+    rows = [(500, " ".join(base), "en", "a", 1)]
+    for i in range(120):
+        text = list(base)
+        for _ in range(4):
+            text[rng.randrange(len(text))] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text), "en", "a", 1))
+    text = prose(2, 150, 2000).split()
+    for i in range(40):
+        text[rng.randrange(len(text))] = f"w{rng.randrange(10**6)}"
+        text[rng.randrange(len(text))] = f"w{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(text), "en", "a", 1))
+    want = {i: c for i, (_, c) in brute(rows, 5, 80).items()}
+    for block in (6, 50):
+        assert {r.doc_id: r.component_id for r in jj.linked(frame(spark, rows), 5, 80, block).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bounded_pairs_leave_no_link_out(seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = []
+    for _ in range(int(rng.integers(2, 150))):
+        if sets and rng.random() < 0.6:
+            old = sets[rng.integers(len(sets))]
+            keep = old[rng.random(len(old)) < 0.95]
+            sets.append(np.unique(np.concatenate([keep, rng.choice(pool, int(rng.integers(0, 5)))])))
+        else:
+            sets.append(np.unique(rng.choice(pool, int(rng.integers(1, 200)))))
+    maps = jj._folded([jj._bitmap(s) for s in sets])
+    size, of = np.array([len(s) for s in sets]), rng.integers(0, 3, len(sets))
+    half = len(sets) // 2
+    for left, right in ((np.arange(len(sets)), None), (np.arange(half + 1), np.arange(half + 1, len(sets)))):
+        one = jj.Bounds(maps[left], size[left], of[left])
+        x, y = jj._bounded_pairs(one, one if right is None else jj.Bounds(maps[right], size[right], of[right]), 80)
+        found = {tuple(sorted((int(left[a]), int((left if right is None else right)[b])))) for a, b in zip(x, y)}
+        for a in left:
+            for b in (left if right is None else right):
+                if a < b and of[a] != of[b]:
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                        assert (a, b) in found
+
+
+def test_bitmaps_of_sorted_trees_prune_above_the_leaves():
+    """Groups of near copies of equal size: most pairs of nodes of different groups go by their bitmaps."""
+    rng = np.random.default_rng(1)
+    bases = [rng.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(40)]
+    sets = [np.unique(np.where(rng.random(100) < 0.02, rng.integers(0, 1 << 63, 100, dtype=np.uint64), b)) for b in bases for _ in range(32)]
+    of = np.repeat(np.arange(40), 32)
+    shuffled = rng.permutation(len(sets))
+    tree = jj.Bounds(jj._folded([jj._bitmap(sets[i]) for i in shuffled]), np.array([len(sets[i]) for i in shuffled]), of[shuffled])
+    seen = []
+    real = jj._children
+    jj._children = lambda x, y, level, *a: (seen.append((level, len(x))) or real(x, y, level, *a))
+    try:
+        x, _ = jj._bounded_pairs(tree, tree, 80)
+    finally:
+        jj._children = real
+    # node pairs that reach the leaves: far fewer than all pairs of the 160 lowest nodes
+    assert len(x) == 0 and dict(seen)[0] < 160 * 161 / 2 / 10
