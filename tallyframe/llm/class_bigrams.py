@@ -7,16 +7,19 @@ a word moves to the class under which the bigrams around it are likeliest.
    with training counts. Nothing later reads the texts again.
 2. Vocabularies, as packed slices of hash ranges, meet in a grouped sum that answers every run with the corpus
    counts of its words. Only distinct words per run travel, and a word's rows are as many as the runs it is in.
-3. Words that make up at least ``MIN_SHARE`` of the training tokens are clustered; there are at most
-   ``1 / MIN_SHARE``. Rarer words, which give exchange no evidence, keep the class of their frequency (powers of
-   two), and unseen words share the class of words seen once. So the corpus becomes runs of small class numbers.
-4. Bigrams of those numbers are counted over all training tokens, and exchange clustering runs on that table: an
-   iteration is one grouped sum per side, whose result (words times classes) has a fixed bound.
+3. Every word with at least ``MIN_COUNT`` training tokens is clustered, so more words are as the corpus grows. Rarer
+   words, which give exchange no evidence, keep the class of their frequency (powers of two), and unseen words
+   share the class of words seen once. Runs keep a class for each word of theirs.
+4. A pass counts, per run, how often each word stands beside each class; the counts of a word's runs meet in a
+   grouped table of words by classes, and those of classes by classes are added up. Against the latter, each word of
+   one half (by hash) moves to its best class, and the runs are answered. A pass over the runs tells whether the
+   likelihood gained; if not, the moves are undone. Halves take turns until neither gains.
 5. Class transitions and word emissions, smoothed by 0.1, score every document.
 
-Documents whose CRC-32 remainder is 0 are held out of all counts. Missing and empty texts consist of one end
-token; repeated rows are counted and scored each; without training documents all probabilities are those of the
-smoothing; an empty table gives an empty result. Words are told apart by 64-bit hashes.
+The driver holds tables of classes by classes only. Documents whose CRC-32 remainder is 0 are held out of all counts.
+Missing and empty texts consist of one end token; repeated rows are counted and scored each; without training
+documents all probabilities are those of the smoothing; an empty table gives an empty result. Words are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,20 +28,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.tables import doc_remainder, rows_of
-from tallyframe.llm.text_arrays import chunks, sums_by, words_of
-from tallyframe.session import stage
+from tallyframe.llm.text_arrays import chunks, mix, sums_by, words_of
+from tallyframe.session import release_staged, stage
 
 REMAINDER = 10
 SMOOTH = 0.1
-MIN_SHARE, CLASSES, ROUNDS = 5e-4, 32, 8
-#: Tokens of a run, and distinct words (of all runs) that one group of hashes should hold.
-RUN_TOKENS, GROUP_WORDS = 1_000_000, 1_000_000
+#: Training tokens a clustered word has at least, and classes of clustered words.
+MIN_COUNT, CLASSES = 20, 32
+#: A half gains if the log-likelihood rises by more than this share of it.
+GAIN = 1e-4
+#: Tokens of a run, distinct words (of all runs) that one group of hashes should hold, and bytes of counts in a group.
+RUN_TOKENS, GROUP_WORDS, GROUP_BYTES = 1_000_000, 1_000_000, 48 << 20
 
 _RUNS = "run long, doc_ids array<long>, train array<boolean>, sizes array<int>, stream binary, vocabulary binary, counts binary, words long, trained long, ends long"
 
@@ -90,39 +95,20 @@ def band(counts: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Unigrams:
-    """Corpus totals and the frequent words, sorted by hash. ``words`` and ``tokens`` are by band, of the words
-    that are not frequent."""
+class Totals:
+    """Training tokens, distinct training tokens, documents; words and tokens of the bands of rare words."""
 
     tokens: int
     distinct: int
     ends: int
-    frequent: np.ndarray
-    frequent_counts: np.ndarray
     band_words: np.ndarray
     band_tokens: np.ndarray
 
-    @property
-    def bands(self) -> int:
-        return len(self.band_words)
-
-    @property
-    def end(self) -> int:
-        return len(self.frequent) + self.bands
-
-    def numbers(self, vocabulary: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Number of every word: its place among the frequent ones, or after them that of its band."""
-        out = len(self.frequent) + np.minimum(band(counts), self.bands - 1)
-        if len(self.frequent):
-            place = np.minimum(np.searchsorted(self.frequent, vocabulary), len(self.frequent) - 1)
-            hit = self.frequent[place] == vocabulary
-            out[hit] = place[hit]
-        return out
-
 
-def _counted(runs: DataFrame, tokens: int, total_words: int, min_share: float) -> DataFrame:
+def _counted(runs: DataFrame, total_words: int, min_count: int) -> DataFrame:
     """Packed answers: for every run and hash group, corpus counts of its slice of the vocabulary. Rows with
-    run -1 sum up a group: frequent words with counts, then words and tokens of the others by band."""
+    run -1 sum up a group: words and tokens of rare words by band, and of the others by their logarithm (in
+    steps of a sixteenth of a power of two)."""
     bits = max(0, int(np.ceil(np.log2(max(total_words / GROUP_WORDS, 1)))))
 
     def slices(batches):
@@ -144,69 +130,84 @@ def _counted(runs: DataFrame, tokens: int, total_words: int, min_share: float) -
         total = np.bincount(place, np.concatenate(cs).astype(np.float64), len(words)).astype(np.int64)
         ends = np.cumsum([len(v) for v in vs])
         answers = [total[place[e - len(v):e]].tobytes() for v, e in zip(vs, ends)]
-        seen = total > 0
-        often = seen & (total >= min_share * tokens)
-        rest = total[seen & ~often]
-        by_band = band(rest)
+        often = total >= min_count
+        rest, level = total[(total > 0) & ~often], log_level(total[often])
+        sums = [np.bincount(band(rest), minlength=1), np.bincount(band(rest), rest, 1), np.bincount(level, minlength=1),
+                np.bincount(level, total[often], 1)]
         return pa.table({
             "run": pa.array([*table.column("run").to_pylist(), -1], pa.int64()),
             "part": pa.array([key[0].as_py()] * (len(vs) + 1), pa.int32()),
             "totals": pa.array([*answers, b""], pa.binary()),
-            "frequent": pa.array([None] * len(vs) + [words[often].tobytes()], pa.binary()),
-            "frequent_counts": pa.array([None] * len(vs) + [total[often].tolist()], pa.list_(pa.int64())),
-            "band_words": pa.array([None] * len(vs) + [np.bincount(by_band, minlength=1).tolist()], pa.list_(pa.int64())),
-            "band_tokens": pa.array([None] * len(vs) + [np.bincount(by_band, rest, 1).astype(np.int64).tolist()], pa.list_(pa.int64()))})
+            **{name: pa.array([None] * len(vs) + [x.astype(np.int64).tolist()], pa.list_(pa.int64())) for name, x in zip(_SUMS, sums)}})
 
     return runs.select("run", "vocabulary", "counts").mapInArrow(
         slices, "part int, run long, vocabulary binary, counts binary").groupBy("part").applyInArrow(
-        add_up, "run long, part int, totals binary, frequent binary, frequent_counts array<long>, band_words array<long>, band_tokens array<long>")
+        add_up, "run long, part int, totals binary, " + ", ".join(f"{c} array<long>" for c in _SUMS))
+
+
+_SUMS = ("band_words", "band_tokens", "level_words", "level_tokens")
 
 
-def _unigrams(answers: DataFrame, tokens: int, ends: int) -> Unigrams:
-    """Fetches the frequent words, at most one over the least share, and sums by band over the hash groups."""
-    rows = answers.filter("run = -1")
-    frequent = rows.filter(F.length("frequent") > 0).select("frequent", "frequent_counts").collect()
-    words = np.concatenate([_array(r[0], np.uint64) for r in frequent]) if frequent else np.zeros(0, np.uint64)
-    counts = np.concatenate([np.array(r[1], np.int64) for r in frequent]) if frequent else np.zeros(0, np.int64)
-    bands = rows.select(F.posexplode(F.arrays_zip("band_words", "band_tokens")).alias("b", "x")).groupBy("b").agg(
-        F.sum("x.band_words").alias("w"), F.sum("x.band_tokens").alias("t")).orderBy("b").collect()
-    by_words, by_tokens = np.zeros(max([r["b"] for r in bands], default=0) + 1, np.int64), None
-    by_tokens = by_words.copy()
-    for r in bands:
-        by_words[r["b"]], by_tokens[r["b"]] = r["w"], r["t"]
-    order = np.argsort(words)
-    return Unigrams(tokens, len(words) + int(by_words.sum()) + (ends > 0), ends, words[order], counts[order], by_words, by_tokens)
+def log_level(counts: np.ndarray) -> np.ndarray:
+    return np.floor(16 * np.log2(np.maximum(counts, 1))).astype(np.int64)
 
 
-_SCORED = "doc_ids array<long>, train array<boolean>, sizes array<int>, numbers binary, known array<int>, base array<double>, emitted array<double>"
+def _totals(answers: DataFrame, tokens: int, ends: int, bands: int, classes: int) -> tuple[Totals, np.ndarray]:
+    """Corpus totals, and where the levels begin and end between 0 and the number of classes when words lie in the order
+    of falling counts, each as wide as the square root of its count."""
+
+    def summed(name: str, size: int) -> np.ndarray:
+        rows = answers.filter("run = -1").select(F.posexplode(name).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
+        out = np.zeros(max([r.i + 1 for r in rows] + [size]), dtype=np.int64)
+        for r in rows:
+            out[r.i] = r.n
+        return out
+
+    words, rare, level_words, mass = (summed(c, n) for c, n in zip(_SUMS, (bands, bands, 1, 1)))
+    wide = np.sqrt(mass.astype(np.float64) * level_words)
+    until = np.cumsum(wide[::-1])[::-1]
+    first = np.stack([until - wide, until]) * classes / max(wide.sum(), 1e-300)
+    return Totals(tokens, int(words.sum() + level_words.sum()) + (ends > 0), ends, words, rare), first
 
 
-def _numbered(runs: DataFrame, answers: DataFrame, u: Unigrams) -> DataFrame:
-    """Runs with corpus-wide numbers for tokens, and what needs each word's own count already summed."""
+_NUMBERED = ("run long, doc_ids array<long>, train array<boolean>, sizes array<int>, numbers binary, words binary, n binary, classes binary, "
+             "known array<int>, base array<double>, emitted array<double>")
+
+
+def _numbered(runs: DataFrame, answers: DataFrame, t: Totals, first: np.ndarray, min_count: int, classes: int) -> DataFrame:
+    """Runs of numbers: clustered words of the run by hash, then the bands of rare words; with hash, count and
+    first class of the former, and what needs each word's own count already summed."""
     of_run = answers.filter("run >= 0").groupBy(F.col("run").alias("of")).agg(
         F.sort_array(F.collect_list(F.struct("part", "totals"))).alias("totals"))
-    joined = runs.select("run", "doc_ids", "train", "sizes", "stream", "vocabulary").join(
-        of_run, F.col("run") == F.col("of")).drop("of", "run")
-    below = np.log10(u.tokens + SMOOTH * (u.distinct + 1))
+    joined = runs.select("run", "doc_ids", "train", "sizes", "stream", "vocabulary").join(of_run, F.col("run") == F.col("of")).drop("of")
+    below = np.log10(t.tokens + SMOOTH * (t.distinct + 1))
 
     def one(batches):
         for b in batches:
             for r in rows_of(b):
-                counts = _array(b"".join(t["totals"] for t in r["totals"]), np.int64)
+                counts = _array(b"".join(x["totals"] for x in r["totals"]), np.int64)
                 stream, sizes = _array(r["stream"], np.int32), np.array(r["sizes"], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 logs = np.log10(counts + SMOOTH)
                 emitted = sums_by(logs[stream], bounds)
-                base = emitted - sizes * below + np.log10(u.ends + SMOOTH) - below
-                known = sums_by((counts > 0).astype(np.int64)[stream], bounds) + (u.ends > 0)
-                numbers = u.numbers(_array(r["vocabulary"], np.uint64), counts)[stream].astype(np.uint16)
-                row = [[r["doc_ids"]], [r["train"]], [r["sizes"]], [numbers.tobytes()], [known.tolist()], [base.tolist()], [emitted.tolist()]]
-                types = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()),
-                         pa.list_(pa.float64()), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)],
-                                                 names=["doc_ids", "train", "sizes", "numbers", "known", "base", "emitted"])
-
-    return joined.mapInArrow(one, _SCORED)
+                base = emitted - sizes * below + np.log10(t.ends + SMOOTH) - below
+                known = sums_by((counts > 0).astype(np.int64)[stream], bounds) + (t.ends > 0)
+                often = counts >= min_count
+                number = np.where(often, np.cumsum(often) - 1, often.sum() + band(counts))
+                kind = np.uint16 if number.max(initial=0) < 1 << 16 else np.uint32
+                # words of one level are dealt over the classes it reaches into
+                begin, end = first[:, log_level(counts[often])]
+                share = mix(_array(r["vocabulary"], np.uint64)[often]) / 2.0 ** 64
+                start = np.clip(np.floor(begin + share * (end - begin)), 0, classes - 1)
+                row = [[r["run"]], [r["doc_ids"]], [r["train"]], [r["sizes"]], [number[stream].astype(kind).tobytes()],
+                       [_array(r["vocabulary"], np.uint64)[often].tobytes()], [counts[often].tobytes()], [start.astype(np.uint8).tobytes()],
+                       [known.tolist()], [base.tolist()], [emitted.tolist()]]
+                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(),
+                         pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, x) for v, x in zip(row, types)],
+                                                 names=[c.split()[0] for c in _NUMBERED.split(", ")])
+
+    return joined.mapInArrow(one, _NUMBERED)
 
 
 def _pairs(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,110 +221,214 @@ def _pairs(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray
     return previous, current, bounds
 
 
-def bigram_counts(numbered: DataFrame, u: Unigrams) -> DataFrame:
-    """``previous, current, n`` over all training tokens: at most the square of the numbers there are."""
-    size = u.end + 1
+def _stream(r: dict, classes: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A run's previous and current numbers, its documents' bounds, the class of every number, and its words."""
+    own, sizes = _array(r["classes"], np.uint8), np.array(r["sizes"], np.int64)
+    n_tokens = int(sizes.sum())
+    numbers = _array(r["numbers"], np.uint16 if len(r["numbers"]) == 2 * n_tokens else np.uint32)
+    previous, current, bounds = _pairs(numbers, sizes, len(own) + bands)
+    return previous, current, bounds, np.concatenate([own.astype(np.int64), classes + np.arange(bands + 1)]), len(own)
+
+
+class Exchange:
+    """Passes over the numbered runs; ``state`` tables hold every run's classes (run, classes)."""
+
+    def __init__(self, numbered: DataFrame, tokens: int, classes: int, bands: int):
+        self.runs = numbered.select("run", "train", "sizes", "numbers", "words")
+        self.classes, self.bands, self.width = classes, bands, classes + bands + 1
+        # at most so many bytes of counts: two entries of six bytes a token
+        self.bits = max(0, int(np.ceil(np.log2(max(tokens * 12 / GROUP_BYTES, 1)))))
+
+    def counted(self, state: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """Per hash group the words, their classes and counts of the classes before and after them, with every run's
+        words in that; the class bigrams; and how many words each class has."""
+        classes, bands, width, bits = self.classes, self.bands, self.width, self.bits
+        schema = "part int, run long, words binary, classes binary, places binary, n binary"
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(width * width, dtype=np.int64)
+            for b in batches:
+                for r in rows_of(b):
+                    previous, current, bounds, of, k = _stream(r, classes, bands)
+                    kept = np.repeat(np.array(r["train"], bool), np.diff(bounds))
+                    previous, current = previous[kept], current[kept]
+                    table += np.bincount(of[previous] * width + of[current], minlength=width * width)
+                    # two sides of a word: the class before it, and the class after it
+                    right, left = previous < k, current < k
+                    place = np.concatenate([current[left] * 2 * width + of[previous[left]],
+                                            previous[right] * 2 * width + width + of[current[right]]])
+                    n = np.bincount(place, minlength=k * 2 * width)
+                    place = np.flatnonzero(n)
+                    words = _array(r["words"], np.uint64)
+                    cut = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, k])
+                    at = np.searchsorted(place, cut * 2 * width)
+                    some = np.flatnonzero(np.diff(cut))
+                    own = _array(r["classes"], np.uint8)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(some, pa.int32()), pa.array([r["run"]] * len(some), pa.int64()),
+                        pa.array([words[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
+                        pa.array([own[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
+                        pa.array([(place[at[i]:at[i + 1]] - cut[i] * 2 * width).astype(np.uint32).tobytes() for i in some], pa.binary()),
+                        pa.array([n[place[at[i]:at[i + 1]]].astype(np.uint32).tobytes() for i in some], pa.binary())],
+                        names=["part", "run", "words", "classes", "places", "n"])
+            # tables of many tasks are added up in some groups of their own
+            yield pa.RecordBatch.from_arrays([
+                pa.array([-1 - TaskContext.get().partitionId() % 64], pa.int32()), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()),
+                pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([table.tobytes()], pa.binary())],
+                names=["part", "run", "words", "classes", "places", "n"])
+
+        def meet(key, rows):
+            part = key[0].as_py()
+            if part < 0:
+                total = sum(_array(x, np.int64) for x in rows.column("n").to_pylist())
+                return pa.table({"part": pa.array([part], pa.int32()), "words": pa.array([b""], pa.binary()), "classes": pa.array([b""], pa.binary()),
+                                 "counts": pa.array([b""], pa.binary()), "runs": pa.array([[]], pa.list_(pa.int64())),
+                                 "slots": pa.array([[]], pa.list_(pa.binary())), "sums": pa.array([total.tolist()], pa.list_(pa.int64()))})
+            runs = rows.column("run").to_pylist()
+            own = [_array(x, np.uint64) for x in rows.column("words").to_pylist()]
+            words, first, slot = np.unique(np.concatenate(own), return_index=True, return_inverse=True)
+            of = np.concatenate([_array(x, np.uint8) for x in rows.column("classes").to_pylist()])[first]
+            counts, begin, slots = np.zeros(len(words) * 2 * width, dtype=np.int64), 0, []
+            for v, places, n in zip(own, rows.column("places").to_pylist(), rows.column("n").to_pylist()):
+                mine = slot[begin:begin + len(v)]
+                begin += len(v)
+                place = _array(places, np.uint32).astype(np.int64)
+                counts[mine[place // (2 * width)] * 2 * width + place % (2 * width)] += _array(n, np.uint32)
+                slots.append(mine.astype(np.uint32).tobytes())
+            return pa.table({"part": pa.array([part], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()),
+                             "classes": pa.array([of.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
+                             "runs": pa.array([runs], pa.list_(pa.int64())), "slots": pa.array([slots], pa.list_(pa.binary())),
+                             "sums": pa.array([np.bincount(of, minlength=classes).tolist()], pa.list_(pa.int64()))})
+
+        packed = self.runs.join(state.withColumnRenamed("run", "of"), F.col("run") == F.col("of")).drop("of").mapInArrow(one, schema)
+        counts = stage(packed.groupBy("part").applyInArrow(
+            meet, "part int, words binary, classes binary, counts binary, runs array<long>, slots array<binary>, sums array<long>"))
+        sums = counts.select((F.col("part") < 0).alias("table"), F.posexplode("sums").alias("i", "n")).groupBy("table", "i").agg(F.sum("n").alias("n")).collect()
+        table, kinds = np.zeros(width * width, dtype=np.int64), np.zeros(classes, dtype=np.int64)
+        for r in sums:
+            (table if r.table else kinds)[r.i] = r.n
+        return counts, table.reshape(width, width), kinds
+
+    def moved(self, state: DataFrame, counts: DataFrame, table: np.ndarray, half: int) -> DataFrame:
+        """The state after all words of one half took their best class, judged by the classes around them."""
+        classes, width = self.classes, self.width
+        logs, mass = np.log(table + SMOOTH), np.log(np.maximum(table.sum(axis=1), SMOOTH))
+
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in rows_of(b):
+                    words, of = _array(r["words"], np.uint64), _array(r["classes"], np.uint8).copy()
+                    n = _array(r["counts"], np.int64).reshape(len(words), 2, width)
+                    mine = np.flatnonzero(mix(words) & np.uint64(1) == half)
+                    gain = n[mine, 1] @ logs[:classes].T + n[mine, 0] @ logs[:, :classes] - 2 * n[mine, 1].sum(axis=1)[:, None] * mass[:classes]
+                    # a class no better than its own does not move a word
+                    best, now = gain.argmax(axis=1), of[mine].astype(np.int64)
+                    of[mine] = np.where(gain.max(axis=1) > gain[np.arange(len(mine)), now], best, now)
+                    for run, slots in zip(r["runs"], r["slots"]):
+                        yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([r["part"]], pa.int32()),
+                                                          pa.array([of[_array(slots, np.uint32)].tobytes()], pa.binary())], names=["run", "part", "classes"])
+
+        answers = counts.filter("part >= 0").mapInArrow(decide, "run long, part int, classes binary").groupBy(F.col("run").alias("of")).agg(
+            F.sort_array(F.collect_list(F.struct("part", "classes"))).alias("new"))
+        joined = state.join(answers, F.col("run") == F.col("of"), "left")
+        # slices of the hash ranges, in their order, are the run's words in theirs
+        whole = F.aggregate("new", F.unhex(F.lit("")), lambda so_far, x: F.concat(so_far, x["classes"]))
+        return stage(joined.select("run", F.coalesce(whole, F.col("classes")).alias("classes")))
+
+
+def likelihood(table: np.ndarray) -> float:
+    x = lambda a: (a * np.log(np.maximum(a, 1))).sum()
+    return x(table) - x(table.sum(axis=0)) - x(table.sum(axis=1))
 
-    def one(batches):
+
+@dataclass(frozen=True)
+class Model:
+    """Class bigrams, words of every class, and the runs' states with what a run's scores need."""
+
+    totals: Totals
+    table: np.ndarray
+    kinds: np.ndarray
+    numbered: DataFrame
+    state: DataFrame
+    classes: int
+    #: Likelihoods of the states that were accepted.
+    steps: tuple[float, ...]
+
+
+def train(docs: DataFrame, min_count: int = MIN_COUNT, classes: int = CLASSES) -> Model:
+    runs = stage(token_runs(docs))
+    sums = runs.agg(F.sum("trained"), F.sum("ends"), F.sum("words")).first()
+    tokens, ends, words = (int(x or 0) for x in sums)
+    bands = int(band(np.array([min_count - 1]))[0]) + 1
+    answers = stage(_counted(runs, words, min_count))
+    totals, first = _totals(answers, tokens, ends, bands, classes)
+    numbered = stage(_numbered(runs, answers, totals, first, min_count, classes))
+    release_staged(runs)
+    release_staged(answers)
+    passes = Exchange(numbered, tokens, classes, bands)
+    state = numbered.select("run", "classes")
+    counts, table, kinds = passes.counted(state)
+    steps, half, failed, owned = [likelihood(table)], 0, 0, False
+    while failed < 2:
+        newer = passes.moved(state, counts, table, half)
+        its_counts, its_table, its_kinds = passes.counted(newer)
+        value = likelihood(its_table)
+        if value > steps[-1] + GAIN * abs(steps[-1]):
+            if owned:
+                release_staged(state)
+            release_staged(counts)
+            state, counts, table, kinds, owned, failed = newer, its_counts, its_table, its_kinds, True, 0
+            steps.append(value)
+        else:
+            release_staged(newer)
+            release_staged(its_counts)
+            failed += 1
+        half = 1 - half
+    release_staged(counts)
+    return Model(totals, table, kinds, numbered, state, classes, tuple(steps))
+
+
+def word_classes(model: Model) -> DataFrame:
+    """``word`` (64-bit hash), ``n``, ``class`` of every clustered word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rows_of(b):
-                sizes, train = np.array(r["sizes"], np.int64), np.array(r["train"], bool)
-                previous, current, _ = _pairs(_array(r["numbers"], np.uint16), sizes, u.end)
-                kept = np.repeat(train, sizes + 1)
-                pair, n = np.unique(previous[kept] * size + current[kept], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair // size, pa.int32()), pa.array(pair % size, pa.int32()),
-                                                  pa.array(n, pa.int64())], names=["previous", "current", "n"])
-
-    return numbered.select("train", "sizes", "numbers").mapInArrow(one, "previous int, current int, n long").groupBy(
-        "previous", "current").agg(F.sum("n").alias("n"))
-
-
-def exchange(bigrams: DataFrame, u: Unigrams, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every number, and the class bigram counts.
-
-    Words start in classes of equal token mass by falling count. In each round half of the frequent words move to
-    their best class at once, judged by the counts of the classes around them; the round is undone, and
-    clustering ends, if the likelihood of the class bigrams falls.
-    """
-    spark, n_frequent = bigrams.sparkSession, len(u.frequent)
-    of = np.concatenate([np.zeros(n_frequent, np.int64), classes + np.arange(u.bands + 1)])
-    order = np.argsort(-u.frequent_counts, kind="stable")
-    mass = np.cumsum(u.frequent_counts[order]) - u.frequent_counts[order]
-    of[order] = np.minimum(mass * classes // max(int(u.frequent_counts.sum()), 1), classes - 1)
-    width = classes + u.bands + 1
-
-    def sides(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        told = spark.createDataFrame(pd.DataFrame({"number": np.arange(len(of), dtype=np.int32), "class": of.astype(np.int32)}))
-        out = []
-        for mine, other in (("current", "previous"), ("previous", "current")):
-            # the table of classes has one row per number, a bounded count
-            rows = bigrams.join(F.broadcast(told), bigrams[other] == told["number"]).groupBy(mine, "class").agg(
-                F.sum("n").alias("n")).toPandas()
-            m = np.zeros((len(of), width))
-            m[rows[mine].to_numpy(), rows["class"].to_numpy()] = rows["n"].to_numpy()
-            out.append(m)
-        return out[0], out[1]
-
-    def likelihood(table: np.ndarray) -> float:
-        x = lambda a: (a * np.log(np.maximum(a, 1))).sum()
-        return x(table) - x(table.sum(axis=0)) - x(table.sum(axis=1))
-
-    def class_table(right: np.ndarray, of: np.ndarray) -> np.ndarray:
-        table = np.zeros((width, width))
-        np.add.at(table, of, right)
-        return table
-
-    best = None
-    for k in range(rounds + 1):
-        left, right = sides(of)
-        table = class_table(right, of)
-        value = likelihood(table)
-        if best is not None and value <= best[0]:
-            break
-        best = (value, of.copy(), table)
-        if k == rounds or not n_frequent:
-            break
-        logs = np.log(table + SMOOTH)
-        mass = np.log(np.maximum(table.sum(axis=1), SMOOTH))
-        n = right[:n_frequent].sum(axis=1)
-        gain = right[:n_frequent] @ logs[:classes].T + left[:n_frequent] @ logs[:, :classes] - 2 * n[:, None] * mass[:classes]
-        move = np.arange(n_frequent) % 2 == k % 2
-        of[:n_frequent][move] = gain.argmax(axis=1)[move]
-    return best[1], best[2]
-
-
-def scores(docs: DataFrame, min_share: float = MIN_SHARE, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    runs = stage(token_runs(docs))
-    totals = runs.agg(F.sum("trained"), F.sum("ends"), F.sum("words")).first()
-    tokens, ends, words = (int(x or 0) for x in totals)
-    answers = stage(_counted(runs, tokens, words, min_share))
-    u = _unigrams(answers, tokens, ends)
-    numbered = stage(_numbered(runs, answers, u))
-    of, table = exchange(stage(bigram_counts(numbered, u)), u, classes, rounds)
-    width = len(table)
+                yield pa.RecordBatch.from_arrays([pa.array(_array(r["words"], np.int64)), pa.array(_array(r["n"], np.int64)),
+                                                  pa.array(_array(r["classes"], np.uint8).astype(np.int32))], names=["word", "n", "class"])
+
+    rows = model.numbered.select("run", "words", "n").join(model.state.withColumnRenamed("run", "of"), F.col("run") == F.col("of")).drop("of")
+    return rows.mapInArrow(run, "word long, n long, class int").distinct()
+
+
+def scored(model: Model) -> DataFrame:
+    """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    t, classes, table = model.totals, model.classes, model.table
+    bands, width = len(t.band_words), len(table)
     step = np.log10((table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * width))
-    held = np.zeros(width)
-    np.add.at(held, of, np.concatenate([u.frequent_counts, u.band_tokens, [0]]))
-    kinds = np.zeros(width)
-    np.add.at(kinds, of, np.concatenate([np.ones(len(u.frequent)), u.band_words, [0]]))
+    # words of a class share its tokens, one more stands for those never seen
+    held, kinds = table.sum(axis=0), np.concatenate([model.kinds, t.band_words, [0]])
     share = np.log10(held + SMOOTH * (kinds + 1))
-    end_class = of[u.end]
+    share[-1] = 0.0
 
-    def score(batches):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rows_of(b):
-                sizes = np.array(r["sizes"], np.int64)
-                previous, current, bounds = _pairs(_array(r["numbers"], np.uint16), sizes, u.end)
+                previous, current, bounds, of, _ = _stream(r, classes, bands)
                 a, c = of[previous], of[current]
-                inside = np.where(c == end_class, 0.0, share[c])
-                total = sums_by(step[a, c] - inside, bounds) + np.array(r["emitted"])
+                total = sums_by(step[a, c] - share[c], bounds) + np.array(r["emitted"])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(r["doc_ids"], pa.int64()), pa.array([not t for t in r["train"]], pa.bool_()),
-                    pa.array(sizes + 1, pa.int64()), pa.array(r["known"], pa.int64()),
-                    pa.array(np.full(len(sizes), tokens), pa.int64()), pa.array(r["base"], pa.float64()),
+                    pa.array(r["doc_ids"], pa.int64()), pa.array([not x for x in r["train"]], pa.bool_()),
+                    pa.array(np.diff(bounds), pa.int64()), pa.array(r["known"], pa.int64()),
+                    pa.array(np.full(len(bounds) - 1, t.tokens), pa.int64()), pa.array(r["base"], pa.float64()),
                     pa.array(total, pa.float64())],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return numbered.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                      "base_score double, score double")
+    rows = model.numbered.drop("classes", "words", "n").join(model.state.withColumnRenamed("run", "of"), F.col("run") == F.col("of")).drop("of")
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                  "base_score double, score double")
+
+
+def scores(docs: DataFrame, min_count: int = MIN_COUNT, classes: int = CLASSES) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    return scored(train(docs, min_count, classes))

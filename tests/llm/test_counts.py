@@ -121,7 +121,96 @@ def test_language_model(spark):
     assert len(held) > 10 and gain > 0.2
 
 
-def test_emissions_and_transitions_sum_to_one():
-    u = cb.Unigrams(100, 7, 5, np.array([3, 9], np.uint64), np.array([40, 30]), np.array([2, 1, 1]), np.array([2, 3, 6]))
-    assert u.end == 5 and u.numbers(np.array([3, 4, 9], np.uint64), np.array([40, 3, 30])).tolist() == [0, 3, 1]
+def _lettered(seed, n, first=0):
+    """Texts in which words of one kind follow words of another, and rare words of neither."""
+    rng = np.random.default_rng(seed)
+    names = prose(1, 4000, 4000).split()
+    kinds = [[f"{k}{w}" for w in names[40 * i:40 * i + 40]] for i, k in enumerate("abc")]
+    rows = []
+    for i in range(first, first + n):
+        text = [w for _ in range(rng.integers(5, 30)) for k in kinds for w in [rng.choice(k)]]
+        text += [f"rare{rng.integers(400)}" for _ in range(3)]
+        rows.append((i, " ".join(text), "en", "a", 1))
+    return rows
+
+
+def _hashes(names):
+    from tallyframe.llm.text_arrays import chunks, words_of
+    import pyarrow as pa
+
+    out = words_of(next(chunks(pa.array([" ".join(names)]))))
+    return dict(zip(names, out.hash.view(np.int64).tolist()))
+
+
+def test_scores_by_hand(spark, monkeypatch):
+    """Transitions and emissions from the words' classes, in plain Python; several runs, hash groups and tasks."""
+    monkeypatch.setattr(cb, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(cb, "GROUP_WORDS", 200)
+    monkeypatch.setattr(cb.token_runs, "__defaults__", (900,))
+    rows = _lettered(5, 250, 10_000) + odd_rows()
+    model = cb.train(frame(spark, rows), min_count=12, classes=3)
+    found = {}
+    for r in cb.scored(model).collect():
+        found.setdefault(r.doc_id, r.score)
+    tokens = [(r[0], words(fold(r[1]))) for r in rows]
+    train = [t for i, t in tokens if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    counts = Counter(w for t in train for w in t)
+    told = {r["word"]: r for r in cb.word_classes(model).collect()}
+    names = _hashes([w for w, n in counts.items() if n >= 12])
+    assert {names[w] for w in names} == set(told) and all(told[names[w]]["n"] == counts[w] for w in names)
+    bands = int(math.log2(11)) + 1
+    of = lambda w: told[names[w]]["class"] if w in names else 3 + max(0, int(math.log2(max(counts[w], 1))))
+    end = 3 + bands
+    steps, mass, kinds = Counter(), Counter(), Counter(of(w) for w in counts)
+    for t in train:
+        line = [end, *[of(w) for w in t], end]
+        steps.update(zip(line[:-1], line[1:]))
+    for (_, c), n in steps.items():
+        mass[c] += n
+    out = Counter()
+    for (a, _), n in steps.items():
+        out[a] += n
+    for i, t in tokens:
+        line, want = [end, *[of(w) for w in t], end], 0.0
+        for a, c, w in zip(line[:-1], line[1:], [*t, None]):
+            want += math.log10((steps[a, c] + .1) / (out[a] + .1 * (end + 1)))
+            if w is not None:
+                want += math.log10((counts[w] + .1) / (mass[c] + .1 * (kinds[c] + 1)))
+        assert math.isclose(found[i], want, rel_tol=1e-9, abs_tol=1e-9), i
+    assert list(model.steps) == sorted(model.steps) and len(model.steps) > 1
+    # the last pass of either half gained nothing, and the classes are the kinds of words
+    groups = {k: Counter(told[names[w]]["class"] for w in names if w[0] == k and len(w) > 1 and not w.startswith("rare")) for k in "abc"}
+    assert sum(max(g.values()) for g in groups.values()) > 0.9 * sum(sum(g.values()) for g in groups.values())
+
+
+def test_transitions_and_emissions_sum_to_one(spark):
+    model = cb.train(frame(spark, _lettered(6, 120)), min_count=10, classes=4)
+    t, width = model.totals, len(model.table)
+    step = (model.table + cb.SMOOTH) / (model.table.sum(axis=1, keepdims=True) + cb.SMOOTH * width)
+    assert np.allclose(step.sum(axis=1), 1)
+    told = cb.word_classes(model).collect()
+    kinds = np.concatenate([model.kinds, t.band_words])
+    for c in range(width - 1):
+        n = [r["n"] for r in told if r["class"] == c]
+        known = sum(n) if c < 4 else int(t.band_tokens[c - 4])
+        assert known == model.table.sum(axis=0)[c] and (c >= 4 or len(n) == kinds[c])
+        total = model.table.sum(axis=0)[c] + cb.SMOOTH * (kinds[c] + 1)
+        # the words of the class, and one for all that were never seen
+        assert math.isclose((known + cb.SMOOTH * kinds[c] + cb.SMOOTH) / total, 1)
+    assert t.tokens == int(model.table.sum()) and t.distinct == int(kinds.sum()) + 1
+
+
+def test_clustered_words_grow_with_the_corpus(spark):
+    few, many = (cb.word_classes(cb.train(frame(spark, _zipf(n)), classes=4)).count() for n in (60, 600))
+    assert many > 4 * few > 0
+
+
+def _zipf(n):
+    rng = np.random.default_rng(2)
+    share = 1 / np.arange(1, 5001)
+    names = [f"w{i}" for i in range(5000)]
+    return [(i, " ".join(rng.choice(names, 200, p=share / share.sum())), "en", "a", 1) for i in range(n)]
+
+
+def test_bands():
     assert cb.band(np.array([0, 1, 2, 3, 4, 7, 8])).tolist() == [0, 0, 1, 1, 2, 2, 3]
