@@ -50,9 +50,10 @@ def shared_folder(spark: SparkSession) -> str:
     that names none this is an error, never a folder of one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse or not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        folder = f"{warehouse.rstrip('/')}/_staged"
     return folder.rstrip("/")
 
 
@@ -100,13 +101,38 @@ def stage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "staged")
     with _dropping_shuffles(spark):
         df.write.parquet(path)
-    held = spark.read.schema(df.schema).parquet(path)
-    # the file listing of the relation is shared by every plan that is built on it
-    files = held._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
-    with _lock:
-        if path in _staged:
-            _staged[path] = (spark, spark._jvm.java.lang.ref.WeakReference(files))
-    return held
+    return belonging(path, spark.read.schema(df.schema).parquet(path))
+
+
+def belonging(path: str, df: DataFrame) -> DataFrame:
+    """``df``, which reads the folder at ``path`` (from :func:`scratch_path`): the folder lives as long as frames that
+    read it through the same reader."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        # the file listing of the relation is shared by every plan that is built on it
+        files = leaves.apply(i).relation().location()
+        if path.rsplit("/", 1)[1] in files.rootPaths().mkString(","):
+            with _lock:
+                if path in _staged:
+                    _staged[path] = (spark, spark._jvm.java.lang.ref.WeakReference(files))
+            break
+    return df
+
+
+def stage_bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """As :func:`stage`, dealt into ``buckets`` by the column ``by``, so that later joins and groupings by it read each
+    bucket where it is and shuffle the other side alone. It is a table of the session's catalog, which keeps it: release
+    it with ``release_staged`` or in a ``staging`` block."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "bucketed")
+    with _dropping_shuffles(spark):
+        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(_table_of(path))
+    return spark.table(_table_of(path))
+
+
+def _table_of(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
 
 
 def drop_unused(collect: bool = False) -> int:
@@ -136,6 +162,8 @@ def _delete(paths: list[str]) -> None:
         with _lock:
             spark, _ = _staged.pop(path, (None, None))
         if spark is not None:
+            if path.rsplit("/", 1)[1].startswith("bucketed-"):
+                spark.sql(f"drop table if exists {_table_of(path)}")
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

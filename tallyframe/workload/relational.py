@@ -12,7 +12,7 @@ from tallyframe.operators import (
     wider, with_missing_years,
 )
 from tallyframe.plans import codes, housing, people, prices, projections, vacancy
-from tallyframe.session import scratch_path, stage
+from tallyframe.session import belonging, scratch_path, stage
 from tallyframe.sources import (
     Field, landed_or, malformed_fields, read_csv, read_dictionary, read_hierarchical, read_rectangular, read_table,
     text_labels, value_labels, write_csv,
@@ -62,8 +62,8 @@ def _(spark, sf_dir):
     h, p = read_hierarchical(spark, path, [_RECTYPE, *_fields(_H_LAYOUT, "H"), *_fields(_P_LAYOUT, "P")])
     per = p.groupBy("YEAR", "SERIAL").agg(F.count("*").alias("members"), F.sum("AGE").alias("ages"),
                                           F.sum("INCTOT").alias("income"))
-    return keyed_join(h, per, ["YEAR", "SERIAL"], nullable=()).withColumn(
-        "members", F.coalesce("members", F.lit(0)))
+    return belonging(path, keyed_join(h, per, ["YEAR", "SERIAL"], nullable=()).withColumn(
+        "members", F.coalesce("members", F.lit(0))))
 
 
 @query("S2_rectangular_records", "YEAR:int SERIAL:bigint PERNUM:int AGE:int INCTOT:bigint", "pp",
@@ -71,7 +71,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = scratch_path(spark, "rectangular")
     _lines(views.persons(spark, sf_dir), "P", _P_LAYOUT).write.text(path)
-    return read_rectangular(spark, path, _fields(_P_LAYOUT, "P"))
+    return belonging(path, read_rectangular(spark, path, _fields(_P_LAYOUT, "P")))
 
 
 @query("S2_malformed_fields", "field:str n:bigint", "pp",
@@ -84,7 +84,7 @@ def _(spark, sf_dir):
         "AGE": F.when(F.col("AGE") == 33, "3x").otherwise(F.col("AGE").cast("string")),
         "INCTOT": F.when(F.col("INCTOT") == 9999999, "99 99").otherwise(F.col("INCTOT").cast("string"))})
     _lines(spoiled, "P", _P_LAYOUT).write.text(path)
-    return malformed_fields(spark.read.text(path), _fields(_P_LAYOUT, "P")).filter("n > 0")
+    return belonging(path, malformed_fields(spark.read.text(path), _fields(_P_LAYOUT, "P")).filter("n > 0"))
 
 
 @query("S4_value_labels", "val:int lbl:str units:bigint", "hh dict",
@@ -109,7 +109,7 @@ def _(spark, sf_dir):
         F.struct(F.lit(10).alias("_StartPos"), F.lit(12).alias("_EndPos"), F.lit(3).alias("_width")).alias("location"),
         F.transform("val_labels", lambda v: F.struct(v["val"].alias("catValu"), v["lbl"].alias("labl"))).alias("catgry")
     ).write.format("xml").option("rowTag", "var").option("rootTag", "dataDscr").save(path)
-    return read_dictionary(spark, path).withColumn("labels", F.size("val_labels"))
+    return belonging(path, read_dictionary(spark, path).withColumn("labels", F.size("val_labels")))
 
 
 @query("S3_text_categories", "code:str lbl:str", "",
@@ -121,7 +121,7 @@ def _(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy(F.lit("NATION").alias("_name")).agg(
         F.collect_list(category).alias("catgry")).write.format("xml").option("rowTag", "var").option(
         "rootTag", "dataDscr").save(path)
-    return text_labels(read_dictionary(spark, path), "NATION")
+    return belonging(path, text_labels(read_dictionary(spark, path), "NATION"))
 
 
 _MONEY = "YEAR:int SERIAL:bigint VACDUR:int HHINCOME:int price:d2 day:date"
@@ -136,7 +136,7 @@ def _(spark, sf_dir):
     hh = views.households(spark, sf_dir)
     write_csv(hh.select("YEAR", "SERIAL", "VACDUR", "HHINCOME", (F.col("RENTGRS").cast("double") / 4).alias("price"),
                         F.make_date("YEAR", F.lit(6), F.lit(15)).alias("day")), path)
-    return read_csv(spark, path)
+    return belonging(path, read_csv(spark, path))
 
 
 @query("S8_landed_copy_by_year", "YEAR:int n:bigint income:bigint", "hh",
@@ -150,7 +150,7 @@ def _(spark, sf_dir):
 
     landed_or(spark, path, build)
     landed = landed_or(spark, path, build)
-    return landed.filter("YEAR >= 1997").groupBy("YEAR").agg(F.count("*").alias("n"), F.sum("HHINCOME").alias("income"))
+    return belonging(path, landed.filter("YEAR >= 1997").groupBy("YEAR").agg(F.count("*").alias("n"), F.sum("HHINCOME").alias("income")))
 
 
 @query("S6_table_scan_pushed", "area_code:int year:int age_group_id:int age_group:str hh:bigint", "ph",
@@ -161,7 +161,10 @@ def _(spark, sf_dir):
     path, name = scratch_path(spark, "projection"), f"projection_{uuid.uuid4().hex}"
     views.projection_households(spark, sf_dir).write.parquet(path)
     spark.read.parquet(path).createOrReplaceTempView(name)
-    return projections.projected_households(read_table(spark, name))
+    result = belonging(path, projections.projected_households(read_table(spark, name)))
+    # the frame has the table's plan; the name would keep its files
+    spark.catalog.dropTempView(name)
+    return result
 
 
 @query("S7_literal_year_table", "YEAR:int n:bigint", "hh",
@@ -520,7 +523,7 @@ def _(spark, sf_dir):
     write_csv(n.orderBy(F.asc_nulls_last("YEAR"), F.asc_nulls_last("msa")), path)
     lines = read_csv(spark, path, "YEAR int, msa string, n long").withColumn("file", F.input_file_name()).withColumn(
         "line", F.monotonically_increasing_id())
-    return lines.withColumn("place", F.row_number().over(Window.orderBy("file", "line")))
+    return belonging(path, lines.withColumn("place", F.row_number().over(Window.orderBy("file", "line"))))
 
 
 @query("K2_staged_result_used_twice", "YEAR:int units:bigint share:d9", "hh",

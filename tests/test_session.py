@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import session as module
-from tallyframe.session import drop_unused, release_staged, shared_folder, stage, staging
+from tallyframe.session import drop_unused, release_staged, shared_folder, stage, stage_bucketed, staging
 
 
 def folders():
@@ -40,14 +40,14 @@ def test_folders_live_as_long_as_frames_that_read_them(spark):
 
 
 def test_staging_deletes_what_earlier_steps_left(spark):
-    settled(0)
+    base = settled(0)
     for _ in range(30):
         frame = stage(spark.range(10))
-        if len(folders()) < 10:
+        if len(folders()) < base + 10:
             spark._jvm.System.gc()
-    frame.count()
+    assert len(folders()) < base + 30 and frame.count() == 10
     del frame
-    assert settled(0) == 0
+    assert settled(base) == base
 
 
 def test_release_and_blocks(spark):
@@ -88,3 +88,16 @@ def test_threads_leave_the_session_as_it_was(spark):
         t.join()
     assert sorted(f.count() for f in frames) == [100 * i + 1 for i in range(6)]
     assert spark.conf.get(module._DROP_SHUFFLES) == before and not module._writing
+
+
+def test_buckets_are_joined_where_they_are(spark):
+    base = settled(0)
+    wide = stage_bucketed(spark.range(2000).selectExpr("id % 100 as k", "id as v"), "k", 7)
+    other = spark.range(100).selectExpr("id as of", "id * 2 as w").hint("shuffle_hash")
+    joined = wide.join(other, F.col("k") == F.col("of"))
+    assert joined.count() == 2000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    # one exchange, of the other side
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and len(folders()) == base + 1
+    release_staged(wide)
+    assert len(folders()) == base and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed")]
