@@ -10,25 +10,25 @@ from tests.conftest import rows
 AREAS = [
     (2001, None, 1759996, None, None, 34417, 3666, 67837, 1874400,
      0.03619131455399061, None, 1836317, None),
-    (2023, "1", 311544, 316998.62188284803, 5454.621882848029, 4251, 587, 7987, 327258,
+    (2023, "Colorado Springs, CO", 311544, 316998.62188284803, 5454.621882848029, 4251, 587, 7987, 327258,
      0.024405820484144008, 333682.75987668213, 322420, 11262.759876682132),
-    (2023, "2", 1257157, 1309060.6123177256, 51903.6123177256, 10551, 2366, 34764, 1322418,
+    (2023, "Denver-Aurora-Lakewood, CO", 1257157, 1309060.6123177256, 51903.6123177256, 10551, 2366, 34764, 1322418,
      0.026288208418215723, 1377958.5392818165, 1309501, 68457.53928181645),
-    (2023, "3", 156514, 161312.35906023267, 4798.359060232673, 4996, 347, 4343, 167381,
+    (2023, "Fort Collins, CO", 156514, 161312.35906023267, 4798.359060232673, 4996, 347, 4343, 167381,
      0.0259467920492768, 169802.48322129756, 162038, 7764.48322129756),
-    (2023, "4", 62219, 63839.294843653304, 1620.2948436533034, 906, 352, 412, 64516,
+    (2023, "Grand Junction, CO", 62219, 63839.294843653304, 1620.2948436533034, 906, 352, 412, 64516,
      0.006386012772025544, 67199.25773016138, 63258, 3941.2577301613783),
-    (2023, "5", 129043, 136446.340345903, 7403.340345903015, 329, 97, 3693, 134498,
+    (2023, "Greeley, CO", 129043, 136446.340345903, 7403.340345903015, 329, 97, 3693, 134498,
      0.027457657362934765, 143627.7266798979, 134072, 9555.726679897896),
-    (2023, "6", 448425, 458047.7716214668, 9622.771621466767, 72722, 3508, 15737, 553584,
+    (2023, "Not in identifiable area", 448425, 458047.7716214668, 9622.771621466767, 72722, 3508, 15737, 553584,
      0.028427483453278998, 482155.5490752282, 477354, 4801.54907522822),
-    (2023, "7", 63359, 64385.302207795845, 1026.302207795848, 1067, 222, 1843, 68438,
+    (2023, "Pueblo, CO", 63359, 64385.302207795845, 1026.302207795848, 1067, 222, 1843, 68438,
      0.026929483620210994, 67774.00232399564, 67149, 625.0023239956354),
 ]
 # The state rows as published: sums that skip missing values, also of the rates.
 STATE = [
-    (2001, "all", 1759996, 0, 0, 34417, 3666, 67837, 1874400, 0.03619131455399061, 0, 1836317, 0),
-    (2023, "all", 2428261, 2510090.302279625, 81829.30227962523, 94822, 7479, 68779, 2638093,
+    (2001, "Colorado Statewide", 1759996, 0, 0, 34417, 3666, 67837, 1874400, 0.03619131455399061, 0, 1836317, 0),
+    (2023, "Colorado Statewide", 2428261, 2510090.302279625, 81829.30227962523, 94822, 7479, 68779, 2638093,
      0.16584145816008683, 2642200.3181890794, 2535792, 106408.31818907928),
 ]
 # Monthly price index of four years (the last one has three months).
@@ -83,18 +83,18 @@ def rows_of(data):
 
 
 def test_state_rows_as_published(metro):
-    same(rows(housing.state_totals(metro, "all", mode="reference")), STATE)
+    same(rows(housing.state_totals(metro, STATE[0][1], mode="reference")), STATE)
 
 
 def test_state_rows_recomputed(metro):
-    early, late = rows(housing.state_totals(metro, "all"))
+    early, late = rows(housing.state_totals(metro, STATE[0][1]))
     assert early[3:5] == (None, None) and early[12] is None
     assert late[9] == pytest.approx(68779 / 2638093)
     assert late[12] == pytest.approx(STATE[1][12])
 
 
 def test_area_and_state_rows_together(metro):
-    assert housing.all_totals(metro, label="all", mode="reference").count() == len(AREAS) + 2
+    assert housing.all_totals(metro, label=STATE[0][1], mode="reference").count() == len(AREAS) + 2
 
 
 def test_unknown_modes_are_refused(metro):
