@@ -125,9 +125,11 @@ def stage_bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
     bucket where it is and shuffle the other side alone. It is a table of the session's catalog, which keeps it: release
     it with ``release_staged`` or in a ``staging`` block."""
     spark = df.sparkSession
+    # dealt out in a write of its own, whose shuffle files go when it has ended; the table is then written without any
+    dealt = stage(df.repartition(buckets, by))
     path = scratch_path(spark, "bucketed")
-    with _dropping_shuffles(spark):
-        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(_table_of(path))
+    dealt.write.bucketBy(buckets, by).option("path", path).saveAsTable(_table_of(path))
+    release_staged(dealt)
     return spark.table(_table_of(path))
 
 

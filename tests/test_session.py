@@ -1,5 +1,6 @@
 """How long staged folders live, and where they are."""
 
+import gc
 import os
 import threading
 import time
@@ -43,9 +44,11 @@ def test_staging_deletes_what_earlier_steps_left(spark):
     base = settled(0)
     for _ in range(30):
         frame = stage(spark.range(10))
-        if len(folders()) < base + 10:
-            spark._jvm.System.gc()
-    assert len(folders()) < base + 30 and frame.count() == 10
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+    # the last few may still be known to the JVM
+    assert len(folders()) < base + 15 and frame.count() == 10
     del frame
     assert settled(base) == base
 
