@@ -8,21 +8,28 @@ Only one row per source is ever ordered or summed in one place; documents are su
 their source's rate in one join (which adaptive execution broadcasts, or splits where one source is hot).
 
 Missing texts and empty texts have size 0; a missing source is a source of its own, ranked last; an empty
-table gives an empty mix; repeated rows are taken or left together, because they share their id. Sources
-whose documents have no words get target 0.
+table gives an empty mix; repeated rows are taken or left together, because they share their id; rows without an
+id are told apart by their text. Sources whose documents have no words get target 0. The few windows over sources
+have no partition: a row per source, in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallyframe.llm.tables import WORD, hash_share
+from tallyframe.llm.tables import WORD, free_name, hash_share
 from tallyframe.session import stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 
 
+def _extra(rate: F.Column) -> F.Column:
+    """One more copy with the probability of the rate's fraction, by the row's id or else its text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    return (hash_share(name) < rate - F.floor(rate)).cast("long")
+
+
 def word_count(column) -> F.Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -55,32 +62,31 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
         first["level"] * F.col("w")).alias("target"))
 
 
+def _rates(sources: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """``of_source, source_size, target, rate``, one row per source."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return source_targets(sources, weights, share, most).select(F.col("source").alias("of_source"), "source_size", "target", rate.alias("rate"))
+
+
 def repetitions(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for every row of ``docs``."""
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sources, weights, share, most).withColumnRenamed("source", "of_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (hash_share(F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    return sized.join(targets, sized["source"].eqNullSafe(targets["of_source"])).select(
-        "doc_id", "source", "size", "source_size", "target", (F.floor(rate) + extra).alias("copies"))
+    name = F.when(F.col("doc_id").isNull(), F.col("text")).alias("text")
+    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), name))
+    rates = _rates(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    return sized.join(rates, sized["source"].eqNullSafe(rates["of_source"])).select(
+        "doc_id", "source", "size", "source_size", "target", (F.floor("rate") + _extra(F.col("rate"))).alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mixed corpus: rows of ``docs`` as often as taken, numbered by ``copy`` (``_copy`` if there is such a
     column already, and so on)."""
-    number = "copy"
-    while number in docs.columns:
-        number = f"_{number}"
-    rates = repetitions(docs, weights, share, most).select(
-        F.col("source").alias("__source"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"),
-    ).distinct()
-    extra = (hash_share(F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")
-    copies = (F.floor("__rate") + extra).cast("int")
-    return docs.join(rates, docs["source"].eqNullSafe(rates["__source"])).withColumn(
-        number, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(
-            F.array().cast("array<int>")))).select(*[docs[c] for c in docs.columns], number)
+    number, of, rate = (free_name(docs, name) for name in ("copy", "__source", "__rate"))
+    sources = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    # staged, so that its size is known when the join with the documents is planned
+    rates = stage(_rates(sources, weights, share, most).select(F.col("of_source").alias(of), F.col("rate").alias(rate)))
+    copies = (F.floor(rate) + _extra(F.col(rate))).cast("int")
+    every = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))
+    return docs.join(rates, docs["source"].eqNullSafe(rates[of])).withColumn(number, every).select(*[docs[c] for c in docs.columns], number)
 
 
 def taken(docs: DataFrame) -> DataFrame:
