@@ -9,9 +9,11 @@ contains a window only if it contains the window's rarest word, so that word is
    places the window at p - o; placements before the text's first word or beyond its last are dropped
    (positional and length bounds), and the others are verified word by word over the whole window.
 
-The benchmark is taken in blocks of bounded words, so what every task holds is bounded by ``BLOCK_WORDS``; more
-blocks mean more passes over the documents, never a larger broadcast. Documents are never shuffled: each scan
-returns counts for its rows, and only if there are several blocks are those put together per row.
+The benchmark is taken in blocks of bounded words, one after another: a block's result is staged before the next is
+fetched, so that driver and tasks hold one block of ``BLOCK_WORDS``; more blocks mean more passes over the documents,
+never more memory. Windows of several items are verified once. Documents are never shuffled: each scan returns counts
+for its rows, and only if there are several blocks are those put together per row. :func:`clean_documents` drops rows
+in the scan itself.
 
 Missing or empty texts have no words and no hits; an item without words has no window, and one without id has the
 empty id; repeated items with the same id count once; repeated documents get a row each; an empty benchmark leaves every document clean.
@@ -27,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.tables import map_texts
-from tallyframe.llm.text_arrays import LETTER_OR_DIGIT, Texts, Words, chunks, words_of
+from tallyframe.llm.text_arrays import LETTER_OR_DIGIT, Texts, Words, chunks, mix, sums_by, words_of
+from tallyframe.session import stage
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -46,9 +49,18 @@ class Windows:
         self.items, self.hash = items, words.hash
         size = np.diff(words.bounds)
         starts = [np.arange(words.bounds[i], words.bounds[i] + max(1, n - WINDOW + 1)) for i, n in enumerate(size) if n]
-        self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.item = words.doc[self.start] if len(self.start) else self.start
-        self.size = np.minimum(size[self.item], WINDOW) if len(self.start) else self.start
+        start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        item = words.doc[start] if len(start) else start
+        length = np.minimum(size[item], WINDOW) if len(start) else start
+        # equal windows of several items, or of one, are one window
+        padded, name = np.append(words.hash, np.zeros(WINDOW, np.uint64)), length.astype(np.uint64)
+        for k in range(WINDOW):
+            name = mix(name + np.where(k < length, padded[start + k], np.uint64(0)) * np.uint64(2 * k + 3))
+        _, first, which = np.unique(name, return_index=True, return_inverse=True)
+        self.start, self.size = start[first], length[first]
+        have = np.unique(which * np.int64(max(len(items), 1)) + item)
+        self.items_of = have % max(len(items), 1)
+        self.bounds = np.searchsorted(have // max(len(items), 1), np.arange(len(first) + 1))
         self.vocabulary = np.unique(words.hash)
         if rarity is not None:
             self._file(np.array([rarity.get(int(h), 0) for h in self.vocabulary], dtype=np.int64))
@@ -119,7 +131,11 @@ def _match(words: Words, texts: Texts, windows: Windows):
     for begin, window in occurrences(words, windows):
         np.add.at(covered, begin, 1)
         np.add.at(covered, begin + windows.size[window], -1)
-        pairs.append(np.unique(words.doc[begin] * len(windows.items) + windows.item[window]))
+        found = np.unique(words.doc[begin] * len(windows.start) + window)
+        doc, window = found // max(len(windows.start), 1), found % max(len(windows.start), 1)
+        many = windows.bounds[window + 1] - windows.bounds[window]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(windows.bounds[window], many)
+        pairs.append(np.unique(np.repeat(doc, many) * len(windows.items) + windows.items_of[at]))
     hit = np.cumsum(covered[:-1]) > 0
     return hit, np.unique(np.concatenate(pairs))
 
@@ -171,8 +187,8 @@ def _rarity(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {int(vocabulary[r["word"]]): r["n"] for r in counts.toLocalIterator()}
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[str]]]:
-    """Items of the benchmark in blocks of about ``block_words`` words."""
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[int, list[str], list[str]]]:
+    """How many blocks there are, and each one's items, of about ``block_words`` words."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(
         F.col("text").isNotNull()).distinct()
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
@@ -180,20 +196,24 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str],
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
     for b in range(n):
         rows = items.filter(block == b).collect()
-        yield [r["item_id"] for r in rows], [r["text"] for r in rows]
+        yield n, [r["item_id"] for r in rows], [r["text"] for r in rows]
+
+
+def _filed(rows: DataFrame, items: list[str], texts: list[str]) -> Windows:
+    return Windows(items, texts, _rarity(rows, Windows(items, texts).vocabulary))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: ``row_key, doc_id, n_words, spans`` (hit runs of words) and ``items`` found."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
     scans = []
-    for items, texts in _blocks(benchmark, block_words):
-        vocabulary = Windows(items, texts).vocabulary
-        scans.append(_scan(rows, Windows(items, texts, _rarity(rows, vocabulary))))
+    for n, items, texts in _blocks(benchmark, block_words):
+        scan = _scan(rows, _filed(rows, items, texts))
+        if n == 1:
+            return scan
+        scans.append(stage(scan))
     if not scans:
         return _scan(rows, Windows([], [], {}))
-    if len(scans) == 1:
-        return scans[0]
     # several blocks: the first gives every row, the others the rows they hit; repeated rows come back as often
     parts = scans[0].withColumn("n", F.lit(1))
     for scan in scans[1:]:
@@ -237,10 +257,29 @@ def report(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS
                                    "contaminated boolean")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window occurs."""
-    hit = contamination(docs, benchmark).filter(F.size("items") > 0).select(F.col("row_key").alias("__hit_key")).distinct()
-    return docs.join(hit, row_key() == F.col("__hit_key"), "left_anti")
+def _without(docs: DataFrame, windows: Windows) -> DataFrame:
+    """The rows of ``docs`` without a window of one block, filtered where they are read."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [np.zeros(0, dtype=bool)]
+            for texts in chunks(batch.column("text")):
+                words = words_of(texts, LETTER_OR_DIGIT)
+                hit, _ = _match(words, texts, windows)
+                clean.append(sums_by(hit.astype(np.int64), words.bounds) == 0)
+            yield batch.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, with all their columns. Repeated rows stay or go together, rows
+    without a text stay. What several blocks leave over is staged from block to block."""
+    left = docs
+    for n, items, texts in _blocks(benchmark, block_words):
+        clean = _without(left, _filed(docs.select("doc_id", "text"), items, texts))
+        left = clean if n == 1 else stage(clean)
+    return left
 
 
 REPORT_SQL = r"""

@@ -202,3 +202,29 @@ def test_quality_scores(spark):
     found = bt.quality_scores(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     held = [r for r in found if r.held_out]
     assert len(held) > 60 and np.mean([r.predicted == (r.doc_id % 5 > 0) for r in held]) > 0.97
+
+
+def test_equal_windows_of_many_items_are_one():
+    text = prose(5, 14)
+    items = [str(i) for i in range(50)]
+    windows = dc.Windows(items, [text] * 50, {})
+    assert len(windows.start) == 5 and len(windows.items_of) == 250
+    again = dc.Windows(["a", "b"], ["x " * 12, "x x"], {})
+    # three equal windows of one item, and a shorter one of another
+    assert sorted(again.size.tolist()) == [2, 10] and len(again.items_of) == 2
+
+
+def test_clean_documents_of_one_and_of_several_blocks(spark, monkeypatch):
+    items = [(i, prose(600 + i, 13)) for i in range(12)] + [(1, prose(600, 13)), (90, None), (91, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = odd_rows() + [(100 + i, f"{prose(i, 30)} {items[i % 12][1] if i % 3 == 0 else 'none'} {prose(i + 50, 9)}", "en", "a", 1) for i in range(40)]
+    docs = frame(spark, rows, clashes=True).selectExpr("*", "doc_id as __hit_key")
+    want = sorted(str(r[0]) for r in rows if not (r[0] is not None and r[0] >= 100 and (r[0] - 100) % 3 == 0))
+    held = []
+    real = dc._filed
+    monkeypatch.setattr(dc, "_filed", lambda *a: held.append(real(*a)) or held[-1])
+    for block in (dc.BLOCK_WORDS, 30):
+        out = dc.clean_documents(docs, benchmark, block)
+        assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert len(held) > 4
