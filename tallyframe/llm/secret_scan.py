@@ -3,15 +3,17 @@
 A version (a path and a text, or a document) is addressed by the SHA-256 of its text, its blob. The ledger says
 which rule versions have seen which blobs, and what they found:
 
-1. Versions are reduced to distinct blobs. Blobs with all of their rules in the ledger are dropped, the others
-   keep the list of rules that have not seen them.
+1. Versions are reduced to distinct blobs. With a ledger their addresses alone are compared with it first: blobs with
+   all of their rules in it are dropped, the others keep the list of rules that have not seen them.
 2. Only those pairs are scanned; findings and pairs are what the ledger gains.
 3. Old and new findings are joined back to every version of their blob.
 
 So a text that comes back, under whatever path or in whatever number of copies, is never scanned again, and a
-new rule version is applied to every blob once. Everything is a built-in function: no Python runs on executors.
-Texts are shuffled once, with copies of a blob already put together on the map side; the join back to versions
-carries no text, and adaptive execution splits it where a blob has very many versions.
+new rule version is applied to every blob once. A ledger on disk (:func:`scan_into`) only grows: a run appends its
+findings, then its pairs, so what an interrupted run has left is scanned again and counts once. Everything is a
+built-in function: no Python runs on executors. Texts to scan are shuffled once, without a ledger with copies of a blob
+already put together on the map side; texts that need no scan do not move. The join back to versions carries no text,
+and adaptive execution splits it where a blob has very many versions.
 
 A missing text is the empty blob and has no findings; repeated versions get a row each; matches that fail their
 rule's check are dropped without a second try; an empty table gives an empty result.
@@ -22,10 +24,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm.native_spans import located, matches, spans_text
-from tallyframe.llm.tables import content_key
+from tallyframe.llm.tables import content_key, free_name
 from tallyframe.session import stage
 
 
@@ -69,18 +71,31 @@ class Ledger:
     findings: DataFrame
 
 
+def unseen(versions: DataFrame, rules: Sequence[Rule], ledger: Ledger) -> DataFrame:
+    """``blob, todo``: blobs of ``versions`` with the ids of the rules that the ledger has not seen them with, staged."""
+    every = F.array(*[F.lit(r.id) for r in rules])
+    seen = ledger.pairs.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", F.col("version").cast("string"))).alias("seen"))
+    keys = versions.select(content_key().alias("blob")).distinct()
+    todo = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+    return stage(keys.join(seen, "blob", "left").select("blob", todo.alias("todo")).filter(F.size("todo") > 0))
+
+
+def texts_to_scan(versions: DataFrame, todo: DataFrame) -> DataFrame:
+    """``blob, text, todo`` of the blobs in ``todo``."""
+    texts = versions.select(content_key().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(todo, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+
+
 def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: Ledger | None = None) -> Ledger:
-    """Scan what the ledger has not seen; returns the ledger's new rows alone, staged."""
+    """Scan what the ledger has not seen; returns the ledger's new rows alone, findings staged."""
     every = F.array(*[F.lit(r.id) for r in rules])
-    blobs = versions.select(content_key().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(
-        F.first("text").alias("text"))
-    if ledger is not None:
-        seen = ledger.pairs.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", F.col("version").cast("string"))).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce(
-            "seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0).select("blob", "text", "todo")
+    if ledger is None:
+        keys = versions.select(content_key().alias("blob")).distinct().withColumn("todo", every)
+        blobs = versions.select(content_key().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(
+            F.first("text").alias("text")).withColumn("todo", every)
     else:
-        blobs = blobs.withColumn("todo", every)
-    # the scan's matches, and one row per blob that tells which rules it has now been through
+        keys = unseen(versions, rules, ledger)
+        blobs = texts_to_scan(versions, keys)
     rule_of = {r.name: r for r in rules}
     found = matches(blobs.withColumn("todo", F.transform("todo", lambda x: F.split_part(x, F.lit("@"), F.lit(1)))), "blob",
                     {r.name: r.pattern for r in rules}, F.col("todo"))
@@ -91,14 +106,37 @@ def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: Ledger | No
     version = F.create_map(*[x for r in rule_of.values() for x in (F.lit(r.name), F.lit(r.version))])
     findings = stage(located(found, "blob").filter(passes).select(
         "blob", F.col("kind").alias("rule"), version[F.col("kind")].alias("version"), "start", "end"))
-    pairs = versions.select(content_key().alias("blob")).distinct().select("blob", F.explode(every).alias("id"))
-    pairs = pairs.select("blob", F.split_part("id", F.lit("@"), F.lit(1)).alias("rule"),
-                         F.split_part("id", F.lit("@"), F.lit(2)).cast("int").alias("version"))
-    if ledger is not None:
-        pairs = pairs.join(ledger.pairs, ["blob", "rule", "version"], "left_anti")
+    pairs = keys.select("blob", F.explode("todo").alias("id")).select(
+        "blob", F.split_part("id", F.lit("@"), F.lit(1)).alias("rule"), F.split_part("id", F.lit("@"), F.lit(2)).cast("int").alias("version"))
     return Ledger(pairs, findings)
 
 
+_PAIRS, _FINDINGS = "blob binary, rule string, version int", "blob binary, rule string, version int, start long, end long"
+
+
+def load_ledger(spark: SparkSession, path: str) -> Ledger:
+    """The ledger under ``path``; an empty one if there is none yet."""
+    def table(name: str, schema: str) -> DataFrame:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{path}/{name}").distinct()
+
+    return Ledger(table("pairs", _PAIRS), table("findings", _FINDINGS))
+
+
+def append_to_ledger(path: str, gained: Ledger) -> None:
+    """Add rows to the ledger under ``path``, findings first: pairs without their findings would hide a secret."""
+    gained.findings.write.mode("append").parquet(f"{path}/findings")
+    gained.pairs.write.mode("append").parquet(f"{path}/pairs")
+
+
+def scan_into(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> Ledger:
+    """Scan what the ledger under ``path`` has not seen, append that, and return the whole ledger."""
+    append_to_ledger(path, scan(versions, rules, load_ledger(versions.sparkSession, path)))
+    return load_ledger(versions.sparkSession, path)
+
+
 def findings_by_path(versions: DataFrame, findings: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every version with its blob's findings of the given rule versions, ordered by start, then rule.
 
@@ -124,9 +162,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def documents_without_secrets(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no rule finds anything."""
-    hit = scan(docs.select("doc_id", "text")).findings.select(F.col("blob").alias("__hit_blob")).distinct()
-    return docs.join(hit, content_key() == F.col("__hit_blob"), "left_anti")
+    """The rows of ``docs`` in which no rule finds anything, with all their columns; those without a text stay."""
+    blob = free_name(docs, "__blob")
+    hit = stage(scan(docs.select("doc_id", "text")).findings.select(F.col("blob").alias(blob)).distinct())
+    return docs.join(hit, content_key() == F.col(blob), "left_anti")
 
 
 REPORT_SQL = r"""
