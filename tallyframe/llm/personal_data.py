@@ -10,8 +10,9 @@
 4. A logistic span classifier is trained on the expected labels. Its inputs are the votes, the kind, and shape
    features that the labelers don't use. Spans it finds likely are added to the agreed ones, which always stay.
 
-Everything is a built-in function: no Python runs on executors. Candidates are content-addressed by text, so
-copies are looked at once, and join back to documents carries no text.
+Everything is a built-in function: no Python runs on executors. Every row is searched where it lies, so no text is
+shuffled; matches are content-addressed by text, so those of copies are one in all that follows, and the join back to
+documents carries no text.
 
 Missing and empty texts have no span; matches that fail their check are dropped without a second try; repeated
 rows get a row each; an empty table gives an empty result; without candidates nothing is trained.
