@@ -13,9 +13,12 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
    tells which documents lose theirs.
 4. Removed windows go back to their run, where bytes are taken out.
 
-An anchor in very many documents (``HOT``, counted over the corpus) sends its windows one by one under their own
+An anchor in many documents (``HOT``, counted over the corpus) sends its windows one by one under their own
 hash instead, so that differing windows of a frequent passage spread over all groups; equal windows are one per
-run in either case.
+run in either case. Windows of an anchor in very many documents (``VERY_HOT``) go to no group: their smallest ids are a
+grouped minimum of rows, combined before the shuffle, and are joined back to the runs, which adaptive execution
+splits; so no task holds a row of every run for a passage that all runs have. Documents are counted up to 255 a run, so
+both limits are approximate; they choose the way, never the result.
 
 Missing texts are empty; texts below ``LENGTH`` lose nothing; a missing id counts as larger than any other, and
 rows with equal ids never remove each other's bytes; an empty table gives an empty result.
@@ -38,8 +41,8 @@ from tallyframe.session import release_staged, stage
 
 LENGTH, GRAM = 50, 24
 RUN_BYTES, SHARD_BYTES, GROUP_BYTES, GROUP_ANCHORS = 1 << 20, 1 << 16, 4 << 20, 2_000_000
-#: Documents with an anchor beyond which its windows are spread.
-HOT = 10_000
+#: Documents with an anchor beyond which its windows are spread, and beyond which they are rows of their own.
+HOT, VERY_HOT = 10_000, 1_000_000
 _NO_ID = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 48) - 1)
 #: Windows that share an anchor, on average.
@@ -146,7 +149,8 @@ def _group_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shared_anchors(runs: DataFrame, size: int) -> DataFrame:
-    """``run, shared, hot, n``: the anchors of a run that several documents have, as packed sorted hashes."""
+    """``run, shared, hot, n``: the anchors of a run that several documents have, as packed sorted hashes, and how hot
+    each is (0, 1 or 2)."""
     bits = _groups(size / _SPACING, GROUP_ANCHORS)
 
     def report(batches):
@@ -180,7 +184,8 @@ def shared_anchors(runs: DataFrame, size: int) -> DataFrame:
         ends, rows = np.cumsum([len(h) for h in hs]), []
         for run, h, end in zip(table.column("run").to_pylist(), hs, ends):
             here = total[place[end - len(h):end]]
-            rows.append((run, key[0].as_py(), _planes(h[here > 1]), (here[here > 1] > HOT).tobytes(), int((here > 1).sum())))
+            level = (here > HOT).astype(np.uint8) + (here > VERY_HOT)
+            rows.append((run, key[0].as_py(), _planes(h[here > 1]), level[here > 1].astype(np.uint8).tobytes(), int((here > 1).sum())))
         return pa.table({"run": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[1] for r in rows], pa.int32()),
                          "shared": pa.array([r[2] for r in rows], pa.binary()), "hot": pa.array([r[3] for r in rows], pa.binary()),
                          "n": pa.array([r[4] for r in rows], pa.int64())})
@@ -222,17 +227,27 @@ def _cut_stretches(r: dict, bits: int, anchor_bits: int) -> Iterator[pa.RecordBa
     group, short = _group_of(h, anchor_bits), h >> np.uint64(max(0, 16 - anchor_bits)) & _LOW
     state = np.zeros(len(h), dtype=np.int8)
     for t in r["told"]:
-        known, hot = _values(t["shared"]), np.frombuffer(t["hot"], dtype=bool)
+        known, hot = _values(t["shared"]), np.frombuffer(t["hot"], dtype=np.uint8)
         mine = np.flatnonzero(group == t["part"])
         place = np.minimum(np.searchsorted(known, short[mine]), len(known) - 1)
         hit = known[place] == short[mine]
         state[mine[hit]] = 1 + hot[place[hit]]
-    once, spread = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
-    windows = (last - first + 1)[spread]
-    each = np.repeat(first[spread], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    def single(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and texts of all windows of some stretches."""
+        windows = (last - first + 1)[chosen]
+        each = np.repeat(first[chosen], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        return each, np.repeat(doc[chosen], windows)
+
+    once, frequent = np.flatnonzero(state == 1), np.flatnonzero(state == 3)
+    if len(frequent):
+        each, of = single(frequent)
+        yield _packed_row(-1, r["run"], [
+            _stretch_hash(data, each, each + LENGTH), b"", b"", _stretch_hash(data, each + 1, each + LENGTH - 1), b"",
+            each.astype(np.int32), ids[of]])
+    each, spread_of = single(np.flatnonzero(state == 2))
     begin = np.concatenate([first[once], each])
     end = np.concatenate([last[once], each]) + LENGTH
-    of = np.concatenate([doc[once], np.repeat(doc[spread], windows)])
+    of = np.concatenate([doc[once], spread_of])
     content = _stretch_hash(data, begin, end)
     # anchors go where their hash says, spread windows where their own does
     name = np.concatenate([h[once], content[len(once):]])
@@ -250,11 +265,15 @@ def _cut_stretches(r: dict, bits: int, anchor_bits: int) -> Iterator[pa.RecordBa
         a = at[(at >= low) & (at < high)]
         own = number[low:high] - number[low]
         text = b"".join(data[x:y].tobytes() for x, y in zip(begin[a].tolist(), end[a].tolist()))
-        values = [p, r["run"], name[a].tobytes(), (end - begin)[a].astype(np.int32).tobytes(), text, owner[a].tobytes(),
-                  own.astype(np.int32).tobytes(), begin[low:high].astype(np.int32).tobytes(), owner[low:high].tobytes()]
-        types = [pa.int32(), pa.int64()] + [pa.binary()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)],
-                                         names=["part", "run", "names", "sizes", "bytes", "lowest", "of", "starts", "ids"])
+        yield _packed_row(int(p), r["run"], [name[a], (end - begin)[a].astype(np.int32), text, owner[a], own.astype(np.int32),
+                                             begin[low:high].astype(np.int32), owner[low:high]])
+
+
+def _packed_row(part: int, run: int, values: list) -> pa.RecordBatch:
+    columns = [c.split()[0] for c in _STRETCHES.split(", ")]
+    packed = [v if isinstance(v, bytes) else v.tobytes() for v in values]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run], pa.int64()), *[pa.array([v], pa.binary()) for v in packed]],
+                                      names=columns)
 
 
 def _lowest_ids(names: np.ndarray, sizes: np.ndarray, text: np.ndarray, lowest: np.ndarray):
@@ -318,7 +337,48 @@ def removed_windows(found: DataFrame) -> DataFrame:
             rows.append((run, _ranges(ids, bounds, stretch, starts.astype(np.int64), owner)))
         return pa.table({"run": pa.array([r for r, _ in rows], pa.int64()), "ranges": pa.array([x for _, x in rows], pa.binary())})
 
-    return found.groupBy("part").applyInArrow(meet, "run long, ranges binary").filter(F.length("ranges") > 0)
+    return found.filter("part >= 0").groupBy("part").applyInArrow(meet, "run long, ranges binary").filter(F.length("ranges") > 0)
+
+
+def removed_frequent_windows(found: DataFrame) -> DataFrame:
+    """``run, ranges`` of the windows that are rows of their own, told apart by two hashes."""
+
+    def opened(b: pa.RecordBatch, i: int) -> list[np.ndarray]:
+        kinds = {"names": np.int64, "lowest": np.int64, "starts": np.int32, "ids": np.int64}
+        return [np.frombuffer(b.column(c)[i].as_buffer(), dtype=k) for c, k in kinds.items()]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                one, other, _, ids = opened(b, i)
+                order = np.lexsort((ids, other, one))
+                one, other, ids = one[order], other[order], ids[order]
+                new = np.ones(len(one), dtype=bool)
+                new[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(one[new]), pa.array(other[new]), pa.array(ids[new])], names=["a", "b", "id"])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                one, other, starts, ids = opened(b, i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), b.column("run")[i].as_py())), pa.array(one), pa.array(other),
+                                                  pa.array(starts), pa.array(ids)], names=["run", "of_a", "of_b", "start", "id"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = []
+            for starts in b.column("starts").to_pylist():
+                where = np.sort(np.array(starts, dtype=np.int64))
+                at = np.flatnonzero(np.concatenate([[True], where[1:] > where[:-1] + 1]))
+                packed.append(np.column_stack([where[at], where[np.append(at[1:], len(where)) - 1]]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("run"), pa.array(packed, pa.binary())], names=["run", "ranges"])
+
+    rows = found.filter("part < 0").select("run", "names", "lowest", "starts", "ids")
+    lowest = stage(rows.mapInArrow(least, "a long, b long, id long").groupBy("a", "b").agg(F.min("id").alias("lowest")))
+    places = rows.mapInArrow(every, "run long, of_a long, of_b long, start int, id long")
+    gone = places.join(lowest, (F.col("of_a") == F.col("a")) & (F.col("of_b") == F.col("b"))).filter(F.col("lowest") < F.col("id"))
+    # a run's places are bounded by its bytes
+    return gone.groupBy("run").agg(F.collect_list("start").alias("starts")).mapInArrow(ranges, "run long, ranges binary")
 
 
 def _ranges(ids: np.ndarray, bounds: np.ndarray, stretch: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> bytes:
@@ -355,7 +415,10 @@ def _with_ranges(docs: DataFrame) -> DataFrame:
     # staged in between, so that the join's shuffle files are gone before stretches are shuffled
     found = stage(stretches(runs, shared, bits, _groups(size / _SPACING, GROUP_ANCHORS)))
     release_staged(shared)
-    removed = stage(removed_windows(found))
+    removed = removed_windows(found)
+    if not found.filter("part < 0").select("part").isEmpty():
+        removed = removed.union(removed_frequent_windows(found))
+    removed = stage(removed)
     release_staged(found)
     of_run = removed.groupBy(F.col("run").alias("of_run")).agg(F.collect_list("ranges").alias("ranges"))
     return runs.join(of_run, F.col("run") == F.col("of_run"), "left").select("keys", "sizes", "text", "ranges", "doc_ids")

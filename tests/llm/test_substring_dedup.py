@@ -43,8 +43,10 @@ def documents():
     return rows + [(2000 + i, prose(100, 40), "en", "a", 1) for i in range(6)] + [(3000, "x" * 49, "en", "a", 1), (3001, "x" * 120, "en", "a", 1)]
 
 
-@pytest.mark.parametrize("run_bytes,shard,hot", [(4 << 20, 1 << 18, 10_000), (3000, 500, 10_000), (3000, 500, 3)])
-def test_removed(spark, monkeypatch, run_bytes, shard, hot):
+@pytest.mark.parametrize("run_bytes,shard,hot,very_hot", [
+    (4 << 20, 1 << 18, 10_000, 1_000_000), (3000, 500, 10_000, 1_000_000), (3000, 500, 3, 1_000_000), (3000, 500, 2, 8), (900, 500, 0, 0)])
+def test_removed(spark, monkeypatch, run_bytes, shard, hot, very_hot):
+    monkeypatch.setattr(sd, "VERY_HOT", very_hot)
     monkeypatch.setattr(sd, "RUN_BYTES", run_bytes)
     monkeypatch.setattr(sd, "SHARD_BYTES", shard)
     monkeypatch.setattr(sd, "HOT", hot)
@@ -85,3 +87,25 @@ def test_merged_transforms_find_all_repeats(shard):
             where.setdefault(w.tobytes(), []).append(i)
     want = sorted(sorted(v) for v in where.values() if len(v) > 1)
     assert sorted(sorted(suffix[block == b].tolist()) for b in np.unique(block)) == want
+
+
+def test_a_passage_of_all_runs_is_no_group(spark, monkeypatch):
+    """One passage in every run: its windows are rows, combined per task, and no group of stretches has a run's copy."""
+    monkeypatch.setattr(sd, "RUN_BYTES", 2000)
+    cut = sd.chunks
+    monkeypatch.setattr(sd, "chunks", lambda column: cut(column, 2000))
+    monkeypatch.setattr(sd, "HOT", 10)
+    monkeypatch.setattr(sd, "VERY_HOT", 20)
+    licence = prose(8, 60)
+    rows = [(i, f"{prose(500 + i, 200)} {licence} {prose(900 + i, 60)}", "en", "a", 1) for i in range(80)]
+    held = []
+    real = sd.stretches
+    monkeypatch.setattr(sd, "stretches", lambda *a: held.append(sd.stage(real(*a))) or held[-1])
+    found = sd.report(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), *r[1:]) for r in found) == brute(rows)
+    rows_of_runs = held[0].groupBy("part").count().collect()
+    runs = held[0].select("run").distinct().count()
+    assert runs > 40 and {r.part for r in rows_of_runs} >= {-1}
+    # what groups still hold are the few stretches at the passage's ends
+    packed = sum(len(r.bytes) for r in held[0].filter("part >= 0").select("bytes").collect())
+    assert packed < 80 * len(licence) / 4
