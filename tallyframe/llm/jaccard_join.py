@@ -14,11 +14,12 @@ what the components need: no pair is verified that earlier links have already pu
 3. Each cluster is a signature tree: sets in order of size, nodes with the OR of their token bitmaps and their
    range of sizes. A dual traversal from the root pair drops node pairs whose largest possible overlap is too
    small for their sizes, and verifies what is left on the sets themselves.
-4. Sets of a cluster of more than ``BLOCK`` sets or ``TASK_BYTES`` meet by posting: only sets that share a signature
+4. Sets of a cluster of more than ``BLOCK`` sets meet by posting: only sets that share a signature
    are compared, however far the cluster reaches by way of others. First every posting's smallest set is verified
    against the others; then, in postings whose sets are still of several components, the most typical sets; then
    all pairs of different components that are left. The last two go by trees of bitmaps alone, whose survivors
-   are verified on the sets. A posting of more than ``BLOCK`` sets is cut into blocks, which the sets outside its
+   are verified on the sets. A cluster of fewer sets but more than ``TASK_BYTES`` goes by bitmaps alone, in a tree per
+   size class instead of per posting. A posting of more than ``BLOCK`` sets is cut into blocks, which the sets outside its
    largest component meet one by one. No task holds more than two blocks or a batch of ``TASK_BYTES``, pairs of one
    component are not verified, and nothing is left out.
 
@@ -36,15 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.components import components
-from tallyframe.llm.tables import map_texts
+from tallyframe.llm.tables import free_name, map_texts
 from tallyframe.llm.text_arrays import Texts, chunks, mix, window_hashes, words_of
 from tallyframe.session import release_staged, stage
 
 #: Sets in one tree, entries in one group of signatures, bytes of shingles in one task of small clusters.
-BLOCK, GROUP_ENTRIES, TASK_BYTES = 4096, 2_000_000, 32 << 20
+BLOCK, GROUP_ENTRIES, TASK_BYTES = 4096, 1_000_000, 16 << 20
 #: Share of the distinct sets (of a run, and half of it of all) that makes a shingle frequent; at most the mean
 #: size of a set times two over this share are. Which shingles count as frequent changes costs, never results.
-FREQUENT, RUN_SHINGLES = 0.002, 2_000_000
+FREQUENT, RUN_SHINGLES = 0.002, 1_000_000
 _SIX = np.uint64((1 << 48) - 1)
 
 
@@ -375,7 +376,7 @@ def _tree_links(sets: DataFrame, edges: DataFrame, frequent: np.ndarray, percent
     rows = sets.join(of, sets["cluster"] == of["c"]).drop("c")
     whole = rows.filter("small").select(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"), F.col("cluster").alias("tree"), "key", "shingles")
     links = stage(_traverse(whole, percent))
-    large = stage(rows.filter("not small").select("key", "shingles"))
+    large = stage(rows.filter("not small").select("cluster", "key", "shingles"))
     release_staged(clusters)
     if large.isEmpty():
         return links
@@ -431,23 +432,29 @@ def _postings(large: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
 
 
 def _verified(pairs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """The links among ``pairs`` (hub, key): a hub's set goes once to every batch of about ``TASK_BYTES`` of partners."""
-    partners = pairs.join(large.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("hub", "key", "shingles")
-    weight = partners.groupBy("hub").agg(F.sum(F.length("shingles")).alias("bytes"))
-    weight = stage(weight.select(F.col("hub").alias("h"), F.ceil(F.col("bytes") / (TASK_BYTES // 4)).cast("int").alias("batches"), "bytes"))
+    """The links among ``pairs`` (hub, key): a hub's set goes once to every batch of about ``TASK_BYTES`` of partners.
+    Batches are dealt out by sizes alone, so that a partner's set moves once per pair."""
+    size = large.select(F.col("key").alias("k"), F.length("shingles").alias("bytes"))
+    heavy = pairs.join(size, F.col("key") == F.col("k")).groupBy(F.col("hub").alias("h")).agg(F.sum("bytes").alias("bytes"))
+    weight = stage(heavy.select("h", F.ceil(F.col("bytes") / (TASK_BYTES // 4)).cast("int").alias("batches"), "bytes"))
     tasks = int((weight.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES) + 1
-    hubs = weight.join(large, F.col("h") == F.col("key")).select(
-        F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), F.lit(0).alias("side"), "key", "shingles")
-    members = partners.join(weight, F.col("hub") == F.col("h")).select(
-        "hub", F.pmod(F.xxhash64("key"), F.col("batches")).cast("int").alias("batch"), F.lit(1).alias("side"), "key", "shingles")
+    hubs = weight.select(F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), F.lit(0).alias("side"),
+                         F.col("h").alias("k"))
+    members = pairs.join(weight, F.col("hub") == F.col("h")).select(
+        "hub", F.pmod(F.xxhash64("key"), F.col("batches")).cast("int").alias("batch"), F.lit(1).alias("side"), F.col("key").alias("k"))
+    rows = hubs.unionByName(members).join(large, F.col("k") == F.col("key")).drop("k")
 
     def run(table: pa.Table) -> pa.Table:
-        rows: dict[tuple, list] = {}
-        for i, (hub, batch, side, name) in enumerate(zip(*[table.column(c).to_pylist() for c in ("hub", "batch", "side", "key")])):
-            rows.setdefault((hub, batch), [None, []])[1 if side else 0] = i if not side else rows[hub, batch][1] + [i]
+        at: dict[tuple, int] = {}
+        partners: dict[tuple, list[int]] = {}
+        for i, (hub, batch, side) in enumerate(zip(*[table.column(c).to_pylist() for c in ("hub", "batch", "side")])):
+            if side:
+                partners.setdefault((hub, batch), []).append(i)
+            else:
+                at[hub, batch] = i
         values, links = table.column("shingles"), []
-        for (hub, _), (at, others) in rows.items():
-            one = np.frombuffer(values[at].as_buffer(), dtype=np.uint64)
+        for (hub, batch), others in partners.items():
+            one = np.frombuffer(values[at[hub, batch]].as_buffer(), dtype=np.uint64)
             for i in others:
                 other = np.frombuffer(values[i].as_buffer(), dtype=np.uint64)
                 both = len(np.intersect1d(one, other, assume_unique=True))
@@ -456,21 +463,31 @@ def _verified(pairs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     task = F.pmod(F.xxhash64("hub", "batch"), F.lit(tasks))
-    found = stage(hubs.unionByName(members).withColumn("task", task).groupBy("task").applyInArrow(run, "a long, b long"))
+    found = stage(rows.withColumn("task", task).groupBy("task").applyInArrow(run, "a long, b long"))
     release_staged(weight)
     return found
 
 
-def _open_postings(postings: DataFrame, component: DataFrame, block: int) -> DataFrame:
-    """``sig, key, component, n, low, high, largest, others`` of postings whose sets are of several components."""
-    known = postings.join(component.withColumnRenamed("node", "k"), F.col("key") == F.col("k"), "left").select(
-        "sig", "key", F.coalesce("component", "key").alias("component"))
-    parts = known.groupBy("sig", "component").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+def _open_postings(postings: DataFrame, clusters: DataFrame, component: DataFrame) -> DataFrame:
+    """``sig, key, component, n, low, high, largest, others`` of postings whose sets are of several components. Each has a
+    set outside its cluster's largest component, so only the signatures of such sets are looked at."""
+    known = stage(clusters.join(component, F.col("key") == F.col("node"), "left").select(
+        "cluster", F.col("key").alias("k"), F.coalesce("component", "key").alias("component")))
+    largest = known.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy(F.col("cluster").alias("c")).agg(
+        F.max_by("component", F.struct("n", "component")).alias("most"))
+    minor = stage(known.join(largest, F.col("cluster") == F.col("c")).filter("component <> most").select(F.col("k").alias("minor")))
+    sigs = stage(postings.join(minor, F.col("key") == F.col("minor")).select(F.col("sig").alias("s")).distinct())
+    members = postings.join(sigs, F.col("sig") == F.col("s")).join(known, F.col("key") == F.col("k")).select("sig", "key", "component")
+    members = stage(members)
+    parts = members.groupBy("sig", "component").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
     several = parts.groupBy(F.col("sig").alias("s")).agg(
         F.count("*").alias("parts"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
     several = stage(several.filter("parts > 1").drop("parts"))
-    return stage(known.join(several, F.col("sig") == F.col("s")).drop("s"))
+    out = stage(members.join(several, F.col("sig") == F.col("s")).drop("s"))
+    for done in (known, minor, sigs, members, several):
+        release_staged(done)
+    return out
 
 
 def _placed(members: DataFrame, every: bool, block: int) -> DataFrame:
@@ -605,19 +622,42 @@ def _candidate_pairs(placed: DataFrame, sketches: DataFrame, every: bool, percen
     return stage(rows.withColumn("task", task).groupBy("task").applyInArrow(run, "hub long, key long").distinct())
 
 
+def _whole_clusters(few: DataFrame, component: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``tree, side, key, component`` of clusters of few but large sets that are still of several components: a tree for
+    the sets of a size class and the next, as linked sets are never further apart."""
+    known = few.join(component, F.col("key") == F.col("node"), "left").select(
+        "cluster", F.col("key").alias("k"), F.coalesce("component", "key").alias("component"))
+    still = known.groupBy(F.col("cluster").alias("c")).agg((F.min("component") < F.max("component")).alias("several")).filter("several")
+    sized = known.join(still, F.col("cluster") == F.col("c")).join(sketches.select("key", "n"), F.col("k") == F.col("key"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent)))
+    placed = sized.withColumn("class", F.explode(F.array(size_class, size_class - 1)))
+    return placed.select(F.xxhash64("cluster", "class").alias("tree"), F.lit(0).alias("side"), "key", "component")
+
+
 def _posting_links(large: DataFrame, edges: DataFrame, frequent: np.ndarray, percent: int, block: int) -> DataFrame:
-    """Links that connect the components of large clusters, whose sets meet by posting: those that share a signature."""
-    short = large.select("key", F.col("key").bitwiseAND(F.lit(int(_SIX))).alias("short"))
-    one, other = short.select(F.col("key").alias("hub"), F.col("short").alias("a")), short.select("key", F.col("short").alias("b"))
-    stars = stage(edges.join(one, "a").join(other, "b").filter("hub <> key").select("hub", "key").distinct())
-    links = _verified(stars, large, percent)
-    postings, sketches = stage(_postings(large, frequent, percent)), stage(_sketches(large))
+    """Links that connect the components of large clusters. Those of few sets are trees of bitmaps whole; the sets of
+    others meet by posting: those that share a signature."""
+    many = large.groupBy(F.col("cluster").alias("c")).agg((F.count("*") > block).alias("many"))
+    clusters = stage(large.select("cluster", "key", F.col("key").bitwiseAND(F.lit(int(_SIX))).alias("short")).join(
+        many, F.col("cluster") == F.col("c")).drop("c"))
+    sets, sketches = large.select("key", "shingles"), stage(_sketches(large.select("key", "shingles")))
+    few, rest = clusters.filter("not many").select("cluster", "key"), clusters.filter("many").select("cluster", "key")
+    links, postings = large.sparkSession.createDataFrame([], "a long, b long"), None
+    if not rest.isEmpty():
+        own = clusters.filter("many")
+        one, other = own.select(F.col("key").alias("hub"), F.col("short").alias("a")), own.select("key", F.col("short").alias("b"))
+        links = _verified(stage(edges.join(one, "a").join(other, "b").filter("hub <> key").select("hub", "key").distinct()), sets, percent)
+        postings = stage(_postings(sets.join(rest.select(F.col("key").alias("k")), F.col("key") == F.col("k")).drop("k"), frequent, percent))
     for every in (False, True):
         of = components(links)
-        members = _open_postings(postings, of, block)
-        pairs = _candidate_pairs(_placed(members, every, block), sketches, every, percent)
-        links = links.union(_verified(pairs, large, percent))
-        release_staged(members)
+        placed, members = _whole_clusters(few, of, sketches, percent), None
+        if postings is not None:
+            members = _open_postings(postings, rest, of)
+            placed = placed.unionByName(_placed(members, every, block))
+        pairs = _candidate_pairs(placed, sketches, every, percent)
+        links = links.union(_verified(pairs, sets, percent))
+        if members is not None:
+            release_staged(members)
     return links
 
 
@@ -659,17 +699,20 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOC
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` per component: of its smallest id (missing ids last) and, under that, text key; which of rows
-    with equal ids and texts is open. Rows without shingles link with nothing and all stay."""
+    """One row of ``docs`` per component: of its smallest id (missing ids last), under that of its smallest text key and,
+    of rows with equal ids and texts, of the smallest hash of all columns. Rows without shingles link with nothing and
+    all stay."""
+    stays, text, number, chosen = (free_name(docs, name) for name in ("__stays", "__text", "__n", "__row"))
     labelled = _labelled(docs, width, percent, BLOCK)
     texts = labelled.filter("set is not null").groupBy("set", "doc_id", "text_key").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("first")
     lone = labelled.filter("set is null").select("doc_id", "text_key").distinct().withColumn("n", F.lit(1).cast("long"))
     stay = stage(texts.groupBy("set").agg(first).select("first.doc_id", "first.text_key", "first.n").unionByName(lone).select(
-        F.col("doc_id").alias("__stays"), F.col("text_key").alias("__text"), F.col("n").alias("__n")))
-    found = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("__stays")) & (_text_key() == F.col("__text")))
-    repeated = found.filter("__n > 1").dropDuplicates(["__stays", "__text"])
-    return found.filter("__n = 1").unionByName(repeated).drop("__stays", "__text", "__n")
+        F.col("doc_id").alias(stays), F.col("text_key").alias(text), F.col("n").alias(number)))
+    found = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col(stays)) & (_text_key() == F.col(text)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = found.filter(F.col(number) > 1).groupBy(stays, text).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(chosen))
+    return found.filter(F.col(number) == 1).select(*docs.columns).unionByName(repeated.select(f"{chosen}.*"))
 
 
 LINKED_SQL = r"""

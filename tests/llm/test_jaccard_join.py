@@ -95,7 +95,7 @@ def test_bounds_keep_every_link():
         s = base[rng.random(300) > rng.choice([0.0, 0.02, 0.3])]
         sets.append(np.unique(np.concatenate([s, rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])))
     tree = jj.Tree(sets)
-    passed = {(int(a), int(b)) for x, y, _ in jj._candidates(tree, tree, 90) for a, b in zip(x, y)}
+    passed = {(int(a), int(b)) for x, y, _ in jj._candidates(tree, 90) for a, b in zip(x, y)}
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             s, t = tree.sets[a], tree.sets[b]
@@ -200,3 +200,23 @@ def test_bitmaps_of_sorted_trees_prune_above_the_leaves():
         jj._children = real
     # node pairs that reach the leaves: far fewer than all pairs of the 160 lowest nodes
     assert len(x) == 0 and dict(seen)[0] < 160 * 161 / 2 / 10
+
+
+def test_verified_pairs_in_any_order(spark):
+    """Rows of a hub and of its partners may come to a task in any order, and a hub's partners in several batches."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:200 - int(k)], rng.integers(0, 1 << 63, int(k), dtype=np.uint64)])) for k in rng.integers(0, 60, 80)]
+    large = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "key long, shingles binary").repartition(5)
+    pairs = [(int(a), int(b)) for a in range(80) for b in range(0, 80, 3) if a != b]
+    found = {(r.a, r.b) for r in jj._verified(spark.createDataFrame(pairs, "hub long, key long").repartition(7), large, 80).collect()}
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    assert found == {(a, b) for a, b in pairs if 100 * both(a, b) >= 80 * (len(sets[a]) + len(sets[b]) - both(a, b))}
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_clusters_of_few_large_sets(spark, monkeypatch, width, percent):
+    monkeypatch.setattr(jj, "TASK_BYTES", 3000)
+    rows = [r for r in documents() if r[0] is not None]
+    want = brute(rows, width, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jj.linked(frame(spark, rows), width, percent).collect()} == want
