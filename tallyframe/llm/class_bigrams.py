@@ -12,8 +12,9 @@ a word moves to the class under which the bigrams around it are likeliest.
    share the class of words seen once. Runs keep a class for each word of theirs.
 4. A pass counts, per run, how often each word stands beside each class; the counts of a word's runs meet in a
    grouped table of words by classes, and those of classes by classes are added up. Against the latter, each word of
-   one half (by hash) moves to its best class, and the runs are answered. A pass over the runs tells whether the
-   likelihood gained; if not, the moves are undone. Halves take turns until neither gains.
+   all move to their best class, or those of one half (by hash), and the runs are answered. A pass over the runs tells
+   whether the likelihood gained; if not, the moves are undone. All words move while that gains, then halves take
+   turns, until neither gains.
 5. Class transitions and word emissions, smoothed by 0.1, score every document.
 
 The driver holds tables of classes by classes only. Documents whose CRC-32 remainder is 0 are held out of all counts.
@@ -34,16 +35,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.tables import doc_remainder, rows_of
 from tallyframe.llm.text_arrays import chunks, mix, sums_by, words_of
-from tallyframe.session import release_staged, stage
+from tallyframe.session import release_staged, stage, stage_bucketed
 
 REMAINDER = 10
 SMOOTH = 0.1
 #: Training tokens a clustered word has at least, and classes of clustered words.
 MIN_COUNT, CLASSES = 20, 32
-#: A half gains if the log-likelihood rises by more than this share of it.
-GAIN = 1e-4
+#: Moves gain if the log-likelihood rises by more than this share of it.
+GAIN = 5e-4
 #: Tokens of a run, distinct words (of all runs) that one group of hashes should hold, and bytes of counts in a group.
-RUN_TOKENS, GROUP_WORDS, GROUP_BYTES = 1_000_000, 1_000_000, 48 << 20
+RUN_TOKENS, GROUP_WORDS, GROUP_BYTES = 500_000, 1_000_000, 32 << 20
 
 _RUNS = "run long, doc_ids array<long>, train array<boolean>, sizes array<int>, stream binary, vocabulary binary, counts binary, words long, trained long, ends long"
 
@@ -230,6 +231,20 @@ def _stream(r: dict, classes: int, bands: int) -> tuple[np.ndarray, np.ndarray,
     return previous, current, bounds, np.concatenate([own.astype(np.int64), classes + np.arange(bands + 1)]), len(own)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as planes of bytes, which compress where the higher ones are 0."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _with_state(runs: DataFrame, state: DataFrame) -> DataFrame:
+    """Runs, which stay where their buckets are, with the classes of their words."""
+    return runs.join(state.withColumnRenamed("run", "of").hint("shuffle_hash"), F.col("run") == F.col("of")).drop("of")
+
+
 class Exchange:
     """Passes over the numbered runs; ``state`` tables hold every run's classes (run, classes)."""
 
@@ -239,9 +254,9 @@ class Exchange:
         # at most so many bytes of counts: two entries of six bytes a token
         self.bits = max(0, int(np.ceil(np.log2(max(tokens * 12 / GROUP_BYTES, 1)))))
 
-    def counted(self, state: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    def counted(self, state: DataFrame) -> tuple[DataFrame, np.ndarray]:
         """Per hash group the words, their classes and counts of the classes before and after them, with every run's
-        words in that; the class bigrams; and how many words each class has."""
+        words in that; and the class bigrams."""
         classes, bands, width, bits = self.classes, self.bands, self.width, self.bits
         schema = "part int, run long, words binary, classes binary, places binary, n binary"
 
@@ -268,8 +283,8 @@ class Exchange:
                         pa.array(some, pa.int32()), pa.array([r["run"]] * len(some), pa.int64()),
                         pa.array([words[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
                         pa.array([own[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
-                        pa.array([(place[at[i]:at[i + 1]] - cut[i] * 2 * width).astype(np.uint32).tobytes() for i in some], pa.binary()),
-                        pa.array([n[place[at[i]:at[i + 1]]].astype(np.uint32).tobytes() for i in some], pa.binary())],
+                        pa.array([_planes(np.diff(place[at[i]:at[i + 1]], prepend=cut[i] * 2 * width)) for i in some], pa.binary()),
+                        pa.array([_planes(n[place[at[i]:at[i + 1]]]) for i in some], pa.binary())],
                         names=["part", "run", "words", "classes", "places", "n"])
             # tables of many tasks are added up in some groups of their own
             yield pa.RecordBatch.from_arrays([
@@ -292,25 +307,31 @@ class Exchange:
             for v, places, n in zip(own, rows.column("places").to_pylist(), rows.column("n").to_pylist()):
                 mine = slot[begin:begin + len(v)]
                 begin += len(v)
-                place = _array(places, np.uint32).astype(np.int64)
-                counts[mine[place // (2 * width)] * 2 * width + place % (2 * width)] += _array(n, np.uint32)
+                place = np.cumsum(_from_planes(places).astype(np.int64))
+                counts[mine[place // (2 * width)] * 2 * width + place % (2 * width)] += _from_planes(n)
                 slots.append(mine.astype(np.uint32).tobytes())
             return pa.table({"part": pa.array([part], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()),
                              "classes": pa.array([of.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
                              "runs": pa.array([runs], pa.list_(pa.int64())), "slots": pa.array([slots], pa.list_(pa.binary())),
                              "sums": pa.array([np.bincount(of, minlength=classes).tolist()], pa.list_(pa.int64()))})
 
-        packed = self.runs.join(state.withColumnRenamed("run", "of"), F.col("run") == F.col("of")).drop("of").mapInArrow(one, schema)
+        packed = _with_state(self.runs, state).mapInArrow(one, schema)
         counts = stage(packed.groupBy("part").applyInArrow(
             meet, "part int, words binary, classes binary, counts binary, runs array<long>, slots array<binary>, sums array<long>"))
-        sums = counts.select((F.col("part") < 0).alias("table"), F.posexplode("sums").alias("i", "n")).groupBy("table", "i").agg(F.sum("n").alias("n")).collect()
-        table, kinds = np.zeros(width * width, dtype=np.int64), np.zeros(classes, dtype=np.int64)
-        for r in sums:
-            (table if r.table else kinds)[r.i] = r.n
-        return counts, table.reshape(width, width), kinds
-
-    def moved(self, state: DataFrame, counts: DataFrame, table: np.ndarray, half: int) -> DataFrame:
-        """The state after all words of one half took their best class, judged by the classes around them."""
+        # at most 64 tables
+        tables = [np.array(r.sums, dtype=np.int64) for r in counts.filter("part < 0").select("sums").collect()]
+        return counts, sum(tables, np.zeros(width * width, dtype=np.int64)).reshape(width, width)
+
+    def kinds(self, counts: DataFrame) -> np.ndarray:
+        """How many words each class has."""
+        rows = counts.filter("part >= 0").select(F.posexplode("sums").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect()
+        out = np.zeros(self.classes, dtype=np.int64)
+        for r in rows:
+            out[r["class"]] = r.n
+        return out
+
+    def moved(self, state: DataFrame, counts: DataFrame, table: np.ndarray, half: int | None) -> DataFrame:
+        """The state after all words (of one half) took their best class, judged by the classes around them."""
         classes, width = self.classes, self.width
         logs, mass = np.log(table + SMOOTH), np.log(np.maximum(table.sum(axis=1), SMOOTH))
 
@@ -319,7 +340,7 @@ class Exchange:
                 for r in rows_of(b):
                     words, of = _array(r["words"], np.uint64), _array(r["classes"], np.uint8).copy()
                     n = _array(r["counts"], np.int64).reshape(len(words), 2, width)
-                    mine = np.flatnonzero(mix(words) & np.uint64(1) == half)
+                    mine = np.arange(len(words)) if half is None else np.flatnonzero(mix(words) & np.uint64(1) == half)
                     gain = n[mine, 1] @ logs[:classes].T + n[mine, 0] @ logs[:, :classes] - 2 * n[mine, 1].sum(axis=1)[:, None] * mass[:classes]
                     # a class no better than its own does not move a word
                     best, now = gain.argmax(axis=1), of[mine].astype(np.int64)
@@ -362,28 +383,37 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, classes: int = CLASSES) -
     bands = int(band(np.array([min_count - 1]))[0]) + 1
     answers = stage(_counted(runs, words, min_count))
     totals, first = _totals(answers, tokens, ends, bands, classes)
-    numbered = stage(_numbered(runs, answers, totals, first, min_count, classes))
+    # every pass joins the runs with their classes: the runs are dealt out once
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // (4 * RUN_TOKENS))
+    joined = stage(_numbered(runs, answers, totals, first, min_count, classes))
     release_staged(runs)
     release_staged(answers)
+    numbered = stage_bucketed(joined, "run", buckets)
+    release_staged(joined)
     passes = Exchange(numbered, tokens, classes, bands)
     state = numbered.select("run", "classes")
-    counts, table, kinds = passes.counted(state)
-    steps, half, failed, owned = [likelihood(table)], 0, 0, False
+    counts, table = passes.counted(state)
+    steps, half, failed, owned = [likelihood(table)], None, 0, False
     while failed < 2:
         newer = passes.moved(state, counts, table, half)
-        its_counts, its_table, its_kinds = passes.counted(newer)
+        its_counts, its_table = passes.counted(newer)
         value = likelihood(its_table)
-        if value > steps[-1] + GAIN * abs(steps[-1]):
+        gains = value > steps[-1] + GAIN * abs(steps[-1])
+        if gains:
             if owned:
                 release_staged(state)
             release_staged(counts)
-            state, counts, table, kinds, owned, failed = newer, its_counts, its_table, its_kinds, True, 0
+            state, counts, table, owned = newer, its_counts, its_table, True
             steps.append(value)
         else:
             release_staged(newer)
             release_staged(its_counts)
-            failed += 1
-        half = 1 - half
+        if half is not None:
+            failed = 0 if gains else failed + 1
+            half = 1 - half
+        elif not gains:
+            half = 0
+    kinds = passes.kinds(counts)
     release_staged(counts)
     return Model(totals, table, kinds, numbered, state, classes, tuple(steps))
 
@@ -397,7 +427,7 @@ def word_classes(model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_array(r["words"], np.int64)), pa.array(_array(r["n"], np.int64)),
                                                   pa.array(_array(r["classes"], np.uint8).astype(np.int32))], names=["word", "n", "class"])
 
-    rows = model.numbered.select("run", "words", "n").join(model.state.withColumnRenamed("run", "of"), F.col("run") == F.col("of")).drop("of")
+    rows = _with_state(model.numbered.select("run", "words", "n"), model.state)
     return rows.mapInArrow(run, "word long, n long, class int").distinct()
 
 
@@ -424,11 +454,14 @@ def scored(model: Model) -> DataFrame:
                     pa.array(total, pa.float64())],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    rows = model.numbered.drop("classes", "words", "n").join(model.state.withColumnRenamed("run", "of"), F.col("run") == F.col("of")).drop("of")
+    rows = _with_state(model.numbered.drop("classes", "words", "n"), model.state)
     return rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                   "base_score double, score double")
 
 
 def scores(docs: DataFrame, min_count: int = MIN_COUNT, classes: int = CLASSES) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    return scored(train(docs, min_count, classes))
+    model = train(docs, min_count, classes)
+    out = stage(scored(model))
+    release_staged(model.numbered)
+    return out
