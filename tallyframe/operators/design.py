@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -17,6 +18,9 @@ from tallyframe.functions.nulls import ratio
 from tallyframe.operators.reshape import matching
 
 _DOMAIN = "__domain"
+#: Weight columns in one pass of a mean. The JVM only interprets the methods of many more columns, and rows with all of
+#: them fill a task's memory where they are sorted for a join.
+BLOCK = 21
 
 
 @dataclass(frozen=True)
@@ -116,16 +120,28 @@ def survey_counts(design: SurveyDesign, by: Sequence[str], domains: dict[str, Co
 
 
 def survey_mean(design: SurveyDesign, by: Sequence[str], value: str, name: str | None = None) -> DataFrame:
-    """Weighted mean of a number or condition per group, with standard error, over present values."""
+    """Weighted mean of a number or condition per group, with standard error, over present values.
+
+    The weights are summed in blocks of ``BLOCK`` columns, each a pass of its own that reads and moves only these.
+    """
     name = name or value
     present = design.filter(F.col(value).isNotNull())
-    if isinstance(design.df.schema[value].dataType, T.BooleanType):
+    blocks = [_mean_terms(present.df, by, value, design.weights[i:i + BLOCK]).withColumn("__block", F.lit(i))
+              for i in range(0, len(design.weights), BLOCK)]
+    whole = reduce(DataFrame.unionByName, blocks).groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("__block", "__sums", "__weights"))).alias("__blocks"))
+    means = whole.select(*by, F.zip_with(F.flatten("__blocks.__sums"), F.flatten("__blocks.__weights"), ratio).alias("__est"))
+    return means.selectExpr(*_quoted(by), f"__est[0] as `{name}`",
+                            f"{design.error_text('__est')} as `{name}_se`")
+
+
+def _mean_terms(present: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
+    """Per group the sums of the value times each weight, and of each weight, as two arrays."""
+    if isinstance(present.schema[value].dataType, T.BooleanType):
         # Two rows per group carry all a proportion needs, so the wide second step runs on few rows.
-        present = present.collapse(*by, value)
-    sums, weights = [f"__t{i}" for i in range(len(design.weights))], design.weights
-    products = present.df.selectExpr(*_quoted(by), *_quoted(weights), *[
+        present = summed(present, [*by, value], weights)
+    sums = [f"__t{i}" for i in range(len(weights))]
+    products = present.selectExpr(*_quoted(by), *_quoted(weights), *[
         f"double(`{value}`) * `{w}` as {t}" for w, t in zip(weights, sums)])
     totals = summed(products, by, [*sums, *weights])
-    means = totals.select(*by, F.zip_with(F.expr(_array(sums)), F.expr(_array(weights)), ratio).alias("__est"))
-    return means.selectExpr(*_quoted(by), f"__est[0] as `{name}`",
-                            f"{design.error_text('__est')} as `{name}_se`")
+    return totals.selectExpr(*_quoted(by), f"{_array(sums)} as __sums", f"{_array(weights)} as __weights")

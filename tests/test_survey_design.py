@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import SurveyDesign, survey_count, survey_counts, survey_mean
+from tallyframe.operators.design import BLOCK
 
 R = 8
 
@@ -78,6 +79,28 @@ def test_mean_over_present_values(design, data, column, at):
         assert got[g][1] == pytest.approx(se(theta[0], theta[1:]))
 
 
+@pytest.mark.parametrize("kind", ["int", "boolean", "double"])
+def test_a_mean_of_many_weights_is_taken_in_blocks(spark, kind):
+    reps = 2 * BLOCK + 3
+    rnd = random.Random(9)
+    value = {"int": lambda: rnd.choice([0, 2, 3, None]), "boolean": lambda: rnd.choice([True, False, None]),
+             "double": lambda: rnd.choice([-0.5, 1.25, None])}[kind]
+    data = [(rnd.choice(["a", "b", None]), value(), *[rnd.randint(1, 99) for _ in range(reps + 1)]) for _ in range(90)]
+    data.append(("only missing", None, *[1] * (reps + 1)))
+    cols = ", ".join(f"REPWT{i} int" for i in range(1, reps + 1))
+    df = spark.createDataFrame(data, f"g string, v {kind}, W int, {cols}")
+    result = survey_mean(SurveyDesign.from_pattern(df, "W", "REPWT[0-9]+"), ["g"], "v")
+    got = {r.g: (r.v, r.v_se) for r in result.collect()}
+    assert set(got) == {"a", "b", None}
+    for g in got:
+        mine = [r for r in data if r[0] == g and r[1] is not None]
+        y, w = np.array([float(r[1]) for r in mine]), np.array([r[2:] for r in mine], dtype=float)
+        theta = (w * y[:, None]).sum(axis=0) / w.sum(axis=0)
+        assert got[g] == (pytest.approx(theta[0]), pytest.approx(se(theta[0], theta[1:], 4 / reps)))
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert max(line.count(" partial_sum(") for line in plan.splitlines()) <= 2 * BLOCK
+
+
 def test_equal_replicates_have_no_error(spark):
     df = spark.createDataFrame([(1, 5, 5, 5), (1, 7, 7, 7)], "g int, W int, REPWT1 int, REPWT2 int")
     row = survey_count(SurveyDesign.from_pattern(df, "W", "REPWT"), ["g"]).collect()[0]
