@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import keyed_join, survey_counts
+from tallyframe.operators.design import BLOCK
 from tallyframe.plans import headship, housing, people
 from tallyframe.session import release_staged, shared_folder, stage, staging
 from tallyframe.sources import land_bucketed
@@ -53,6 +54,13 @@ def test_five_counts_read_the_households_once(spark, landed):
     assert all("OWNCOST" not in c for c in read_columns(text))
 
 
+@pytest.mark.parametrize("name", ["A3_survey_mean_se"])
+def test_means_join_few_weights_at_a_time(spark, name):
+    text = plan(catalog.queries()[name](spark, SF_DIR))
+    carried = [set(re.findall(r"\bREPWTP\d+#", line)) for line in text.splitlines()]
+    assert 0 < max(map(len, carried)) <= BLOCK
+
+
 def test_domains_are_one_scan(spark, landed):
     design = housing.household_design(landed[0])
     text = plan(survey_counts(design, ["YEAR"], {"a": F.col("VACANCY") == 0, "b": F.col("VACANCY") == 1}))
