@@ -54,7 +54,7 @@ def test_five_counts_read_the_households_once(spark, landed):
     assert all("OWNCOST" not in c for c in read_columns(text))
 
 
-@pytest.mark.parametrize("name", ["A3_survey_mean_se"])
+@pytest.mark.parametrize("name", ["A3_survey_mean_se", "D8_headship_table"])
 def test_means_join_few_weights_at_a_time(spark, name):
     text = plan(catalog.queries()[name](spark, SF_DIR))
     carried = [set(re.findall(r"\bREPWTP\d+#", line)) for line in text.splitlines()]
