@@ -55,7 +55,7 @@ def _run(number: int, doc_ids: list, train: list, sizes: list, hashes: list) ->
     vocabulary, stream = np.unique(np.concatenate(hashes), return_inverse=True)
     counts = np.bincount(stream[np.repeat(trained, n)], minlength=len(vocabulary)).astype(np.int64)
     row = {"run": [number], "doc_ids": [[None if i is None else int(i) for i in ids]], "train": [trained.tolist()],
-           "sizes": [n.tolist()], "stream": [stream.astype(np.int32).tobytes()], "vocabulary": [vocabulary.tobytes()],
+           "sizes": [n.tolist()], "stream": [_planes(stream)], "vocabulary": [_rising(vocabulary)],
            "counts": [counts.tobytes()], "words": [len(vocabulary)], "trained": [int(n[trained].sum() + trained.sum())],
            "ends": [int(trained.sum())]}
     types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(),
@@ -115,7 +115,7 @@ def _counted(runs: DataFrame, total_words: int, min_count: int) -> DataFrame:
     def slices(batches):
         for batch in batches:
             for r in rows_of(batch):
-                run, v, c = r["run"], _array(r["vocabulary"], np.uint64), _array(r["counts"], np.int64)
+                run, v, c = r["run"], _from_rising(r["vocabulary"]), _array(r["counts"], np.int64)
                 bounds = np.searchsorted(v >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(v)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(1 << bits), pa.int32()), pa.array([run] * (1 << bits), pa.int64()),
@@ -187,7 +187,7 @@ def _numbered(runs: DataFrame, answers: DataFrame, t: Totals, first: np.ndarray,
         for b in batches:
             for r in rows_of(b):
                 counts = _array(b"".join(x["totals"] for x in r["totals"]), np.int64)
-                stream, sizes = _array(r["stream"], np.int32), np.array(r["sizes"], np.int64)
+                stream, sizes = _from_planes(r["stream"]), np.array(r["sizes"], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 logs = np.log10(counts + SMOOTH)
                 emitted = sums_by(logs[stream], bounds)
@@ -198,10 +198,11 @@ def _numbered(runs: DataFrame, answers: DataFrame, t: Totals, first: np.ndarray,
                 kind = np.uint16 if number.max(initial=0) < 1 << 16 else np.uint32
                 # words of one level are dealt over the classes it reaches into
                 begin, end = first[:, log_level(counts[often])]
-                share = mix(_array(r["vocabulary"], np.uint64)[often]) / 2.0 ** 64
+                words = _from_rising(r["vocabulary"])[often]
+                share = mix(words) / 2.0 ** 64
                 start = np.clip(np.floor(begin + share * (end - begin)), 0, classes - 1)
                 row = [[r["run"]], [r["doc_ids"]], [r["train"]], [r["sizes"]], [number[stream].astype(kind).tobytes()],
-                       [_array(r["vocabulary"], np.uint64)[often].tobytes()], [counts[often].tobytes()], [start.astype(np.uint8).tobytes()],
+                       [words.tobytes()], [counts[often].tobytes()], [start.astype(np.uint8).tobytes()],
                        [known.tolist()], [base.tolist()], [emitted.tolist()]]
                 types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(),
                          pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
@@ -214,11 +215,11 @@ def _numbered(runs: DataFrame, answers: DataFrame, t: Totals, first: np.ndarray,
 def _pairs(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Previous and current number of every token including ends, and where documents begin."""
     bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
-    current = np.full(bounds[-1], end, dtype=np.int64)
+    current = np.full(bounds[-1], end, dtype=np.int32)
     inside = np.ones(len(current), dtype=bool)
     inside[bounds[1:] - 1] = False
     current[inside] = numbers
-    previous = np.concatenate([[end], current[:-1]])
+    previous = np.concatenate([current[-1:], current[:-1]])
     return previous, current, bounds
 
 
@@ -228,7 +229,15 @@ def _stream(r: dict, classes: int, bands: int) -> tuple[np.ndarray, np.ndarray,
     n_tokens = int(sizes.sum())
     numbers = _array(r["numbers"], np.uint16 if len(r["numbers"]) == 2 * n_tokens else np.uint32)
     previous, current, bounds = _pairs(numbers, sizes, len(own) + bands)
-    return previous, current, bounds, np.concatenate([own.astype(np.int64), classes + np.arange(bands + 1)]), len(own)
+    return previous, current, bounds, np.concatenate([own.astype(np.int32), classes + np.arange(bands + 1, dtype=np.int32)]), len(own)
+
+
+def _training(r: dict, classes: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of a run's training documents: previous and current numbers, the classes of both, and the run's words."""
+    previous, current, bounds, of, k = _stream(r, classes, bands)
+    kept = np.repeat(np.array(r["train"], bool), np.diff(bounds))
+    previous, current = previous[kept], current[kept]
+    return previous, current, of[previous], of[current], k
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -240,6 +249,15 @@ def _from_planes(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _rising(words: np.ndarray) -> bytes:
+    """Sorted hashes as planes of bytes of their steps."""
+    return np.ascontiguousarray(np.diff(words, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_rising(planes: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _with_state(runs: DataFrame, state: DataFrame) -> DataFrame:
     """Runs, which stay where their buckets are, with the classes of their words."""
     return runs.join(state.withColumnRenamed("run", "of").hint("shuffle_hash"), F.col("run") == F.col("of")).drop("of")
@@ -254,6 +272,25 @@ class Exchange:
         # at most so many bytes of counts: two entries of six bytes a token
         self.bits = max(0, int(np.ceil(np.log2(max(tokens * 12 / GROUP_BYTES, 1)))))
 
+    def bigrams(self, state: DataFrame) -> np.ndarray:
+        """The class bigrams alone, for which no word's counts travel."""
+        classes, bands, width = self.classes, self.bands, self.width
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(width * width, dtype=np.int64)
+            for b in batches:
+                for r in rows_of(b):
+                    _, _, before, after, _ = _training(r, classes, bands)
+                    table += np.bincount(before * width + after, minlength=width * width)
+            place = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(table[place])], names=["place", "n"])
+
+        runs = _with_state(self.runs.drop("words"), state)
+        total = np.zeros(width * width, dtype=np.int64)
+        for r in runs.mapInArrow(one, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            total[r.place] = r.n
+        return total.reshape(width, width)
+
     def counted(self, state: DataFrame) -> tuple[DataFrame, np.ndarray]:
         """Per hash group the words, their classes and counts of the classes before and after them, with every run's
         words in that; and the class bigrams."""
@@ -264,14 +301,12 @@ class Exchange:
             table = np.zeros(width * width, dtype=np.int64)
             for b in batches:
                 for r in rows_of(b):
-                    previous, current, bounds, of, k = _stream(r, classes, bands)
-                    kept = np.repeat(np.array(r["train"], bool), np.diff(bounds))
-                    previous, current = previous[kept], current[kept]
-                    table += np.bincount(of[previous] * width + of[current], minlength=width * width)
+                    previous, current, before, after, k = _training(r, classes, bands)
+                    table += np.bincount(before * width + after, minlength=width * width)
                     # two sides of a word: the class before it, and the class after it
                     right, left = previous < k, current < k
-                    place = np.concatenate([current[left] * 2 * width + of[previous[left]],
-                                            previous[right] * 2 * width + width + of[current[right]]])
+                    row = np.arange(k, dtype=np.int32 if k * 2 * width < 1 << 31 else np.int64) * (2 * width)
+                    place = np.concatenate([row[current[left]] + before[left], row[previous[right]] + (width + after[right])])
                     n = np.bincount(place, minlength=k * 2 * width)
                     place = np.flatnonzero(n)
                     words = _array(r["words"], np.uint64)
@@ -396,10 +431,17 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, classes: int = CLASSES) -
     steps, half, failed, owned = [likelihood(table)], None, 0, False
     while failed < 2:
         newer = passes.moved(state, counts, table, half)
-        its_counts, its_table = passes.counted(newer)
+        least, its_counts = GAIN * abs(steps[-1]), None
+        # moves of a half may well be undone: the class bigrams are seen before words are counted
+        if half is not None:
+            its_table = passes.bigrams(newer)
+        else:
+            its_counts, its_table = passes.counted(newer)
         value = likelihood(its_table)
-        gains = value > steps[-1] + GAIN * abs(steps[-1])
+        gains = value > steps[-1] + least
         if gains:
+            if its_counts is None:
+                its_counts, _ = passes.counted(newer)
             if owned:
                 release_staged(state)
             release_staged(counts)
@@ -407,7 +449,8 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, classes: int = CLASSES) -
             steps.append(value)
         else:
             release_staged(newer)
-            release_staged(its_counts)
+            if its_counts is not None:
+                release_staged(its_counts)
         if half is not None:
             failed = 0 if gains else failed + 1
             half = 1 - half

@@ -183,6 +183,35 @@ def test_scores_by_hand(spark, monkeypatch):
     assert sum(max(g.values()) for g in groups.values()) > 0.9 * sum(sum(g.values()) for g in groups.values())
 
 
+def test_words_are_counted_for_moves_that_stay(spark, monkeypatch):
+    """The two passes that end the training count class bigrams only, and these are those of the word counts."""
+    calls, counted, bigrams = [], cb.Exchange.counted, cb.Exchange.bigrams
+
+    def count(self, state):
+        calls.append("words")
+        counts, table = counted(self, state)
+        assert (table == bigrams(self, state)).all()
+        return counts, table
+
+    def look(self, state):
+        calls.append("classes")
+        return bigrams(self, state)
+
+    monkeypatch.setattr(cb.Exchange, "counted", count)
+    monkeypatch.setattr(cb.Exchange, "bigrams", look)
+    model = cb.train(frame(spark, _lettered(5, 120) + odd_rows()), min_count=12, classes=3)
+    assert calls[-2:] == ["classes", "classes"]
+    # the first state, what stayed, and the moves of all words that did not
+    assert calls.count("words") == len(model.steps) + 1
+
+
+def test_packed_hashes():
+    top = 2 ** 64 - 1
+    for values in ([], [0], [top], [0, 5, 1 << 40, top - 1, top]):
+        got = cb._from_rising(cb._rising(np.array(values, dtype=np.uint64)))
+        assert got.dtype == np.uint64 and got.tolist() == values
+
+
 def test_transitions_and_emissions_sum_to_one(spark):
     model = cb.train(frame(spark, _lettered(6, 120)), min_count=10, classes=4)
     t, width = model.totals, len(model.table)
