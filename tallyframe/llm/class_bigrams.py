@@ -223,30 +223,40 @@ def _pairs(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray
     return previous, current, bounds
 
 
+def _numbers(r: dict, classes: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A run's numbers without ends, its documents' sizes, the class of every number, and its words."""
+    own, sizes = _array(r["classes"], np.uint8), np.array(r["sizes"], np.int64)
+    numbers = _array(r["numbers"], np.uint16 if len(r["numbers"]) == 2 * int(sizes.sum()) else np.uint32)
+    return numbers, sizes, np.concatenate([own.astype(np.int32), classes + np.arange(bands + 1, dtype=np.int32)]), len(own)
+
+
 def _stream(r: dict, classes: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """A run's previous and current numbers, its documents' bounds, the class of every number, and its words."""
-    own, sizes = _array(r["classes"], np.uint8), np.array(r["sizes"], np.int64)
-    n_tokens = int(sizes.sum())
-    numbers = _array(r["numbers"], np.uint16 if len(r["numbers"]) == 2 * n_tokens else np.uint32)
-    previous, current, bounds = _pairs(numbers, sizes, len(own) + bands)
-    return previous, current, bounds, np.concatenate([own.astype(np.int32), classes + np.arange(bands + 1, dtype=np.int32)]), len(own)
+    numbers, sizes, of, k = _numbers(r, classes, bands)
+    return *_pairs(numbers, sizes, k + bands), of, k
 
 
 def _training(r: dict, classes: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Of a run's training documents: previous and current numbers, the classes of both, and the run's words."""
-    previous, current, bounds, of, k = _stream(r, classes, bands)
-    kept = np.repeat(np.array(r["train"], bool), np.diff(bounds))
-    previous, current = previous[kept], current[kept]
-    return previous, current, of[previous], of[current], k
+    numbers, sizes, of, k = _numbers(r, classes, bands)
+    train = np.array(r["train"], bool)
+    previous, current, _ = _pairs(numbers[np.repeat(train, sizes)], sizes[train], k + bands)
+    after = of[current]
+    return previous, current, np.concatenate([after[-1:], after[:-1]]), after, k
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers below 2**32 as planes of bytes, which compress where the higher ones are 0."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Whole numbers below 2**32 as planes of bytes, as many as the greatest one needs; the first byte says how many."""
+    wide = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return b"".join([bytes([wide]), *((values >> 8 * i).astype(np.uint8).tobytes() for i in range(wide))])
 
 
 def _from_planes(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    first, *more = np.frombuffer(planes, dtype=np.uint8, offset=1).reshape(planes[0], -1)
+    out = first.astype(np.uint32)
+    for i, plane in enumerate(more, 1):
+        out |= plane.astype(np.uint32) << np.uint32(8 * i)
+    return out
 
 
 def _rising(words: np.ndarray) -> bytes:
@@ -303,12 +313,16 @@ class Exchange:
                 for r in rows_of(b):
                     previous, current, before, after, k = _training(r, classes, bands)
                     table += np.bincount(before * width + after, minlength=width * width)
-                    # two sides of a word: the class before it, and the class after it
-                    right, left = previous < k, current < k
-                    row = np.arange(k, dtype=np.int32 if k * 2 * width < 1 << 31 else np.int64) * (2 * width)
-                    place = np.concatenate([row[current[left]] + before[left], row[previous[right]] + (width + after[right])])
-                    n = np.bincount(place, minlength=k * 2 * width)
-                    place = np.flatnonzero(n)
+                    # two sides of a word: the class before it, and the class after it; a last row is of numbers that are no words
+                    kind = np.int32 if (k + 1) * 2 * width < 1 << 31 else np.int64
+                    place = np.concatenate([np.minimum(current, k).astype(kind) * kind(2 * width) + before,
+                                            np.minimum(previous, k).astype(kind) * kind(2 * width) + (width + after)])
+                    # sorted numbers are counted in less time than a table of all places is filled and searched
+                    place.sort()
+                    new = np.ones(len(place), dtype=bool)
+                    new[1:] = place[1:] != place[:-1]
+                    begin = np.flatnonzero(new)
+                    place, n = place[begin], np.diff(begin, append=len(place))
                     words = _array(r["words"], np.uint64)
                     cut = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, k])
                     at = np.searchsorted(place, cut * 2 * width)
@@ -319,7 +333,7 @@ class Exchange:
                         pa.array([words[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
                         pa.array([own[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
                         pa.array([_planes(np.diff(place[at[i]:at[i + 1]], prepend=cut[i] * 2 * width)) for i in some], pa.binary()),
-                        pa.array([_planes(n[place[at[i]:at[i + 1]]]) for i in some], pa.binary())],
+                        pa.array([_planes(n[at[i]:at[i + 1]]) for i in some], pa.binary())],
                         names=["part", "run", "words", "classes", "places", "n"])
             # tables of many tasks are added up in some groups of their own
             yield pa.RecordBatch.from_arrays([
@@ -343,7 +357,7 @@ class Exchange:
                 mine = slot[begin:begin + len(v)]
                 begin += len(v)
                 place = np.cumsum(_from_planes(places).astype(np.int64))
-                counts[mine[place // (2 * width)] * 2 * width + place % (2 * width)] += _from_planes(n)
+                counts[place + ((mine - np.arange(len(mine))) * 2 * width)[place // (2 * width)]] += _from_planes(n)
                 slots.append(mine.astype(np.uint32).tobytes())
             return pa.table({"part": pa.array([part], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()),
                              "classes": pa.array([of.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),

@@ -212,6 +212,14 @@ def test_packed_hashes():
         assert got.dtype == np.uint64 and got.tolist() == values
 
 
+def test_small_numbers_travel_as_single_bytes():
+    """Counts and steps of a pass are below 256 but for a few; each took four bytes."""
+    small = np.array([0, 1, 255] * 50)
+    assert len(cb._planes(small)) <= len(small) + 1
+    for values in ([], [0], [255], [256, 3], [1 << 16, 0], [2 ** 32 - 1, 7]):
+        assert cb._from_planes(cb._planes(np.array(values, dtype=np.int64))).tolist() == values
+
+
 def test_transitions_and_emissions_sum_to_one(spark):
     model = cb.train(frame(spark, _lettered(6, 120)), min_count=10, classes=4)
     t, width = model.totals, len(model.table)
