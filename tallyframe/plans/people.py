@@ -23,9 +23,9 @@ def household_members(units: DataFrame, persons: DataFrame) -> DataFrame:
     """Every person beside their household, limited to households.
 
     The group-quarters condition needs a matched household, so the optimizer plans an inner join. Its
-    shuffle keys spread evenly (a household has a handful of members).
+    shuffle keys spread evenly (a household has a handful of members), over partitions that grow in number with the files.
     """
-    joined = keyed_join(units, persons.drop("RECTYPE"), C.HOUSEHOLD_KEY, "right", C.NULLABLE_KEY)
+    joined = keyed_join(units, persons.drop("RECTYPE"), C.HOUSEHOLD_KEY, "right", C.NULLABLE_KEY, deal=True)
     return joined.filter(in_set(F.col("GQ"), C.GQ_HOUSEHOLDS))
 
 

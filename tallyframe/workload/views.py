@@ -9,6 +9,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyframe.operators.joins import dealt
 from tallyframe.sources import land
 
 REPLICATES = 80
@@ -98,7 +99,7 @@ def households(spark: SparkSession, sf_dir: str) -> DataFrame:
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     if (spark, sf_dir) in _landed:
         return _landed[spark, sf_dir][1]
-    lineitem, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
+    lineitem, orders = dealt(_read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders"), [F.col("l_orderkey")], [F.col("o_orderkey")])
     return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).selectExpr(*_cols(_PERSON))
 
 

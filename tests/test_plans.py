@@ -2,11 +2,12 @@
 
 import os
 import re
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import keyed_join, survey_counts
+from tallyframe.operators import joins, keyed_join, survey_counts
 from tallyframe.operators.design import BLOCK
 from tallyframe.plans import headship, housing, people
 from tallyframe.session import release_staged, shared_folder, stage, staging
@@ -29,6 +30,16 @@ def landed(spark, tmp_path_factory):
     return spark.read.parquet(str(folder / "h")), spark.read.parquet(str(folder / "p"))
 
 
+@contextmanager
+def without_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def read_columns(text):
     return [set(re.findall(r"(\w+):", s)) for s in re.findall(r"ReadSchema: struct<([^>]*)>", text)]
 
@@ -61,6 +72,48 @@ def test_means_join_few_weights_at_a_time(spark, name):
     assert 0 < max(map(len, carried)) <= BLOCK
 
 
+@pytest.mark.parametrize("name", ["A3_survey_mean_se", "D8_headship_table"])
+def test_large_joins_have_more_partitions_the_more_they_read(spark, monkeypatch, name):
+    read = sum(os.path.getsize(f"{SF_DIR}/{t}.parquet") for t in ("orders", "customer", "lineitem", "orders"))
+    found = []
+    with without_broadcasts(spark):
+        for parts in (40, 80):
+            monkeypatch.setattr(joins, "PART_BYTES", -(-read // parts))
+            text = plan(catalog.queries()[name](spark, SF_DIR))
+            found.append({int(n) for n in re.findall(r"hashpartitioning\(__right_YEAR[^)]*\)[^)]*\)[^)]*, (\d+)\), REPARTITION_BY_NUM", text)})
+            # neither side is moved again for the join
+            assert not re.search(r"hashpartitioning\([^\n]*SERIAL[^\n]*ENSURE_REQUIREMENTS", text)
+    assert all(len(n) == 1 for n in found) and abs(min(found[0]) - 40) <= 1 and abs(min(found[1]) - 80) <= 1
+
+
+def test_dealt_members_are_the_same(spark, tmp_path, monkeypatch):
+    """Missing and repeated keys, with as many partitions as the files ask for."""
+    key = ["cast(1995 + id % 2 as int) as YEAR", "nullif(id % 50, 7) as SERIAL", "if(id % 3 = 0, null, id % 50) as CBSERIAL", "1 as SAMPLE"]
+    spark.range(150).selectExpr(*key, "cast(id % 6 as int) as GQ").write.parquet(str(tmp_path / "h"))
+    spark.range(400).selectExpr(*key, "id as n").write.parquet(str(tmp_path / "p"))
+    h, p = spark.read.parquet(str(tmp_path / "h")), spark.read.parquet(str(tmp_path / "p"))
+
+    def rows():
+        members = people.household_members(h, p)
+        return "REPARTITION_BY_NUM" in plan(members), sorted(map(str, members.collect()))
+
+    with without_broadcasts(spark):
+        few, before = rows()
+        monkeypatch.setattr(joins, "PART_BYTES", 500)
+        many, after = rows()
+    assert not few and many and before and before == after
+
+
+def test_bucketed_tables_are_not_dealt(spark, landed, tmp_path, monkeypatch):
+    land_bucketed(landed[0], "d_households", str(tmp_path / "h"), 4)
+    try:
+        monkeypatch.setattr(joins, "PART_BYTES", 1)
+        joined = people.household_members(spark.table("d_households"), landed[1])
+        assert "REPARTITION_BY_NUM" not in plan(joined)
+    finally:
+        spark.sql("drop table if exists d_households")
+
+
 def test_domains_are_one_scan(spark, landed):
     design = housing.household_design(landed[0])
     text = plan(survey_counts(design, ["YEAR"], {"a": F.col("VACANCY") == 0, "b": F.col("VACANCY") == 1}))
