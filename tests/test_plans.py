@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import joins, keyed_join, survey_counts
 from tallyframe.operators.design import BLOCK
 from tallyframe.plans import headship, housing, people
-from tallyframe.session import release_staged, shared_folder, stage, staging
+from tallyframe.session import drop_unused, release_staged, shared_folder, stage, staging
 from tallyframe.sources import land_bucketed
 from tallyframe.workload import catalog, views
 
@@ -18,6 +18,12 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
 
+@pytest.fixture(autouse=True)
+def nothing_unused(spark):
+    """What earlier tests staged and no frame reads any more is gone before folders are compared."""
+    drop_unused(collect=True)
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -104,3 +104,13 @@ def test_buckets_are_joined_where_they_are(spark):
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and len(folders()) == base + 1
     release_staged(wide)
     assert len(folders()) == base and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed")]
+
+
+def test_buckets_go_with_the_frames_that_read_them(spark):
+    base = settled(0)
+    wide = stage_bucketed(spark.range(200).selectExpr("id % 10 as k", "id as v"), "k", 3)
+    derived = wide.groupBy("k").agg(F.sum("v").alias("v"))
+    del wide
+    assert settled(base) == base + 1 and derived.count() == 10
+    del derived
+    assert settled(base) == base and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed")]
