@@ -110,6 +110,23 @@ def test_dealt_members_are_the_same(spark, tmp_path, monkeypatch):
     assert not few and many and before and before == after
 
 
+def test_a_task_joins_as_many_members_of_larger_tables(spark, tmp_path, monkeypatch):
+    """Four times the households and members, and no task of the join holds more rows."""
+    monkeypatch.setattr(joins, "PART_BYTES", 4000)
+    most = []
+    for n in (4000, 16000):
+        key = ["cast(1995 + id % 7 as int) as YEAR", "id as SERIAL", "id * 10 as CBSERIAL", "1 as SAMPLE"]
+        folder = str(tmp_path / str(n))
+        spark.range(n).selectExpr(*key, "1 as GQ").write.parquet(f"{folder}/h")
+        spark.range(n * 3).selectExpr(f"id % {n} as id", "id as n").selectExpr(*key, "n").write.parquet(f"{folder}/p")
+        members = people.household_members(spark.read.parquet(f"{folder}/h"), spark.read.parquet(f"{folder}/p"))
+        with without_broadcasts(spark):
+            held = [r["count"] for r in members.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == n * 3
+        most.append(max(held))
+    assert most[1] < 1.5 * most[0]
+
+
 def test_bucketed_tables_are_not_dealt(spark, landed, tmp_path, monkeypatch):
     land_bucketed(landed[0], "d_households", str(tmp_path / "h"), 4)
     try:
