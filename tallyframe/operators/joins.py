@@ -32,13 +32,17 @@ def _leaves(df: DataFrame) -> list[JavaObject]:
     return [leaves.apply(i) for i in range(leaves.size())]
 
 
+def _of_files(leaf: JavaObject) -> bool:
+    """Database tables are relations, too, but do not know their size: they call it the largest number there is."""
+    return leaf.nodeName().startswith("LogicalRelation") and "HadoopFsRelation" in leaf.relation().getClass().getName()
+
+
 def _file_bytes(leaf: JavaObject) -> int:
-    return int(leaf.relation().sizeInBytes()) if leaf.nodeName().startswith("LogicalRelation") else 0
+    return int(leaf.relation().sizeInBytes()) if _of_files(leaf) else 0
 
 
 def _bucketed(leaf: JavaObject) -> bool:
-    return leaf.nodeName().startswith("LogicalRelation") and "HadoopFsRelation" in leaf.relation().getClass().getName() \
-        and leaf.relation().bucketSpec().isDefined()
+    return _of_files(leaf) and leaf.relation().bucketSpec().isDefined()
 
 
 def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",

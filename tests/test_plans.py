@@ -5,7 +5,7 @@ import re
 from contextlib import contextmanager
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.operators import joins, keyed_join, survey_counts
 from tallyframe.operators.design import BLOCK
@@ -137,6 +137,25 @@ def test_bucketed_tables_are_not_dealt(spark, landed, tmp_path, monkeypatch):
         spark.sql("drop table if exists d_households")
 
 
+def test_database_tables_are_not_dealt(spark, landed):
+    """They tell no size. The tables are only planned with; nothing connects to a database."""
+    jvm = spark._jvm
+    jdbc = jvm.org.apache.spark.sql.execution.datasources.jdbc
+    options = jdbc.JDBCOptions(jvm.PythonUtils.toScalaMap({"url": "jdbc:none:", "dbtable": "t", "driver": "java.lang.Object"}))
+
+    def table(like):
+        schema = spark._jsparkSession.parseDataType(like.schema.json())
+        parts = spark.sparkContext._gateway.new_array(jvm.org.apache.spark.Partition, 0)
+        relation = jdbc.JDBCRelation(schema, parts, options, jvm.PythonUtils.toScalaMap({}), spark._jsparkSession)
+        return DataFrame(spark._jsparkSession.baseRelationToDataFrame(relation), spark)
+
+    h, p = landed
+    for units, persons in ((table(h), p), (h, table(p)), (table(h), table(p))):
+        joined = people.household_members(units, persons)
+        assert joined.columns == people.household_members(h, p).columns
+        assert "RepartitionByExpression" not in joined._jdf.queryExecution().analyzed().toString()
+
+
 def test_domains_are_one_scan(spark, landed):
     design = housing.household_design(landed[0])
     text = plan(survey_counts(design, ["YEAR"], {"a": F.col("VACANCY") == 0, "b": F.col("VACANCY") == 1}))
