@@ -4,15 +4,13 @@ Every shard of the collection gets its own transform. The shards are then merged
 after p rounds rows are ordered by the first p characters of their suffixes, and a round is one stable
 distribution of the rows by the character before their suffix, followed through each shard's own last-to-first
 mapping. Suffixes are never compared again. Rows that still stand in one block after p rounds have a common
-prefix of p characters; a row alone in its block has settled and is not carried on.
+prefix of p characters; a row alone in its block has settled and is not carried on for long.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_PACK = 7
-
 
 def transform(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one shard: suffix starts in order of their first ``depth`` characters (at least), the character before
@@ -20,24 +18,17 @@ def transform(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndar
     ``starts`` are the strings' begins. Suffixes end at their string's 0."""
     n = len(text)
     ends = np.flatnonzero(text == 0)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    key = np.zeros(n, dtype=np.uint64)
-    for k in range(_PACK):
-        c = np.zeros(n, dtype=np.uint64)
-        c[:n - k] = text[k:]
-        c[left < k] = 0
-        key = key << np.uint64(9) | c
-    order = np.argsort(key)
-    rank = _ranks(key[order], order)
-    known = _PACK
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+    # places stand in the lowest bits of what is sorted, so that values need no second array; above them are as many
+    # characters, and then as many ranks of what follows one another, as a number holds
+    present = np.bincount(text) > 0
+    codes = (np.cumsum(present) - present[0]).astype(np.uint64)
+    order, rank = _sorted(codes[text], left, 1, int(codes[-1]), max_width=depth)
+    known = _held(n, int(codes[-1]))
     while known < depth:
-        after = np.zeros(n, dtype=np.int64)
-        after[:n - known] = rank[known:] + 1
-        after[left < known] = 0
-        both = rank * (n + 1) + after
-        order = np.argsort(both)
-        rank = _ranks(both[order], order)
-        known *= 2
+        width = min(_held(n, n), -(-depth // known))
+        order, rank = _sorted(rank + np.uint64(1), left, known, n, max_width=width)
+        known *= width
     before = np.empty_like(text)
     before[1:] = text[:-1]
     before[starts] = 0
@@ -47,10 +38,34 @@ def transform(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndar
     return order.astype(np.int32), before, first
 
 
-def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-    return rank
+def _held(n: int, most: int) -> int:
+    """How many numbers up to ``most`` a 64-bit number holds above a place below ``n``; two at least, see below."""
+    return max(2, (64 - n.bit_length()) // max(1, most.bit_length()))
+
+
+def _sorted(value: np.ndarray, left: np.ndarray, step: int, most: int, max_width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of the values (up to ``most``) at them and at the next places, ``step`` apart, of their string,
+    and ranks by these values."""
+    n, bits = len(value), np.uint64(max(1, most.bit_length()))
+    width = min(_held(n, most), max_width)
+    key = value.copy()
+    for k in range(step, step * width, step):
+        after = np.zeros(n, dtype=np.uint64)
+        after[:max(n - k, 0)] = value[k:]
+        after[left < k] = 0
+        key = key << bits | after
+    place = np.uint64(n.bit_length())
+    if width * int(bits) + int(place) <= 64:
+        key = key << place | np.arange(n, dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << int(place)) - 1)).astype(np.int64)
+        key >>= place
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    rank = np.empty(n, dtype=np.uint64)
+    rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    return order, rank
 
 
 def repeated(strings: np.ndarray, starts: np.ndarray, depth: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +87,9 @@ def repeated(strings: np.ndarray, starts: np.ndarray, depth: int, shard: int) ->
     if before.max(initial=0) < 256:
         before = before.astype(np.uint8)
     rows, block = np.arange(len(suffix), dtype=np.int32), np.zeros(len(suffix), dtype=np.int32)
-    for _ in range(depth):
+    for left in reversed(range(depth)):
         c = before[rows]
-        going = np.flatnonzero(c > 0)
-        order = going[np.argsort(c[going], kind="stable")]
+        order = np.argsort(c, kind="stable")[len(c) - np.count_nonzero(c):]
         c, rows, block = c[order], first[rows[order]], block[order]
         if not len(rows):
             break
@@ -83,5 +97,7 @@ def repeated(strings: np.ndarray, starts: np.ndarray, depth: int, shard: int) ->
         new[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(new, dtype=np.int32) - 1
         alone = new & np.append(new[1:], True)
-        rows, block = rows[~alone], block[~alone]
+        # rows alone stay so, and are taken out when they are many, and at the end
+        if not left or 8 * np.count_nonzero(alone) > len(alone):
+            rows, block = rows[~alone], block[~alone]
     return suffix[rows].astype(np.int64), block

@@ -3,16 +3,21 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id.
 
 1. Copies of a text are put together: every one but that with the smallest id goes as a whole. Distinct texts, with
-   that id, are written as runs (one after another), each about a megabyte.
+   that id, are written as runs (one after another), each up to about four megabytes.
 2. Every window of ``LENGTH`` bytes names an anchor, the place of its smallest hash of 24 bytes; equal windows
    have equal anchors, and neighbouring windows mostly share one. Runs report their distinct anchors (six bytes
    each), and hear which of them other documents have too. Only there can windows repeat.
 3. For such anchors, the bytes that its windows cover are sent by anchor: equal stretches of a run once, with
-   the smallest id that has them. In each group of anchors, shard transforms are merged by interleave refinement;
-   blocks of rows with a common prefix of ``LENGTH`` are the repeated windows, and the smallest id in a block
-   tells which documents lose theirs.
+   the smallest id that has them. Each group of anchors is cut, between anchors, into collections of about a megabyte,
+   whose shard transforms are merged by interleave refinement; blocks of rows with a common prefix of ``LENGTH`` are
+   the repeated windows, and the smallest id in a block tells which documents lose theirs.
 4. Removed windows go back to their run, where bytes are taken out.
 
+Every run sends a row to nearly every group, so there are runs times groups of them: runs are long, and from ``GROUPS``
+groups on it is the groups that grow with the corpus, up to ``GROUP_MOST``. A row's fixed cost so is a small part of the
+work up to some 100 GB of text; beyond that it grows with the square of the corpus, at a small factor. All arrays over
+runs and groups that are larger than these are made a slice at a time.
+
 An anchor in many documents (``HOT``, counted over the corpus) sends its windows one by one under their own
 hash instead, so that differing windows of a frequent passage spread over all groups; equal windows are one per
 run in either case. Windows of an anchor in very many documents (``VERY_HOT``) go to no group: their smallest ids are a
@@ -40,7 +45,11 @@ from tallyframe.llm.text_arrays import chunks, mix, powers, sums_by
 from tallyframe.session import release_staged, stage
 
 LENGTH, GRAM = 50, 24
-RUN_BYTES, SHARD_BYTES, GROUP_BYTES, GROUP_ANCHORS = 1 << 20, 1 << 16, 4 << 20, 2_000_000
+RUN_BYTES, SHARD_BYTES, GROUP_BYTES, GROUP_ANCHORS = 4 << 20, 1 << 15, 4 << 20, 2_000_000
+#: Groups of stretches from which on they grow with the corpus, their most bytes, and bytes merged at a time.
+GROUPS, GROUP_MOST, COLLECTION_BYTES = 2048, 32 << 20, 1 << 20
+#: Stretches (or windows of hot ones) that are sorted and sent at a time, windows compared at a time, bytes in a batch.
+SENT, COMPARED, BATCH_BYTES = 1 << 18, 1 << 20, 4 << 20
 #: Documents with an anchor beyond which its windows are spread, and beyond which they are rows of their own.
 HOT, VERY_HOT = 10_000, 1_000_000
 _NO_ID = np.iinfo(np.int64).max
@@ -104,21 +113,25 @@ def _anchor_places(data: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows that share an anchor: text, first and last window start, hash of the anchor."""
     windows = max(len(data) - LENGTH + 1, 0)
-    best, where = np.empty(windows, dtype=np.uint64), np.empty(windows, dtype=np.int64)
-    for at in range(0, windows, _SLICE):
-        here = _anchor_places(data[at:at + _SLICE + LENGTH - 1])
-        best[at:at + len(here)] = here >> np.uint64(_PLACE)
-        where[at:at + len(here)] = (here & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + at
-    inside, first = np.ones(windows, dtype=bool), np.ones(windows, dtype=bool)
-    first[1:] = where[1:] != where[:-1]
+    inside, first = np.ones(windows, dtype=bool), np.zeros(windows, dtype=bool)
     for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         inside[max(begin, end - LENGTH + 1):end] = False
         first[begin:begin + 1] = True
-    kept = np.flatnonzero(inside)
-    at = np.flatnonzero(first[kept])
-    start = kept[at]
-    last = kept[np.append(at[1:], len(kept)) - 1] if len(at) else start
-    return np.searchsorted(offsets, start, side="right") - 1, start, last, mix(best[start])
+    starts, hashes, before = [], [], -1
+    for at in range(0, windows, _SLICE):
+        here = _anchor_places(data[at:at + _SLICE + LENGTH - 1])
+        where = (here & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + at
+        new = first[at:at + len(here)]
+        new[0] |= where[0] != before
+        new[1:] |= where[1:] != where[:-1]
+        before = where[-1]
+        start = np.flatnonzero(new & inside[at:at + len(here)])
+        starts.append(start + at)
+        hashes.append(here[start] >> np.uint64(_PLACE))
+    start = np.concatenate([np.zeros(0, np.int64), *starts])
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    last = np.minimum(np.append(start[1:], windows) - 1, offsets[doc + 1] - LENGTH)
+    return doc, start, last, mix(np.concatenate([np.zeros(0, np.uint64), *hashes]))
 
 
 def _run_anchors(text, sizes: list[int]):
@@ -139,11 +152,16 @@ def _values(planes: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _groups(amount: float, each: int) -> int:
+def _groups(amount: float, each: float) -> int:
     """Bits of a hash that deal ``amount`` into groups of about ``each``."""
     return max(0, int(np.ceil(np.log2(max(amount / each, 1)))))
 
 
+def _stretch_groups(amount: float) -> int:
+    """Bits of a hash that deal ``amount`` bytes of stretches into groups."""
+    return _groups(amount, min(max(GROUP_BYTES, amount / GROUPS), max(GROUP_BYTES, GROUP_MOST)))
+
+
 def _group_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -194,18 +212,37 @@ def shared_anchors(runs: DataFrame, size: int) -> DataFrame:
     return told.groupBy("part").applyInArrow(meet, "run long, part int, shared binary, hot binary, n long").filter("n > 0")
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number and of its inverse, at least ``n``."""
+    global _known_powers
+    if len(_known_powers[0]) < n:
+        base = 0xD1342543DE82EF95
+        _known_powers = powers(n, np.uint64(base)), powers(n, np.uint64(pow(base, -1, 1 << 64)))
+    return _known_powers
+
+
+_known_powers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+
+
 def _stretch_hash(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of stretches of bytes, from prefix sums that let stretches overlap."""
-    if not len(first):
-        return np.zeros(0, dtype=np.uint64)
-    size = end - first
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
-    value = _SEED[data[np.repeat(first, size) + place]] * powers(int(size.max()), np.uint64(0xD1342543DE82EF95))[place]
-    return mix(sums_by(value, bounds) + size.astype(np.uint64))
+    """Hashes of stretches of bytes, in order of their begins, from prefix sums that let stretches overlap."""
+    out = np.zeros(len(first), dtype=np.uint64)
+    i = 0
+    while i < len(first):
+        low = int(first[i])
+        j = int(np.searchsorted(first, low + _SLICE))
+        high = int(end[i:j].max())
+        up, down = _powers(max(high - low, _SLICE))
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(_SEED[data[low:high]] * up[:high - low], out=sums[1:])
+        a = first[i:j] - low
+        out[i:j] = (sums[end[i:j] - low] - sums[a]) * down[a]
+        i = j
+    return mix(out + (end - first).astype(np.uint64))
 
 
 _STRETCHES = "part int, run long, names binary, sizes binary, bytes binary, lowest binary, of binary, starts binary, ids binary"
+_COLUMNS = [c.split()[0] for c in _STRETCHES.split(", ")]
 
 
 def stretches(runs: DataFrame, shared: DataFrame, bits: int, anchor_bits: int) -> DataFrame:
@@ -224,14 +261,27 @@ def stretches(runs: DataFrame, shared: DataFrame, bits: int, anchor_bits: int) -
 def _cut_stretches(r: dict, bits: int, anchor_bits: int) -> Iterator[pa.RecordBatch]:
     data, _, doc, first, last, h = _run_anchors(r["text"], r["sizes"])
     ids = np.array(r["doc_ids"], dtype=np.int64)
-    group, short = _group_of(h, anchor_bits), h >> np.uint64(max(0, 16 - anchor_bits)) & _LOW
-    state = np.zeros(len(h), dtype=np.int8)
-    for t in r["told"]:
-        known, hot = _values(t["shared"]), np.frombuffer(t["hot"], dtype=np.uint8)
-        mine = np.flatnonzero(group == t["part"])
-        place = np.minimum(np.searchsorted(known, short[mine]), len(known) - 1)
-        hit = known[place] == short[mine]
-        state[mine[hit]] = 1 + hot[place[hit]]
+    # parts are the highest bits of hashes, and what is told follows them, so all parts together are sorted
+    told = sorted(r["told"], key=lambda t: t["part"])
+    over = np.uint64(max(0, anchor_bits - 16))
+    known = np.concatenate([_values(t["shared"]) | (np.uint64(t["part"]) >> over) << np.uint64(48) for t in told])
+    hot = np.frombuffer(b"".join(t["hot"] for t in told), dtype=np.uint8)
+    short = h >> np.uint64(max(0, 16 - anchor_bits))
+    place = np.minimum(np.searchsorted(known, short), len(known) - 1)
+    state = np.where(known[place] == short, 1 + hot[place], 0)
+    chosen = np.flatnonzero(state)
+    sent = np.cumsum(np.where(state[chosen] == 1, 1, (last - first + 1)[chosen]))
+    at = 0
+    while at < len(chosen):
+        to = max(at + 1, int(np.searchsorted(sent, (sent[at - 1] if at else 0) + SENT, side="right")))
+        yield from _sent_stretches(r["run"], data, ids, *[x[chosen[at:to]] for x in (doc, first, last, h, state)], bits)
+        at = to
+
+
+def _sent_stretches(run: int, data: np.ndarray, ids: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray,
+                    state: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of some of a run's stretches, each a row per group."""
+
     def single(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and texts of all windows of some stretches."""
         windows = (last - first + 1)[chosen]
@@ -241,14 +291,14 @@ def _cut_stretches(r: dict, bits: int, anchor_bits: int) -> Iterator[pa.RecordBa
     once, frequent = np.flatnonzero(state == 1), np.flatnonzero(state == 3)
     if len(frequent):
         each, of = single(frequent)
-        yield _packed_row(-1, r["run"], [
+        yield _packed_row(-1, run, [
             _stretch_hash(data, each, each + LENGTH), b"", b"", _stretch_hash(data, each + 1, each + LENGTH - 1), b"",
             each.astype(np.int32), ids[of]])
     each, spread_of = single(np.flatnonzero(state == 2))
     begin = np.concatenate([first[once], each])
     end = np.concatenate([last[once], each]) + LENGTH
     of = np.concatenate([doc[once], spread_of])
-    content = _stretch_hash(data, begin, end)
+    content = np.concatenate([_stretch_hash(data, begin[x], end[x]) for x in (slice(len(once)), slice(len(once), None))])
     # anchors go where their hash says, spread windows where their own does
     name = np.concatenate([h[once], content[len(once):]])
     part = _group_of(mix(name), bits)
@@ -260,36 +310,68 @@ def _cut_stretches(r: dict, bits: int, anchor_bits: int) -> Iterator[pa.RecordBa
     new[1:] = (part[1:] != part[:-1]) | (name[1:] != name[:-1]) | (content[1:] != content[:-1])
     at = np.flatnonzero(new)
     number = np.cumsum(new) - 1
-    for p in np.unique(part):
-        low, high = np.searchsorted(part, [p, p + 1])
-        a = at[(at >= low) & (at < high)]
-        own = number[low:high] - number[low]
-        text = b"".join(data[x:y].tobytes() for x, y in zip(begin[a].tolist(), end[a].tolist()))
-        yield _packed_row(int(p), r["run"], [name[a], (end - begin)[a].astype(np.int32), text, owner[a], own.astype(np.int32),
-                                             begin[low:high].astype(np.int32), owner[low:high]])
+    size = (end - begin)[at]
+    # where parts begin among places, among distinct stretches and in their text
+    places = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+    distinct = np.append(number[places[:-1]], len(at))
+    whole = memoryview(data)
+    text = b"".join([whole[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist())])
+    own = number - np.repeat(distinct[:-1], np.diff(places))
+    ends = np.concatenate([[0], np.cumsum(size)])[distinct]
+    rows = pa.RecordBatch.from_arrays([
+        pa.array(part[places[:-1]], pa.int32()), pa.array(np.full(len(places) - 1, run), pa.int64()),
+        _packed(name[at], distinct * 8), _packed(size.astype(np.int32), distinct * 4), _packed(text, ends), _packed(owner[at], distinct * 8),
+        _packed(own.astype(np.int32), places * 4), _packed(begin.astype(np.int32), places * 4), _packed(owner, places * 8)], names=_COLUMNS)
+    each = max(1, int(len(rows) * BATCH_BYTES / rows.nbytes))
+    for k in range(0, len(rows), each):
+        yield rows.slice(k, each)
+
+
+def _packed(values: np.ndarray | bytes, offsets: np.ndarray) -> pa.Array:
+    """Binary values that lie one after another, with the places in bytes where they begin and end."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column one after another as numbers, and how many there are in each."""
+    values = column.cast(pa.large_binary()).combine_chunks()
+    if isinstance(values, pa.ChunkedArray):
+        values = pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], pa.large_binary())
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[values.offset:values.offset + len(values) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return data[offsets[0]:offsets[-1]].view(kind), np.diff(offsets) // size
 
 
 def _packed_row(part: int, run: int, values: list) -> pa.RecordBatch:
-    columns = [c.split()[0] for c in _STRETCHES.split(", ")]
     packed = [v if isinstance(v, bytes) else v.tobytes() for v in values]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run], pa.int64()), *[pa.array([v], pa.binary()) for v in packed]],
-                                      names=columns)
+                                      names=_COLUMNS)
 
 
-def _lowest_ids(names: np.ndarray, sizes: np.ndarray, text: np.ndarray, lowest: np.ndarray):
+def _lowest_ids(names: np.ndarray, begin: np.ndarray, sizes: np.ndarray, text: np.ndarray, lowest: np.ndarray):
     """Per window of every distinct stretch the smallest id of a document that has the window; and where each
-    stretch's windows begin. Equal stretches have been put together, so ``names`` may repeat, contents not."""
+    stretch's windows begin. Equal stretches have been put together, so ``names``, which are in order, may repeat,
+    contents not."""
     windows = sizes - LENGTH + 1
     bounds = np.concatenate([[0], np.cumsum(windows)])
     out = np.repeat(lowest, windows)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
-    several = np.zeros(len(names), dtype=bool)
-    several[order[1:][same]] = several[order[:-1][same]] = True
-    chosen = np.flatnonzero(several)
+    same = names[1:] == names[:-1]
+    chosen = np.flatnonzero(np.append(same, False) | np.concatenate([[False], same]))
     if not len(chosen):
         return out, bounds
+    # collections: whole names, about so many bytes
+    heads = np.flatnonzero(np.concatenate([[True], names[chosen][1:] != names[chosen][:-1]]))
+    before = (np.cumsum(sizes[chosen]) - sizes[chosen])[heads]
+    cuts = heads[np.concatenate([[True], before[1:] // COLLECTION_BYTES != before[:-1] // COLLECTION_BYTES])]
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(chosen)]):
+        _lower(out, bounds, chosen[low:high], begin, sizes, text)
+    return out, bounds
+
+
+def _lower(out: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, begin: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> None:
+    """Put the smallest id of equal windows of the ``chosen`` stretches into ``out``."""
     # the strings of the collection: characters above 0, a 0 after each
     size = sizes[chosen]
     starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
@@ -303,19 +385,15 @@ def _lowest_ids(names: np.ndarray, sizes: np.ndarray, text: np.ndarray, lowest:
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         smallest = np.minimum.reduceat(out[window], first)
         out[window] = np.repeat(smallest, np.diff(np.append(first, len(block))))
-    return out, bounds
 
 
 def removed_windows(found: DataFrame) -> DataFrame:
     """``run, ranges``: first and last starts of windows that go, as pairs."""
 
     def meet(key, table):
-        column = {c: table.column(c).to_pylist() for c in table.column_names}
-        arrays = lambda c, kind: [np.frombuffer(x, dtype=kind) for x in column[c]]
-        names, sizes, lowest = arrays("names", np.uint64), arrays("sizes", np.int32), arrays("lowest", np.int64)
-        counts = [len(x) for x in names]
-        text = np.frombuffer(b"".join(column["bytes"]), dtype=np.uint8)
-        names, sizes, lowest = np.concatenate(names), np.concatenate(sizes).astype(np.int64), np.concatenate(lowest)
+        names, counts = _joined(table.column("names"), np.uint64)
+        sizes, lowest = _joined(table.column("sizes"), np.int32)[0].astype(np.int64), _joined(table.column("lowest"), np.int64)[0]
+        text = _joined(table.column("bytes"), np.uint8)[0]
         begin = np.concatenate([[0], np.cumsum(sizes)])
         content = _stretch_hash(text, begin[:-1], begin[1:])
         # equal stretches of several runs are one
@@ -326,18 +404,16 @@ def removed_windows(found: DataFrame) -> DataFrame:
         one = order[at]
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(lowest[order], at)
-        size = sizes[one]
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        ids, bounds = _lowest_ids(names[one], size, text[np.repeat(begin[one], size) + place], least)
-        rows, before = [], 0
-        for run, n, of, starts, owner in zip(column["run"], counts, arrays("of", np.int32), arrays("starts", np.int32), arrays("ids", np.int64)):
-            stretch = number[before + of]
-            before += n
-            rows.append((run, _ranges(ids, bounds, stretch, starts.astype(np.int64), owner)))
-        return pa.table({"run": pa.array([r for r, _ in rows], pa.int64()), "ranges": pa.array([x for _, x in rows], pa.binary())})
+        ids, bounds = _lowest_ids(names[one], begin[one], sizes[one], text, np.minimum.reduceat(lowest[order], at))
+        of, places = _joined(table.column("of"), np.int32)
+        stretch = number[of + np.repeat(np.cumsum(counts) - counts, places)]
+        row = np.repeat(np.arange(len(table)), places)
+        packed, n = _ranges(ids, bounds, stretch, row, _joined(table.column("starts"), np.int32)[0], _joined(table.column("ids"), np.int64)[0])
+        kept = np.unique(n)
+        ends = np.append(np.searchsorted(n, kept), len(n)) * 8
+        return pa.table({"run": table.column("run").take(pa.array(kept)), "ranges": _packed(packed, ends)})
 
-    return found.filter("part >= 0").groupBy("part").applyInArrow(meet, "run long, ranges binary").filter(F.length("ranges") > 0)
+    return found.filter("part >= 0").groupBy("part").applyInArrow(meet, "run long, ranges binary")
 
 
 def removed_frequent_windows(found: DataFrame) -> DataFrame:
@@ -381,29 +457,37 @@ def removed_frequent_windows(found: DataFrame) -> DataFrame:
     return gone.groupBy("run").agg(F.collect_list("start").alias("starts")).mapInArrow(ranges, "run long, ranges binary")
 
 
-def _ranges(ids: np.ndarray, bounds: np.ndarray, stretch: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> bytes:
-    """Ranges of window starts whose window a smaller id has."""
+def _ranges(ids: np.ndarray, bounds: np.ndarray, stretch: np.ndarray, row: np.ndarray, starts: np.ndarray,
+            owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of window starts whose window a smaller id has, as pairs, and the row of each: they are sorted by row."""
     windows = bounds[stretch + 1] - bounds[stretch]
-    place = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    goes = ids[np.repeat(bounds[stretch], windows) + place] < np.repeat(owner, windows)
-    where = np.sort((np.repeat(starts, windows) + place)[goes])
-    if not len(where):
-        return b""
-    first = np.concatenate([[True], where[1:] > where[:-1] + 1])
-    at = np.flatnonzero(first)
-    return np.column_stack([where[at], where[np.append(at[1:], len(where)) - 1]]).astype(np.int32).tobytes()
+    done, pairs, rows, at = np.cumsum(windows), [], [], 0
+    while at < len(row):
+        # whole rows, about so many windows
+        to = int(np.searchsorted(row, row[min(int(np.searchsorted(done, done[at] + COMPARED)), len(row) - 1)], side="right"))
+        w = windows[at:to]
+        place = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        goes = ids[np.repeat(bounds[stretch[at:to]], w) + place] < np.repeat(owner[at:to], w)
+        key = np.sort((np.repeat(row[at:to].astype(np.int64) << 32 | starts[at:to], w) + place)[goes])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] > key[:-1] + 1])[:len(key)])
+        last = key[np.append(first[1:], len(key))[:len(first)] - 1]
+        pairs.append(np.column_stack([key[first], last]).astype(np.uint32).view(np.int32))
+        rows.append(key[first] >> 32)
+        at = to
+    return np.concatenate(pairs), np.concatenate(rows)
 
 
 def _removed(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A run's bytes, where its documents begin, and which bytes go."""
     data = np.frombuffer(r["text"], dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum(np.array(r["sizes"], dtype=np.int64))])
-    change = np.zeros(len(data) + 1, dtype=np.int64)
+    # a byte lies in fewer than LENGTH ranges
+    change = np.zeros(len(data) + 1, dtype=np.int16)
     for x in r["ranges"] or []:
         pairs = np.frombuffer(x, dtype=np.int32).reshape(-1, 2).astype(np.int64)
         np.add.at(change, pairs[:, 0], 1)
         np.add.at(change, pairs[:, 1] + LENGTH, -1)
-    return data, offsets, np.cumsum(change[:-1]) > 0
+    return data, offsets, np.cumsum(change[:-1], dtype=np.int16) > 0
 
 
 def _with_ranges(docs: DataFrame) -> DataFrame:
@@ -411,7 +495,7 @@ def _with_ranges(docs: DataFrame) -> DataFrame:
     size = runs.agg(F.sum(F.length("text"))).first()[0] or 0
     shared = stage(shared_anchors(runs, size))
     n = shared.agg(F.sum("n")).first()[0] or 0
-    bits = _groups(n * (_SPACING + LENGTH), GROUP_BYTES)
+    bits = _stretch_groups(n * (_SPACING + LENGTH))
     # staged in between, so that the join's shuffle files are gone before stretches are shuffled
     found = stage(stretches(runs, shared, bits, _groups(size / _SPACING, GROUP_ANCHORS)))
     release_staged(shared)

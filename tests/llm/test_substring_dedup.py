@@ -109,3 +109,75 @@ def test_a_passage_of_all_runs_is_no_group(spark, monkeypatch):
     # what groups still hold are the few stretches at the passage's ends
     packed = sum(len(r.bytes) for r in held[0].filter("part >= 0").select("bytes").collect())
     assert packed < 80 * len(licence) / 4
+
+
+def told_all(data, sizes):
+    """All anchors of a run, as if other documents had them."""
+    h = np.unique(sd._run_anchors(data, sizes)[-1])
+    return [{"part": 0, "shared": sd._planes(h >> np.uint64(16)), "hot": bytes(len(h))}]
+
+
+def test_a_run_sends_many_groups_together():
+    """Runs times groups grow with the square of the corpus: a run's rows are packed together, not group by group."""
+    texts = [prose(i, 400).encode() for i in range(120)]
+    data, sizes = b"".join(texts), [len(t) for t in texts]
+    row = {"run": 3, "doc_ids": list(range(120)), "sizes": sizes, "text": data, "told": told_all(data, sizes)}
+    batches = list(sd._cut_stretches(row, 12, 0))
+    assert sum(len(b) for b in batches) > 2000
+    assert len(batches) < 10
+    for b in batches:
+        for r in b.to_pylist():
+            names, size, owner = (np.frombuffer(r[c], k) for c, k in (("names", np.uint64), ("sizes", np.int32), ("ids", np.int64)))
+            assert len(names) == len(size) and size.sum() == len(r["bytes"]) and r["run"] == 3
+            assert set(sd._group_of(sd.mix(names), 12)) == {r["part"]}
+            at = np.concatenate([[0], np.cumsum(size)])
+            for of, start, doc in zip(np.frombuffer(r["of"], np.int32), np.frombuffer(r["starts"], np.int32), owner):
+                assert data[start:start + size[of]] == r["bytes"][at[of]:at[of + 1]]
+                assert sum(sizes[:doc]) <= start < sum(sizes[:doc + 1])
+
+
+def test_rows_of_a_corpus_grow_in_proportion(spark, monkeypatch):
+    """Three megabytes are one run, and groups of stretches stop growing in number before they outgrow a task."""
+    rows = [(i, prose(i, 4000), "en", "a", 1) for i in range(120)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        runs = sd.runs_of(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(len(r.text) for r in runs) > 3_000_000 and len(runs) == 1
+    asked = []
+    monkeypatch.setattr(sd, "GROUP_BYTES", 1 << 12)
+    monkeypatch.setattr(sd, "GROUPS", 4, raising=False)
+    real = sd.stretches
+    monkeypatch.setattr(sd, "stretches", lambda runs, shared, bits, anchor_bits: asked.append(bits) or real(runs, shared, bits, anchor_bits))
+    few = [(i, f"{prose(i % 40, 120)} {i}", "en", "a", 1) for i in range(120)]
+    assert sorted((str(r.doc_id), *r[1:]) for r in sd.report(frame(spark, few)).collect()) == brute(few)
+    assert asked == [2]
+
+
+@pytest.mark.parametrize("hot,very_hot", [(10_000, 1_000_000), (3, 1_000_000), (2, 8)])
+def test_removed_in_small_slices(spark, monkeypatch, hot, very_hot):
+    for name, value in {"SENT": 50, "COMPARED": 200, "BATCH_BYTES": 500, "COLLECTION_BYTES": 300, "_SLICE": 90, "SHARD_BYTES": 120,
+                        "HOT": hot, "VERY_HOT": very_hot}.items():
+        monkeypatch.setattr(sd, name, value)
+    rows = documents()
+    assert sorted((str(r.doc_id), *r[1:]) for r in sd.report(frame(spark, rows)).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("symbols,n", [(1, 300), (3, 5000), (40, 5000), (256, 70_000)])
+def test_transform_is_in_order(symbols, n):
+    """Whatever the alphabet and the size leave room for in a key."""
+    rng = np.random.default_rng(n)
+    text = rng.integers(1, symbols + 1, n).astype(np.uint16)
+    text[::97] = 0
+    text[-1] = 0
+    starts = np.concatenate([[0], np.flatnonzero(text == 0)[:-1] + 1])
+    order, before, first = merged_bwt.transform(text, starts, 12)
+    bounds = np.append(starts, n)
+    end = bounds[np.searchsorted(bounds, order, side="right")] - 1
+    keys = [text[i:min(i + 12, e)].tolist() for i, e in zip(order.tolist(), end.tolist())]
+    assert keys == sorted(keys) and sorted(order.tolist()) == list(range(n))
+    begins = set(starts.tolist())
+    assert before.tolist() == [0 if i in begins else int(text[i - 1]) for i in order.tolist()]
+    assert sorted(first.tolist()) == list(range(n))
