@@ -49,7 +49,7 @@ RUN_BYTES, SHARD_BYTES, GROUP_BYTES, GROUP_ANCHORS = 4 << 20, 1 << 15, 4 << 20,
 #: Groups of stretches from which on they grow with the corpus, their most bytes, and bytes merged at a time.
 GROUPS, GROUP_MOST, COLLECTION_BYTES = 2048, 32 << 20, 1 << 20
 #: Stretches (or windows of hot ones) that are sorted and sent at a time, windows compared at a time, bytes in a batch.
-SENT, COMPARED, BATCH_BYTES = 1 << 18, 1 << 20, 4 << 20
+SENT, COMPARED, BATCH_BYTES = 1 << 18, 1 << 20, 1 << 20
 #: Documents with an anchor beyond which its windows are spread, and beyond which they are rows of their own.
 HOT, VERY_HOT = 10_000, 1_000_000
 _NO_ID = np.iinfo(np.int64).max
@@ -241,7 +241,10 @@ def _stretch_hash(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.nd
     return mix(out + (end - first).astype(np.uint64))
 
 
-_STRETCHES = "part int, run long, names binary, sizes binary, bytes binary, lowest binary, of binary, starts binary, ids binary"
+#: Of stretches in a group: 32 bits of their names, their sizes and bytes; and of all places where documents have them, in
+#: their order, whether another stretch begins, and planes of window starts and ids. Part -1 has windows of very hot anchors:
+#: two hashes (``names``, ``lowest``), starts and ids.
+_STRETCHES = "part int, run long, names binary, sizes binary, bytes binary, lowest binary, new binary, starts binary, ids binary"
 _COLUMNS = [c.split()[0] for c in _STRETCHES.split(", ")]
 
 
@@ -300,28 +303,28 @@ def _sent_stretches(run: int, data: np.ndarray, ids: np.ndarray, doc: np.ndarray
     of = np.concatenate([doc[once], spread_of])
     content = np.concatenate([_stretch_hash(data, begin[x], end[x]) for x in (slice(len(once)), slice(len(once), None))])
     # anchors go where their hash says, spread windows where their own does
-    name = np.concatenate([h[once], content[len(once):]])
-    part = _group_of(mix(name), bits)
-    order = np.lexsort((ids[of], content, name, part))
-    part, name, content, begin, end, owner = part[order], name[order], content[order], begin[order], end[order], ids[of][order]
-    if not len(part):
+    name = mix(np.concatenate([h[once], content[len(once):]]))
+    order = np.lexsort((ids[of], content, name))
+    name, content, begin, end, owner = name[order], content[order], begin[order], end[order], ids[of][order]
+    if not len(name):
         return
+    part = _group_of(name, bits)
     new = np.ones(len(part), dtype=bool)
-    new[1:] = (part[1:] != part[:-1]) | (name[1:] != name[:-1]) | (content[1:] != content[:-1])
+    new[1:] = (name[1:] != name[:-1]) | (content[1:] != content[:-1])
     at = np.flatnonzero(new)
-    number = np.cumsum(new) - 1
     size = (end - begin)[at]
     # where parts begin among places, among distinct stretches and in their text
     places = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
-    distinct = np.append(number[places[:-1]], len(at))
+    distinct = np.searchsorted(at, places)
     whole = memoryview(data)
     text = b"".join([whole[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist())])
-    own = number - np.repeat(distinct[:-1], np.diff(places))
-    ends = np.concatenate([[0], np.cumsum(size)])[distinct]
+    # names only bring stretches together, so 32 bits are enough below those of the part
+    short = (name[at] << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
     rows = pa.RecordBatch.from_arrays([
-        pa.array(part[places[:-1]], pa.int32()), pa.array(np.full(len(places) - 1, run), pa.int64()),
-        _packed(name[at], distinct * 8), _packed(size.astype(np.int32), distinct * 4), _packed(text, ends), _packed(owner[at], distinct * 8),
-        _packed(own.astype(np.int32), places * 4), _packed(begin.astype(np.int32), places * 4), _packed(owner, places * 8)], names=_COLUMNS)
+        pa.array(part[places[:-1]], pa.int32()), pa.array(np.full(len(places) - 1, run), pa.int64()), _packed(short, distinct * 4),
+        _packed(size.astype(np.uint8), distinct), _packed(text, np.concatenate([[0], np.cumsum(size)])[distinct]),
+        _packed(b"", distinct * 0), _packed(new.view(np.uint8), places), _packed_planes(begin.astype(np.int32), places),
+        _packed_planes(owner, places)], names=_COLUMNS)
     each = max(1, int(len(rows) * BATCH_BYTES / rows.nbytes))
     for k in range(0, len(rows), each):
         yield rows.slice(k, each)
@@ -335,8 +338,6 @@ def _packed(values: np.ndarray | bytes, offsets: np.ndarray) -> pa.Array:
 def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All values of a binary column one after another as numbers, and how many there are in each."""
     values = column.cast(pa.large_binary()).combine_chunks()
-    if isinstance(values, pa.ChunkedArray):
-        values = pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], pa.large_binary())
     _, offsets, data = values.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[values.offset:values.offset + len(values) + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
@@ -344,6 +345,34 @@ def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray
     return data[offsets[0]:offsets[-1]].view(kind), np.diff(offsets) // size
 
 
+def _plane_places(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first bytes of values stand if those of a row stand together, then their second bytes, and so on; and how
+    far the next bytes are away."""
+    before = np.cumsum(counts) - counts
+    return np.arange(int(counts.sum())) + np.repeat(before * (width - 1), counts), np.repeat(counts, counts)
+
+
+def _packed_planes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """As :func:`_packed`, as planes of bytes, which compress. ``offsets`` count values."""
+    width = values.itemsize
+    first, step = _plane_places(np.diff(offsets), width)
+    out = np.empty(len(values) * width, dtype=np.uint8)
+    for k in range(width):
+        out[first + k * step] = values.view(np.uint8)[k::width]
+    return _packed(out, offsets * width)
+
+
+def _joined_planes(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_joined`, of planes."""
+    width = np.dtype(kind).itemsize
+    data, counts = _joined(column, np.uint8)
+    first, step = _plane_places(counts // width, width)
+    out = np.empty((len(first), width), dtype=np.uint8)
+    for k in range(width):
+        out[:, k] = data[first + k * step]
+    return out.reshape(-1).view(kind), counts // width
+
+
 def _packed_row(part: int, run: int, values: list) -> pa.RecordBatch:
     packed = [v if isinstance(v, bytes) else v.tobytes() for v in values]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run], pa.int64()), *[pa.array([v], pa.binary()) for v in packed]],
@@ -391,9 +420,12 @@ def removed_windows(found: DataFrame) -> DataFrame:
     """``run, ranges``: first and last starts of windows that go, as pairs."""
 
     def meet(key, table):
-        names, counts = _joined(table.column("names"), np.uint64)
-        sizes, lowest = _joined(table.column("sizes"), np.int32)[0].astype(np.int64), _joined(table.column("lowest"), np.int64)[0]
+        names, sizes = _joined(table.column("names"), np.uint32)[0], _joined(table.column("sizes"), np.uint8)[0].astype(np.int64)
         text = _joined(table.column("bytes"), np.uint8)[0]
+        (starts, places), owner = _joined_planes(table.column("starts"), np.int32), _joined_planes(table.column("ids"), np.int64)[0]
+        # places of a stretch are in the order of their ids
+        other = _joined(table.column("new"), np.uint8)[0]
+        lowest = owner[np.flatnonzero(other)]
         begin = np.concatenate([[0], np.cumsum(sizes)])
         content = _stretch_hash(text, begin[:-1], begin[1:])
         # equal stretches of several runs are one
@@ -405,10 +437,8 @@ def removed_windows(found: DataFrame) -> DataFrame:
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
         ids, bounds = _lowest_ids(names[one], begin[one], sizes[one], text, np.minimum.reduceat(lowest[order], at))
-        of, places = _joined(table.column("of"), np.int32)
-        stretch = number[of + np.repeat(np.cumsum(counts) - counts, places)]
         row = np.repeat(np.arange(len(table)), places)
-        packed, n = _ranges(ids, bounds, stretch, row, _joined(table.column("starts"), np.int32)[0], _joined(table.column("ids"), np.int64)[0])
+        packed, n = _ranges(ids, bounds, number[np.cumsum(other, dtype=np.int64) - 1], row, starts, owner)
         kept = np.unique(n)
         ends = np.append(np.searchsorted(n, kept), len(n)) * 8
         return pa.table({"run": table.column("run").take(pa.array(kept)), "ranges": _packed(packed, ends)})
