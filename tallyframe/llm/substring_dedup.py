@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.merged_bwt import repeated
 from tallyframe.llm.tables import content_key, rows_of
-from tallyframe.llm.text_arrays import chunks, mix, powers, sums_by
+from tallyframe.llm.text_arrays import chunks, mix, powers
 from tallyframe.session import release_staged, stage
 
 LENGTH, GRAM = 50, 24
@@ -493,8 +493,9 @@ def _ranges(ids: np.ndarray, bounds: np.ndarray, stretch: np.ndarray, row: np.nd
     windows = bounds[stretch + 1] - bounds[stretch]
     done, pairs, rows, at = np.cumsum(windows), [], [], 0
     while at < len(row):
-        # whole rows, about so many windows
+        # whole rows, about so many windows; ranges of a longer row may be cut in two
         to = int(np.searchsorted(row, row[min(int(np.searchsorted(done, done[at] + COMPARED)), len(row) - 1)], side="right"))
+        to = min(to, int(np.searchsorted(done, done[at] + 2 * COMPARED)) + 1)
         w = windows[at:to]
         place = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         goes = ids[np.repeat(bounds[stretch[at:to]], w) + place] < np.repeat(owner[at:to], w)
